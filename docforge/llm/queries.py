@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from docforge.llm import bpe, chat_format, token_counts, url_filter
+from docforge.llm import bpe, chat_format, decontaminate, language_id, pii, simhash_dedup, token_counts, token_files, url_filter, vector_dedup
 
 QUERIES = {
+    "op1_decontamination": decontaminate.query,
     "op2_chat_format": chat_format.query,
+    "op3_token_files": token_files.query,
+    "op4_simhash_dedup": simhash_dedup.query,
     "op5_token_counts": token_counts.query,
+    "op6_vector_dedup": vector_dedup.query,
     "op7_bpe": bpe.query,
     "op8_url_filter": url_filter.query,
+    "op9_language_id": language_id.query,
+    "op10_pii": pii.query,
 }
 
 SQL = {
     "op2_chat_format": chat_format.SQL,
+    "op6_vector_dedup": vector_dedup.SQL,
     "op8_url_filter": url_filter.SQL,
 }
