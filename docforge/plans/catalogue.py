@@ -1,4 +1,6 @@
-"""The named queries and the SQL that says the same."""
+"""All named queries and the SQL that says the same."""
 
-QUERIES = {}
-SQL = {}
+from docforge.plans import corpus, relational  # noqa: F401  they register themselves
+from docforge.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
