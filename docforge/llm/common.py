@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -67,7 +66,9 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """df without columns that an operator is about to add (case-insensitively, as Spark resolves names)."""
-    own = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in own])
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until df has no such column (Spark tells names apart by letters alone)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -31,6 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docforge.llm.common import fresh
+
 WORDS, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 24, 4
 SLICE_BYTES = 32 << 20
@@ -243,7 +245,8 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     """df without the documents that hold an item."""
     kind = benchmark.schema[item_id].dataType.simpleString()
     for items in slices_of(benchmark, item_id, item_text, slice_bytes):
-        df = df.withColumn("_leaks", leaks_of(df, items, kind, text)).where(F.size("_leaks.item_id") == 0).drop("_leaks")
+        name = fresh(df, "_leaks")
+        df = df.withColumn(name, leaks_of(df, items, kind, text)).where(F.size(f"{name}.item_id") == 0).drop(name)
     return df
 
 

@@ -20,13 +20,13 @@ def in_blocks(members: DataFrame, bucket: list[str], node: str, size: str, carry
 
     A bucket of n rows is dealt over ceil(n / block) parts by a hash of the node; each row goes to the pairs of parts
     that its own belongs to. A group has about 2 * block rows at most, however large its bucket is. side tells the two
-    parts of a pair apart; it is 0 for all rows where a part meets itself.
+    parts of a pair apart (0 and 1); it is 2 where a part meets itself.
     """
     parts = F.ceil(F.col(size) / block).cast("int")
     own = F.pmod(F.xxhash64(F.col(node), F.lit(7)), parts).cast("int")
     dealt = members.select("*", own.alias("_own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_other"))
     group = F.xxhash64(*bucket, F.least("_own", "_other"), F.greatest("_own", "_other"))
-    return dealt.select(group.alias("g"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), F.col(node).alias("node"), *carry)
+    return dealt.select(group.alias("g"), F.when(F.col("_own") == F.col("_other"), 2).otherwise((F.col("_own") > F.col("_other")).cast("int")).alias("side"), F.col(node).alias("node"), *carry)
 
 
 def by_group(rows: DataFrame, compare: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:

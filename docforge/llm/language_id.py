@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docforge.llm.common import fresh
+
 LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS, LEARN_CHARS = 50, 64, 2_000, 24_000
 WINDOW = 512
 UNKNOWN = "und"
@@ -212,8 +214,9 @@ def identify(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
 
 def keep_known(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_covered: float = MIN_COVERED) -> DataFrame:
     """df without documents that have no letters, or whose letters no learned language explains."""
-    marked = df.withColumn("_p", predict(df, fit(df, doc_id, text, lang), text))
-    return marked.where((F.col("_p.lang") != UNKNOWN) & (F.col("_p.covered") >= min_covered)).drop("_p")
+    p = fresh(df, "_p")
+    marked = df.withColumn(p, predict(df, fit(df, doc_id, text, lang), text))
+    return marked.where((F.col(f"{p}.lang") != UNKNOWN) & (F.col(f"{p}.covered") >= min_covered)).drop(p)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import cut
+from docforge.llm.common import cut, fresh
 from docforge.llm.graph import by_group, components, in_blocks, spanning
 
 WORDS, SEED, RADIUS = 4, 42, 4
@@ -93,13 +93,13 @@ def near_links(prints: DataFrame, distinct: int, radius: int = RADIUS, few: int
 
     def compare(rows: pa.Table) -> pa.RecordBatch | None:
         side, fp = rows.column("side").to_numpy(), rows.column("node").to_numpy().view(np.uint64)
-        left, right = (fp[side == 0], fp[side == 1]) if side.any() else (fp, fp)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, len(left), 256):
-            x, y = np.nonzero(np.bitwise_count(left[at : at + 256, None] ^ right[None, :]) <= radius)
-            x += at
-            apart = left[x] != right[y]
-            found.append(spanning(left[x][apart], right[y][apart]))
+        for left, right in ((fp[side == 0], fp[side == 1]), (fp[side == 2],) * 2):
+            for at in range(0, len(left), 256):
+                x, y = np.nonzero(np.bitwise_count(left[at : at + 256, None] ^ right[None, :]) <= radius)
+                x += at
+                apart = left[x] != right[y]
+                found.append(spanning(left[x][apart], right[y][apart]))
         a, b = (np.concatenate(z) for z in zip(*found)) if found else (np.empty(0, np.uint64),) * 2
         if not len(a):
             return None
@@ -127,12 +127,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with one row of each component: that of the smallest doc_id (of equal ones, any)."""
-    marked = df.withColumn("_fp", fingerprint_of(F.col(text)))
-    prints = cut(marked.select(F.col(doc_id).alias("doc_id"), F.col("_fp").alias("fp")))
-    named = classes(prints).withColumnsRenamed({"fp": "_fp", "root": "_root", "component_id": "_component"})
-    chosen = marked.join(named, "_fp").where(F.col(doc_id).eqNullSafe(F.col("_component")))
+    fp, root, name = (fresh(df, c) for c in ("_fp", "_root", "_component"))
+    marked = df.withColumn(fp, fingerprint_of(F.col(text)))
+    prints = cut(marked.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp")))
+    named = classes(prints).withColumnsRenamed({"fp": fp, "root": root, "component_id": name})
+    chosen = marked.join(named, fp).where(F.col(doc_id).eqNullSafe(F.col(name)))
     repeated = prints.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return (chosen.dropDuplicates(["_root"]) if repeated else chosen).select(*[F.col(f"`{c}`") for c in df.columns])
+    return (chosen.dropDuplicates([root]) if repeated else chosen).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

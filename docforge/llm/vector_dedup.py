@@ -108,31 +108,26 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
         ends: list[tuple[np.ndarray, np.ndarray]] = []
         for dims, table, bucket in {(len(u), int(a), int(b)) for u, a, b in zip(units, t, h)}:
             here = np.asarray([len(u) == dims for u in units]) & (t == table) & (h == bucket)
-            left, right = np.flatnonzero(here & (side == 0)), np.flatnonzero(here & (side == 1))
-            alone = not len(right)
-            if alone and side.any():
-                continue
-            right = left if alone else right
-            if not len(left):
-                continue
-            x, y = np.stack([units[i] for i in left]), np.stack([units[i] for i in right])
-            hx = hashes(x, tables, per_table, width, seed)[:, :table] if table else None
-            hy = hashes(y, tables, per_table, width, seed)[:, :table] if table else None
-            for at in range(0, len(left), 512):
-                i, j = np.nonzero(x[at : at + 512] @ y.T >= threshold)
-                i += at
-                good = (left[i] < right[j] if alone else np.ones(len(i), bool)) & (mark[left[i]] == mark[right[j]]) & (cid[left[i]] != cid[right[j]])
-                i, j = i[good], j[good]
-                if table and len(i):
-                    first = np.concatenate([~(hx[i[k : k + 65536]] == hy[j[k : k + 65536]]).any(1) for k in range(0, len(i), 65536)])
-                    i, j = i[first], j[first]
-                if not len(i):
+            own_hashes = hashes(np.stack([units[i] for i in np.flatnonzero(here)]), tables, per_table, width, seed)[:, :table] if table else None
+            at_row = np.cumsum(here) - 1
+            for left, right in ((np.flatnonzero(here & (side == 0)), np.flatnonzero(here & (side == 1))), (np.flatnonzero(here & (side == 2)),) * 2):
+                if not len(left) or not len(right):
                     continue
-                a, b = left[i], right[j]
-                total = np.bincount(np.concatenate([a, b]), np.concatenate([own[b], own[a]]).astype(np.float64), len(cid)).astype(np.int64)
-                for k in np.flatnonzero(total):
-                    counts[int(cid[k])] = counts.get(int(cid[k]), 0) + int(total[k])
-                ends.append(spanning(cid[a], cid[b]))
+                x, y = np.stack([units[i] for i in left]), np.stack([units[i] for i in right])
+                for at in range(0, len(left), 512):
+                    i, j = np.nonzero(x[at : at + 512] @ y.T >= threshold)
+                    i, j = left[i + at], right[j]
+                    good = (mark[i] == mark[j]) & (cid[i] != cid[j]) & ((side[i] < 2) | (i < j))
+                    i, j = i[good], j[good]
+                    if table and len(i):
+                        first = np.concatenate([~(own_hashes[at_row[i[k : k + 65536]]] == own_hashes[at_row[j[k : k + 65536]]]).any(1) for k in range(0, len(i), 65536)])
+                        i, j = i[first], j[first]
+                    if not len(i):
+                        continue
+                    total = np.bincount(np.concatenate([i, j]), np.concatenate([own[j], own[i]]).astype(np.float64), len(cid)).astype(np.int64)
+                    for k in np.flatnonzero(total):
+                        counts[int(cid[k])] = counts.get(int(cid[k]), 0) + int(total[k])
+                    ends.append(spanning(cid[i], cid[j]))
         if not counts:
             return None
         a, b = spanning(np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends]))
