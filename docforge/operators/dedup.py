@@ -25,9 +25,10 @@ def keep_first(rows: DataFrame, key: list[str | Column], order: list[str], alway
 
 
 def exact_paragraphs(paragraphs: DataFrame, by: list[str], order: list[str], text: str = "line") -> DataFrame:
-    """The first of paragraphs whose letters and digits agree; short ones are exempt."""
+    """The first of paragraphs whose letters and digits agree; short ones are exempt. Groups are told apart by a digest,
+    so that sorting compares few bytes."""
     key = paragraph_key(F.col(text))
-    return keep_first(paragraphs, [*by, key], order, F.length(key) < SHORTEST)
+    return keep_first(paragraphs, [*by, F.md5(key)], order, F.length(key) < SHORTEST)
 
 
 def translations(groups: DataFrame, by: list[str], q_num: str = "q_num", images: str = "images", order: str = "seq") -> tuple[DataFrame, DataFrame]:
@@ -100,6 +101,15 @@ def greedy_paragraphs(paragraphs: Column, window: int = WINDOW, similarity: floa
     return run(paragraphs)
 
 
+def across_chunks(chunks: DataFrame, doc: str = "doc_id", chunk: str = "chunk_index", text: str = "text", mark: str = "\n\n") -> DataFrame:
+    """Chunks without paragraphs like one that an earlier chunk of the document kept. A document is the unit."""
+    parts = chunks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(chunk).alias("c"), F.split(text, mark).alias("ps")))).alias("cs"))
+    flat = parts.select(doc, F.flatten(F.transform("cs", lambda x: F.transform(x["ps"], lambda p: F.struct(x["c"].alias("c"), p.alias("p"))))).alias("xs"))
+    kept = flat.withColumn("f", greedy_paragraphs(F.transform("xs", lambda x: x["p"]))).select(doc, F.posexplode(F.arrays_zip("xs", "f")).alias("n", "z")).where("z.f")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("z.xs.p").alias("p")))), lambda x: x["p"]), mark)
+    return kept.groupBy(doc, F.col("z.xs.c").alias(chunk)).agg(joined.alias(text))
+
+
 def near_pairs(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY, bands: int = 40, per_band: int = 4, most: int = 64) -> DataFrame:
     """(a, b, similarity) of different paragraph keys: MinHash bands, the length bound, then the exact Jaccard of 4-grams.
 

@@ -15,7 +15,7 @@ SUBJECT_CODE = r"\((\d{3})\)\s*([A-Z][A-Z &\-]+)"
 SUBJECT_ABBREVIATED = r"^([A-Z]{2,5})\s+-\s+([A-Z][A-Za-z &\-]+)$"
 SUBJECT_NUMBERED = r"^(\d{3})\s*-\s*([A-Z][A-Za-z &\-]+)$"
 SUBJECT_NAMED = r"(?m)Subject\s*:\s*([A-Za-z][A-Za-z &\-]+?)\s*$"
-LONG_ID, SHORT_ID = r"^\d{6,}\z", r"^\*?(\d{1,4})\z"
+LONG_ID, SHORT_ID, ANY_ID = r"^\d{6,}\z", r"^\*?(\d{1,4})\z", r"^\*?(\d{1,7})\z"
 
 
 def tokens(text: Column) -> Column:
@@ -24,9 +24,9 @@ def tokens(text: Column) -> Column:
 
 
 def subject_of(text: Column) -> Column:
-    """struct(code, name) of a page's header, null if it has none."""
-    pick = lambda p, code, name: F.when(text.rlike(p), F.struct((F.regexp_extract(text, p, code) if code else F.lit("")).alias("code"), strip(F.regexp_extract(text, p, name)).alias("name")))
-    return F.coalesce(pick(SUBJECT_CODE, 1, 2), pick(f"(?m){SUBJECT_ABBREVIATED}", 1, 2), pick(f"(?m){SUBJECT_NUMBERED}", 1, 2), pick(SUBJECT_NAMED, 0, 1))
+    """struct(code, name, short) of a page's header, null if it has none; headers without "(NNN)" come with short ids."""
+    pick = lambda p, code, name, short: F.when(text.rlike(p), F.struct((F.regexp_extract(text, p, code) if code else F.lit("")).alias("code"), strip(F.regexp_extract(text, p, name)).alias("name"), F.lit(short).alias("short")))
+    return F.coalesce(pick(SUBJECT_CODE, 1, 2, False), pick(f"(?m){SUBJECT_ABBREVIATED}", 1, 2, True), pick(f"(?m){SUBJECT_NUMBERED}", 1, 2, True), pick(SUBJECT_NAMED, 0, 1, True))
 
 
 def with_subjects(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -55,7 +55,7 @@ def pair_lines(pages: DataFrame, doc: str = "doc_id", id_form: str = SHORT_ID) -
     """(doc, subject, question_id, raw) of lines that alternate between id and answer. Pairs are consumed from the first
     id on: in each unbroken run of lines with the form of an id or an answer, odd ones are ids."""
     rows = with_subjects(pages, doc).where("subject IS NOT NULL").select(doc, "page_num", "subject", F.posexplode(F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")).alias("n", "line"))
-    answer = r"(?i)^(?:\d{1,5}(?:\s*,\s*\d{1,5})*|Dropped|\d{1,5}\(English\)/Dropped\(Hindi\)|Dropped\(English\)/\d{1,5}\(Hindi\)|\*)\z"
+    answer = r"(?i)^(?:\d{1,5}(?:\s*,\s*\d{1,5})*,?|\d{1,5}\s+or\s+\d{1,5}|Drop(?:ped)?|\d{1,5}\*|\(\*\)|\d{1,5}\(English\)/Dropped\(Hindi\)|Dropped\(English\)/\d{1,5}\(Hindi\)|\*)\z"
     rows = rows.withColumn("fits", F.col("line").rlike(id_form) | F.col("line").rlike(answer))
     rows = sessionise(rows, [doc, "page_num"], ["n"], ~F.col("fits"), "run").where("fits")
     w = Window.partitionBy(doc, "page_num", "run").orderBy("n")
@@ -71,10 +71,19 @@ def sniff(pages: DataFrame) -> DataFrame:
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """(doc_id, subject, question_id, raw, kind, options) of all keys, each by the parser its form asks for."""
-    listed = pages.join(sniff(pages).where("listed"), "doc_id", "left_semi")
-    other = pages.join(sniff(pages).where("listed"), "doc_id", "left_anti")
-    both = pair_long_ids(other).withColumn("answer", A.classify(F.col("raw"))).unionByName(pair_lines(listed).withColumn("answer", A.classify_listed(F.col("raw"))))
+    """(doc_id, subject, question_id, raw, kind, options) of all keys, each by the parser its form asks for: printed lines,
+    short ids behind a header without a code, or long ids in running tokens."""
+    forms = pages.join(sniff(pages), "doc_id", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    own = with_subjects(forms).withColumn("short", F.coalesce("subject.short", F.lit(False))).drop("subject")
+    listed, other = forms.where("listed"), own.where("NOT listed")
+    short_pages = other.join(other.where("short").select("doc_id").distinct(), "doc_id", "left_semi")
+    long_pages = other.join(other.where("short").select("doc_id").distinct(), "doc_id", "left_anti")
+    parts = [
+        pair_long_ids(long_pages).withColumn("answer", A.classify(F.col("raw"))),
+        pair_lines(short_pages, id_form=ANY_ID).withColumn("answer", A.classify_short(F.col("raw"))),
+        pair_lines(listed).withColumn("answer", A.classify_listed(F.col("raw"))),
+    ]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return both.select("doc_id", "page_num", "entry_no", "subject", "question_id", F.coalesce("answer.raw", "raw").alias("raw"), F.coalesce("answer.kind", F.lit("unrecognised")).alias("kind"), F.coalesce("answer.options", F.array().cast("array<int>")).alias("options"))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docforge.functions import rules
 
@@ -87,22 +91,46 @@ def chunks_of_kept(pages: DataFrame, size: int, by: list[str] | None = None, pag
     return pages.withColumn("chunk_index", (F.floor((dense - 1) / size) + 1).cast("int"))
 
 
-def pack(items: DataFrame, by: list[str], order: str, size: str, most: float, most_other: tuple[str, float] | None = None) -> DataFrame:
-    """bin: consecutive items go together until the next would overflow; a larger item has a bin of its own.
+def in_turn(rows: DataFrame, by: list[str], order: str, values: list[str], start: Callable[[], object], result: str, kind: str) -> DataFrame:
+    """(by, order, result): a decision for each row that depends on those before it, made in one pass over sorted rows.
 
-    The bin depends on where the last one ended, so each group is folded; a group is the unit that has to fit a task.
+    start() gives a function from a row's values to its result; each group has its own. Rows are narrow, sorted by
+    Spark (which spills) and streamed, so a group of any size takes the memory of one batch and time in proportion.
     """
-    second = F.col(most_other[0]).cast("double") if most_other else F.lit(0.0)
-    limit = most_other[1] if most_other else float("inf")
-    listed = items.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("double").alias("s"), second.alias("s2")))).alias("xs"))
-    start = F.struct(F.lit(0).alias("bin"), F.lit(0.0).alias("used"), F.lit(0.0).alias("used2"), F.lit(True).alias("empty"), F.array().cast("array<struct<o:bigint,bin:int>>").alias("out"))
+    narrow = rows.select(*by, order, *values)
+    fields = [narrow.schema[c] for c in [*by, order]]
+    schema = StructType([*fields, *StructType.fromDDL(f"{result} {kind}").fields])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, step = object(), None
+        for frame in frames:
+            made = []
+            for key, value in zip(zip(*(frame[c] for c in by)), zip(*(frame[c] for c in values))):
+                if key != now:
+                    now, step = key, start()
+                made.append(step(*value))
+            yield frame[[*by, order]].assign(**{result: made})
+
+    return narrow.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(run, schema)
+
+
+def pack(items: DataFrame, by: list[str], order: str, size: str, most: float, most_other: tuple[str, float] | None = None) -> DataFrame:
+    """(by, order, bin): consecutive items go together until the next would overflow; a larger item has a bin of its own."""
+    limits = (most, most_other[1]) if most_other else (most,)
 
-    def step(acc: Column, x: Column) -> Column:
-        new = ~acc["empty"] & ((acc["used"] + x["s"] > most) | (acc["used2"] + x["s2"] > limit))
-        b = F.when(new, acc["bin"] + 1).otherwise(acc["bin"])
-        return F.struct(b.alias("bin"), F.when(new, x["s"]).otherwise(acc["used"] + x["s"]).alias("used"), F.when(new, x["s2"]).otherwise(acc["used2"] + x["s2"]).alias("used2"), F.lit(False).alias("empty"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("bigint").alias("o"), b.cast("int").alias("bin")))).alias("out"))
+    def start():
+        now, used = 0, None
 
-    return listed.select(*by, F.explode(F.aggregate("xs", start, step)["out"]).alias("z")).select(*by, F.col("z.o").alias(order), F.col("z.bin").alias("bin"))
+        def step(*sizes):
+            nonlocal now, used
+            if used is not None and any(u + s > m for u, s, m in zip(used, sizes, limits)):
+                now, used = now + 1, None
+            used = tuple(u + s for u, s in zip(used, sizes)) if used else sizes
+            return now
+
+        return step
+
+    return in_turn(items, by, order, [size, *([most_other[0]] if most_other else [])], start, "bin", "int")
 
 
 def neighbours(rows: DataFrame, by: list[str], order: str, text: str, is_heading: Column, reach: int = 2, most: int = 1000) -> DataFrame:
@@ -115,9 +143,21 @@ def neighbours(rows: DataFrame, by: list[str], order: str, text: str, is_heading
 
 def spaced(rows: DataFrame, by: list[str], order: str, least: int) -> DataFrame:
     """Rows that come so far behind the last kept one; the first is kept."""
-    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_set(F.col(order).cast("bigint"))).alias("xs"))
-    kept = F.aggregate("xs", F.array().cast("array<bigint>"), lambda out, x: F.when((F.size(out) == 0) | (x - F.get(out, F.size(out) - 1) >= least), F.concat(out, F.array(x))).otherwise(out))
-    return rows.join(listed.select(*by, F.explode(kept).alias(order)), [*by, order], "left_semi")
+
+    def start():
+        last = None
+
+        def step(at):
+            nonlocal last
+            if last is None or at - last >= least:
+                last = at
+                return True
+            return False
+
+        return step
+
+    places = rows.select(*by, order).distinct().withColumn("_at", F.col(order))
+    return rows.join(in_turn(places, by, order, ["_at"], start, "_kept", "boolean").where("_kept").select(*by, order), [*by, order], "left_semi")
 
 
 def join_continuations(lines: Column, most: int = 400) -> Column:

@@ -113,7 +113,7 @@ SQL_KEY = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
     SELECT doc_id, line_no, md5(line) AS line_md5 FROM n WHERE rn = 1 OR length(key) < 8""",
 )
 def q08(spark, sf_dir):
-    """Lines that stay when repeated ones go, by language over all documents; short ones stay. Ranked without their text."""
+    """Lines that stay when repeated ones go, by language over all documents; short ones stay."""
     rows = lines(spark, sf_dir).select("lang", "doc_id", "line_no", "line")
     return dedup.exact_paragraphs(rows, ["lang"], ["doc_id", "line_no"]).select("doc_id", "line_no", F.md5("line").alias("line_md5"))
 

@@ -192,7 +192,7 @@ def q26(spark, sf_dir):
     """SELECT p_brand, CAST(list_sort(list(p_size))[count(*) // 2 + 1] AS DOUBLE) AS upper_median, CAST(median(p_size) AS DOUBLE) AS average_median, CAST(max(p_size) AS BIGINT) AS dominant FROM part GROUP BY 1""",
 )
 def q27(spark, sf_dir):
-    """Two medians of sizes: the reference tells chapters by the upper one and lines by the mean one."""
+    """Two medians of sizes: chapters go by the upper one, lines by the mean one."""
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(layout.upper_median(F.col("p_size")).alias("upper_median"), layout.average_median(F.col("p_size").cast("double")).alias("average_median"), F.max("p_size").cast("bigint").alias("dominant"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +88,26 @@ def split_page_marks(text: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(\d+)", 1).cast("int").alias("page_num"), F.regexp_replace(F.regexp_replace(p, r"^\d+[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("text")))
 
 
+def parse_files(spark: SparkSession, path: str, parser: Callable[[bytes], list[str]], glob: str = "*.pdf") -> DataFrame:
+    """(path, page_num, text, error) of binary documents, by a parser that gives the texts of a file's pages; none is built
+    in. A file that it can't read is a row with the error. Files come whole to a worker, one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "page_num", "text", "error"]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                name = batch.column(0)[k].as_py()
+                try:
+                    pages = parser(batch.column(1)[k].as_py())
+                    rows = [[name] * len(pages), list(range(1, len(pages) + 1)), pages, [None] * len(pages)]
+                except Exception as e:
+                    rows = [[name], [None], [None], [str(e)]]
+                yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.string(), pa.int32(), pa.string(), pa.string()))], names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInArrow(run, "path string, page_num int, text string, error string")
+
+
 def document_info(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.max("page_num").alias("last_page"))
 

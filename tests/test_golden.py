@@ -283,3 +283,30 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, windowed_counts(events).collect()))
+
+
+def test_sql_functions(spark):
+    from docforge.plans.sql_functions import register
+
+    assert "line_tag" in register(spark)
+    r = spark.sql("SELECT normalize_line('a  b ‘c’') AS a, split_fused('x5mg') AS b, line_tag('1.1 Scope') AS c, line_rule('Perfect!') AS d, word_count(' a b ') AS e, escape_typst('#1') AS f, redact_personal_data('me@x.org') AS g").first()
+    assert tuple(r) == ("a b 'c'", "x 5 mg", "H3", "start", 2, "\\#1", "")
+
+
+def test_short_ids_behind_a_named_subject(spark):
+    pages = spark.createDataFrame([(1, 1, "LIFE - Life Science\nQuestion ID\n101\n503\n102\n501, 504,\n103\n*")], "doc_id int, page_num int, text string")
+    got = {r.question_id: (r.kind, list(r.options)) for r in keys.parse(pages).collect()}
+    assert got == {"101": ("single", [503]), "102": ("multi", [501, 504]), "103": ("drop", [])}
+
+
+def test_across_chunks(spark):
+    rows = [("d", 1, "first paragraph here\n\nsecond one is here"), ("d", 2, "first paragraph here!\n\nthird one is new"), ("e", 1, "first paragraph here")]
+    got = {(r.doc_id, r.chunk_index): r.text for r in dedup.across_chunks(spark.createDataFrame(rows, "doc_id string, chunk_index int, text string")).collect()}
+    assert got == {("d", 1): rows[0][2], ("d", 2): "third one is new", ("e", 1): rows[2][2]}
+
+
+def test_parse_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one\x0ctwo")
+    (tmp_path / "b.pdf").write_bytes(b"\xff")
+    got = sorted((r.path[-5:], r.page_num, r.text, r.error is None) for r in tables.parse_files(spark, str(tmp_path), lambda b: b.decode().split("\x0c")).collect())
+    assert got == [("a.pdf", 1, "one", True), ("a.pdf", 2, "two", True), ("b.pdf", None, None, False)]
