@@ -9,6 +9,10 @@ from docforge.functions.text import strip
 
 NO_OPTIONS = "array<int>"
 
+# What is printed where there is no option to print.
+DROPPED = "Question dropped (all candidates awarded marks)"
+NOT_FOUND = "Answer key not found for this question"
+
 
 def _answer(raw: Column, kind: str, options: Column | None = None) -> Column:
     return F.struct(raw.alias("raw"), F.lit(kind).alias("kind"), (options if options is not None else F.array()).cast(NO_OPTIONS).alias("options"))
@@ -68,33 +72,31 @@ def show(answer: Column) -> Column:
         F.when(answer["kind"] == "single", F.concat(F.lit("Correct Option: "), listed("")))
         .when(answer["kind"] == "multi", F.concat(F.lit("Correct Options: "), listed(", "), F.lit("  (multiple correct)")))
         .when(answer["kind"] == "or", F.concat(F.lit("Correct Option: "), listed(" or "), F.lit("  (either accepted)")))
-        .when(answer["kind"] == "drop", F.lit("Question Dropped"))
-        .otherwise(F.concat(F.lit("Answer: "), answer["raw"]))
+        .when(answer["kind"] == "drop", F.lit(DROPPED))
+        .otherwise(F.concat(F.lit("Answer (raw): "), answer["raw"]))
     )
 
 
 def resolve(raw: Column, kind: Column, options: Column) -> Column:
     """struct(text, found) of an answer against options array<struct<number, option_id>>.
 
-    One digit from 1 to 4 is an option's number. Otherwise each piece (split at commas, blanks and "or") that is all
-    digits is an option id; ids that no option has are reported; several numbers are sorted.
+    A single digit from 1 to 4 is an option's number. Otherwise each piece (split at commas, blanks and "or") that is all
+    digits is an option id; ids that no option has are only reported if none has any; several numbers are sorted.
     """
     s = strip(F.coalesce(raw, F.lit("")))
-    pieces = F.filter(F.split(s, r"(?i)[,\s]+(?:or\s+)?"), lambda p: p.rlike(r"^\d+\z"))
+    pieces = F.filter(F.split(s, r"(?i)[,\s]+|\bor\b"), lambda p: p.rlike(r"^\d+\z"))
     lookup = lambda p: F.get(F.filter(options, lambda o: o["option_id"] == p), F.lit(0))["number"]
-    known = F.array_sort(F.array_distinct(F.filter(F.transform(pieces, lookup), lambda n: n.isNotNull())))
-    unknown = F.filter(pieces, lambda p: ~F.exists(options, lambda o: o["option_id"] == p))
-    n = F.array_join(known.cast("array<string>"), ", ")
-    out = lambda text, found: F.struct(text.alias("text"), F.lit(found).alias("found"))
+    hits = F.filter(F.transform(pieces, lookup), lambda n: n.isNotNull())
+    shown = F.array_join(F.array_sort(F.array_distinct(hits)).cast("array<string>"), ", ")
+    out = lambda found, *parts: F.struct(F.concat(*parts).alias("text"), F.lit(found).alias("found"))
+    label = F.when(F.contains(F.lower(s), F.lit("or")), "either accepted").otherwise("multiple correct")
     return (
-        F.when(s == "", out(F.lit("Answer not found in key"), False))
-        .when(kind == "drop", out(F.lit("Question Dropped"), True))
-        .when(s.rlike(r"^[1-4]\z"), out(F.concat(F.lit("Correct Option: "), s), True))
-        .when(F.size(unknown) > 0, out(F.concat(F.lit("Answer key lists Option ID "), F.array_join(unknown, ", "), F.lit(", which this question does not have")), False))
-        .when(F.size(known) == 1, out(F.concat(F.lit("Correct Option: "), n), True))
-        .when((F.size(known) > 1) & (kind == "or"), out(F.concat(F.lit("Correct Options: "), n, F.lit("  (either accepted)")), True))
-        .when(F.size(known) > 1, out(F.concat(F.lit("Correct Options: "), n, F.lit("  (multiple correct)")), True))
-        .otherwise(out(F.concat(F.lit("Answer: "), s), False))
+        F.when(s == "", out(False, F.lit(NOT_FOUND)))
+        .when((kind == "single") & s.rlike(r"^[1-4]\z"), out(True, F.lit("Correct Option: "), s))
+        .when(F.size(pieces) == 0, out(True, F.lit("Answer key (raw): "), s))
+        .when(F.size(hits) == 0, out(True, F.lit("Answer key references unknown Option ID: "), F.array_join(pieces, ", "), F.lit(" (raw: "), s, F.lit(")")))
+        .when(F.size(hits) == 1, out(True, F.lit("Correct Option: "), shown))
+        .otherwise(out(True, F.lit("Correct Options: "), shown, F.lit("  ("), label, F.lit(")")))
     )
 
 

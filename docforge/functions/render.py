@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from docforge.functions import rules
 from docforge.functions.text import strip
 
-TYPST = r"([\\#$*_`<>@\[\]])"
-
-# Words that start with a capital and name nothing.
-COMMON_CAPITALS = ["The", "This", "That", "These", "Those", "It", "In", "On", "At", "For", "And", "But", "Or", "If", "When", "While", "As", "An", "A", "To", "Of", "With", "By", "From", "Is", "Are"]
-UNITS = r"(?i)\b\d+(?:\.\d+)?\s*(mg|mcg|g|kg|ml|l|kcal|cal|iu|mmol|meq|%)"
+# Characters of the markup, words in capitals that name nothing, and the forms of facts.
+TYPST = r"([\\#*_=\[\]$<>])"
+COMMON_CAPITALS = [
+    "I", "The", "A", "An", "In", "Of", "And", "Or", "With", "For", "To", "As", "At", "By", "From", "On", "Its", "Be", "Is", "Are", "Was", "Were", "Has", "Have",
+    "Had", "This", "That", "These", "Those", "Such", "Each", "Both", "All", "Any", "Some", "No", "Not", "But", "If", "So", "Yet",
+]
+NUMBER = r"\b\d+(?:[.,]\d+)*\b"
+TERM = r"\b(?:[A-Z][a-z]{2,}(?:[- ][A-Z][a-z]{2,})*|[A-Z]{2,})\b"
+UNIT = r"(?i)\b(?:mg|g|kg|mcg|ug|iu|mmol|mol|meq|mosm|kcal|cal|ml|dl|l|mg/dl|g/dl|mmhg|mmol/l|meq/l|iu/l|u/l|ng/ml|pg/ml|cm|mm|m|bmi)\b"
 
 
 def escape_typst(text: Column, legacy_double: bool = False) -> Column:
@@ -54,7 +58,7 @@ def item_type(text: Column, size: Column, body: Column) -> Column:
 
 def heading_confidence(text: Column, size: Column, median: Column, y_share: Column) -> Column:
     """0.95 for explicit chapter words, 0.70 for large text in the upper part of a page; null for what is no heading."""
-    return F.when(text.rlike(rules.H1), 0.95).when((y_share < 0.4) & (size / F.nullif(median, F.lit(0.0)) >= 1.3), 0.70)
+    return F.when(text.rlike(rules.CHAPTER), 0.95).when((y_share < 0.4) & (size / F.nullif(median, F.lit(0.0)) >= 1.3), 0.70)
 
 
 def upper_headings(text: Column) -> Column:
@@ -63,14 +67,14 @@ def upper_headings(text: Column) -> Column:
 
 def heading_title(text: Column) -> Column:
     """The first CHAPTER, else PART, else SECTION line; else a first line of under 120 characters; else null."""
-    found = [F.nullif(F.trim(F.regexp_extract(text, rf"(?im)^\s*({word}\s+[^\n]*)$", 1)), F.lit("")) for word in ("CHAPTER", "PART", "SECTION")]
+    found = [F.nullif(F.trim(F.regexp_extract(text, rf"(?im)^({word}[^\n]*)$", 1)), F.lit("")) for word in (r"CHAPTER\s+\d+", r"PART\s+[IVXLCDM\d]+", r"SECTION\s+\d+")]
     first = F.trim(F.split(F.trim(text), "\n")[0])
     return F.coalesce(*found, F.when((F.length(first) < 120) & (first != ""), first))
 
 
 def chapter_banner(number: Column, title: Column) -> Column:
     bar = "=" * 60
-    return F.concat(F.lit(f"\n{bar}\nCHAPTER "), number.cast("string"), F.lit(": "), title, F.lit(f"\n{bar}\n"))
+    return F.concat(F.lit(f"\n{bar}\nCHAPTER "), number.cast("string"), F.coalesce(F.concat(F.lit(": "), title), F.lit("")), F.lit(f"\n{bar}\n"))
 
 
 def front_matter(section: Column, title: Column) -> Column:
@@ -89,15 +93,11 @@ def strip_bullet(text: Column) -> Column:
     return F.regexp_replace(text, r"^[-*•]\s*", "")
 
 
-def numbers_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1))
-
-
 def keeps_facts(old: Column, new: Column) -> Column:
     """Whether each number, unit (whatever its case) and capitalised term of a text occurs in its rewriting, as a substring."""
-    units = F.transform(F.regexp_extract_all(old, F.lit(UNITS), F.lit(1)), F.lower)
-    terms = F.filter(F.regexp_extract_all(old, F.lit(r"\b([A-Z][a-zA-Z]+)\b"), F.lit(1)), lambda t: ~t.isin(COMMON_CAPITALS))
-    return F.forall(numbers_of(old), lambda x: F.contains(new, x)) & F.forall(units, lambda x: F.contains(F.lower(new), x)) & F.forall(terms, lambda x: F.contains(new, x))
+    found = lambda p: F.regexp_extract_all(old, F.lit(f"({p})" if not p.startswith("(?i)") else f"(?i)({p[4:]})"), F.lit(1))
+    terms = F.filter(found(TERM), lambda t: ~t.isin(COMMON_CAPITALS))
+    return (F.trim(new) != "") & F.forall(found(NUMBER), lambda x: F.contains(new, x)) & F.forall(found(UNIT), lambda x: F.contains(F.lower(new), F.lower(x))) & F.forall(terms, lambda x: F.contains(new, x))
 
 
 def keeps_table(old: Column, new: Column) -> Column:

@@ -73,7 +73,7 @@ LONE_NUMBER = r"^\s*\d{1,2}\.\s*$"
 CASE_HEADER = r'(?i)^"Case\s+\d+\s*-.*"\??\s*$'
 LIST_ITEM = r"^\s*(?:[-–—•●▪▫‣·]\s+|[a-zA-Z0-9]{1,3}[.)]\s+)"
 HEADINGS = [r"(?i)^\s*(?:SECTION|CHAPTER)\s+\d+[:\-\s]", r"^\s*\d+(\.\d+)+\s+.+$", r"^\s*[A-Z][A-Z0-9 ,&/\-()]{8,}$"]
-ALL_CAPS = r"^[A-Z0-9][A-Z0-9 ,&/\-():.']{5,79}$"
+ALL_CAPS = r"^[A-Z][A-Z0-9 ,&/()\-]{5,79}$"
 TABLE_HEADERS = [r"condition\s*/\s*key nutrition focus\s*/\s*supportive nutrients", r"foods to include\s*/\s*foods to avoid\s*/\s*clinical tips"]
 SPEAKER = r"(?i)^\s*(?:USER|GPT|ChatGPT|Assistant|You|Human|AI|System)\s*[:\-]\s*"
 OPENER = r"(?i)^\s*(?:(?:Sure|Absolutely|Great|Perfect|Excellent|Of course|Certainly|Awesome)[,!.]?\s|Here'?s\s|Let me\s|Let's\s|I'll\s|I will\s|I've\s|Would you\s|Shall I\s|No worries|Now let'?s\s|Now I'll\s|Moving on\s|Moving forward\s|Below is\s|As promised|As I mentioned|As we discussed)"
@@ -81,7 +81,9 @@ H1 = r"(?i)^\s*(?:chapter\s+\d+|module\s+\d+|part\s+[IVXLCDM\d]+|unit\s+\d+|sect
 H2 = r"^\s*\d{1,2}[.)]\s+[A-Z][a-zA-Z]"
 H3 = r"^\s*(?:\d{1,2}\.\d{1,2}\.?\s+[A-Z]|[a-z]\)\s+[A-Z])"
 FENCE = r"^\s*```"
-APPENDIX = r"(?im)^\s*(?:appendix|appendices|annexure|references|glossary|bibliography)\b"
+CHAPTER = r"(?i)^\s*(?:(?:CHAPTER|SECTION|MODULE|UNIT)\s+\d+|PART\s+(?:[IVXLCDM]+|\d+)\b)"
+APPENDIX = r"(?im)^(?:APPENDIX\s*[A-Z]?[.:]?\s*.*|(?:BIBLIOGRAPHY|REFERENCES|INDEX|GLOSSARY|NOTES)[.:]?\s*)$"
+APPENDIX_HEADS = ["GLOSSARY", "HOUSEHOLD MEASURES", "CONVERSION CHART", "KCAL EQUIVALENCE", "REFERENCE INDEX"]
 
 # Exam papers and keys.
 SECTION_HINTS = ["PART -", "PART-", "SECTION ID", "SECTION NUMBER", "GROUP NUMBER", "SUB-SECTION"]
@@ -92,6 +94,7 @@ EXAM_NOISE = [
     "Control Enable", "Time interval to replay", "Allow Volume Control", "Correct Marks", "Wrong Marks", "Notations :", "Options shown in green", "Options shown in red",
 ]
 PAGE_CHROME = r"(?i)^(file:///|https?://|\d{1,2}/\d{1,2}/\d{2,4}[,\s]|PREVIEW\s+QUESTION\s+BANK|Module\s+Name\s*:|Exam\s+Date\s*:|Page\s+\d+\s*(of\s*\d+)?$)"
+PRINTED_CHROME = r"(?i)^(\s*\d+\s*\)\s*$|Topic\s*[‐\-:]\s*\S.*$|CSIR\s+[A-Z\s]+SHIFT.*$|Page\s+\d+\s*(of\s*\d+)?$)"
 KEY_NOISE = ["NATIONAL TESTING AGENCY", "Question ID", "Correct Option No.", "CORRECT ANSWER", "QUESTION ID", "Exam Date", "Exam Shift", "FINAL ANSWER KEY", "CSIR-UGC", "Page:", "of 6", "of 5", "of 4"]
 
 
@@ -191,8 +194,9 @@ def is_key_noise(token: Column) -> Column:
     return contains_any(F.upper(token), [n.upper() for n in KEY_NOISE])
 
 
-def is_page_chrome(text: Column) -> Column:
-    return text.rlike(PAGE_CHROME)
+def is_page_chrome(text: Column, printed: bool = False) -> Column:
+    """printed: the furniture of papers printed as text."""
+    return text.rlike(PRINTED_CHROME if printed else PAGE_CHROME)
 
 
 def is_pipe_row(line: Column) -> Column:
@@ -201,9 +205,16 @@ def is_pipe_row(line: Column) -> Column:
 
 
 def is_appendix(text: Column) -> Column:
+    """A chunk that holds an appendix's heading."""
     return text.rlike(APPENDIX)
 
 
+def begins_appendix(line: Column, anywhere: bool = False) -> Column:
+    """A line from which on a book is appendix: one of the heads in front, or as whole words anywhere in it."""
+    heads = "|".join(APPENDIX_HEADS)
+    return line.rlike(rf"(?i)\b(?:{heads})\b" if anywhere else rf"(?i)^\s*(?:{heads})")
+
+
 def tag_of(line: Column) -> Column:
     """Tag of one line outside code: speaker labels and openers are body before any heading rule is asked."""
     s = F.trim(line)

@@ -14,6 +14,11 @@ EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 LABELLED_PHONE = r"(?i)(?:ph\.?\s*(?:no\.?|num\.?|number)?\s*[:;]?\s*|phone\s*[:;]\s*|mobile\s*[:;]\s*|contact\s*[:;]\s*)[+]?\d[\d\s\-]{7,14}"
 TEN_DIGITS = r"(?<![0-9])[0-9]{10}(?![0-9])"
 ZERO_WIDTH = "\u00ad\u200b\u200c\u200d\ufeff"
+# Fixed value: where a paragraph of a finished book is cut into fragments.
+FRAGMENT = (
+    r"\n+|(?<=[.!?])\s+|(?=\bSECTION\s+\d+)|(?=\bDISORDER\s+\d+)|(?=\bMODULE\s+\d+)|(?=\b(?:Preamble|Overview|Purpose|Theme|Sample Menu|Case Study|Clinical Insight"
+    r"|Counseling|Dietary Guidelines|Nutritional Goals|Memory Code|Practical Revision Notes|Author's Note|From the Desk|Early Morning|Breakfast|Mid-Morning|Lunch|Snack|Dinner|Bedtime)\b)"
+)
 HINDI = r"\x{0900}-\x{097F}"
 
 
@@ -139,8 +144,8 @@ def sql_sentences(e: str) -> str:
 
 
 def fragments(text: Column) -> Column:
-    """Pieces before chapter words, numbered points and bullets, none of them consumed."""
-    return F.split(text, r"(?=\b(?:Chapter|Module|Section)\s+\d)|(?=\s\d{1,2}\.\s+[A-Z])|(?=\s[•\-]\s)")
+    """Pieces between lines, behind sentences, and before structure words, which stay with what they head."""
+    return F.split(text, FRAGMENT)
 
 
 def basename(path: Column) -> Column:

@@ -53,9 +53,9 @@ def export_plan(sections: DataFrame) -> DataFrame:
     return rows.withColumn("page_break", F.coalesce(F.col("chapter_no") > 1, F.lit(True)))
 
 
-def split_at_appendix(lines: DataFrame, by: list[str], order: list[str], line: str = "line") -> DataFrame:
-    """in_appendix of each line: from the first appendix heading on, in the part or in the whole document, as by says."""
-    return latch(lines, by, order, rules.is_appendix(F.col(line)), "in_appendix")
+def split_at_appendix(lines: DataFrame, by: list[str], order: list[str], line: str = "line", anywhere: bool = False) -> DataFrame:
+    """in_appendix of each line: from the first appendix head on, in the part or in the whole document, as by says."""
+    return latch(lines, by, order, rules.begins_appendix(F.col(line), anywhere), "in_appendix")
 
 
 def profile_update(profiles: DataFrame, changes: DataFrame, defaults: dict[str, object]) -> DataFrame:

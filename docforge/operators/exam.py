@@ -15,8 +15,9 @@ from docforge.operators.sequence import sessionise
 QUESTION_HEADER = r"(?i)Question\s+Number\s*:\s*(\d+)"
 QUESTION_ID = r"(?i)Question\s+Id\s*:\s*(\d+)"
 OBJECTIVE = r"(?i)Objective\s+Question\b"
-QUESTION_TAG = r"\[Question ID = (\d+)\]"
-OPTION_TAG = r"\[Option ID = (\d+)\]"
+QUESTION_TAG = r"(?i)\[Question\s*ID\s*=\s*(\d+)\]"
+DESCRIPTION_TAG = r"(?i)\[Question\s*Description\s*=\s*[^\]]+\]"
+OPTION_TAG = r"(?i)\[Option\s*ID\s*=\s*(\d+)\]"
 SERIAL_AND_ID, ID_AND_MARKS, ID_ONLY, SERIAL_ONLY = r"^(\d{1,4})\s+(\d{5,7})(?:\s|$)", r"^(\d{5,7})\s+\d+(?:\.\d+)?\s*$", r"^(\d{5,7})$", r"^(\d{1,4})$"
 
 
@@ -63,7 +64,7 @@ def split_questions(texts: DataFrame, doc: str = "doc_id", text: str = "text") -
     is_q, is_o = F.col("piece").rlike(QUESTION_TAG), F.col("piece").rlike(OPTION_TAG)
     rows = rows.where(is_q | is_o)
     rows = sessionise(rows, [doc], ["n"], is_q, "q")
-    stem = F.max(F.when(is_q, strip(F.regexp_replace("piece", QUESTION_TAG, ""))))
+    stem = F.max(F.when(is_q, strip(F.regexp_replace(F.regexp_replace("piece", QUESTION_TAG, ""), DESCRIPTION_TAG, ""))))
     options = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(is_o, F.struct("n", "piece")))), lambda x: x["piece"]), "")
     made = rows.where("q > 0").groupBy(doc, "q").agg(F.max(F.when(is_q, F.regexp_extract("piece", QUESTION_TAG, 1))).alias("q_id"), stem.alias("stem"), options.alias("option_text"))
     return made.where((F.col("stem") != "") | (F.col("option_text") != "")).withColumnRenamed("q", "q_num")
@@ -76,7 +77,7 @@ def options_of(text: Column) -> Column:
         parts,
         lambda p: F.struct(
             F.regexp_extract(p, r"^\s*([1-9])", 1).cast("int").alias("number"),
-            strip(strip_script(F.regexp_replace(F.regexp_replace(p, r"^\s*[1-9]\s*\.\s*", ""), r"\[Option ID = \d+\]", ""))).alias("text"),
+            strip(strip_script(F.regexp_replace(F.regexp_replace(p, r"^\s*[1-9]\s*\.\s*", ""), OPTION_TAG, ""))).alias("text"),
             F.nullif(F.regexp_extract(p, OPTION_TAG, 1), F.lit("")).alias("option_id"),
         ),
     )
@@ -89,7 +90,7 @@ def detect_format(pages: DataFrame) -> DataFrame:
     early = lambda p, k: F.coalesce(F.sum(F.when(F.col("page_num") <= k, F.regexp_count("text", F.lit(p)))), F.lit(0))
     chars = F.coalesce(F.sum(F.when(F.col("page_num") <= 8, F.length(F.trim("text")))), F.lit(0))
     images = F.coalesce(F.sum(F.when(F.col("page_num") <= 8, F.col("n_images"))), F.lit(0))
-    stats = pages.groupBy("doc_id").agg(n(OBJECTIVE).alias("objective"), n(QUESTION_HEADER).alias("standard"), early(r"\[Question ID = \d+\]", 5).alias("q"), early(r"\[Option ID = \d+\]", 5).alias("o"), chars.alias("chars"), images.alias("images"))
+    stats = pages.groupBy("doc_id").agg(n(OBJECTIVE).alias("objective"), n(QUESTION_HEADER).alias("standard"), early(QUESTION_TAG, 5).alias("q"), early(OPTION_TAG, 5).alias("o"), chars.alias("chars"), images.alias("images"))
     return stats.select("doc_id", F.when((F.col("chars") == 0) & (F.col("images") > 0), "scan").when((F.col("q") >= 3) & (F.col("o") >= 6), "text").when(F.col("objective") > F.col("standard"), "objective").otherwise("standard").alias("format"))
 
 

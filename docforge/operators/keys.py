@@ -11,9 +11,10 @@ from docforge.functions.text import strip
 from docforge.operators.sequence import carry_forward, sessionise
 
 # Headers of subjects, by how surely they are one, and forms of ids.
-SUBJECT_CODE = r"\((\d{3})\)\s*([A-Z][A-Z &\-]+)"
-SUBJECT_ABBREVIATED = r"^([A-Z]{2,5})\s+-\s+([A-Z][A-Za-z &\-]+)$"
-SUBJECT_NUMBERED = r"^(\d{3})\s*-\s*([A-Z][A-Za-z &\-]+)$"
+SUBJECT_CODE = r"(?i)Subject\s*:\s*\(\s*(\d+)\s*\)\s*([A-Z][A-Z &,/\-]+?)(?:\s{2,}|\n|CSIR|FINAL|QUESTION\s*ID|$)"
+SUBJECT_ABBREVIATED = r"(?i)Subject\s*:\s*\n?\s*([A-Z]{2,4})\s*[-‐–—]\s*([A-Z][A-Z &,/\-]+?)(?:\s{2,}|\n|$)"
+SUBJECT_NUMBERED = r"(?i)Subject\s*:\s*\n?\s*(\d{3})\s*[-‐–—]\s*([A-Z][A-Z0-9 &,/\-]+?)(?:\s{2,}|\n|$)"
+SUBJECT_ALONE = r"(?i)Subject\s*:\s*([A-Z][A-Z][A-Z &,/\-]+?)(?:\s{2,}|\n|$)"
 SUBJECT_NAMED = r"(?m)Subject\s*:\s*([A-Za-z][A-Za-z &\-]+?)\s*$"
 LONG_ID, SHORT_ID, ANY_ID = r"^\d{6,}\z", r"^\*?(\d{1,4})\z", r"^\*?(\d{1,7})\z"
 
@@ -26,7 +27,7 @@ def tokens(text: Column) -> Column:
 def subject_of(text: Column) -> Column:
     """struct(code, name, short) of a page's header, null if it has none; headers without "(NNN)" come with short ids."""
     pick = lambda p, code, name, short: F.when(text.rlike(p), F.struct((F.regexp_extract(text, p, code) if code else F.lit("")).alias("code"), strip(F.regexp_extract(text, p, name)).alias("name"), F.lit(short).alias("short")))
-    return F.coalesce(pick(SUBJECT_CODE, 1, 2, False), pick(f"(?m){SUBJECT_ABBREVIATED}", 1, 2, True), pick(f"(?m){SUBJECT_NUMBERED}", 1, 2, True), pick(SUBJECT_NAMED, 0, 1, True))
+    return F.coalesce(pick(SUBJECT_CODE, 1, 2, False), pick(SUBJECT_ABBREVIATED, 1, 2, True), pick(SUBJECT_NUMBERED, 1, 2, True), pick(SUBJECT_ALONE, 0, 1, True), pick(SUBJECT_NAMED, 0, 1, True))
 
 
 def with_subjects(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -38,7 +39,7 @@ def pair_long_ids(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, subject, question_id, raw): each long id and the next token that is no page chrome; an id that follows an id
     directly leaves the first without an answer (raw null). An answer that ends in a comma goes on with the next tokens."""
     rows = with_subjects(pages, doc).select(doc, "page_num", "subject", F.posexplode(tokens(F.col("text"))).alias("n", "token"))
-    rows = rows.where(~rules.is_key_noise(F.col("token")) & ~F.col("token").rlike(SUBJECT_CODE))
+    rows = rows.where(~rules.is_key_noise(F.col("token")) & ~F.col("token").rlike(r"(?i)^Subject\s*:"))
     w = Window.partitionBy(doc, "page_num").orderBy("n")
     rows = rows.withColumn("is_id", F.col("token").rlike(LONG_ID))
     rows = sessionise(rows, [doc, "page_num"], ["n"], F.col("is_id"), "q").where("q > 0")

@@ -102,11 +102,12 @@ def drop_chain(docs: DataFrame, stages: list[dict[str, str | None]], text: str =
 
 
 # Structure lines of finished books.
-STRUCTURE = r"(?i)\b(?:SECTION|MODULE|PART|UNIT)\s+[IVXLC\d]+\b"
+STRUCTURE = r"(?i)\b(?:SECTION|MODULE|PART|FOUNDATION MODULE|THERAPEUTIC MODULE|PRACTICE MODULE|PROFESSIONAL TOOLKIT)\b"
+ORPHAN_NUMBER = r"^\d+[.)]?$"
 
 
 def drop_structure_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumn(text, F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~x.rlike(STRUCTURE) & ~x.rlike(rules.LONE_NUMBER)), "\n"))
+    return docs.withColumn(text, F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~x.rlike(STRUCTURE) & ~F.trim(x).rlike(ORPHAN_NUMBER)), "\n"))
 
 
 def document_lines(docs: DataFrame) -> DataFrame:

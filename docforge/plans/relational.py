@@ -55,7 +55,7 @@ def q16(spark, sf_dir):
     "q17_answer_classification",
     f"""WITH r AS (SELECT p_partkey, {RAW_ANSWER} AS raw FROM part),
     k AS (SELECT raw, CASE raw WHEN '1' THEN 'single' WHEN '4' THEN 'single' WHEN '3,1' THEN 'multi' WHEN '2 or 4' THEN 'or' WHEN 'Drop' THEN 'drop' ELSE 'unknown' END AS kind,
-                 CASE raw WHEN '3,1' THEN 'Correct Options: 1, 3  (multiple correct)' WHEN '2 or 4' THEN 'Correct Option: 2 or 4  (either accepted)' WHEN 'Drop' THEN 'Question Dropped' WHEN '?' THEN 'Answer: ?' ELSE 'Correct Option: ' || raw END AS shown FROM r)
+                 CASE raw WHEN '3,1' THEN 'Correct Options: 1, 3  (multiple correct)' WHEN '2 or 4' THEN 'Correct Option: 2 or 4  (either accepted)' WHEN 'Drop' THEN '{A.DROPPED}' WHEN '?' THEN 'Answer (raw): ?' ELSE 'Correct Option: ' || raw END AS shown FROM r)
     SELECT kind, shown, count(*) AS n FROM k GROUP BY 1, 2""",
 )
 def q17(spark, sf_dir):
@@ -124,7 +124,7 @@ def q21(spark, sf_dir):
 @query(
     "q22_option_id_resolution",
     """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Correct Option: 3' WHEN 1 THEN 'Correct Options: 1, 4  (multiple correct)' WHEN 2 THEN 'Correct Option: 2'
-       ELSE 'Answer key lists Option ID 9, which this question does not have' END AS answer_text, p_partkey % 4 <> 3 AS found FROM part""",
+       ELSE 'Answer key references unknown Option ID: 9 (raw: 9)' END AS answer_text, TRUE AS found FROM part""",
 )
 def q22(spark, sf_dir):
     """Option ids of each part's key looked up among its own options."""
@@ -132,7 +132,7 @@ def q22(spark, sf_dir):
     options = F.array(*[F.struct(F.lit(n).alias("number"), (base + n).cast("string").alias("option_id")) for n in (1, 2, 3, 4)])
     s = lambda n: (base + n).cast("string")
     raw = F.when(F.col("p_partkey") % 4 == 0, s(3)).when(F.col("p_partkey") % 4 == 1, F.concat(s(4), F.lit(", "), s(1))).when(F.col("p_partkey") % 4 == 2, F.lit("2")).otherwise(F.lit("9"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), F.lit("multi").alias("kind"), options.alias("options"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), F.when(F.col("p_partkey") % 4 == 1, "multi").otherwise("single").alias("kind"), options.alias("options"))
     return exam.resolve_answers(rows).select("p_partkey", "answer_text", "found")
 
 
@@ -208,7 +208,7 @@ def _spans(spark, sf_dir):
 SQL_BOUNDS = f"""{LINES_SQL}, spans AS ({SPANS}), last AS (SELECT doc_id, max(page_num) AS last, min(page_num) AS first FROM spans GROUP BY 1),
     m AS (SELECT s.doc_id, list_sort(list(size))[count(*) // 2 + 1] AS median FROM spans s JOIN last l ON l.doc_id = s.doc_id
           WHERE (page_num - 1) % greatest(last // 20, 1) = 0 AND length(trim(text)) > 3 AND size > 0 GROUP BY 1),
-    k AS (SELECT s.*, CASE WHEN regexp_matches(text, {q(rules.H1)}) THEN 0.95 WHEN y0 / 842 < 0.4 AND size / coalesce(median, 12.0) >= 1.3 THEN 0.70 END AS confidence FROM spans s LEFT JOIN m ON m.doc_id = s.doc_id),
+    k AS (SELECT s.*, CASE WHEN regexp_matches(text, {q(rules.CHAPTER)}) THEN 0.95 WHEN y0 / 842 < 0.4 AND size / coalesce(median, 12.0) >= 1.3 THEN 0.70 END AS confidence FROM spans s LEFT JOIN m ON m.doc_id = s.doc_id),
     b AS (SELECT doc_id, page_num AS page, trim(text) AS title, CAST(confidence AS DOUBLE) AS confidence, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY confidence DESC, seq) AS rn FROM k WHERE confidence >= 0.6)"""
 
 

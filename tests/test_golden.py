@@ -82,7 +82,7 @@ def test_show(spark):
     assert one(spark, A.show(A.classify(F.col("s"))), s="3 or 4") == "Correct Option: 3 or 4  (either accepted)"
 
 
-@pytest.mark.parametrize(("raw", "kind", "text", "found"), [("503", "single", "Correct Option: 3", True), ("501, 504", "multi", "Correct Options: 1, 4  (multiple correct)", True), ("2", "single", "Correct Option: 2", True), ("999", "single", "Answer key lists Option ID 999, which this question does not have", False), ("", "single", "Answer not found in key", False)])
+@pytest.mark.parametrize(("raw", "kind", "text", "found"), [("503", "single", "Correct Option: 3", True), ("501, 504", "multi", "Correct Options: 1, 4  (multiple correct)", True), ("2", "single", "Correct Option: 2", True), ("999", "single", "Answer key references unknown Option ID: 999 (raw: 999)", True), ("501 or 9", "or", "Correct Option: 1", True), ("", "single", "Answer key not found for this question", False)])
 def test_resolve(spark, raw, kind, text, found):
     options = F.array(*[F.struct(F.lit(i).alias("number"), F.lit(str(500 + i)).alias("option_id")) for i in (1, 2, 3, 4)])
     r = one(spark, A.resolve(F.col("raw"), F.col("kind"), options), raw=raw, kind=kind)
@@ -294,7 +294,7 @@ def test_sql_functions(spark):
 
 
 def test_short_ids_behind_a_named_subject(spark):
-    pages = spark.createDataFrame([(1, 1, "LIFE - Life Science\nQuestion ID\n101\n503\n102\n501, 504,\n103\n*")], "doc_id int, page_num int, text string")
+    pages = spark.createDataFrame([(1, 1, "Subject :\nLIFE - Life Science\nQuestion ID\n101\n503\n102\n501, 504,\n103\n*")], "doc_id int, page_num int, text string")
     got = {r.question_id: (r.kind, list(r.options)) for r in keys.parse(pages).collect()}
     assert got == {"101": ("single", [503]), "102": ("multi", [501, 504]), "103": ("drop", [])}
 
