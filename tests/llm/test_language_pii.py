@@ -174,3 +174,19 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {i: r.text for i, r in seen["pii"].items()} == {i: texts[i] for i in seen["decontamination"]}
     assert {i: list(r.ids) for i, r in seen["bpe"].items()} == {i: library(BYTE_BPE).encode(texts[i], add_special_tokens=False).ids for i in seen["pii"]}
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == set(seen["bpe"])
+
+
+def test_stages_stand_awkward_and_empty_tables(spark, tmp_path):
+    bench = spark.createDataFrame([(1, prose(991, 30)), (None, None)], "item_id bigint, text string")
+    rows = [*AWKWARD, (None, None, None), (None, "no id here at all", "en"), *((2000 + i, t, g) for i, t, g in languages(30))]
+    for name, df in (("awkward", documents(spark, rows)), ("empty", documents(spark, rows).where("1 = 0"))):
+        sf = save(spark, tmp_path / name, documents=df, benchmark=bench)
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for k, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, sf).write.parquet(f"{sf}/out{k}")
+            docs = spark.read.parquet(f"{sf}/out{k}")
+            if stage_name == "simhash_dedup" and name == "awkward":
+                left = sorted(str(r.doc_id) for r in docs.collect())
+                assert left.count("4") == 1 and left.count("None") == 1 and "1" not in left and "6" in left
+        assert docs.columns == ["doc_id", "ids", "n_tokens"]
+        assert (docs.count() == 0) == (name == "empty")
