@@ -219,7 +219,7 @@ def leaks_of(df: DataFrame, items: list[tuple[object, str]], kind: str, text: st
             found = [[(i, s, a) for j, s, a in own.leaks(t or "") for i in own.ids[j]] for t in batch]
             yield pd.DataFrame({c: [[x[k] for x in f] for f in found] for k, c in enumerate(("item_id", "similarity", "start"))})
 
-    return find(F.col(text))
+    return find.asNondeterministic()(F.col(text))  # else a filter on its result runs it once more
 
 
 def slices_of(benchmark: DataFrame, item_id: str, text: str, most: int = SLICE_BYTES) -> Iterator[list[tuple[object, str]]]:
