@@ -83,6 +83,17 @@ def options_of(text: Column) -> Column:
     )
 
 
+def paper_format(blocks: DataFrame, doc: str = "doc_id", enough: int = 3) -> DataFrame:
+    """(doc, format) by the block where one of the two kinds of header was seen often enough, or the last: objective if
+    its marker leads there, else standard."""
+    w = Window.partitionBy(doc).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = lambda p: F.sum(F.coalesce(F.col("text").rlike(p), F.lit(False)).cast("int")).over(w)
+    counted = blocks.where("kind = 'text'").select(doc, "seq", n(QUESTION_HEADER).alias("standard"), n(OBJECTIVE).alias("objective"))
+    reached = (F.col("standard") >= enough) | (F.col("objective") >= enough)
+    at = F.struct(F.when(reached, 0).otherwise(1), F.when(reached, F.col("seq")).otherwise(-F.col("seq")))
+    return counted.groupBy(doc).agg(F.min_by(F.col("objective") > F.col("standard"), at).alias("o")).select(doc, F.when(F.col("o"), "objective").otherwise("standard").alias("format"))
+
+
 def detect_format(pages: DataFrame) -> DataFrame:
     """(doc_id, format): objective if its marker is seen more often than question headers on the pages, else standard;
     text if the first five pages hold three question tags and six option tags; scan if the first eight have no text but images."""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docforge.functions import answers as A
 from docforge.functions import rules
 from docforge.functions.text import strip
-from docforge.operators.sequence import carry_forward, sessionise
+from docforge.operators.sequence import carry_forward, in_turn
 
 # Headers of subjects, by how surely they are one, and forms of ids.
 SUBJECT_CODE = r"(?i)Subject\s*:\s*\(\s*(\d+)\s*\)\s*([A-Z][A-Z &,/\-]+?)(?:\s{2,}|\n|CSIR|FINAL|QUESTION\s*ID|$)"
@@ -16,7 +18,9 @@ SUBJECT_ABBREVIATED = r"(?i)Subject\s*:\s*\n?\s*([A-Z]{2,4})\s*[-‐–—]\s*([
 SUBJECT_NUMBERED = r"(?i)Subject\s*:\s*\n?\s*(\d{3})\s*[-‐–—]\s*([A-Z][A-Z0-9 &,/\-]+?)(?:\s{2,}|\n|$)"
 SUBJECT_ALONE = r"(?i)Subject\s*:\s*([A-Z][A-Z][A-Z &,/\-]+?)(?:\s{2,}|\n|$)"
 SUBJECT_NAMED = r"(?m)Subject\s*:\s*([A-Za-z][A-Za-z &\-]+?)\s*$"
-LONG_ID, SHORT_ID, ANY_ID = r"^\d{6,}\z", r"^\*?(\d{1,4})\z", r"^\*?(\d{1,7})\z"
+LONG_ID, SHORT_ID = r"^\d{6,}\z", r"^\*?(\d{1,4})\z"
+LISTED_ANSWER = r"(?i)^(?:\d{1,5}(?:\s*,\s*\d{1,5})*|Dropped|\d{1,5}\(English\)/Dropped\(Hindi\)|Dropped\(English\)/\d{1,5}\(Hindi\))\z"
+COLUMN_HEADERS = ["Option ID", "OPTION ID", "Correct Option ID", "CORRECT OPTION ID", "Key", "KEY", "Correct Key", "CORRECT KEY"]
 
 
 def tokens(text: Column) -> Column:
@@ -35,33 +39,88 @@ def with_subjects(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     return carry_forward(pages, [doc], ["page_num"], subject_of(F.col("text")), "subject")
 
 
+def _long_id_roles():
+    """Of each token in turn: -1 for nothing, else twice its entry's number, one more for an answer's token."""
+    entry, state = -1, "id"
+
+    def step(token: str, is_id: bool, option_page: bool) -> int:
+        nonlocal entry, state
+        if state == "more" and not re.fullmatch(r"[0-9]{6,},*", token):
+            state = "id"
+        if state == "more":
+            state = "more" if token.endswith(",") else "id"
+            return 2 * entry + 1
+        if is_id and (state == "id" or not option_page):
+            entry, state = entry + 1, "answer"
+            return 2 * entry
+        if state == "answer":
+            state = "more" if option_page and re.fullmatch(r"[0-9]{6,},", token) else "id"
+            return 2 * entry + 1
+        return -1
+
+    return step
+
+
 def pair_long_ids(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, subject, question_id, raw): each long id and the next token that is no page chrome; an id that follows an id
-    directly leaves the first without an answer (raw null). An answer that ends in a comma goes on with the next tokens."""
-    rows = with_subjects(pages, doc).select(doc, "page_num", "subject", F.posexplode(tokens(F.col("text"))).alias("n", "token"))
-    rows = rows.where(~rules.is_key_noise(F.col("token")) & ~F.col("token").rlike(r"(?i)^Subject\s*:"))
-    w = Window.partitionBy(doc, "page_num").orderBy("n")
-    rows = rows.withColumn("is_id", F.col("token").rlike(LONG_ID))
-    rows = sessionise(rows, [doc, "page_num"], ["n"], F.col("is_id"), "q").where("q > 0")
-    goes_on = F.lag("token").over(w).endswith(",") | F.lag("is_id").over(w)
-    rows = rows.withColumn("part", F.when(F.col("is_id"), False).otherwise(goes_on))
-    cut = F.max(~F.col("is_id") & ~F.col("part")).over(Window.partitionBy(doc, "page_num", "q").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("cut", cut)
-    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_id") & ~F.col("cut"), F.struct("n", "token")))), lambda x: x["token"]), " ")
-    made = rows.groupBy(doc, "page_num", "q").agg(F.first("subject").alias("subject"), F.max(F.when(F.col("is_id"), F.col("token"))).alias("question_id"), raw.alias("raw"))
-    return made.select(doc, "page_num", F.col("q").alias("entry_no"), "subject", "question_id", F.nullif("raw", F.lit("")).alias("raw"))
-
-
-def pair_lines(pages: DataFrame, doc: str = "doc_id", id_form: str = SHORT_ID) -> DataFrame:
-    """(doc, subject, question_id, raw) of lines that alternate between id and answer. Pairs are consumed from the first
-    id on: in each unbroken run of lines with the form of an id or an answer, odd ones are ids."""
-    rows = with_subjects(pages, doc).where("subject IS NOT NULL").select(doc, "page_num", "subject", F.posexplode(F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")).alias("n", "line"))
-    answer = r"(?i)^(?:\d{1,5}(?:\s*,\s*\d{1,5})*,?|\d{1,5}\s+or\s+\d{1,5}|Drop(?:ped)?|\d{1,5}\*|\(\*\)|\d{1,5}\(English\)/Dropped\(Hindi\)|Dropped\(English\)/\d{1,5}\(Hindi\)|\*)\z"
-    rows = rows.withColumn("fits", F.col("line").rlike(id_form) | F.col("line").rlike(answer))
-    rows = sessionise(rows, [doc, "page_num"], ["n"], ~F.col("fits"), "run").where("fits")
-    w = Window.partitionBy(doc, "page_num", "run").orderBy("n")
-    rows = rows.withColumn("k", F.row_number().over(w)).withColumn("raw", F.lead("line").over(w))
-    return rows.where((F.col("k") % 2 == 1) & F.col("line").rlike(id_form)).select(doc, "page_num", F.col("n").alias("entry_no"), "subject", F.regexp_replace("line", r"^\*", "").alias("question_id"), "raw")
+    """(doc, page_num, entry_no, subject, question_id, answer): each long id and the next token that is no page chrome.
+
+    An id that another follows has no answer (null), but on pages whose answers are option ids, which look alike; there
+    an id that ends in a comma goes on with the next ones.
+    """
+    pages = with_subjects(pages, doc).withColumn("option_page", F.col("text").rlike("Correct Option ID|CORRECT OPTION ID"))
+    rows = pages.select(doc, "page_num", "subject", "option_page", F.posexplode(tokens(F.col("text"))).alias("n", "token"))
+    rows = rows.where(~rules.is_key_noise(F.col("token"))).withColumn("is_id", F.col("token").rlike(LONG_ID))
+    roles = in_turn(rows, [doc, "page_num"], "n", ["token", "is_id", "option_page"], _long_id_roles, "role", "int").where("role >= 0")
+    rows = rows.join(roles, [doc, "page_num", "n"]).withColumn("entry_no", F.floor(F.col("role") / 2)).withColumn("answers", F.col("role") % 2 == 1)
+    found = F.transform(F.array_sort(F.collect_list(F.when(F.col("answers"), F.struct("n", "token")))), lambda x: x["token"])
+    made = rows.groupBy(doc, "page_num", "entry_no").agg(F.first("subject").alias("subject"), F.max(F.when(~F.col("answers"), F.col("token"))).alias("question_id"), found.alias("found"), F.first("option_page").alias("option_page"))
+    ids = F.transform("found", lambda t: F.rtrim(F.regexp_replace(t, ",+$", "")))
+    option_ids = F.col("option_page") & (F.size("found") > 0) & F.forall("found", lambda t: t.rlike(r"^\d{6,},*\z"))
+    raw = F.array_join(ids, ", ")
+    kind = F.when((F.size("found") == 1) & ~F.contains(F.col("found")[0], F.lit(",")), "single").otherwise("multi")
+    by_option = F.struct(raw.alias("raw"), kind.alias("kind"), F.transform(ids, lambda t: t.cast("int")).alias("options"))
+    return made.select(doc, "page_num", "entry_no", "subject", "question_id", F.get("found", F.lit(0)).alias("raw"), F.when(option_ids, by_option).otherwise(A.classify(F.get("found", F.lit(0)))).alias("answer"))
+
+
+def _pairs():
+    """Whether a line is the first of a pair, when each pair takes two lines."""
+    taken = False
+
+    def step(fits: bool) -> bool:
+        nonlocal taken
+        taken = bool(fits) and not taken
+        return taken
+
+    return step
+
+
+def _pair(rows: DataFrame, doc: str, fits: Column) -> DataFrame:
+    following = Window.partitionBy(doc, "page_num").orderBy("n")
+    rows = rows.withColumn("raw", F.lead("line").over(following)).withColumn("fits", F.coalesce(fits, F.lit(False)))
+    first = in_turn(rows, [doc, "page_num"], "n", ["fits"], _pairs, "first", "boolean").where("first").select(doc, "page_num", "n")
+    return rows.join(first, [doc, "page_num", "n"]).select(doc, "page_num", F.col("n").cast("bigint").alias("entry_no"), "subject", F.regexp_replace("line", r"^\*", "").alias("question_id"), "raw")
+
+
+def _lines(pages: DataFrame, doc: str) -> DataFrame:
+    lines = F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")
+    return pages.where("subject IS NOT NULL").select(doc, "page_num", "subject", F.posexplode(lines).alias("n", "line"))
+
+
+def pair_lines(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, page_num, entry_no, subject, question_id, raw) of lines that are an id with an answer behind, two at a time;
+    pages that don't name their subject are left out."""
+    own = F.when(F.col("text").rlike(SUBJECT_NAMED), F.struct(F.upper(F.regexp_extract("text", SUBJECT_NAMED, 1)).alias("code"), F.regexp_extract("text", SUBJECT_NAMED, 1).alias("name"), F.lit(True).alias("short")))
+    return _pair(_lines(pages.withColumn("subject", own), doc), doc, F.col("line").rlike(SHORT_ID) & F.col("raw").rlike(LISTED_ANSWER))
+
+
+def pair_short_ids(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The same behind the first column header of a page, where any whole number of up to seven digits is an id."""
+    rows = _lines(with_subjects(pages, doc), doc)
+    header = F.col("line").isin(COLUMN_HEADERS)
+    seen = F.coalesce(F.max(header).over(Window.partitionBy(doc, "page_num").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    has = F.coalesce(F.max(header).over(Window.partitionBy(doc, "page_num")), F.lit(False))
+    rows = rows.withColumn("data", seen | ~has).where("data")
+    return _pair(rows, doc, F.col("line").rlike(r"^\d{1,7}\z") & ~rules.is_key_noise(F.col("line")) & ~rules.is_key_noise(F.col("raw")))
 
 
 def sniff(pages: DataFrame) -> DataFrame:
@@ -80,8 +139,8 @@ def parse(pages: DataFrame) -> DataFrame:
     short_pages = other.join(other.where("short").select("doc_id").distinct(), "doc_id", "left_semi")
     long_pages = other.join(other.where("short").select("doc_id").distinct(), "doc_id", "left_anti")
     parts = [
-        pair_long_ids(long_pages).withColumn("answer", A.classify(F.col("raw"))),
-        pair_lines(short_pages, id_form=ANY_ID).withColumn("answer", A.classify_short(F.col("raw"))),
+        pair_long_ids(long_pages),
+        pair_short_ids(short_pages).withColumn("answer", A.classify_short(F.col("raw"))),
         pair_lines(listed).withColumn("answer", A.classify_listed(F.col("raw"))),
     ]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -90,17 +90,30 @@ def test_resolve(spark, raw, kind, text, found):
 
 
 def test_key_of_one_page(spark):
-    pages = spark.createDataFrame([(1, 1, "Subject: (703) LIFE SCIENCES\n703001  2\n703002  1,3\n703003\n703004  Drop"), (1, 2, "703005  1,\n2")], "doc_id int, page_num int, text string")
+    pages = spark.createDataFrame([(1, 1, "Subject: (703) LIFE SCIENCES\n703001  2\n703002  1,3\n703003\n703004  Drop"), (1, 2, "703005  1,2")], "doc_id int, page_num int, text string")
     got = {r.question_id: (r.kind, list(r.options), r.subject.code) for r in keys.parse(pages).collect()}
     assert got == {"703001": ("single", [2], "703"), "703002": ("multi", [1, 3], "703"), "703003": ("unrecognised", [], "703"), "703004": ("drop", [], "703"), "703005": ("multi", [1, 2], "703")}
 
 
 def test_key_of_lines(spark):
-    pages = spark.createDataFrame([(1, 1, "Correct Option ID\n1\n503\n2\n129 ,132\nfooter\n*3\nDropped\nSubject: Life Science")], "doc_id int, page_num int, text string")
+    pages = spark.createDataFrame([(1, 1, "Correct Option ID\n1\n503\n2\n129 ,132\nfooter\n9\nfooter\n*3\nDropped\nSubject: Life Science"), (1, 2, "4\n7")], "doc_id int, page_num int, text string")
     got = {r.question_id: (r.kind, list(r.options)) for r in keys.parse(pages).collect()}
     assert got == {"1": ("single", [503]), "2": ("multi", [129, 132]), "3": ("drop", [])}
 
 
+def test_key_of_option_ids(spark):
+    text = "Subject: (703) LIFE SCIENCES\nQuestion ID  Correct Option ID\n703001  9000011\n703002  9000012,\n9000013\n703003  Drop"
+    got = {r.question_id: (r.kind, r.raw, list(r.options)) for r in keys.parse(spark.createDataFrame([(1, 1, text)], "doc_id int, page_num int, text string")).collect()}
+    assert got == {"703001": ("single", "9000011", [9000011]), "703002": ("multi", "9000012, 9000013", [9000012, 9000013]), "703003": ("drop", "Drop", [])}
+
+
+def test_paper_format(spark):
+    q, o = "Question Number : 1", "Objective Question"
+    rows = [(1, i, "text", t) for i, t in enumerate([o, o, o, q, q, q, q])] + [(2, i, "text", t) for i, t in enumerate([o, q])]
+    got = {r.doc_id: r.format for r in exam.paper_format(spark.createDataFrame(rows, "doc_id int, seq int, kind string, text string")).collect()}
+    assert got == {1: "objective", 2: "standard"}
+
+
 def test_best_subject(spark):
     answers = spark.createDataFrame([("A", 1, 1), ("A", 2, 1), ("B", 2, 2), ("B", 3, 2)], "subject string, q_id int, subject_order int")
     got = {r.subject: (r.overlap, r.best) for r in exam.best_subject(spark.createDataFrame([(2,)], "q_id int"), answers).collect()}
@@ -294,7 +307,7 @@ def test_sql_functions(spark):
 
 
 def test_short_ids_behind_a_named_subject(spark):
-    pages = spark.createDataFrame([(1, 1, "Subject :\nLIFE - Life Science\nQuestion ID\n101\n503\n102\n501, 504,\n103\n*")], "doc_id int, page_num int, text string")
+    pages = spark.createDataFrame([(1, 1, "Subject :\nLIFE - Life Science\nQuestion ID\nCorrect Key\n101\n503\n102\n501, 504,\n103\n*")], "doc_id int, page_num int, text string")
     got = {r.question_id: (r.kind, list(r.options)) for r in keys.parse(pages).collect()}
     assert got == {"101": ("single", [503]), "102": ("multi", [501, 504]), "103": ("drop", [])}
 
