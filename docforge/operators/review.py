@@ -45,10 +45,11 @@ def status_is(status: Column, wanted: str | None) -> Column:
     return F.lit(True) if not wanted or wanted.upper() == "ALL" else F.upper(status) == wanted.upper()
 
 
-def in_order_of(rows: DataFrame, wanted: DataFrame, key: str, pos: str, then: str) -> DataFrame:
-    """position: asked-for rows in that order, the others behind in their own; unknown keys are ignored."""
+def in_order_of(rows: DataFrame, wanted: DataFrame, key: str, pos: str, then: str, by: list[str] | None = None) -> DataFrame:
+    """position: asked-for rows in that order, the others behind in their own; unknown keys are ignored. by: what one
+    list is about, such as a document; without it all rows are one list."""
     joined = rows.join(wanted, key, "left")
-    return joined.withColumn("position", F.row_number().over(Window.orderBy(F.col(pos).isNull(), pos, then, key)))
+    return joined.withColumn("position", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col(pos).isNull(), pos, then, key)))
 
 
 def only_in_order_of(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

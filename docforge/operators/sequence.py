@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -98,20 +98,21 @@ def in_turn(rows: DataFrame, by: list[str], order: str, values: list[str], start
     Spark (which spills) and streamed, so a group of any size takes the memory of one batch and time in proportion.
     """
     narrow = rows.select(*by, order, *values)
-    fields = [narrow.schema[c] for c in [*by, order]]
-    schema = StructType([*fields, *StructType.fromDDL(f"{result} {kind}").fields])
+    n, out = len(by) + 1, {"int": pa.int32(), "boolean": pa.bool_()}[kind]
+    schema = StructType([*(narrow.schema[c] for c in [*by, order]), *StructType.fromDDL(f"{result} {kind}").fields])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, step = object(), None
-        for frame in frames:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
             made = []
-            for key, value in zip(zip(*(frame[c] for c in by)), zip(*(frame[c] for c in values))):
+            for key, value in zip(zip(*columns[: n - 1]), zip(*columns[n:])):
                 if key != now:
                     now, step = key, start()
                 made.append(step(*value))
-            yield frame[[*by, order]].assign(**{result: made})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(made, out)], [*by, order, result])
 
-    return narrow.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(run, schema)
+    return narrow.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, schema)
 
 
 def pack(items: DataFrame, by: list[str], order: str, size: str, most: float, most_other: tuple[str, float] | None = None) -> DataFrame:

@@ -323,3 +323,10 @@ def test_parse_files(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"\xff")
     got = sorted((r.path[-5:], r.page_num, r.text, r.error is None) for r in tables.parse_files(spark, str(tmp_path), lambda b: b.decode().split("\x0c")).collect())
     assert got == [("a.pdf", 1, "one", True), ("a.pdf", 2, "two", True), ("b.pdf", None, None, False)]
+
+
+def test_turns_of_null_and_large_keys(spark):
+    rows = [(None, 1, 5), (None, 2, 5), (2**60 + 1, 1, 5), (2**60 + 1, 2, 6), (2**60, 1, 20)]
+    got = {(r.g, r.o): r.bin for r in sequence.pack(spark.createDataFrame(rows, "g bigint, o bigint, s int"), ["g"], "o", "s", 10).collect()}
+    assert got == {(None, 1): 0, (None, 2): 0, (2**60 + 1, 1): 0, (2**60 + 1, 2): 1, (2**60, 1): 0}
+    assert sequence.pack(spark.createDataFrame([], "g bigint, o bigint, s int"), ["g"], "o", "s", 10).count() == 0
