@@ -28,11 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docforge.llm.common import resident
 from docforge.llm.vocab import BYTE_BPE, WordCache, splits_at_spaces, tokenizer_path
 
 #: Fixed value: the split pattern of byte-level BPE files that say use_regex.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-REMEMBERED_PARTS = 200_000
+REMEMBERED_PARTS = 100_000
 SCAN = 48  # longer fragments are merged with a heap
 
 
@@ -161,13 +162,8 @@ class ForcedBoundaryBPE:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, ForcedBoundaryBPE] = {}
-
-
 def codec(name: str = BYTE_BPE) -> ForcedBoundaryBPE:
-    if name not in _LOADED:
-        _LOADED[name] = ForcedBoundaryBPE(name)
-    return _LOADED[name]
+    return resident(("codec", name), lambda: ForcedBoundaryBPE(name))
 
 
 def encode_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = BYTE_BPE) -> DataFrame:

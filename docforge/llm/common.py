@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+Model = TypeVar("Model")
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -54,6 +56,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_RESIDENT: dict[object, object] = {}
+
+
+def resident(key: object, build: Callable[[], Model]) -> Model:
+    """A worker keeps one large model or cache, the last one asked for: workers outlive the stages they serve, and what
+    one stage remembers is of no use to the next. Ask once a task and hold on to it."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in smaller ones, so that Python objects exist for few rows at a time."""
     for batch in batches:

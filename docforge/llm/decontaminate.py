@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import fresh
+from docforge.llm.common import fresh, resident
 
 WORDS, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 24, 4
@@ -202,19 +202,13 @@ class Benchmark:
         yield lo, hi
 
 
-_BUILT: dict[str, Benchmark] = {}
-
-
 def leaks_of(df: DataFrame, items: list[tuple[object, str]], kind: str, text: str) -> Column:
     """array<struct<item_id, similarity, start>> of a text column."""
     shared, name = df.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     @F.pandas_udf(f"item_id array<{kind}>, similarity array<double>, start array<bigint>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if name not in _BUILT:
-            _BUILT.clear()
-            _BUILT[name] = Benchmark(shared.value)
-        own = _BUILT[name]
+        own = resident(("benchmark", name), lambda: Benchmark(shared.value))
         for batch in batches:
             found = [[(i, s, a) for j, s, a in own.leaks(t or "") for i in own.ids[j]] for t in batch]
             yield pd.DataFrame({c: [[x[k] for x in f] for f in found] for k, c in enumerate(("item_id", "similarity", "start"))})

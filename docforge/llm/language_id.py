@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docforge.llm.common import fresh
+from docforge.llm.common import fresh, resident
 
 LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS, LEARN_CHARS = 50, 64, 2_000, 24_000
 WINDOW = 512
@@ -182,14 +182,8 @@ class Parser:
         return [UNKNOWN if z else self.names[b] for b, z in zip(best, none)], np.where(none, 0.0, np.clip(score, 0, 1)), covered
 
 
-_BUILT: dict[tuple, Parser] = {}
-
-
 def parser(learned: tuple[tuple[str, str], ...]) -> Parser:
-    if learned not in _BUILT:
-        _BUILT.clear()
-        _BUILT[learned] = Parser(dict(learned))
-    return _BUILT[learned]
+    return resident(("language", learned), lambda: Parser(dict(learned)))
 
 
 def predict(df: DataFrame, learned: dict[str, str], text: str = "text") -> Column:

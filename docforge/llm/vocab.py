@@ -14,9 +14,11 @@ import re
 
 import numpy as np
 
+from docforge.llm.common import resident
+
 BYTE_BPE = "byte_bpe_50k.json"
 #: Words that a worker remembers (some 150 bytes each); others are encoded each time.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Characters of a text that are split into words at a time.
 FRAGMENT = 1 << 20
 #: More than what any of the libraries takes for white space.
@@ -112,12 +114,10 @@ class WordCache:
         return [next(heads) + (b"".join(map(get, parts[1:])) if parts else b"") for parts in split]
 
 
-_CACHES: dict[str, WordCache] = {}
-
-
 def cached_library(name: str) -> WordCache:
     """The ids that the library gives (no special tokens added, special strings inside texts by its default)."""
-    if name not in _CACHES:
+
+    def build() -> WordCache:
         own, by_words = library(name), splits_at_spaces(name)
         size = np.zeros(own.get_vocab_size(with_added_tokens=True), np.int64)
         special = {t.content for t in own.get_added_tokens_decoder().values()}
@@ -138,5 +138,6 @@ def cached_library(name: str) -> WordCache:
                 out += [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
             return out
 
-        _CACHES[name] = WordCache(encode, word_ids, by_words)
-    return _CACHES[name]
+        return WordCache(encode, word_ids, by_words)
+
+    return resident(("library", name), build)
