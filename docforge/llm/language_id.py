@@ -198,7 +198,7 @@ def predict(df: DataFrame, learned: dict[str, str], text: str = "text") -> Colum
             parts = [own.predict([t or "" for t in batch[at : at + 256]]) for at in range(0, len(batch), 256)]
             yield pd.DataFrame({"lang": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]], "covered": [x for p in parts for x in p[2]]})
 
-    return run(F.col(text))
+    return run.asNondeterministic()(F.col(text))  # else a filter on its result runs it once more
 
 
 def identify(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

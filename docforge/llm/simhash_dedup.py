@@ -61,7 +61,7 @@ def fingerprint_of(text: Column, words: int = WORDS, seed: int = SEED) -> Column
         for batch in batches:
             yield pd.Series(np.asarray([fingerprint(t or "", words, seed) for t in batch], np.uint64).astype(np.int64))
 
-    return run(text)
+    return run.asNondeterministic()(text)  # else filters that Spark infers run it once more
 
 
 def masks(blocks: int, radius: int = RADIUS) -> list[int]:
