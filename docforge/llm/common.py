@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -64,6 +65,7 @@ def resident(key: object, build: Callable[[], Model]) -> Model:
     one stage remembers is of no use to the next. Ask once a task and hold on to it."""
     if key not in _RESIDENT:
         _RESIDENT.clear()
+        gc.collect()  # models hold themselves in cycles
         _RESIDENT[key] = build()
     return _RESIDENT[key]
 

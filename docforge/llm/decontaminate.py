@@ -35,7 +35,8 @@ from docforge.llm.common import fresh, resident
 
 WORDS, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 24, 4
-SLICE_BYTES = 32 << 20
+#: Bytes of items that a worker indexes at a time.
+SLICE_BYTES = 4 << 20
 PIECE = 1 << 18
 WINDOWS = 1 << 13
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -35,7 +35,7 @@ from docforge.llm.common import fresh, resident
 LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS, LEARN_CHARS = 50, 64, 2_000, 24_000
 WINDOW = 512
 UNKNOWN = "und"
-MIN_COVERED = 0.5
+MIN_COVERED = 0.3
 
 
 def held_out_of(doc_id: Column) -> Column:
