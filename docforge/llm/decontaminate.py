@@ -1,15 +1,15 @@
-"""Benchmark decontamination by SimHash over item-sized windows.
+"""Benchmark decontamination by exact weighted shingles over item-sized windows.
 
 Words are lower-cased runs of ASCII letters and digits and of non-ASCII characters; a shingle is WORDS of them and
 weighs its characters. For every benchmark item the document is looked at through windows of as many shingles as the
-item has. Window and item have weighted SimHash fingerprints; a multi-index of BLOCKS blocks finds all items whose
-fingerprint is within RADIUS bits (one block at least must be within RADIUS / BLOCKS bits), and for those the exact
-weighted similarity decides: the weight of the item's shingles that the window holds, repeats counted, over the item's
-weight. THRESHOLD or more is a leak.
+item has: the weight of the item's shingles that the window holds, repeats counted, over the item's weight is its
+similarity. THRESHOLD or more is a leak.
 
-Windows are only taken where they hold a shingle of an item of their size, which any leak does (found by a rolling hash
-over the whole text, compared byte by byte); RADIUS is what windows at the threshold exceed less than once in a
-thousand times (mean 13, deviation 3.2 bits).
+Places that hold a shingle of an item are found by a rolling hash over the whole text, compared byte by byte. Every
+window of every item whose hits in the whole text reach THRESHOLD is judged exactly, in one pass over the hits. No
+fingerprint stands before that: a shingle weighs its characters without bound, so that a few round one long word would
+own the fingerprint of a window that they hardly count in. The multi-index of the items' weighted SimHash fingerprints
+(``Benchmark.near``: BLOCKS blocks, RADIUS bits) looks items up; no result depends on it, and it is built when asked for.
 
 Result per row of documents and item found in it: doc_id, item_id, similarity and start (word) of the best window.
 Defined results: null and empty texts and items match nothing; a text with fewer words than a shingle is one shingle,
@@ -24,6 +24,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,6 @@ RADIUS, BLOCKS = 24, 4
 #: Bytes of items that a worker indexes at a time.
 SLICE_BYTES = 4 << 20
 PIECE = 1 << 18
-WINDOWS = 1 << 13
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -119,14 +119,12 @@ class Benchmark:
         self.size: list[int] = []
         holds: dict[bytes, list[int]] = defaultdict(list)
         hashed: dict[bytes, int] = {}
-        prints = []
         for j, text in enumerate(same):
             words = text.split()
             own = shingles(words)
             self.counts.append(Counter(own))
             self.size.append(len(own))
             self.weight.append(sum(map(len, own)))
-            prints.append(int(_fingerprints(signed_bits(own).sum(0, keepdims=True))[0]))
             hashed.update(zip(own, rolling(words).tolist()))
             for s in self.counts[-1]:
                 holds[s].append(j)
@@ -134,12 +132,18 @@ class Benchmark:
         self.known = np.unique(np.fromiter(hashed.values(), np.uint64, len(hashed)))
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.known >> np.uint64(44)).astype(np.int64)] = True
-        self.prints = np.asarray(prints, np.uint64)
-        self.by_size: dict[int, list] = {}
-        sizes = np.asarray(self.size)
+
+    @cached_property
+    def prints(self) -> np.ndarray:
+        return np.asarray([_fingerprints(signed_bits(list(c.elements())).sum(0, keepdims=True))[0] for c in self.counts], np.uint64)
+
+    @cached_property
+    def by_size(self) -> dict[int, list]:
+        sizes, out = np.asarray(self.size), {}
         for n in set(self.size):
             own = np.flatnonzero(sizes == n)
-            self.by_size[n] = [np.unique(self._block(self.prints[own], b), return_inverse=True) for b in range(BLOCKS)] + [own]
+            out[n] = [np.unique(self._block(self.prints[own], b), return_inverse=True) for b in range(BLOCKS)] + [own]
+        return out
 
     @staticmethod
     def _block(prints: np.ndarray, b: int) -> np.ndarray:
@@ -170,37 +174,26 @@ class Benchmark:
         for i in at[self.known[near] == h[at]].tolist():
             for j in self.holds.get(s := shingle(i), ()):
                 hits[j].append((i, s))
-        sizes: dict[int, set[int]] = defaultdict(set)
-        for j, places in hits.items():
-            if sum(min(n, self.counts[j][s]) * len(s) for s, n in Counter(s for _, s in places).items()) >= THRESHOLD * self.weight[j]:
-                sizes[self.size[j]].update(i for i, _ in places)
-        total, best = len(h), {}
-        for n, places in sizes.items():
-            for lo, hi in self._runs(sorted(places), n):
-                first, last = max(0, lo - n + 1), max(0, min(hi, total - n))
-                for start in range(first, last + 1, WINDOWS):
-                    stop = min(last + 1, start + WINDOWS)
-                    sums = np.cumsum(np.vstack([np.zeros((1, 64), np.int64), signed_bits([shingle(i) for i in range(start, min(total, stop + n - 1))])]), axis=0)
-                    ends = np.minimum(np.arange(stop - start) + n, len(sums) - 1)
-                    for w, j in zip(*(x.tolist() for x in self.near(_fingerprints(sums[ends] - sums[: stop - start]), n))):
-                        s = start + w
-                        if j in hits and (found := self._similarity(j, hits[j], s, s + n)) >= THRESHOLD and found > best.get(j, (0.0, 0))[0]:
-                            best[j] = (found, s)
-        return [(j, *best[j]) for j in sorted(best)]
-
-    def _similarity(self, j: int, places: list[tuple[int, bytes]], start: int, stop: int) -> float:
-        held = Counter(s for i, s in places if start <= i < stop)
-        return sum(min(n, self.counts[j][s]) * len(s) for s, n in held.items()) / self.weight[j]
-
-    @staticmethod
-    def _runs(places: list[int], n: int) -> Iterator[tuple[int, int]]:
-        lo = hi = places[0]
-        for p in places[1:]:
-            if p - hi >= n:
-                yield lo, hi
-                lo = p
-            hi = p
-        yield lo, hi
+        passed = [j for j, places in hits.items() if sum(min(n, self.counts[j][s]) * len(s) for s, n in Counter(s for _, s in places).items()) >= THRESHOLD * self.weight[j]]
+        return [(j, *found) for j in sorted(passed) if (found := self._best(j, hits[j]))[0] >= THRESHOLD]
+
+    def _best(self, j: int, places: list[tuple[int, bytes]]) -> tuple[float, int]:
+        """(similarity, start) of the item's best window, the first of equal ones. A window gains only where its end
+        meets a hit, so one window a hit is enough."""
+        n, counts, held, weight, tail = self.size[j], self.counts[j], Counter(), 0, 0
+        best = (0, 0)
+        for i, s in places:
+            start = max(0, i - n + 1)
+            while places[tail][0] < start:
+                gone = places[tail][1]
+                weight -= len(gone) if held[gone] <= counts[gone] else 0
+                held[gone] -= 1
+                tail += 1
+            held[s] += 1
+            weight += len(s) if held[s] <= counts[s] else 0
+            if weight > best[0]:
+                best = (weight, start)
+        return best[0] / self.weight[j], best[1]
 
 
 def leaks_of(df: DataFrame, items: list[tuple[object, str]], kind: str, text: str) -> Column:

@@ -209,6 +209,21 @@ def test_leaks(spark):
     assert {r.doc_id for r in clean.collect()} == {i for i, t, _ in docs if not plain_leaks(t)}
 
 
+@pytest.mark.parametrize("long", [0, 64, 150, 300])
+def test_a_long_token_inside_hides_no_leak(long):
+    """An item copied whole with one token in its middle, found as by brute force over all windows."""
+    rng, missed, leaks = random.Random(long), 0, 0
+    for _ in range(60):
+        item = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(60)]
+        text = f"{prose(1, 40)} {' '.join(item[:30])} {'k' * long} {' '.join(item[30:])} {prose(2, 40)}"
+        own, parts = (decontaminate.shingles(decontaminate.words_of(t)) for t in (text, " ".join(item)))
+        exact = [sum(len(s) * n for s, n in (Counter(own[a : a + len(parts)]) & Counter(parts)).items()) / sum(map(len, parts)) for a in range(len(own) - len(parts) + 1)]
+        found = decontaminate.Benchmark([(1, " ".join(item))]).leaks(text)
+        leaks += max(exact) >= decontaminate.THRESHOLD
+        missed += found != ([(0, max(exact), exact.index(max(exact)))] if max(exact) >= decontaminate.THRESHOLD else [])
+    assert leaks and not missed
+
+
 def test_multi_index_finds_all_within_radius():
     own = decontaminate.Benchmark([(i, prose(i, 20)) for i in range(50)])
     size = own.size[0]
