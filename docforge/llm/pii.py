@@ -4,9 +4,10 @@ Seeds are the four base kinds (email, ip, card, phone; see ``base_spans``) and k
 a cue: a word with a following : or =, lower-cased. Wherever a cue stands, it and the value behind it are an edge of a
 pattern-instance graph. Spark scores it in ROUNDS rounds: a value's score for a kind is 1 if it is a seed, else the
 best score of the trusted cues it follows; a cue's score is the share of its occurrences whose values score. Cues of
-ACCEPT or more with MIN_TIMES occurrences, MIN_VALUES different values and MIN_SHARE of all occurrences (so there are
-at most 1 / MIN_SHARE of them, which bounds what is broadcast) are trusted; in the end each value behind a trusted cue
-that looks like an identifier is a span of the cue's kind, unless it overlaps another span.
+ACCEPT or more with MIN_TIMES occurrences and MIN_VALUES different values are trusted, however large the table; in the
+end each value behind a trusted cue that looks like an identifier is a span of the cue's kind, unless it overlaps
+another span. Trusted cues of up to TRUSTED_BYTES are broadcast. More are never collected: the cues of each text are
+joined to them, and each text gets its own.
 
 Spans are code points, end exclusive, ordered by kind (email, ip, card, phone, then others by name) and start.
 Defined results: null and empty texts have no spans; repeated rows are read one by one and count as often; a null
@@ -20,17 +21,20 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import cut, slices, texts_of
+from docforge.llm.common import cut, fresh, slices, texts_of
 
 KINDS = ["email", "ip", "card", "phone"]
 SECRET = "secret"
-ROUNDS, ACCEPT, MIN_TIMES, MIN_VALUES, MIN_SHARE = 3, 0.7, 5, 3, 1e-5
+ROUNDS, ACCEPT, MIN_TIMES, MIN_VALUES = 3, 0.7, 5, 3
+#: Bytes of trusted cues that are broadcast.
+TRUSTED_BYTES = 8 << 20
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -147,7 +151,7 @@ def graph(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(text).mapInArrow(run, "cue string, value string, seed string, n bigint").groupBy("cue", "value", "seed").agg(F.sum("n").alias("n"))
 
 
-def trust(edges: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, min_times: int = MIN_TIMES, min_values: int = MIN_VALUES, min_share: float = MIN_SHARE) -> DataFrame:
+def trust(edges: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, min_times: int = MIN_TIMES, min_values: int = MIN_VALUES) -> DataFrame:
     """(cue, kind, score) of the trusted cues."""
     edges = cut(edges)
     links = edges.groupBy("cue", "value").agg(F.sum("n").alias("n"))
@@ -159,31 +163,58 @@ def trust(edges: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, min_ti
         cues_now = cut(evidence.join(totals, "cue").select("cue", "kind", (F.col("good") / F.col("times")).alias("score"), "times", "values").where(F.col("score") >= accept))
         spread = links.join(cues_now.select("cue", "kind", "score"), "cue").groupBy("value", "kind").agg(F.max("score").alias("score"))
         scores = seeds.unionByName(spread).groupBy("value", "kind").agg(F.max("score").alias("score"))
-    every = totals.agg(F.sum("times")).first()[0] or 0
-    kept = cues_now.where((F.col("times") >= max(min_times, min_share * every)) & (F.col("values") >= min_values))
+    kept = cues_now.where((F.col("times") >= min_times) & (F.col("values") >= min_values))
     return kept.groupBy("cue").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
 
 
 def learn(df: DataFrame, text: str = "text") -> dict[str, str]:
-    """The trusted cues and their kinds: at most 1 / MIN_SHARE."""
+    """The trusted cues and their kinds, collected."""
     return {r.cue: r.kind for r in trust(graph(df, text)).collect()}
 
 
-def extract(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(learn(df, text))
+def with_trusted(df: DataFrame, text: str, most: int = TRUSTED_BYTES) -> tuple[DataFrame, str | None, dict[str, str]]:
+    """(df, column, trusted): all trusted cues, or else df with a column of those that each text has (cue and kind in turn)."""
+    known = cut(trust(graph(df, text)).select("cue", "kind"))
+    if (known.agg(F.sum(F.octet_length("cue") + F.octet_length("kind"))).first()[0] or 0) <= most:
+        return df, None, {r.cue: r.kind for r in known.collect()}
+    key, own = fresh(df, "_text_key"), fresh(df, "_trusted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trusted = shared.value
+        for batch in slices(batches, 1024):
+            found = {(k, c) for k, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))) for c, a, b in cues(t) if identifier_like(t[a:b])}
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in range(2)], ["key", "cue"])
+
+    reveals = F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))  # others have nothing behind a cue, and stay where they are
+    some = df.where(reveals).withColumn(key, F.sha2(text, 256))
+    met = some.select(key, text).mapInArrow(run, "key string, cue string").distinct().join(known, "cue")
+    each = met.groupBy(F.col("key").alias(key)).agg(F.flatten(F.collect_list(F.array("cue", "kind"))).alias(own))
+    out = some.join(each, key, "left").drop(key)
+    return out.unionByName(df.where(~reveals).withColumn(own, F.lit(None).cast("array<string>"))), own, {}
+
+
+def pairs_of(flat: list[str] | None) -> dict[str, str]:
+    return dict(zip(flat[::2], flat[1::2])) if flat is not None else {}
+
+
+def extract(df: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = TRUSTED_BYTES) -> DataFrame:
+    named = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows, own, trusted = with_trusted(named, "text", most)
+    shared = df.sparkSession.sparkContext.broadcast(trusted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        everywhere = shared.value
         for batch in slices(batches, 1024):
             texts = texts_of(batch.column(1))
+            trusted = map(pairs_of, batch.column(2).to_pylist()) if own else repeat(everywhere)
             base = [base_spans(t) for t in texts]
             counts = [pa.array([sum(k == kind for k, _, _ in b) for b in base], pa.int64()) for kind in KINDS]
             digests = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string())
-            spans = pa.array([joined(find_spans(t, trusted)) for t in texts], pa.string())
+            spans = pa.array([joined(find_spans(t, x)) for t, x in zip(texts, trusted)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, spans], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return rows.select("doc_id", "text", *[own] * bool(own)).mapInArrow(run, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
 def redact_text(text: str, trusted: dict[str, str]) -> str:
@@ -196,8 +227,17 @@ def redact_text(text: str, trusted: dict[str, str]) -> str:
     return "".join([*out, text[done:]])
 
 
-def redacted(df: DataFrame, trusted: dict[str, str], text: str = "text") -> Column:
+def redacted(df: DataFrame, trusted: dict[str, str], text: str = "text", own: str | None = None) -> Column:
+    """own: a column with each text's own trusted cues, instead of all."""
     shared = df.sparkSession.sparkContext.broadcast(trusted)
+    if own:
+
+        @F.pandas_udf("string")
+        def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for texts, flats in batches:
+                yield pd.Series([None if t is None else redact_text(t, pairs_of(x)) for t, x in zip(texts, flats)], dtype=object)
+
+        return each(F.col(text), F.col(own))
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -207,9 +247,10 @@ def redacted(df: DataFrame, trusted: dict[str, str], text: str = "text") -> Colu
     return run(F.col(text))
 
 
-def redact(df: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+def redact(df: DataFrame, text: str = "text", n_chars: str = "n_chars", most: int = TRUSTED_BYTES) -> DataFrame:
     """df with its texts redacted; a column n_chars is counted anew."""
-    out = df.withColumn(text, redacted(df, learn(df, text), text))
+    rows, own, trusted = with_trusted(df, text, most)
+    out = rows.withColumn(text, redacted(rows, trusted, text, own)).drop(*[own] * bool(own))
     return out.withColumn(n_chars, F.length(text).cast(df.schema[n_chars].dataType)) if n_chars in df.columns else out
 
 

@@ -134,6 +134,22 @@ def test_trusted_cues_reveal_unseen_values(spark):
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(",")) | {""}
 
 
+def test_trust_does_not_shrink_with_the_table(spark):
+    """A cue seen nine times with seeds stays trusted beside a million occurrences of others."""
+    edges = [("passcode=", f"v{i}", "secret", 1) for i in range(9)] + [("note:", f"w{i}", None, 100_000) for i in range(10)]
+    kept = pii.trust(spark.createDataFrame(edges, "cue string, value string, seed string, n bigint")).collect()
+    assert [(r.cue, r.kind) for r in kept] == [("passcode=", "secret")]
+
+
+def test_joined_cues_do_as_broadcast_ones(spark):
+    df = documents(spark, [*private(), *private()[-40:]])
+    a, b = (sorted(map(str, pii.extract(df, most=most).collect())) for most in (pii.TRUSTED_BYTES, 0))
+    assert a == b
+    a, b = (sorted(map(str, pii.redact(df, most=most).collect())) for most in (pii.TRUSTED_BYTES, 0))
+    assert a == b and any("passcode=[SECRET]" in x for x in b)
+    assert pii.redact(df, most=0).columns == df.columns
+
+
 def test_redaction(spark):
     df = documents(spark, private())
     out = {str(r.doc_id): r for r in pii.redact(df).collect()}
