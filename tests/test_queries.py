@@ -52,6 +52,15 @@ def test_result_does_not_depend_on_partitions(spark, name):
     assert results[0] == results[1]
 
 
+def test_chunk_json_judges_whole_texts(spark, tmp_path):
+    """A page that begins with white space is kept and counted, as its SQL says."""
+    texts = [f"{' ' * 30}page {i}" if i % 3 == 0 else " " * 40 if i % 7 == 0 else None if i % 11 == 0 else f"page {i}" * 10 for i in range(1, 201)]
+    spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts, 1)], "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert rows_of(QUERIES["q51_chunk_json"](spark, str(tmp_path)).toPandas()) == rows_of(con.execute(SQL["q51_chunk_json"]).df())
+
+
 def test_entry(spark):
     import __spark_entry__
 
