@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are the four base kinds (email, ip, card, phone; see ``base_spans``) and key-like strings. A lexical pattern is
-a cue: a word with a following : or =, lower-cased. Wherever a cue stands, it and the value behind it are an edge of a
-pattern-instance graph. Spark scores it in ROUNDS rounds: a value's score for a kind is 1 if it is a seed, else the
+a cue, lower-cased: a word, in quotes or not, with a following : or =, or the one or two words right before a value that
+looks like an identifier. A value runs to its delimiter, whatever its length. Wherever a cue stands, it and the value
+behind it are an edge of a pattern-instance graph. Spark scores it in ROUNDS rounds: a value's score for a kind is 1 if it is a seed, else the
 best score of the trusted cues it follows; a cue's score is the share of its occurrences whose values score. Cues of
 ACCEPT or more with MIN_TIMES occurrences and MIN_VALUES different values are trusted, however large the table; in the
 end each value behind a trusted cue that looks like an identifier is a span of the cue's kind, unless it overlaps
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -42,8 +44,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
-CUE = re.compile(r"([A-Za-z][A-Za-z0-9_-]{0,31})\x20?\Z")
-VALUE = re.compile(r"\x20?[\"']?([^\s\"'<>,;:=]{4,128})")
+#: Combining marks are part of the words of many scripts, but not of Python's \\w.
+_MARKS = "".join(chr(i) for i in range(0x300, 0x20000) if unicodedata.category(chr(i))[0] == "M")
+_WORD = rf"[^\W\d_][\w{_MARKS}-]{{0,31}}"
+_ENDS = "\\s\"'<>,;:="
+CUE = re.compile(rf"({_WORD})[\"']?\x20?\Z")
+VALUE = re.compile(rf"\x20?[\"']?([^{_ENDS}]{{4,}})")
+#: One or two words before a value without : or =, and the rest of a value.
+WORDS_BEFORE = re.compile(rf"(?<![\w{_MARKS}-])({_WORD}\x20)?(?<![\w{_MARKS}-])({_WORD}\x20)[\"'(]?\Z")
+REST = re.compile(rf"[^{_ENDS}]+")
+SPOT = re.compile("[0-9@]")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -95,14 +105,34 @@ def identifier_like(value: str) -> bool:
     return any(c in "0123456789@" for c in value)
 
 
+def identifiers(text: str) -> Iterator[tuple[int, int]]:
+    """Runs between delimiters that hold a digit or @."""
+    done, m = 0, SPOT.search(text)
+    while m:
+        start = m.start()
+        while start > done and not (text[start - 1] in "\"'<>,;:=" or text[start - 1].isspace()):
+            start -= 1
+        done = REST.match(text, m.start()).end()
+        yield start, done
+        m = SPOT.search(text, done)
+
+
 def cues(text: str) -> Iterator[tuple[str, int, int]]:
-    """(cue, start, end of the value) wherever a word stands before : or =."""
-    if ":" not in text and "=" not in text:
-        return
-    for m in re.finditer("[:=]", text):
-        at = m.start()
-        if (c := CUE.search(text, max(0, at - 34), at)) and (v := VALUE.match(text, at + 1)):
-            yield c[1].lower() + m[0], v.start(1), v.end(1)
+    """(cue, start, end of the value) wherever a word, quoted or not, stands before : or =, and then wherever one or two
+    words stand right before what looks like an identifier."""
+    if ":" in text or "=" in text:
+        for m in re.finditer("[:=]", text):
+            at = m.start()
+            if (c := CUE.search(text, max(0, at - 34), at)) and (v := VALUE.match(text, at + 1)):
+                yield c[1].lower() + m[0], v.start(1), v.end(1)
+    for start, end in identifiers(text):
+        opened = start
+        while start < end and text[start] == "(":
+            start += 1
+        while end > start and text[end - 1] in ".!?)]}":
+            end -= 1
+        if end - start >= 4 and opened and identifier_like(text[start:end]) and (c := WORDS_BEFORE.search(text, max(0, opened - 68), opened)):
+            yield ((c[1] or "") + c[2]).lower(), start, end
 
 
 def overlaps(spans: list[tuple[str, int, int]], start: int, end: int) -> bool:

@@ -134,6 +134,27 @@ def test_trusted_cues_reveal_unseen_values(spark):
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(",")) | {""}
 
 
+def test_cues_of_all_contexts_and_whole_values(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()[:18]
+    forms = ['{{"passcode": "{}"}}', "clé: {}", "contraseña={}", "पासवर्ड: {}", "he showed passport number {} there"]
+    long = "k9" * 150
+    rows = [(100 * f + i, form.format(key(100 * f + i)), "en") for f, form in enumerate(forms) for i in range(8)]
+    unseen = [(1000 + f, form.format("hunter2"), "en") for f, form in enumerate(forms)] + [(1010, f'contraseña={long}.{long} end', "en"), (1011, "the number 1234 is free", "en")]
+    df = documents(spark, rows + unseen)
+    assert set(pii.learn(df)) >= {"passcode:", "clé:", "contraseña=", "पासवर्ड:", "passport number "}
+    out = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert [out[i] for i, _, _ in unseen] == [form.format("[SECRET]") for form in forms] + ["contraseña=[SECRET] end", "the number 1234 is free"]
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000 + "1", "1(" * 100_000, "((" * 100_000 + "1", "a 1 " * 50_000, "a-" * 100_000 + " 1234"])
+def test_cues_are_linear(text):
+    import time
+
+    began = time.process_time()
+    pii.find_spans(text, {"key ": "secret"})
+    assert time.process_time() - began < 5
+
+
 def test_trust_does_not_shrink_with_the_table(spark):
     """A cue seen nine times with seeds stays trusted beside a million occurrences of others."""
     edges = [("passcode=", f"v{i}", "secret", 1) for i in range(9)] + [("note:", f"w{i}", None, 100_000) for i in range(10)]
