@@ -1,6 +1,7 @@
 """Benchmark decontamination by exact weighted shingles over item-sized windows.
 
-Words are lower-cased runs of ASCII letters and digits and of non-ASCII characters; a shingle is WORDS of them and
+Words are lower-cased runs of ASCII letters and digits and of non-ASCII characters, which end at Unicode punctuation and
+blanks; in scripts without spaces between words each character is a word. A shingle is WORDS of them and
 weighs its characters. For every benchmark item the document is looked at through windows of as many shingles as the
 item has: the weight of the item's shingles that the window holds, repeats counted, over the item's weight is its
 similarity. THRESHOLD or more is a leak.
@@ -21,6 +22,8 @@ after the other. Documents are never shuffled, and long ones are hashed PIECE by
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -41,10 +44,17 @@ SLICE_BYTES = 4 << 20
 PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: Scripts without spaces between words: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_SIGNS = "".join(re.escape(chr(i)) for i in range(128, 0x20000) if unicodedata.category(chr(i))[0] in "PZ")
+_SPLIT = re.compile(f"([{_UNSPACED}])|[{_SIGNS}]")
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(_SPACE).split()
+    text = text.lower()
+    if not text.isascii():
+        text = _SPLIT.sub(lambda m: f" {m[1]} " if m[1] else " ", text)
+    return text.encode("utf-8", "replace").translate(_SPACE).split()
 
 
 def shingles(words: list[bytes]) -> list[bytes]:

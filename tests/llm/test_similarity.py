@@ -224,6 +224,14 @@ def test_a_long_token_inside_hides_no_leak(long):
     assert leaks and not missed
 
 
+@pytest.mark.parametrize("item", ["以下哪一项是正确的答案，请选择最合适的选项并说明理由。" * 3, "ข้อใดต่อไปนี้เป็นคำตอบที่ถูกต้องที่สุด", "次のうち正しいものはどれですか「一つ」選びなさい", "l’eau «bout» à quelle température exactement"])
+def test_items_of_unspaced_scripts_and_other_punctuation(item):
+    around = "前の文章がここに続いている" if ord(item[0]) > 0x3000 else "ข้อความอื่น" if ord(item[0]) > 0xE00 else "… d’autres mots avant —"
+    own = decontaminate.Benchmark([(1, item)])
+    assert [x[:2] for x in own.leaks(f"{around}{item}{around}")] == [(0, 1.0)]
+    assert own.leaks(around) == []
+
+
 def test_multi_index_finds_all_within_radius():
     own = decontaminate.Benchmark([(i, prose(i, 20)) for i in range(50)])
     size = own.size[0]
