@@ -8,8 +8,8 @@ Texts are lower-cased and every run of characters that aren't letters becomes on
 WINDOW letters, so that thousands of windows step through the automaton together in numpy; a window's last phrase ends
 with it, in all languages alike.
 
-The automata are fitted on a bounded sample of labelled rows, the documented parameters of ``fit``: of at most
-LANGUAGES languages (the most frequent) the SAMPLE_DOCS documents with the least hashes of their ids, at most
+The automata are fitted on a bounded sample of labelled rows, the documented parameters of ``fit``: of every labelled
+language the SAMPLE_DOCS documents with the least hashes of their ids, at most
 SAMPLE_CHARS characters of each and LEARN_CHARS in all. Counting languages reads all rows. Rows whose crc32(doc_id as
 text) mod 5 is 0 are held out and never learned from, nor are rows without language, id or text.
 
@@ -17,7 +17,13 @@ Result per row: doc_id, held_out, lang_pred, score (1 - phrases of the best / ph
 covered (share of letters inside matches of two or more). Defined results: a text that is null or has no letters is
 ``und`` with score 0; so is every text if nothing could be learned. A null doc_id is not held out. Repeated rows are
 judged one by one; an empty table gives no rows; other columns are not read. No shuffle in prediction; the model is
-bounded text.
+bounded text for each language.
+
+``keep_known`` also asks whether the winning language explains a text. Every other window of what was learned of a
+language is parsed against the rest, as it is and with its letters shuffled; the limit is the geometric mean of their
+phrases a letter (half of the shuffled at least), and nearer to the shuffled the less than LEARN_CHARS was learned. A
+text goes if it needs more phrases than the limit allows its letters, and SLACK standard deviations (roots of its
+phrases) more, so that a few words are no evidence.
 """
 
 from __future__ import annotations
@@ -32,27 +38,27 @@ from pyspark.sql import functions as F
 
 from docforge.llm.common import fresh, resident
 
-LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS, LEARN_CHARS = 50, 64, 2_000, 24_000
+SAMPLE_DOCS, SAMPLE_CHARS, LEARN_CHARS = 64, 2_000, 24_000
 WINDOW = 512
 UNKNOWN = "und"
 MIN_COVERED = 0.3
+#: Standard deviations of a text's number of phrases that it may be over its language's limit.
+SLACK = 2.0
 
 
 def held_out_of(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", languages: int = LANGUAGES, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, learn: int = LEARN_CHARS) -> dict[str, str]:
+def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, learn: int = LEARN_CHARS) -> dict[str, str]:
     """Text to learn from, by language."""
     usable = F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & ~held_out_of(F.col(doc_id))
-    counts = {r[0]: r[1] for r in df.where(usable).groupBy(F.col(lang)).count().orderBy(F.desc("count"), lang).limit(languages).collect()}
+    counts = {r[0]: r[1] for r in df.where(usable).groupBy(F.col(lang)).count().collect()}
     if not counts:
         return {}
     order = F.xxhash64(F.col(doc_id), F.lit(11))
     unit = (order.cast("double") + 2.0**63) / 2.0**64
-    rate = F.lit(0.0)
-    for name, n in counts.items():  # four times what is needed, by the hash: the last cut is exact
-        rate = F.when(F.col(lang) == name, min(1.0, (4 * docs + 16) / n)).otherwise(rate)
+    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (4 * docs + 16) / n))])[F.col(lang)]  # four times what is needed, by the hash: the last cut is exact
     some = df.where(usable & (unit < rate)).select(F.col(lang).alias("lang"), order.alias("h"), F.substring(F.col(text), 1, chars).alias("text")).where(F.length("text") > 0)
     ranked = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= docs)
     out: dict[str, str] = {}
@@ -119,12 +125,38 @@ class Parser:
         self.symbol = np.zeros(0x110000, np.int32)
         for c, i in alphabet.items():
             self.symbol[ord(c)] = i
-        self.width = len(alphabet) + 1
-        self.tables = [suffix_automaton(learned[n], alphabet).reshape(-1) for n in self.names]
-
-    def phrases(self, table: np.ndarray, cells: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        made = [self._model(learned[n], alphabet) for n in self.names]
+        self.locals, self.widths, self.tables = ([m[k] for m in made] for k in range(3))
+        self.limits = np.asarray([self._limit(learned[n], alphabet) for n in self.names])
+
+    @staticmethod
+    def _model(text: str, alphabet: dict[str, int]) -> tuple[np.ndarray, int, np.ndarray]:
+        """(own symbol of each shared one, symbols, automaton): a language's table has its own letters only."""
+        own = {c: i + 1 for i, c in enumerate(sorted(set(text)))}
+        local = np.zeros(len(alphabet) + 1, np.int32)
+        for c, i in own.items():
+            local[alphabet[c]] = i
+        return local, len(own) + 1, suffix_automaton(text, own).reshape(-1)
+
+    def _limit(self, text: str, alphabet: dict[str, int]) -> float:
+        """Phrases a letter, between the language's own text and its letters shuffled; none for too little text."""
+        size = min(self.window, len(text) // 8)
+        parts = [text[at : at + size] for at in range(0, len(text) - size + 1, max(1, size))]
+        parts = [x for x in parts if len(set(x)) >= 8]  # not runs of a few letters
+        if size < 32 or len(parts) < 4:
+            return np.inf
+        local, width, table = self._model("".join(parts[::2]), alphabet)
+        codes = local[self.symbol[np.frombuffer("".join(parts[1::2]).encode("utf-32-le"), "<u4")]]
+        rates = []
+        for some in (codes, np.random.default_rng(0).permutation(codes)):
+            cells = np.ascontiguousarray(some.reshape(-1, size).T)
+            rates.append(np.median(self.phrases(table, width, cells, np.full(cells.shape[1], size))[0]) / size)
+        own = min(1.0, len(text) / LEARN_CHARS) / 2
+        return max(rates[0] ** own * rates[1] ** (1 - own), rates[1] / 2)
+
+    def phrases(self, table: np.ndarray, width: int, cells: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrases, letters in matches of two or more) of each window. cells: window x symbol, longest windows first."""
-        n, width = len(sizes), self.width
+        n = len(sizes)
         state, count, inside = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
         run = np.zeros(n, np.int32)
         live = np.searchsorted(-sizes, -np.arange(cells.shape[0]), side="left")  # windows longer than each step
@@ -151,6 +183,10 @@ class Parser:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, covered) of each text."""
+        return self.judge(texts)[:3]
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """predict, and whether the language explains the text."""
         clean = [np.frombuffer(letters(t).strip().encode("utf-32-le"), "<u4") for t in texts]
         starts = [(i, a) for i, x in enumerate(clean) for a in range(0, len(x), self.window)]
         counts = np.zeros((len(self.names), len(texts)), np.int64)
@@ -168,18 +204,19 @@ class Parser:
                 cells[row, : sizes[row]] = self.symbol[clean[i][a : a + self.window]]
             cells = np.ascontiguousarray(cells.T)
             for k, t in enumerate(self.tables):
-                n, m = self.phrases(t, cells, sizes)
+                n, m = self.phrases(t, self.widths[k], self.locals[k][cells], sizes)
                 counts[k] += np.bincount(doc, n, len(texts)).astype(np.int64)
                 inside[k] += np.bincount(doc, m, len(texts)).astype(np.int64)
         if not self.names:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)
         best = counts.argmin(0)
         ranked = np.sort(counts, axis=0)
         second = ranked[1] if len(self.names) > 1 else total
         score = np.where(second > 0, 1 - ranked[0] / np.maximum(second, 1), 0.0)
         covered = inside[best, np.arange(len(texts))] / np.maximum(total, 1)
         none = total == 0
-        return [UNKNOWN if z else self.names[b] for b, z in zip(best, none)], np.where(none, 0.0, np.clip(score, 0, 1)), covered
+        explained = ranked[0] <= self.limits[best] * np.maximum(total, 1) + SLACK * np.sqrt(ranked[0])
+        return [UNKNOWN if z else self.names[b] for b, z in zip(best, none)], np.where(none, 0.0, np.clip(score, 0, 1)), covered, explained
 
 
 def parser(learned: tuple[tuple[str, str], ...]) -> Parser:
@@ -187,16 +224,16 @@ def parser(learned: tuple[tuple[str, str], ...]) -> Parser:
 
 
 def predict(df: DataFrame, learned: dict[str, str], text: str = "text") -> Column:
-    """struct(lang, score, covered) of a text column of df."""
+    """struct(lang, score, covered, explained) of a text column of df."""
     model = tuple(sorted(learned.items()))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double, covered double")
+    @F.pandas_udf("lang string, score double, covered double, explained boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = parser(shared.value)
         for batch in batches:
-            parts = [own.predict([t or "" for t in batch[at : at + 256]]) for at in range(0, len(batch), 256)]
-            yield pd.DataFrame({"lang": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]], "covered": [x for p in parts for x in p[2]]})
+            parts = [own.judge([t or "" for t in batch[at : at + 256]]) for at in range(0, len(batch), 256)]
+            yield pd.DataFrame({"lang": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]], "covered": [x for p in parts for x in p[2]], "explained": [bool(x) for p in parts for x in p[3]]})
 
     return run.asNondeterministic()(F.col(text))  # else a filter on its result runs it once more
 
@@ -210,7 +247,7 @@ def keep_known(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """df without documents that have no letters, or whose letters no learned language explains."""
     p = fresh(df, "_p")
     marked = df.withColumn(p, predict(df, fit(df, doc_id, text, lang), text))
-    return marked.where((F.col(f"{p}.lang") != UNKNOWN) & (F.col(f"{p}.covered") >= min_covered)).drop(p)
+    return marked.where((F.col(f"{p}.lang") != UNKNOWN) & (F.col(f"{p}.covered") >= min_covered) & F.col(f"{p}.explained")).drop(p)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

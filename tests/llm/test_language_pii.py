@@ -83,6 +83,20 @@ def test_unknown_script_is_rejected(spark):
     assert {r._p for r in kept.collect()} == {"z"}
 
 
+def test_unlearned_latin_text_is_rejected(spark):
+    rng = random.Random(8)
+    noise = [(600 + i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=400)), None) for i in range(5)]
+    turkish = "bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar, akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler"
+    kept = language_id.keep_known(documents(spark, [*languages(90), *noise, (700, turkish, None)]))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(90))
+
+
+def test_every_labelled_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(60 * k + g, prose(k, 40, " ".join(letters[(g * 7 + i * (g % 5 + 1)) % 26] * (i + 1) for i in range(4))), f"l{g:02}") for g in range(60) for k in range(3)]
+    assert len(language_id.fit(documents(spark, [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]))) == len({g for i, _, g in rows if zlib.crc32(str(i).encode()) % 5}) > 50
+
+
 def plain_spans(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
