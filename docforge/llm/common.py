@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,13 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a fresh local one only where the session names none (tests)."""
+    """The folder that the driver and all executors share. A fresh local one only where the session names none and all
+    runs in this process (tests); elsewhere that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
     if named:
         return named.rstrip("/")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors of {sc.master} share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='docforge-')}")
         current = sc._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
@@ -42,15 +47,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCRATCH: dict[str, SparkSession] = {}
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed when the driver's Python ends, if its session still runs then."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(clear_scratch)
+    _SCRATCH[path] = spark
+    return path
+
+
+def clear_scratch() -> None:
+    """Removes what scratch named and nothing has removed since: results that read it can't be read any more."""
+    for path, spark in list(_SCRATCH.items()):
+        if spark.sparkContext._jsc is not None:
+            remove(spark, path)
+    _SCRATCH.clear()
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path by the file system that its scheme names."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _SCRATCH.pop(path, None)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -13,6 +13,8 @@ from docforge.llm.common import cut, partitions
 
 #: Rows of a bucket that one task compares with as many others at a time.
 BLOCK = 2048
+#: Keys of a join whose rows are broadcast at most (some 100 bytes each).
+HOT = 4096
 
 
 def in_blocks(members: DataFrame, bucket: list[str], node: str, size: str, carry: list[str], block: int = BLOCK) -> DataFrame:
@@ -70,22 +72,42 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[other], names[label[other]]
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: list[str], rows: int, counted: str | None = None, hot: int = HOT) -> DataFrame:
+    """many joined to one, which has one row for each key.
+
+    Keys that hold over rows / hot of many's rows (and over BLOCK) are joined by a broadcast of their rows of one, so that
+    many's rows stay dealt as they lie; there are hot of them at most, which bounds the broadcast. The others are
+    shuffled. counted: a column of one that says how many rows of many have the key; else they are counted.
+    """
+    most = max(BLOCK, rows // hot)
+    if counted:
+        one = cut(one)
+        large = one.where(F.col(counted) > most)
+    else:
+        counts = many.groupBy(*key).agg(F.count("*").alias("_times")).where(F.col("_times") > most).select(*key)
+        large = cut(one.join(F.broadcast(counts), key, "left_semi"))
+    if large.isEmpty():
+        return many.join(one, key)
+    there = many.join(F.broadcast(large), key)
+    return there.unionByName(many.join(F.broadcast(large.select(*key)), key, "left_anti").join(one, key))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of links (a, b): the least node reachable. Rows for linked nodes only, roots included.
 
     Large-star and small-star rounds: each keeps the components, the links become stars around the least nodes, and the
-    number of links never grows. Nothing is collected but a count and a checksum. Links of a hub are spread by the
-    joins' skew handling; what a node keeps is one least neighbour.
+    number of links never grows. Nothing is collected but a count and a checksum. The least neighbour of a node is found
+    by partial sums before the shuffle, and brought to the links of hubs by a bounded broadcast (spread_join).
     """
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = state(edges)
     while last[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("times")).select("a", F.least("a", "low").alias("low"), "times")
+        large = cut(spread_join(both, least, ["a"], 2 * last[0], "times").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("times"))
+        small = spread_join(large, low, ["a"], last[0], "times").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = cut(small)
         now = state(edges)
         if now == last:

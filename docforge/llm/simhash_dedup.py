@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import cut, fresh
-from docforge.llm.graph import by_group, components, in_blocks, spanning
+from docforge.llm.common import cut, fresh, scratch
+from docforge.llm.graph import by_group, components, in_blocks, spanning, spread_join
 
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Fingerprints that share a key and are joined pair by pair; larger groups go in parts.
@@ -82,10 +82,11 @@ def blocks_for(distinct: int, radius: int = RADIUS) -> int:
 
 def near_links(prints: DataFrame, distinct: int, radius: int = RADIUS, few: int = FEW) -> DataFrame:
     """Links (a, b) with the components of all pairs of distinct fingerprints fp within radius bits."""
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(blocks_for(distinct, radius), radius))])
+    choices = masks(blocks_for(distinct, radius), radius)
+    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(choices)])
     filed = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
     sizes = filed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(filed.join(sizes, ["t", "key"]))
+    met = cut(spread_join(filed, sizes, ["t", "key"], distinct * len(choices), "n"))
     rare = met.where(F.col("n") <= few)
     a, b = rare.alias("a"), rare.alias("b")
     close = (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
@@ -113,27 +114,35 @@ def near_links(prints: DataFrame, distinct: int, radius: int = RADIUS, few: int
 def classes(prints: DataFrame) -> DataFrame:
     """(fp, root, component_id) for rows (doc_id, fp): every distinct fingerprint, its component and that one's smallest doc_id."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(distinct, distinct.count()))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return cut(rooted.join(names, "root").select("fp", "root", "component_id"))
+    n = distinct.count()
+    roots = components(near_links(distinct, n))
+    rooted = cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("times"))
+    return cut(spread_join(rooted, names, ["root"], n, "times").select("fp", "root", "component_id"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     prints = cut(df.select(F.col(doc_id).alias("doc_id"), fingerprint_of(F.col(text)).alias("fp")))
-    named = prints.join(classes(prints), "fp")
+    named = spread_join(prints, classes(prints), ["fp"], prints.count())
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one row of each component: that of the smallest doc_id (of equal ones, any)."""
-    fp, root, name = (fresh(df, c) for c in ("_fp", "_root", "_component"))
-    marked = df.withColumn(fp, fingerprint_of(F.col(text)))
-    prints = cut(marked.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp")))
-    named = classes(prints).withColumnsRenamed({"fp": fp, "root": root, "component_id": name})
-    chosen = marked.join(named, fp).where(F.col(doc_id).eqNullSafe(F.col(name)))
-    repeated = prints.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return (chosen.dropDuplicates([root]) if repeated else chosen).select(*[F.col(f"`{c}`") for c in df.columns])
+    """df with one row of each component: that of the smallest doc_id (null ids last; of equal ones, any).
+
+    Rows are written once with their fingerprint and a number of their own, and fingerprints are read back from there:
+    texts are shuffled once, by that number, so that copies go to different tasks.
+    """
+    spark = df.sparkSession
+    fp, row = fresh(df, "_fp"), fresh(df, "_row")
+    path = scratch(spark, "fingerprints")
+    df.withColumn(fp, fingerprint_of(F.col(text))).withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
+    marked = spark.read.parquet(path)
+    prints = marked.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    firsts = prints.groupBy("fp").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
+    named = firsts.join(classes(prints.select("doc_id", "fp")).select("fp", "root"), "fp")
+    chosen = named.groupBy("root").agg(F.min_by("row", F.struct("first.none", "first.doc_id", "row")).alias(row))
+    return marked.join(chosen.select(row), row, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

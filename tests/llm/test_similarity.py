@@ -254,3 +254,22 @@ def test_no_documents_no_items(spark):
     df = documents(spark, leaky())
     assert decontaminate.find_leaks(df.where("1 = 0"), bench).count() == 0
     assert decontaminate.find_leaks(df, bench.where("1 = 0")).count() == 0
+
+
+@pytest.mark.parametrize("counted", [None, "times"])
+def test_spread_join_is_a_join(spark, monkeypatch, counted):
+    """Hot keys go by the broadcast, the others by the shuffle, none both ways."""
+    monkeypatch.setattr(graph, "BLOCK", 10)
+    many = spark.createDataFrame([(k, i) for k in range(40) for i in range(1 + 25 * (k % 3 == 0))], "k bigint, i bigint")
+    one = many.where("k % 7 <> 0").groupBy("k").count().withColumnRenamed("count", "times")
+    got = graph.spread_join(many, one, ["k"], many.count(), counted, hot=100)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, many.join(one, "k").collect()))
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    """Every node of over ten links is a hub: their links are joined by the broadcast."""
+    monkeypatch.setattr(graph, "BLOCK", 10)
+    links = [(1000 + h, h * 50 + i) for h in range(6) for i in range(50)] + [(1001, 1003), (7, 2000), (2000, 2001)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == roots({n for e in links for n in e}, links)
