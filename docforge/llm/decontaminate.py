@@ -6,18 +6,23 @@ weighs its characters. For every benchmark item the document is looked at throug
 item has: the weight of the item's shingles that the window holds, repeats counted, over the item's weight is its
 similarity. THRESHOLD or more is a leak.
 
-Places that hold a shingle of an item are found by a rolling hash over the whole text, compared byte by byte. Every
-window of every item whose hits in the whole text reach THRESHOLD is judged exactly, in one pass over the hits. No
-fingerprint stands before that: a shingle weighs its characters without bound, so that a few round one long word would
-own the fingerprint of a window that they hardly count in. The multi-index of the items' weighted SimHash fingerprints
-(``Benchmark.near``: BLOCKS blocks, RADIUS bits) looks items up; no result depends on it, and it is built when asked for.
+Places that hold a shingle of any item are found by a rolling hash over the whole text. Every item-sized window that ends
+at such a place, and whose known shingles weigh THRESHOLD of the lightest item of that size, gets PRINTS SimHash
+fingerprints of its known shingles: what no item holds counts for no similarity, so a long token between the words of a
+leak owns no fingerprint. A shingle votes with the root of its weight, so that window and item lie at the angle
+arccos(sqrt(similarity)) whatever single shingles weigh; at THRESHOLD that is 9.5 bits of 64 on average (deviation 2.8),
+and all PRINTS are over RADIUS in about one of a million leaks there, and in fewer the more alike they are. Fingerprints
+go through a multi-index of the items: one of BLOCKS blocks differs by RADIUS // BLOCKS bits at most, so values near each
+block are probed and nothing within RADIUS is missed (sizes of few items are compared whole, which is quicker). Every
+item met is then judged exactly, byte by byte, over all its places in the text.
 
 Result per row of documents and item found in it: doc_id, item_id, similarity and start (word) of the best window.
 Defined results: null and empty texts and items match nothing; a text with fewer words than a shingle is one shingle,
 so a shorter item is only found in a document that says just that; a document shorter than an item is one window;
 repeated rows are looked at one by one; items of equal words are all reported; a null item_id stays null; an empty
 documents or benchmark table gives no rows. Of a benchmark of more than SLICE_BYTES, slices go over the documents one
-after the other. Documents are never shuffled, and long ones are hashed PIECE bytes at a time.
+after the other; each is let go before the next is collected. Documents are not shuffled (but by drop_leaks with several
+slices), and long ones are hashed PIECE bytes at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import unicodedata
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import cached_property
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -35,12 +40,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import fresh, resident
+from docforge.llm.common import cut, fresh, resident
 
 WORDS, THRESHOLD = 5, 0.8
-RADIUS, BLOCKS = 24, 4
+PRINTS, RADIUS, BLOCKS = 6, 15, 4
+#: Items of one size that are compared whole instead of through the index.
+DIRECT = 512
 #: Bytes of items that a worker indexes at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 16 << 20
+#: Hits that are looked at a time, and items whose shingles a worker remembers.
+STEP, REMEMBERED = 1024, 1024
 PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -63,15 +72,24 @@ def shingles(words: list[bytes]) -> list[bytes]:
     return [b" ".join(words[i : i + WORDS]) for i in range(len(words) - WORDS + 1)]
 
 
-def signed_bits(some: list[bytes]) -> np.ndarray:
-    """Of each shingle its weight, plus or minus by each bit of its hash."""
-    h = np.fromiter((xxhash.xxh64_intdigest(s) for s in some), "<u8", len(some))
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
-    return (2 * bits - 1) * np.fromiter(map(len, some), np.int32, len(some))[:, None]
+def votes(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of each shingle the root of its weight (in sixteenths), plus or minus by each bit of PRINTS hashes: one row each."""
+    x = hashes[:, None] + np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little").astype(np.int32)
+    return (2 * bits - 1) * np.rint(16 * np.sqrt(weights)).astype(np.int32)[:, None]
 
 
-def _fingerprints(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8")[:, 0]
+def fingerprints(sums: np.ndarray) -> np.ndarray:
+    """PRINTS unsigned 64-bit integers for each row of summed votes."""
+    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8")
+
+
+def flips(bits: int, most: int) -> np.ndarray:
+    """All masks of so many bits with at most so many of them set."""
+    return np.asarray([sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(bits), k)], np.int64)
 
 
 _POWERS: list[np.ndarray] = []
@@ -115,82 +133,157 @@ def rolling(words: list[bytes]) -> np.ndarray:
     return np.concatenate(out) * np.uint64(0xFF51AFD7ED558CCD) if out else np.empty(0, np.uint64)
 
 
+def shingle_sizes(words: list[bytes]) -> np.ndarray:
+    """Bytes of every shingle."""
+    if not words:
+        return np.empty(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    span = min(WORDS, len(words))
+    return ends[span:] - ends[:-span] - 1
+
+
+class MultiIndex:
+    """Finds all fingerprints within RADIUS, in one of PRINTS, of items of one size."""
+
+    WIDTH = 64 // BLOCKS
+    #: Flips of a block that are filed with the items; windows probe the others.
+    FILED = RADIUS // BLOCKS // 2
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        self.lists: list[list[tuple[np.ndarray, np.ndarray]]] = []
+        if len(prints) <= DIRECT:
+            return
+        near, n = flips(self.WIDTH, self.FILED), len(prints)
+        for k in range(PRINTS):
+            self.lists.append([])
+            for b in range(BLOCKS):
+                keys = (self.block(prints[:, k], b)[:, None] ^ near).reshape(-1)
+                order = np.argsort(keys, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=1 << self.WIDTH))])
+                self.lists[-1].append((ends, np.repeat(np.arange(n, dtype=np.int32), len(near))[order]))
+
+    def block(self, prints: np.ndarray, b: int) -> np.ndarray:
+        return ((prints >> np.uint64(self.WIDTH * b)) & np.uint64((1 << self.WIDTH) - 1)).astype(np.int64)
+
+    def near(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all pairs."""
+        n, found = len(self.prints), [np.empty(0, np.int64)]
+        step = 256 if self.lists else max(1, (1 << 20) // max(1, n * PRINTS))
+        for at in range(0, len(windows), step):
+            some = windows[at : at + step]
+            if not self.lists:
+                w, j = np.nonzero((np.bitwise_count(some[:, None, :] ^ self.prints[None, :, :]) <= RADIUS).any(2))
+                found.append((w + at) * n + j)
+                continue
+            for k, lists in enumerate(self.lists):
+                for b, (ends, items) in enumerate(lists):
+                    probes = self.block(some[:, k], b)[:, None] ^ flips(self.WIDTH, RADIUS // BLOCKS - self.FILED)
+                    first, counts = ends[probes].reshape(-1), (ends[probes + 1] - ends[probes]).reshape(-1)
+                    w = np.repeat(np.repeat(np.arange(len(some)), probes.shape[1]), counts)
+                    j = items[np.arange(len(w)) + np.repeat(first - np.cumsum(counts) + counts, counts)]
+                    good = np.bitwise_count(some[w, k] ^ self.prints[j, k]) <= RADIUS
+                    found.append(np.unique((w[good] + at) * n + j[good]))
+        return divmod(np.unique(np.concatenate(found)), max(1, n))
+
+
 class Benchmark:
-    """The items, their shingles and the multi-index, on every worker."""
+    """The items, the hashes of their shingles and the multi-index, on every worker. Arrays: some ten bytes a byte of text."""
 
     def __init__(self, items: list[tuple[object, str]]):
         same: dict[bytes, list[object]] = defaultdict(list)
         for item_id, text in items:
             if words := words_of(text or ""):
                 same[b" ".join(words)].append(item_id)
-        self.ids = list(same.values())
-        self.counts: list[Counter] = []
-        self.weight: list[int] = []
-        self.size: list[int] = []
-        holds: dict[bytes, list[int]] = defaultdict(list)
-        hashed: dict[bytes, int] = {}
-        for j, text in enumerate(same):
+        self.ids, self.texts = list(same.values()), list(same)
+        n = len(self.texts)
+        self.weight, self.size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.prints, hashed = np.zeros((n, PRINTS), np.uint64), [np.empty(0, np.uint64)]
+        for j, text in enumerate(self.texts):
             words = text.split()
-            own = shingles(words)
-            self.counts.append(Counter(own))
-            self.size.append(len(own))
-            self.weight.append(sum(map(len, own)))
-            hashed.update(zip(own, rolling(words).tolist()))
-            for s in self.counts[-1]:
-                holds[s].append(j)
-        self.holds = dict(holds)
-        self.known = np.unique(np.fromiter(hashed.values(), np.uint64, len(hashed)))
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.known >> np.uint64(44)).astype(np.int64)] = True
-
-    @cached_property
-    def prints(self) -> np.ndarray:
-        return np.asarray([_fingerprints(signed_bits(list(c.elements())).sum(0, keepdims=True))[0] for c in self.counts], np.uint64)
-
-    @cached_property
-    def by_size(self) -> dict[int, list]:
-        sizes, out = np.asarray(self.size), {}
-        for n in set(self.size):
-            own = np.flatnonzero(sizes == n)
-            out[n] = [np.unique(self._block(self.prints[own], b), return_inverse=True) for b in range(BLOCKS)] + [own]
-        return out
-
-    @staticmethod
-    def _block(prints: np.ndarray, b: int) -> np.ndarray:
-        width = 64 // BLOCKS
-        return (prints >> np.uint64(width * b)) & np.uint64((1 << width) - 1)
+            own, weights = rolling(words), shingle_sizes(words)
+            self.size[j], self.weight[j] = len(own), weights.sum()
+            sums = np.zeros((1, 64 * PRINTS), np.int64)
+            for at in range(0, len(own), STEP):
+                sums += votes(own[at : at + STEP], weights[at : at + STEP]).sum(0, dtype=np.int64)
+            self.prints[j] = fingerprints(sums)[0]
+            hashed.append(np.unique(own))
+        self.known = np.unique(np.concatenate(hashed))
+        self.shift = np.uint64(64 - min(27, max(16, (16 * len(self.known)).bit_length())))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[(self.known >> self.shift).astype(np.int64)] = True
+        self.sizes, self.of_size = np.unique(self.size, return_inverse=True)
+        self.lightest = np.full(len(self.sizes), np.iinfo(np.int64).max)
+        np.minimum.at(self.lightest, self.of_size, self.weight)
+        self.indexes: dict[int, tuple[np.ndarray, MultiIndex]] = {}
+        self.counted: dict[int, tuple[np.ndarray, Counter]] = {}
 
     def near(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all fingerprints within RADIUS, of items of that size."""
-        *index, own = self.by_size[size]
-        met = np.zeros((len(prints), len(own)), bool)
-        for b, (values, back) in enumerate(index):
-            close = np.bitwise_count(self._block(prints, b)[:, None] ^ values[None, :]) <= RADIUS // BLOCKS
-            met |= close[:, back]
-        w, k = np.nonzero(met)
-        good = np.bitwise_count(prints[w] ^ self.prints[own[k]]) <= RADIUS
-        return w[good], own[k[good]]
+        if size not in self.indexes:
+            own = np.flatnonzero(self.size == size)
+            self.indexes[size] = own, MultiIndex(self.prints[own])
+        own, index = self.indexes[size]
+        w, k = index.near(prints)
+        return w, own[k]
+
+    def candidates(self, at: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> set[int]:
+        """Items whose fingerprint lies near that of an item-sized window that ends at a hit. at: places of the hits."""
+        out: set[int] = set()
+        total = np.concatenate([[0], np.cumsum(weights)])
+        for low in range(0, len(at), STEP):
+            ends = np.arange(low, min(len(at), low + STEP))
+            starts = np.searchsorted(at, at[ends, None] - self.sizes[None, :] + 1)
+            e, d = np.nonzero(total[ends + 1, None] - total[starts] >= THRESHOLD * self.lightest)
+            if not len(e):
+                continue
+            first = starts[e, d]
+            base = int(first.min())
+            ranges, back = np.unique(first * (len(at) + 1) + ends[e], return_inverse=True)
+            a, b = divmod(ranges, len(at) + 1)
+            sums = np.zeros((int(ends[-1]) + 2 - base, 64 * PRINTS), np.int64)
+            np.cumsum(votes(hashes[base : ends[-1] + 1], weights[base : ends[-1] + 1]), axis=0, out=sums[1:])
+            prints = np.concatenate([fingerprints(sums[b[x : x + STEP] + 1 - base] - sums[a[x : x + STEP] - base]) for x in range(0, len(a), STEP)])
+            for k in np.unique(d).tolist():
+                out.update(self.near(prints[np.unique(back[d == k])], int(self.sizes[k]))[1].tolist())
+        return out
+
+    def shingles_of(self, j: int) -> tuple[np.ndarray, Counter]:
+        """An item's shingles: hashes, and how often each comes."""
+        if j not in self.counted:
+            if len(self.counted) >= REMEMBERED:
+                self.counted.clear()
+            words = self.texts[j].split()
+            self.counted[j] = np.unique(rolling(words)), Counter(shingles(words))
+        return self.counted[j]
 
     def leaks(self, text: str) -> list[tuple[int, float, int]]:
         """(item, similarity, start) of each item found."""
         words = words_of(text)
         h = rolling(words)
-        at = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)]) if len(self.known) else []
+        at = np.flatnonzero(self.seen[(h >> self.shift).astype(np.int64)]) if len(self.known) else []
         if not len(at):
             return []
         near = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
+        at = at[self.known[near] == h[at]]
+        if not len(at):
+            return []
+        met = self.candidates(at, h[at], shingle_sizes(words)[at])
         shingle = (lambda i: b" ".join(words[i : i + WORDS])) if len(words) >= WORDS else (lambda i: b" ".join(words))
-        hits: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
-        for i in at[self.known[near] == h[at]].tolist():
-            for j in self.holds.get(s := shingle(i), ()):
-                hits[j].append((i, s))
-        passed = [j for j, places in hits.items() if sum(min(n, self.counts[j][s]) * len(s) for s, n in Counter(s for _, s in places).items()) >= THRESHOLD * self.weight[j]]
-        return [(j, *found) for j in sorted(passed) if (found := self._best(j, hits[j]))[0] >= THRESHOLD]
+        out = []
+        for j in sorted(met):
+            own, counts = self.shingles_of(j)
+            places = [(i, s) for i in at[np.isin(h[at], own)].tolist() if (s := shingle(i)) in counts]
+            if sum(min(n, counts[s]) * len(s) for s, n in Counter(s for _, s in places).items()) >= THRESHOLD * self.weight[j]:
+                similarity, start = self._best(j, places)
+                if similarity >= THRESHOLD:
+                    out.append((j, similarity, start))
+        return out
 
     def _best(self, j: int, places: list[tuple[int, bytes]]) -> tuple[float, int]:
         """(similarity, start) of the item's best window, the first of equal ones. A window gains only where its end
         meets a hit, so one window a hit is enough."""
-        n, counts, held, weight, tail = self.size[j], self.counts[j], Counter(), 0, 0
+        n, counts, held, weight, tail = int(self.size[j]), self.shingles_of(j)[1], Counter(), 0, 0
         best = (0, 0)
         for i, s in places:
             start = max(0, i - n + 1)
@@ -203,12 +296,12 @@ class Benchmark:
             weight += len(s) if held[s] <= counts[s] else 0
             if weight > best[0]:
                 best = (weight, start)
-        return best[0] / self.weight[j], best[1]
+        return best[0] / int(self.weight[j]), best[1]
 
 
-def leaks_of(df: DataFrame, items: list[tuple[object, str]], kind: str, text: str) -> Column:
-    """array<struct<item_id, similarity, start>> of a text column."""
-    shared, name = df.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+def leaks_of(shared, kind: str, text: str) -> Column:
+    """struct<item_id, similarity, start> of arrays, of a text column. shared: a broadcast of items."""
+    name = uuid.uuid4().hex
 
     @F.pandas_udf(f"item_id array<{kind}>, similarity array<double>, start array<bigint>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -220,21 +313,27 @@ def leaks_of(df: DataFrame, items: list[tuple[object, str]], kind: str, text: st
     return find.asNondeterministic()(F.col(text))  # else a filter on its result runs it once more
 
 
-def slices_of(benchmark: DataFrame, item_id: str, text: str, most: int = SLICE_BYTES) -> Iterator[list[tuple[object, str]]]:
-    """The items, collected in parts of about that many bytes."""
+def slices_of(benchmark: DataFrame, text: str, most: int) -> list[DataFrame]:
+    """The items in parts of about that many bytes; not yet collected."""
     size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, -(-size // most))
-    for k in range(n):
-        part = benchmark.where(F.pmod(F.xxhash64(text), F.lit(n)) == k) if n > 1 else benchmark
-        yield [tuple(r) for r in part.select(item_id, text).collect()]
+    return [benchmark.where(F.pmod(F.xxhash64(text), F.lit(n)) == k) for k in range(n)] if n > 1 else [benchmark]
+
+
+def broadcast_items(part: DataFrame, item_id: str, text: str):
+    return part.sparkSession.sparkContext.broadcast([tuple(r) for r in part.select(item_id, text).collect()])
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     kind = benchmark.schema[item_id].dataType.simpleString()
-    out = None
-    for items in slices_of(benchmark, item_id, item_text, slice_bytes):
-        found = df.select(F.col(doc_id).alias("doc_id"), leaks_of(df, items, kind, text).alias("p")).where(F.size("p.item_id") > 0)
+    parts, out = slices_of(benchmark, item_text, slice_bytes), None
+    for part in parts:
+        shared = broadcast_items(part, item_id, item_text)
+        found = df.select(F.col(doc_id).alias("doc_id"), leaks_of(shared, kind, text).alias("p")).where(F.size("p.item_id") > 0)
         rows = found.select("doc_id", F.explode(F.arrays_zip("p.item_id", "p.similarity", "p.start")).alias("z")).select("doc_id", "z.item_id", "z.similarity", "z.start")
+        if len(parts) > 1:
+            rows = cut(rows)
+            shared.destroy()
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -242,10 +341,18 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """df without the documents that hold an item."""
     kind = benchmark.schema[item_id].dataType.simpleString()
-    for items in slices_of(benchmark, item_id, item_text, slice_bytes):
-        name = fresh(df, "_leaks")
-        df = df.withColumn(name, leaks_of(df, items, kind, text)).where(F.size(f"{name}.item_id") == 0).drop(name)
-    return df
+    parts = slices_of(benchmark, item_text, slice_bytes)
+    name = fresh(df, "_leaks")
+    if len(parts) == 1:
+        shared = broadcast_items(parts[0], item_id, item_text)
+        return df.withColumn(name, leaks_of(shared, kind, text)).where(F.size(f"{name}.item_id") == 0).drop(name)
+    leaky = None
+    for part in parts:
+        shared = broadcast_items(part, item_id, item_text)
+        found = cut(df.select(F.col(text).alias("text"), leaks_of(shared, kind, text).alias("p")).where(F.size("p.item_id") > 0).select(F.sha2("text", 256).alias(name)).distinct())
+        shared.destroy()
+        leaky = found if leaky is None else leaky.unionByName(found)
+    return df.withColumn(name, F.sha2(F.col(text), 256)).join(leaky.distinct(), name, "left_anti").drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -232,14 +232,57 @@ def test_items_of_unspaced_scripts_and_other_punctuation(item):
     assert own.leaks(around) == []
 
 
-def test_multi_index_finds_all_within_radius():
+@pytest.mark.parametrize("direct", [0, decontaminate.DIRECT])
+def test_multi_index_finds_all_within_radius(monkeypatch, direct):
+    """Flips of RADIUS bits in any one of the fingerprints, by the index and by comparing whole fingerprints."""
+    monkeypatch.setattr(decontaminate, "DIRECT", direct)
     own = decontaminate.Benchmark([(i, prose(i, 20)) for i in range(50)])
-    size = own.size[0]
+    size = int(own.size[0])
     rng = random.Random(2)
-    for j in own.by_size[size][-1].tolist():
-        flips = sum(1 << b for b in rng.sample(range(64), decontaminate.RADIUS))
-        _, items = own.near(np.asarray([int(own.prints[j]) ^ flips], np.uint64), size)
-        assert j in items
+    for j in np.flatnonzero(own.size == size).tolist():
+        k = rng.randrange(decontaminate.PRINTS)
+        window = ~own.prints[j]
+        window[k] = own.prints[j, k] ^ np.uint64(sum(1 << b for b in rng.sample(range(64), decontaminate.RADIUS)))
+        assert j in own.near(window[None, :], size)[1]
+
+
+def test_multi_index_equals_all_comparisons_and_is_quicker():
+    import time
+
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 64, (20_000, decontaminate.PRINTS), dtype=np.uint64)
+    windows = prints[:512] ^ (np.uint64(1) << rng.integers(0, 64, (512, decontaminate.PRINTS), dtype=np.uint64))
+    index = decontaminate.MultiIndex(prints)
+    assert index.lists
+    began = time.process_time()
+    w, j = index.near(windows)
+    took = time.process_time() - began
+    began = time.process_time()
+    want = [np.flatnonzero((np.bitwise_count(x ^ prints) <= decontaminate.RADIUS).any(1)) for x in windows]
+    direct = time.process_time() - began
+    assert sorted(zip(w.tolist(), j.tolist())) == [(i, k) for i, x in enumerate(want) for k in x.tolist()]
+    assert took < direct
+
+
+@pytest.mark.parametrize(("words", "tokens"), [(9, 1), (12, 1), (60, 1), (300, 1), (60, 200)])
+def test_recall_at_the_threshold_of_fingerprints(words, tokens):
+    """Items damaged until they are barely alike enough, some with tokens of very different lengths: none is missed."""
+    rng, missed, leaks = random.Random(words), 0, 0
+    for trial in range(250):
+        item = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9) if rng.random() < 0.9 else rng.randint(1, tokens) + 8)) for _ in range(words)]
+        parts = Counter(decontaminate.shingles(decontaminate.words_of(" ".join(item))))
+        copy, held = list(item), 1.0
+        for k in rng.sample(range(words), words):
+            changed = [*copy[:k], "zz" + "y" * rng.choice([1, 5, 300]), *copy[k + 1 :]]
+            own = Counter(decontaminate.shingles(decontaminate.words_of(" ".join(changed))))
+            now = sum(min(n, own[s]) * len(s) for s, n in parts.items()) / sum(len(s) * n for s, n in parts.items())
+            if now < decontaminate.THRESHOLD:
+                break
+            copy, held = changed, now
+        found = decontaminate.Benchmark([(1, " ".join(item)), (2, prose(trial, 60))]).leaks(f"{prose(1, 30)} {' '.join(copy)} {prose(2, 30)}")
+        leaks += 1
+        missed += 0 not in [j for j, *_ in found]
+    assert leaks == 250 and missed == 0
 
 
 def test_rolling_hash_in_pieces(monkeypatch):
