@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docforge.llm import chat_format, url_filter
-from docforge.llm.url_filter import RULES, SOFT, SOFT_HITS, STRICT
+from docforge.llm.url_filter import LIMIT, RULES, VOCABULARY
 
 from tests.llm.fixtures import save
 
@@ -92,7 +92,7 @@ def judged(url):
     fit = max((r for r in RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])), key=lambda r: len(r[1] + r[2]), default=None)
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in url or "")
     has = lambda t: re.search(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", low)
-    bad = any(map(has, STRICT)) or sum(map(bool, map(has, SOFT))) >= SOFT_HITS
+    bad = sum(w for t, w in VOCABULARY.items() if has(t)) >= LIMIT
     return host, path, fit[1] + fit[2] if fit else None, fit[0] if fit else "block" if bad else "allow"
 
 
@@ -105,6 +105,21 @@ def test_urls_against_plain_python(spark):
     assert got == {i: judged(u) for i, u in enumerate([*URLS, *URLS])}
 
 
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, "http://a.net/porn", "a", "b", 5)], "page_id bigint, url string, _hits string, _rule_verdict string, _Hits_ int")
+    r = url_filter.judge_urls(df).first()
+    assert (r.page_id, r._hits, r._rule_verdict, r["_Hits_"], r.verdict, r.weight) == (1, "a", "b", 5, "block", LIMIT)
+
+
+def test_own_vocabulary(spark, tmp_path):
+    (tmp_path / "terms.csv").write_text("term,weight\nFoo,3\nbar,1\nbar,2\nbaz,1\n,9\nzero,0\n")
+    terms = url_filter.read_vocabulary(spark, str(tmp_path))
+    assert terms == {"foo": 3, "bar": 2, "baz": 1}
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(["http://n.net/foo", "http://n.net/bar", "http://n.net/bar-baz", "http://n.net/bar/bar", "http://n.net/food"])], "page_id int, url string")
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(df, vocabulary=terms, limit=3).collect()} == {0: "block", 1: "allow", 2: "block", 3: "allow", 4: "allow"}
+    assert {r.verdict for r in url_filter.judge_urls(df, vocabulary={}).collect()} == {"allow"}
+
+
 @pytest.mark.parametrize("n", [0])
 def test_no_pages(spark, n):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id bigint, url string")).count() == n
