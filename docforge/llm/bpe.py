@@ -4,7 +4,8 @@ A pair of bytes that occurs inside no token of the vocabulary can never be merge
 certain cut. A table of 65,536 bits marks those pairs. Words (the matches of the split pattern) are cut wherever the
 table says so, each fragment is merged on its own, and the ids are concatenated; fragments and words are remembered.
 Whole texts are cut the same way before the pattern runs, at pairs (byte, space) that are forced and where the pattern
-provably begins a match (see vocab.py), so that no step depends on the length of a text.
+provably begins a match (see vocab.py); a text with other white space beside a space goes through the pattern whole, in
+time and memory in proportion to it.
 
 Special strings of the file are taken first, as the library does by default. Decoding concatenates the tokens' bytes
 and reads them as UTF-8, with U+FFFD for what isn't.
@@ -29,21 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docforge.llm.common import resident
-from docforge.llm.vocab import BYTE_BPE, WordCache, splits_at_spaces, tokenizer_path
+from docforge.llm.vocab import BYTE_BPE, WordCache, byte_letters, forced_pairs, splits_at_spaces, tokenizer_path
 
 #: Fixed value: the split pattern of byte-level BPE files that say use_regex.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-REMEMBERED_PARTS = 100_000
+REMEMBERED_PARTS, REMEMBERED_WORDS = 100_000, 250_000
 SCAN = 48  # longer fragments are merged with a heap
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in vocabulary files: itself if printable, else the next one from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class ForcedBoundaryBPE:
     def __init__(self, name: str = BYTE_BPE):
         with open(tokenizer_path(name), encoding="utf-8") as f:
@@ -65,17 +59,12 @@ class ForcedBoundaryBPE:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocab[a] << 32 | vocab[b]] = len(self.made)
             self.made.append(vocab[a + b])
-        self.forced = np.ones(1 << 16, bool)
-        for token in self.tokens:
-            if len(token) > 1:
-                b = np.frombuffer(token, np.uint8).astype(np.int64)
-                self.forced[b[:-1] << 8 | b[1:]] = False
-        self.forced_bytes = self.forced.tobytes()
+        self.forced_bytes = forced_pairs(self.tokens).tobytes()
         self.by_words = splits_at_spaces(name)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.parts: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.cache = WordCache(lambda texts: list(map(self.encode_plain, texts)), lambda words: [self.encode_plain(f" {w}") for w in words], self.by_words)
+        self.cache = WordCache(lambda texts: list(map(self.encode_plain, texts)), lambda words: [self.encode_plain(f" {w}") for w in words], self.by_words, REMEMBERED_WORDS)
 
     def merge(self, fragment: bytes) -> bytes:
         """Ids of a fragment that has no certain cut."""

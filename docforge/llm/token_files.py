@@ -7,7 +7,7 @@ Every id takes the fewest bits that the vocabulary needs. A file is a run of blo
 
 ``first`` is the position of the block's first id in its shard, ``offsets`` are the documents' places in the block, and
 id i of a block lies at bit i * width of the payload (bit 0 is a byte's lowest), so any run of ids is unpacked on its
-own, by numpy. A document is never divided between blocks. Shards are ranges of ascending doc_id; Spark's text writer
+own, by numpy; ``index_token_files`` lists blocks for that. A document is never divided between blocks. Shards are ranges of ascending doc_id; Spark's text writer
 stores the blocks, so writes go to any file system that Spark knows and are committed once, whatever tasks are retried.
 
 Defined results: a null text counts as empty (only the end id); null doc_ids come first; rows of equal doc_id stand
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docforge.llm.common import cut, partitions, remove, scratch, slices, texts_of
-from docforge.llm.vocab import BYTE_BPE, cached_library, library
+from docforge.llm.vocab import BYTE_BPE, cached_library, vocabulary_size
 
 MAGIC, HEAD = b"TKB1", struct.Struct("<4sB3xIIQQQ")
 END_ID = 0
@@ -67,6 +67,12 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
     return out
 
 
+def unpack_from_bit(part: bytes, width: int, bit: int, count: int) -> np.ndarray:
+    """count ids that begin at that bit of a part of a payload."""
+    bits = np.unpackbits(np.frombuffer(part, np.uint8), bitorder="little")[bit : bit + count * width].reshape(count, width)
+    return (bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(1, dtype=np.uint64).astype("<u4")
+
+
 def make_block(shard: int, first: int, docs: list[int | None], ids: list[np.ndarray], width: int) -> bytes:
     offsets = np.cumsum([0, *map(len, ids)], dtype="<u8")
     payload = pack(np.concatenate(ids), width)
@@ -74,6 +80,11 @@ def make_block(shard: int, first: int, docs: list[int | None], ids: list[np.ndar
     return HEAD.pack(MAGIC, width, shard, len(docs), first, int(offsets[-1]), len(payload)) + np.asarray([d or 0 for d in docs], "<i8").tobytes() + null.tobytes() + offsets.tobytes() + payload
 
 
+def head_size(n_docs: int) -> int:
+    """Bytes of a block before its payload."""
+    return HEAD.size + 17 * n_docs + 8
+
+
 def blocks_of(content: bytes) -> Iterator[tuple[int, int, int, list[int | None], np.ndarray, memoryview]]:
     """(shard, first, width, doc ids, offsets, payload) of each block of a file."""
     at, view = 0, memoryview(content)
@@ -96,7 +107,7 @@ def write_token_files(df: DataFrame, path: str, doc_id: str = "doc_id", text: st
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, first = TaskContext.get().partitionId(), 0
         words = cached_library(tokenizer)
-        width = width_of(library(tokenizer).get_vocab_size(with_added_tokens=True))
+        width = width_of(vocabulary_size(tokenizer))
         end = np.asarray([end_id], "<u4").tobytes()
         docs: list[int | None] = []
         ids: list[np.ndarray] = []
@@ -131,19 +142,56 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(digest, "shard int, place bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
-    """Ids of the rows of one document: only its own fields are unpacked."""
+def index_path(path: str) -> str:
+    return path.rstrip("/") + ".blocks"
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            for shard, first, width, docs, offsets, payload in blocks_of(batch.column(0)[0].as_py()):
-                for k, own in enumerate(docs):
-                    if own == doc_id:
-                        a, b = int(offsets[k]), int(offsets[k + 1])
-                        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([first + a], pa.int64()), pa.array([unpack(payload, width, a, b - a).tolist()], pa.list_(pa.int64()))], ["shard", "place", "ids"])
 
+def index_token_files(spark: SparkSession, path: str) -> None:
+    """Writes the index of the files beside them: a row a block with its file, place and bytes, and the ids it holds."""
+
+    def list_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            file, content, at = batch.column(0)[0].as_py(), batch.column(1)[0].as_py(), 0
+            for shard, first, _, docs, _, payload in blocks_of(content):
+                size = head_size(len(docs)) + len(payload)
+                named = [d for d in docs if d is not None]
+                row = [file, at, size, shard, first, len(docs), min(named, default=None), max(named, default=None), len(named) < len(docs)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()])], names)
+                at += size + 1
+
+    names = ["file", "at", "size", "shard", "first", "n_docs", "least", "most", "has_null"]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return [r.ids for r in files.select("content").mapInArrow(find, "shard int, place bigint, ids array<bigint>").orderBy("shard", "place").collect()]
+    rows = files.select("path", "content").mapInArrow(list_blocks, "file string, at bigint, size bigint, shard int, first bigint, n_docs bigint, least bigint, most bigint, has_null boolean")
+    rows.write.mode("overwrite").parquet(index_path(path))
+
+
+def read_bytes(spark: SparkSession, file: str, at: int, count: int) -> bytes:
+    """That part of a file, by the file system that its scheme names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        stream.seek(at)
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, count))
+    finally:
+        stream.close()
+
+
+def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
+    """Ids of the rows of one document, by the index (index_token_files): of each block that may hold it the head is read,
+    and of the payload only the document's own bytes."""
+    found = []
+    for block in spark.read.parquet(index_path(path)).where((F.col("least") <= doc_id) & (F.col("most") >= doc_id)).orderBy("shard", "first").toLocalIterator():
+        head = read_bytes(spark, block.file, block.at, head_size(block.n_docs))
+        _, width, _, n, _, _, size = HEAD.unpack_from(head)
+        docs = np.frombuffer(head, "<i8", n, HEAD.size)
+        null = np.frombuffer(head, np.uint8, n, HEAD.size + 8 * n)
+        offsets = np.frombuffer(head, "<u8", n + 1, HEAD.size + 9 * n).astype(np.int64)
+        for k in np.flatnonzero((docs == doc_id) & (null == 0)).tolist():
+            a, b = int(offsets[k]), int(offsets[k + 1])
+            low, high = a * width // 8, min(size, (b * width + 7) // 8)
+            part = read_bytes(spark, block.file, block.at + len(head) + low, high - low)
+            found.append(unpack_from_bit(part, width, a * width - 8 * low, b - a).tolist())
+    return found
 
 
 def with_starts(read: DataFrame) -> DataFrame:

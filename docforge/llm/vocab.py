@@ -4,6 +4,11 @@ A single space between two characters that are not white space is a proven place
 usual split pattern: no match of the pattern that holds a non-space character goes on over a space, and a match that
 starts at the space depends on nothing before it. ``WordCache`` cuts a text there, lets the library encode the words it
 has not met, and joins the ids.
+
+So are other places (``proven_places``): where a letter, digit or ASCII sign is followed by a blank or line end, and where
+letters, digits and ASCII signs meet, but behind an apostrophe, which may begin a contraction: every match ends there,
+and what begins there depends on nothing before it. Between two letters it is one if no token holds the two bytes that
+meet there. No place inside a special string is one.
 """
 
 from __future__ import annotations
@@ -11,14 +16,16 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import regex
 
 from docforge.llm.common import resident
 
 BYTE_BPE = "byte_bpe_50k.json"
-#: Words that a worker remembers (some 150 bytes each); others are encoded each time.
-REMEMBERED = 500_000
+#: Words that a worker remembers (some 150 bytes each): when so many are, those not met again since go with the next so many.
+REMEMBERED = 600_000
 #: Characters of a text that are split into words at a time.
 FRAGMENT = 1 << 20
 #: More than what any of the libraries takes for white space.
@@ -35,11 +42,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Where classes of characters meet, one character back and one ahead (see above).
+_MEET = regex.compile(r"(?<=[\p{L}\p{N}!-/:-@\[-`{-~])(?=[ \n\t])|(?<=\p{L})(?=[\p{N}!-/:-@\[-`{-~])|(?<=\p{N})(?=[\p{L}!-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[\p{L}\p{N}])")
+
 _LOADED: dict[str, object] = {}
 
 
+def is_piece_model(name: str) -> bool:
+    return name.endswith(".model")
+
+
 def library(name: str):
-    """The tokenizers library on that file; one thread, as Spark runs a worker for each core."""
+    """The library of that file: sentencepiece for .model, else tokenizers; one thread, as Spark runs a worker for each core."""
+    if name not in _LOADED and is_piece_model(name):
+        from sentencepiece import SentencePieceProcessor
+
+        _LOADED[name] = SentencePieceProcessor(model_file=tokenizer_path(name))
     if name not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -51,8 +69,15 @@ def library(name: str):
     return _LOADED[name]
 
 
+def vocabulary_size(name: str) -> int:
+    own = library(name)
+    return own.get_piece_size() if is_piece_model(name) else own.get_vocab_size(with_added_tokens=True)
+
+
 def splits_at_spaces(name: str) -> bool:
     """Whether the file is a byte-level BPE for which the proof above holds."""
+    if is_piece_model(name):
+        return False
     with open(tokenizer_path(name), encoding="utf-8") as f:
         conf = json.load(f)
     split = conf.get("pre_tokenizer") or {}
@@ -60,6 +85,45 @@ def splits_at_spaces(name: str) -> bool:
     return conf["model"]["type"] == "BPE" and not conf.get("normalizer") and not conf.get("post_processor") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and plain
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in vocabulary files: itself if printable, else the next one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def forced_pairs(tokens: list[bytes]) -> np.ndarray:
+    """For each pair of bytes (first << 8 | second) whether no token holds it, so that nothing is merged over it."""
+    forced = np.ones(1 << 16, bool)
+    for token in tokens:
+        if len(token) > 1:
+            b = np.frombuffer(token, np.uint8).astype(np.int64)
+            forced[b[:-1] << 8 | b[1:]] = False
+    return forced
+
+
+_FORCED: dict[str, bytes] = {}
+
+
+def forced_of(name: str) -> bytes:
+    if name not in _FORCED:
+        letters = byte_letters()
+        _FORCED[name] = forced_pairs([bytes(letters[c] for c in t) for t in library(name).get_vocab(with_added_tokens=False) if all(c in letters for c in t)]).tobytes()
+    return _FORCED[name]
+
+
+def proven_places(text: str, start: int, end: int, forced: bytes, special: list[str]) -> Iterator[int]:
+    """Places of text[start:end] (with a character before and behind) where it is proven that a token begins."""
+    inside = lambda p: any(text.find(s, max(0, p - len(s) + 1), p + len(s) - 1) >= 0 for s in special)
+    for m in _MEET.finditer(text, start + 1, end - 1):
+        if m.start() > start + 1 and not inside(m.start()):  # the pattern sees nothing before its start
+            yield m.start()
+    for p in range(start + 1, end - 1):
+        a, b = text[p - 1], text[p]
+        if a.isalpha() and b.isalpha() and forced[a.encode()[-1] << 8 | b.encode()[0]] and not inside(p):
+            yield p
+
+
 def fragments(text: str, size: int = FRAGMENT) -> list[str]:
     """The text cut at safe spaces, which stay at the head of the next piece; pieces are a little over size."""
     out, at = [], 0
@@ -77,12 +141,14 @@ def single_spaced(text: str) -> bool:
 class WordCache:
     """Ids, as little-endian unsigned 32-bit integers, of whole texts; what is new goes to encode(list of strings).
 
-    word_ids(list of words) gives the ids of each word behind a space.
+    word_ids(list of words) gives the ids of each word behind a space. Words are kept in two generations of ``most``: a
+    full one becomes the old one, and words of the old one that are met again move to the new.
     """
 
-    def __init__(self, encode, word_ids, by_words: bool = True):
-        self.encode, self.word_ids, self.by_words = encode, word_ids, by_words
+    def __init__(self, encode, word_ids, by_words: bool = True, most: int = REMEMBERED):
+        self.encode, self.word_ids, self.by_words, self.most = encode, word_ids, by_words, most
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str] | None:
         """The words between single spaces; None for a text that has other white space beside a space."""
@@ -97,27 +163,39 @@ class WordCache:
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self.encode(texts)
+        if len(self.known) >= self.most:
+            self.known, self.old = {}, self.known
         split = list(map(self.split, texts))
         words: set[str] = set()
         for parts in split:
             if parts is not None:
                 words.update(parts[1:])
-        new = list(words.difference(self.known))
-        found = dict(zip(new, self.word_ids(new)))
-        if len(self.known) + len(found) <= REMEMBERED:
-            self.known.update(found)
-            get = self.known.__getitem__
-        else:
-            def get(w, known=self.known.get):
-                return known(w) or found[w]
+        known = self.known
+        words.difference_update(known)
+        known.update((w, self.old[w]) for w in words & self.old.keys())
+        new = list(words.difference(known))
+        known.update(zip(new, self.word_ids(new)))
+        get = known.__getitem__
         heads = iter(self.encode([text if parts is None else parts[0] for text, parts in zip(texts, split)]))
         return [next(heads) + (b"".join(map(get, parts[1:])) if parts else b"") for parts in split]
 
 
-def cached_library(name: str) -> WordCache:
+class PieceLibrary:
+    """The same of a sentencepiece model, which has no proven places: whole texts."""
+
+    def __init__(self, own):
+        self.own = own
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(ids, "<u4").tobytes() for ids in self.own.encode(texts, num_threads=1)]
+
+
+def cached_library(name: str) -> WordCache | PieceLibrary:
     """The ids that the library gives (no special tokens added, special strings inside texts by its default)."""
 
-    def build() -> WordCache:
+    def build() -> WordCache | PieceLibrary:
+        if is_piece_model(name):
+            return PieceLibrary(library(name))
         own, by_words = library(name), splits_at_spaces(name)
         size = np.zeros(own.get_vocab_size(with_added_tokens=True), np.int64)
         special = {t.content for t in own.get_added_tokens_decoder().values()}

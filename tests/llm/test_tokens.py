@@ -92,6 +92,7 @@ def test_token_files(spark, tmp_path):
     assert [r.start for r in ordered] == np.cumsum([0, *(r.n_tokens for r in ordered[:-1])]).tolist()
     named = [r.doc_id for r in ordered]
     assert named[0] is None and named[1:] == sorted(named[1:])
+    token_files.index_token_files(spark, path)
     assert token_files.read_document(spark, path, 120) == [[*ids_of(prose(120, 30)), 0]]
     assert len(token_files.read_document(spark, path, 4)) == 2
 
@@ -108,3 +109,67 @@ def test_ids_do_not_depend_on_fragments(monkeypatch):
     monkeypatch.setattr("docforge.llm.vocab.FRAGMENT", 50)
     texts = [prose(9, 200), *strings(50, 60, 7)]
     assert [len(x) // 4 for x in cached_library(BYTE_BPE).ids(texts)] == [len(ids_of(t)) for t in texts]
+
+
+class Counting:
+    """The library, counting the characters that it is given."""
+
+    def __init__(self):
+        self.own, self.characters = library(BYTE_BPE), 0
+
+    def encode(self, text, **more):
+        self.characters += len(text)
+        return self.own.encode(text, **more)
+
+    def __getattr__(self, name):
+        return getattr(self.own, name)
+
+
+def unspaced(kind, n):
+    rng = random.Random(1)
+    if kind == "base64":
+        return "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    if kind == "han":
+        return "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    return {"one letter": "a" * n, "code": "a.b(c){d=e;f['g']='h'}" * (n // 22), "signs": "=-" * (n // 2), "special": "<|endoftext|>x'll" * (n // 17), "blanks": " " * n, "letters": "abcdefg" * (n // 7)}[kind]
+
+
+@pytest.mark.parametrize("kind", ["base64", "han", "one letter", "code", "signs", "special", "blanks", "letters"])
+def test_counting_is_linear_without_spaces(kind):
+    for n in (20_000, 40_000):
+        text, own = unspaced(kind, n), Counting()
+        assert token_counts.count_huge(text, own, 1000, 64) == len(ids_of(text))
+        assert own.characters <= 8 * len(text)
+
+
+def test_proven_places_begin_tokens():
+    """Text encoded in two at a proven place gives the ids of the whole."""
+    from docforge.llm.vocab import forced_of, proven_places
+
+    rng = random.Random(4)
+    for text in [*strings(300, 12, 11), "x's 'll a'b 'sam ''re", "<|endoftext|>a<|endoftext|>", unspaced("han", 60)]:
+        for p in rng.sample(places, min(6, len(places))) if (places := list(proven_places(text, 0, len(text), forced_of(BYTE_BPE), ["<|endoftext|>"]))) else []:
+            assert ids_of(text[:p]) + ids_of(text[p:]) == ids_of(text), (text, p)
+
+
+def test_piece_models_count_and_write(spark, tmp_path):
+    from docforge.llm.vocab import tokenizer_path
+
+    from sentencepiece import SentencePieceProcessor
+
+    own = SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    rows = [r for r in AWKWARD if r[0] != 6]
+    df = documents(spark, rows)
+    want = sorted((str(i), len(own.encode(t or ""))) for i, t, _ in rows)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in token_counts.count_tokens(df, tokenizer="piece_bpe_32k.model").collect()) == want
+    token_files.write_token_files(df, f"file://{tmp_path}/pieces", tokenizer="piece_bpe_32k.model", end_id=2)
+    assert sorted((str(r.doc_id), r.n_tokens - 1) for r in token_files.read_token_files(spark, f"file://{tmp_path}/pieces").collect()) == want
+
+
+def test_words_met_again_stay_known(monkeypatch):
+    own = cached_library(BYTE_BPE)
+    for name, value in (("most", 3), ("known", {}), ("old", {})):
+        monkeypatch.setattr(own, name, value)
+    for text in [*(prose(i, 12) for i in range(30)), "the same words the same words"]:
+        assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == ids_of(text)
+        assert len(own.known) + len(own.old) < 40
