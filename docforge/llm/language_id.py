@@ -9,9 +9,11 @@ WINDOW letters, so that thousands of windows step through the automaton together
 with it, in all languages alike.
 
 The automata are fitted on a bounded sample of labelled rows, the documented parameters of ``fit``: of every labelled
-language the SAMPLE_DOCS documents with the least hashes of their ids, at most
-SAMPLE_CHARS characters of each and LEARN_CHARS in all. Counting languages reads all rows. Rows whose crc32(doc_id as
-text) mod 5 is 0 are held out and never learned from, nor are rows without language, id or text.
+language the SAMPLE_DOCS documents with the least hashes of their ids, at most SAMPLE_CHARS characters of each and
+LEARN_CHARS in all; only documents with a letter there are counted and drawn from. Counting languages reads all rows.
+Rows whose crc32(doc_id as text) mod 5 is 0 are held out and never learned from, nor are rows without language, id or
+text. An automaton is a table of states by letters where that is small, else (scripts of thousands of letters) a hash
+table of its edges, which are fewer than three a character learned; both step alike.
 
 Result per row: doc_id, held_out, lang_pred, score (1 - phrases of the best / phrases of the second best, 0 to 1) and
 covered (share of letters inside matches of two or more). Defined results: a text that is null or has no letters is
@@ -42,6 +44,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, LEARN_CHARS = 64, 2_000, 24_000
 WINDOW = 512
 UNKNOWN = "und"
 MIN_COVERED = 0.3
+#: Cells (4 bytes) of a language's automaton that is a plain table, and of how many languages: 64 MB in all; others are hashed.
+DENSE_CELLS, DENSE_LANGUAGES = 1 << 21, 8
 #: Standard deviations of a text's number of phrases that it may be over its language's limit.
 SLACK = 2.0
 
@@ -52,14 +56,15 @@ def held_out_of(doc_id: Column) -> Column:
 
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, learn: int = LEARN_CHARS) -> dict[str, str]:
     """Text to learn from, by language."""
-    usable = F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & ~held_out_of(F.col(doc_id))
+    start = F.substring(F.col(text), 1, chars)
+    usable = F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & ~held_out_of(F.col(doc_id)) & start.rlike(r"\p{L}")
     counts = {r[0]: r[1] for r in df.where(usable).groupBy(F.col(lang)).count().collect()}
     if not counts:
         return {}
     order = F.xxhash64(F.col(doc_id), F.lit(11))
     unit = (order.cast("double") + 2.0**63) / 2.0**64
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (4 * docs + 16) / n))])[F.col(lang)]  # four times what is needed, by the hash: the last cut is exact
-    some = df.where(usable & (unit < rate)).select(F.col(lang).alias("lang"), order.alias("h"), F.substring(F.col(text), 1, chars).alias("text")).where(F.length("text") > 0)
+    some = df.where(usable & (unit < rate)).select(F.col(lang).alias("lang"), order.alias("h"), start.alias("text"))
     ranked = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= docs)
     out: dict[str, str] = {}
     for r in ranked.orderBy("lang", "k").select("lang", "text").collect():
@@ -80,8 +85,65 @@ def _is_letter() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def suffix_automaton(text: str, alphabet: dict[str, int]) -> np.ndarray:
-    """next[state, symbol]; -1 where there is none. State 0 is the start; symbol 0 is any character not learned."""
+class Dense:
+    """next[state, symbol] of an automaton; -1 where there is none."""
+
+    def __init__(self, follow: list[dict[int, int]], symbols: int):
+        self.width = symbols
+        table = np.full((len(follow), symbols), -1, np.int32)
+        for state, edges in enumerate(follow):
+            for c, to in edges.items():
+                table[state, c] = to
+        self.table = table.reshape(-1)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return self.table[state * self.width + symbol]
+
+    def nbytes(self) -> int:
+        return self.table.nbytes
+
+
+class Hashed:
+    """The same with memory by edges: an open hash table of (state, symbol)."""
+
+    def __init__(self, follow: list[dict[int, int]], symbols: int):
+        n = sum(map(len, follow))
+        self.bits = max(4, (3 * n).bit_length())
+        self.mask = (1 << self.bits) - 1
+        keys = np.fromiter((s << 21 | c for s, edges in enumerate(follow) for c in edges), np.int64, n)
+        to = np.fromiter((t for edges in follow for t in edges.values()), np.int32, n)
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        at, left = self._slot(keys), np.arange(n)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]  # of several for one slot the last stays
+            placed = self.keys[at] == keys[left]
+            self.to[at[placed]] = to[left[placed]]
+            at, left = (at[~placed] + 1) & self.mask, left[~placed]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) << 21 | symbol
+        at = self._slot(key)
+        held = self.keys[at]
+        out = np.where(held == key, self.to[at], -1)
+        on = np.flatnonzero((held != key) & (held >= 0))
+        while len(on):
+            at[on] = (at[on] + 1) & self.mask
+            held = self.keys[at[on]]
+            same = held == key[on]
+            out[on[same]] = self.to[at[on[same]]]
+            on = on[~same & (held >= 0)]
+        return out
+
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.to.nbytes
+
+
+def suffix_automaton(text: str, alphabet: dict[str, int], most: int = DENSE_CELLS) -> Dense | Hashed:
+    """State 0 is the start; symbol 0 is any character not learned. Tables of more than ``most`` cells are hashed."""
     follow: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -108,11 +170,7 @@ def suffix_automaton(text: str, alphabet: dict[str, int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = clone
         last = now
-    table = np.full((len(follow), len(alphabet) + 1), -1, np.int32)
-    for state, edges in enumerate(follow):
-        for c, to in edges.items():
-            table[state, c] = to
-    return table
+    return (Dense if len(follow) * (len(alphabet) + 1) <= most else Hashed)(follow, len(alphabet) + 1)
 
 
 class Parser:
@@ -125,18 +183,19 @@ class Parser:
         self.symbol = np.zeros(0x110000, np.int32)
         for c, i in alphabet.items():
             self.symbol[ord(c)] = i
-        made = [self._model(learned[n], alphabet) for n in self.names]
-        self.locals, self.widths, self.tables = ([m[k] for m in made] for k in range(3))
+        share = DENSE_CELLS * DENSE_LANGUAGES // max(DENSE_LANGUAGES, len(learned))
+        made = [self._model(learned[n], alphabet, share) for n in self.names]
+        self.locals, self.tables = ([m[k] for m in made] for k in range(2))
         self.limits = np.asarray([self._limit(learned[n], alphabet) for n in self.names])
 
     @staticmethod
-    def _model(text: str, alphabet: dict[str, int]) -> tuple[np.ndarray, int, np.ndarray]:
-        """(own symbol of each shared one, symbols, automaton): a language's table has its own letters only."""
+    def _model(text: str, alphabet: dict[str, int], most: int = DENSE_CELLS) -> tuple[np.ndarray, Dense | Hashed]:
+        """(own symbol of each shared one, automaton): a language's table has its own letters only."""
         own = {c: i + 1 for i, c in enumerate(sorted(set(text)))}
         local = np.zeros(len(alphabet) + 1, np.int32)
         for c, i in own.items():
             local[alphabet[c]] = i
-        return local, len(own) + 1, suffix_automaton(text, own).reshape(-1)
+        return local, suffix_automaton(text, own, most)
 
     def _limit(self, text: str, alphabet: dict[str, int]) -> float:
         """Phrases a letter, between the language's own text and its letters shuffled; none for too little text."""
@@ -145,20 +204,22 @@ class Parser:
         parts = [x for x in parts if len(set(x)) >= 8]  # not runs of a few letters
         if size < 32 or len(parts) < 4:
             return np.inf
-        local, width, table = self._model("".join(parts[::2]), alphabet)
+        local, table = self._model("".join(parts[::2]), alphabet)
         codes = local[self.symbol[np.frombuffer("".join(parts[1::2]).encode("utf-32-le"), "<u4")]]
         rates = []
         for some in (codes, np.random.default_rng(0).permutation(codes)):
             cells = np.ascontiguousarray(some.reshape(-1, size).T)
-            rates.append(np.median(self.phrases(table, width, cells, np.full(cells.shape[1], size))[0]) / size)
+            rates.append(np.median(self.phrases(table, cells, np.full(cells.shape[1], size))[0]) / size)
         own = min(1.0, len(text) / LEARN_CHARS) / 2
         return max(rates[0] ** own * rates[1] ** (1 - own), rates[1] / 2)
 
-    def phrases(self, table: np.ndarray, width: int, cells: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def phrases(self, table: Dense | Hashed, cells: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrases, letters in matches of two or more) of each window. cells: window x symbol, longest windows first."""
         n = len(sizes)
         state, count, inside = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
         run = np.zeros(n, np.int32)
+        symbols = np.arange(int(cells.max(initial=0)) + 1, dtype=np.int32)
+        root = table.step(np.zeros(len(symbols), np.int32), symbols)
         live = np.searchsorted(-sizes, -np.arange(cells.shape[0]), side="left")  # windows longer than each step
         for step in range(cells.shape[0]):
             m = int(live[step])
@@ -166,10 +227,10 @@ class Parser:
                 break
             c = cells[step, :m]
             s = state[:m]
-            to = table[s * width + c]
+            to = table.step(s, c)
             dead = to < 0
             ended = dead & (s > 0)
-            again = table[c]  # the phrase ends here and the next begins with this letter
+            again = root[c]  # the phrase ends here and the next begins with this letter
             count[:m] += ended
             inside[:m] += np.where(ended & (run[:m] > 1), run[:m], 0)
             begun = np.where(dead, again, to)
@@ -204,7 +265,7 @@ class Parser:
                 cells[row, : sizes[row]] = self.symbol[clean[i][a : a + self.window]]
             cells = np.ascontiguousarray(cells.T)
             for k, t in enumerate(self.tables):
-                n, m = self.phrases(t, self.widths[k], self.locals[k][cells], sizes)
+                n, m = self.phrases(t, self.locals[k][cells], sizes)
                 counts[k] += np.bincount(doc, n, len(texts)).astype(np.int64)
                 inside[k] += np.bincount(doc, m, len(texts)).astype(np.int64)
         if not self.names:

@@ -68,6 +68,37 @@ def test_parse_equals_longest_matches():
         assert score == pytest.approx(1 - best / second)
 
 
+def test_hashed_automata_parse_like_tables(monkeypatch):
+    learned = {g: prose(7, 400, w) for g, w in WORDS.items()}
+    texts = [prose(i, 50) + " Ünknown ж 12" for i in range(20)] + [prose(i, 300, WORDS["fr"]) for i in range(10)] + ["", "жжж"]
+    plain = language_id.Parser(learned)
+    assert all(isinstance(t, language_id.Dense) for t in plain.tables)
+    monkeypatch.setattr(language_id, "DENSE_CELLS", 1)
+    monkeypatch.setattr(language_id.suffix_automaton, "__defaults__", (1,))
+    hashed = language_id.Parser(learned)
+    assert all(isinstance(t, language_id.Hashed) for t in hashed.tables)
+    for a, b in zip(plain.judge(texts), hashed.judge(texts)):
+        assert list(a) == list(b)
+
+
+def test_memory_of_scripts_of_many_letters():
+    """Languages of thousands of letters beside others: no automaton takes over 8 MB."""
+    rng = random.Random(2)
+    learned = {f"l{i:02}": prose(i, 4000)[:24_000] for i in range(8)} | {f"h{i}": "".join(chr(0x4E00 + int(rng.paretovariate(0.6)) % 8000) for _ in range(24_000)) for i in range(2)}
+    made = language_id.Parser(learned)
+    sizes = {n: t.nbytes() for n, t in zip(made.names, made.tables)}
+    assert max(sizes.values()) <= 8 << 20
+    langs, *_ = made.predict(["".join(chr(0x4E00 + int(rng.paretovariate(0.6)) % 8000) for _ in range(300)), learned["h1"][500:800], learned["l03"][100:300]])
+    assert langs[1:] == ["h1", "l03"]
+
+
+def test_rows_without_letters_take_no_place_in_the_sample(spark):
+    """As much is learned beside thousands of empty and letterless labelled rows as without them."""
+    rows = languages(60)
+    empty = [(10_000 + i, "" if i % 2 else "12 34", "en") for i in range(4000)]
+    assert language_id.fit(documents(spark, rows)) == language_id.fit(documents(spark, rows + empty))
+
+
 def test_nothing_to_learn(spark):
     rows = [(1, "some text", None), (None, "more", "en")]
     assert {r.lang_pred for r in language_id.identify(documents(spark, rows)).collect()} == {"und"}
