@@ -18,11 +18,12 @@ graph is grouped by (cue, value) with partial sums before any shuffle, and is ne
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import pandas as pd
@@ -44,14 +45,11 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
-#: Combining marks are part of the words of many scripts, but not of Python's \\w.
-_MARKS = "".join(chr(i) for i in range(0x300, 0x20000) if unicodedata.category(chr(i))[0] == "M")
-_WORD = rf"[^\W\d_][\w{_MARKS}-]{{0,31}}"
+#: What goes on a word besides letters and digits: combining marks are part of the words of many scripts.
+JOINS = frozenset("_-" + "".join(chr(i) for i in range(0x300, 0x20000) if unicodedata.category(chr(i))[0] == "M"))
 _ENDS = "\\s\"'<>,;:="
-CUE = re.compile(rf"({_WORD})[\"']?\x20?\Z")
 VALUE = re.compile(rf"\x20?[\"']?([^{_ENDS}]{{4,}})")
-#: One or two words before a value without : or =, and the rest of a value.
-WORDS_BEFORE = re.compile(rf"(?<![\w{_MARKS}-])({_WORD}\x20)?(?<![\w{_MARKS}-])({_WORD}\x20)[\"'(]?\Z")
+#: The rest of a value.
 REST = re.compile(rf"[^{_ENDS}]+")
 SPOT = re.compile("[0-9@]")
 
@@ -117,44 +115,106 @@ def identifiers(text: str) -> Iterator[tuple[int, int]]:
         m = SPOT.search(text, done)
 
 
+def word_before(text: str, end: int) -> int:
+    """Where the run of word characters that ends there begins."""
+    while end and (text[end - 1].isalnum() or text[end - 1] in JOINS):
+        end -= 1
+    return end
+
+
+def is_letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
+def cue_before_sign(text: str, at: int) -> str | None:
+    """The word right before a : or =, in quotes or not, from its first letter on."""
+    end = at - 1 if at and text[at - 1] == " " else at
+    end = end - 1 if end and text[end - 1] in "\"'" else end
+    start = word_before(text, end)
+    while start < end and not is_letter(text[start]):
+        start += 1
+    return text[start:end] if start < end else None
+
+
+def words_before_value(text: str, at: int) -> str | None:
+    """The one or two words, each with its blank, right before a value."""
+    end = at - 1 if at and text[at - 1] in "\"'(" else at
+    out = None
+    for _ in range(2):
+        if not end or text[end - 1] != " ":
+            break
+        start = word_before(text, end - 1)
+        if start == end - 1 or not is_letter(text[start]):
+            break
+        out, end = text[start:end] + (out or ""), start
+    return out
+
+
 def cues(text: str) -> Iterator[tuple[str, int, int]]:
     """(cue, start, end of the value) wherever a word, quoted or not, stands before : or =, and then wherever one or two
-    words stand right before what looks like an identifier."""
+    words stand right before what looks like an identifier. A word is looked at a few times at most."""
     if ":" in text or "=" in text:
         for m in re.finditer("[:=]", text):
             at = m.start()
-            if (c := CUE.search(text, max(0, at - 34), at)) and (v := VALUE.match(text, at + 1)):
-                yield c[1].lower() + m[0], v.start(1), v.end(1)
+            if (v := VALUE.match(text, at + 1)) and (c := cue_before_sign(text, at)):
+                yield c.lower() + m[0], v.start(1), v.end(1)
     for start, end in identifiers(text):
         opened = start
         while start < end and text[start] == "(":
             start += 1
         while end > start and text[end - 1] in ".!?)]}":
             end -= 1
-        if end - start >= 4 and opened and identifier_like(text[start:end]) and (c := WORDS_BEFORE.search(text, max(0, opened - 68), opened)):
-            yield ((c[1] or "") + c[2]).lower(), start, end
+        if end - start >= 4 and opened and identifier_like(text[start:end]) and (c := words_before_value(text, opened)):
+            yield c.lower(), start, end
+
+
+class Cover:
+    """Spans that don't overlap each other, in order of their starts: whether one overlaps is found by bisection."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.add(a, b)
+
+    def add(self, start: int, end: int) -> None:
+        """A span behind all others."""
+        self.starts.append(start)
+        self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect.bisect_right(self.ends, start)
+        return k < len(self.starts) and self.starts[k] < end
 
 
-def overlaps(spans: list[tuple[str, int, int]], start: int, end: int) -> bool:
-    return any(a < end and start < b for _, a, b in spans)
+def seeds_of(base: list[tuple[str, int, int]]) -> Callable[[str, int, int], str | None]:
+    """Gives the seed kind of a value: the first kind, in their order, that a base span on it has, or a key."""
+    covers = [(kind, Cover((a, b) for k, a, b in base if k == kind)) for kind in KINDS if any(k == kind for k, _, _ in base)]
 
+    def seed_of(text: str, start: int, end: int) -> str | None:
+        for kind, cover in covers:
+            if cover.meets(start, end):
+                return kind
+        return SECRET if key_like(text[start:end]) else None
 
-def seed_of(base: list[tuple[str, int, int]], text: str, start: int, end: int) -> str | None:
-    for kind, a, b in base:
-        if a < end and start < b:
-            return kind
-    return SECRET if key_like(text[start:end]) else None
+    return seed_of
 
 
 def find_spans(text: str, trusted: dict[str, str]) -> list[tuple[str, int, int]]:
     """Base spans, keys and what trusted cues reveal, in order."""
     out = base_spans(text)
     if "AKIA" in text:
-        out += [(SECRET, m.start(), m.end()) for m in KEY.finditer(text) if not overlaps(out, m.start(), m.end())]
+        cover = Cover((a, b) for _, a, b in out)
+        out += [(SECRET, m.start(), m.end()) for m in KEY.finditer(text) if not cover.meets(m.start(), m.end())]
     if trusted:
+        cover, revealed = Cover((a, b) for _, a, b in out), (Cover(), Cover())
         for cue, start, end in cues(text):
-            if (kind := trusted.get(cue)) and identifier_like(text[start:end]) and not overlaps(out, start, end):
+            if (kind := trusted.get(cue)) and identifier_like(text[start:end]) and not any(c.meets(start, end) for c in (cover, *revealed)):
                 out.append((kind, start, end))
+                revealed[cue[-1] not in ":="].add(start, end)  # both kinds of cue come in the order of the text
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(out, key=lambda s: (order.get(s[0], len(KINDS)), s[0], s[1], s[2]))
 
@@ -170,10 +230,10 @@ def graph(df: DataFrame, text: str = "text") -> DataFrame:
         for batch in slices(batches, 1024):
             found: Counter = Counter()
             for t in texts_of(batch.column(0)):
-                base = None
+                seed_of = None
                 for cue, start, end in cues(t):
-                    base = base_spans(t) if base is None else base
-                    found[cue, hashlib.blake2b(t[start:end].encode(), digest_size=12).hexdigest(), seed_of(base, t, start, end)] += 1
+                    seed_of = seed_of or seeds_of(base_spans(t))
+                    found[cue, hashlib.blake2b(t[start:end].encode("utf-8", "replace"), digest_size=12).hexdigest(), seed_of(t, start, end)] += 1
             if found:
                 rows = list(found)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)] + [pa.array(list(found.values()), pa.int64())], ["cue", "value", "seed", "n"])
