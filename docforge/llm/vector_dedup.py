@@ -6,8 +6,10 @@ bucket with the probability ``collision`` to the power PROJECTIONS; TABLES is ch
 all tables once in a thousand times at most. What meets in a bucket is compared by its exact cosine in double precision,
 in bounded parts (graph.in_blocks) however large the bucket. A link is counted in the first table where its ends meet.
 
-Equal vectors of a label are one class with its number of rows, so copies are never paired. Result per row: vec_id,
-n_links, component_id (smallest vec_id reachable), kept.
+Equal vectors of a label are one class with its number of rows, so copies are never paired. Tables and buckets are met by
+class numbers of eight bytes; a vector, in the type it came in, goes only to the buckets where it meets another. Rows
+find their class by a 128-bit digest of label and vector. Result per row: vec_id, n_links, component_id (smallest vec_id
+reachable), kept.
 
 Defined results: rows whose label or vector is null, whose vector is empty, zero or holds null or non-finite components
 have no links and are their own component; so does a row that nothing else is like. Vectors of other lengths don't
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docforge.llm.common import cut
-from docforge.llm.graph import BLOCK, by_group, components, in_blocks, spanning
+from docforge.llm.graph import BLOCK, by_group, components, in_blocks, spanning, spread_join
 
 THRESHOLD = 0.98
 WIDTH, PROJECTIONS, SEED, MISSES = 1.6, 14, 20, 1e-3
@@ -74,12 +76,16 @@ def _units(vectors: pa.Array) -> list[np.ndarray]:
 
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, width: float = WIDTH, per_table: int = PROJECTIONS, misses: float = MISSES, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     tables = tables_for(threshold, width, per_table, misses)
-    rows = df.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).alias("label"))
+    kind = df.schema[embedding].dataType.elementType.simpleString()
+    v = F.col(embedding) if kind in ("float", "double") else F.col(embedding).cast("array<double>")
+    rows = df.select(F.col(vec_id).alias("vec_id"), v.alias("v"), F.col(label).alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
     kinds = rows.where("usable").groupBy("label", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
-    kinds = cut(kinds.withColumn("cid", F.monotonically_increasing_id()))
+    digest = F.struct(F.xxhash64("label", "v").alias("a"), F.xxhash64("v", F.lit(SEED), "label").alias("b"))
+    kinds = cut(kinds.select("*", F.monotonically_increasing_id().alias("cid"), digest.alias("digest"), F.xxhash64("label").alias("mark")))
+    total = kinds.agg(F.sum("n")).first()[0] or 0
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,16 +94,15 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
             for dims in np.unique(sizes):
                 own = np.flatnonzero(sizes == dims)
                 h = hashes(np.stack([units[i] for i in own]), tables, per_table, width, seed)
-                cid = np.repeat(batch.column(0).to_numpy()[own], tables)
-                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(own))), pa.array(np.full(len(cid), dims, np.int32)), pa.array(h.reshape(-1))], ["cid", "t", "dims", "h"])
+                cid, mark = (np.repeat(batch.column(c).to_numpy()[own], tables) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(mark), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(own))), pa.array(np.full(len(cid), dims, np.int32)), pa.array(h.reshape(-1))], ["cid", "mark", "t", "dims", "h"])
 
-    # the label joins the bucket on the JVM side: it may be of any type
-    filed = kinds.select("cid", "v").mapInArrow(file, "cid bigint, t int, dims int, h bigint")
-    marks = kinds.select("cid", F.xxhash64("label").alias("label_hash"))
-    filed = cut(filed.join(marks, "cid").select("cid", "t", F.xxhash64("h", "dims", "label_hash").alias("h")))
+    # the label comes as a hash made on the JVM side: it may be of any type
+    filed = kinds.select("cid", "v", "mark").mapInArrow(file, "cid bigint, mark bigint, t int, dims int, h bigint")
+    filed = cut(filed.select("cid", "t", F.xxhash64("h", "dims", "mark").alias("h")))
     sizes = filed.groupBy("t", "h").agg(F.count("*").alias("met")).where("met > 1")
-    met = filed.join(sizes, ["t", "h"])
-    members = met.join(kinds.select("cid", "v", "label", F.col("n").alias("own")), "cid").withColumn("label_hash", F.xxhash64("label"))
+    met = spread_join(filed, sizes, ["t", "h"], total * tables, "met")
+    members = met.join(kinds.select("cid", "v", F.col("mark").alias("label_hash"), F.col("n").alias("own")), "cid")
     laid = in_blocks(members, ["t", "h"], "cid", "met", ["t", "h", "label_hash", "own", "v"], block)
 
     def compare(group: pa.Table) -> pa.RecordBatch | None:
@@ -140,10 +145,10 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     found = cut(by_group(laid, compare, "a bigint, b bigint, n bigint"))
     links = found.where("b < 0").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
     roots = components(found.where("b >= 0").select("a", "b")).withColumnRenamed("node", "cid")
-    named = kinds.join(links, "cid", "left").join(roots, "cid", "left").select("label", "v", "n", "least", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "cid").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("name"))
-    answers = cut(named.join(names, "root").select("label", "v", (F.col("n") - 1 + F.col("others")).cast("long").alias("n_links"), F.col("name").alias("component_id")))
-    usable_rows = rows.where("usable").select("vec_id", "label", "v").join(answers, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    named = cut(kinds.join(links, "cid", "left").join(roots, "cid", "left").select("digest", "n", "least", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "cid").alias("root")))
+    names = named.groupBy("root").agg(F.min("least").alias("name"), F.count("*").alias("times"))
+    answers = spread_join(named, names, ["root"], total, "times").select("digest", "n", (F.col("n") - 1 + F.col("others")).cast("long").alias("n_links"), F.col("name").alias("component_id"))
+    usable_rows = spread_join(rows.where("usable").select("vec_id", digest.alias("digest")), answers, ["digest"], total, "n").select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return usable_rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

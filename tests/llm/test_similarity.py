@@ -114,7 +114,7 @@ def vectors():
             for _ in range(1 + int(rng.random() < 0.2)):
                 rows.append((n, [float(np.float32(x)) for x in v * rng.choice([1.0, 3.0])], int(n % 2)))
                 n += 1
-    odd = [(n, None, 1), (n + 1, [0.0] * 16, 1), (n + 2, [float("nan")] * 16, 1), (n + 3, [float("inf")] + [0.0] * 15, 1), (n + 4, rows[0][1], None), (n + 5, rows[0][1][:8], 0), (n + 6, [], 0), (n + 7, [None] + [1.0] * 15, 0), (None, rows[0][1], 0), (n + 8, [1e-30] * 16, 0), (n + 9, [1e-30] * 16, 0)]
+    odd = [(n, None, 1), (n + 1, [0.0] * 16, 1), (n + 2, [float("nan")] * 16, 1), (n + 3, [float("inf")] + [0.0] * 15, 1), (n + 4, rows[0][1], None), (n + 5, rows[0][1][:8], 0), (n + 6, [], 0), (n + 7, [None] + [1.0] * 15, 0), (None, rows[0][1], 0), (n + 8, [1e-30] * 16, 0), (n + 9, [1e-30] * 16, 0), (n + 10, [0.0] * 15 + [1.0], 1), (n + 11, [-0.0] * 15 + [1.0], 1)]
     return rows + odd + [rows[0], rows[0]]
 
 
