@@ -34,7 +34,7 @@ from docforge.llm.vocab import BYTE_BPE, WordCache, byte_letters, forced_pairs,
 
 #: Fixed value: the split pattern of byte-level BPE files that say use_regex.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-REMEMBERED_PARTS, REMEMBERED_WORDS = 100_000, 250_000
+REMEMBERED_PARTS, REMEMBERED_WORDS = 50_000, 200_000
 SCAN = 48  # longer fragments are merged with a heap
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import tempfile
@@ -81,12 +82,20 @@ def partitions(spark: SparkSession) -> int:
 _RESIDENT: dict[object, object] = {}
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def resident(key: object, build: Callable[[], Model]) -> Model:
     """A worker keeps one large model or cache, the last one asked for: workers outlive the stages they serve, and what
     one stage remembers is of no use to the next. Ask once a task and hold on to it."""
     if key not in _RESIDENT:
         _RESIDENT.clear()
         gc.collect()  # models hold themselves in cycles
+        _give_back()
         _RESIDENT[key] = build()
     return _RESIDENT[key]
 

@@ -27,11 +27,11 @@ slices), and long ones are hashed PIECE bytes at a time.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -55,14 +55,39 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Scripts without spaces between words: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han.
 _UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
-_SIGNS = "".join(re.escape(chr(i)) for i in range(128, 0x20000) if unicodedata.category(chr(i))[0] in "PZ")
-_SPLIT = re.compile(f"([{_UNSPACED}])|[{_SIGNS}]")
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of every code point: 1 for punctuation and blanks beyond ASCII, 2 for a character that is a word, else 0."""
+    kinds = np.zeros(0x110000, np.uint8)
+    kinds[128:0x20000] = [unicodedata.category(chr(i))[0] in "PZ" for i in range(128, 0x20000)]
+    ranges = iter(_UNSPACED)
+    for first in ranges:
+        next(ranges)
+        kinds[ord(first) : ord(next(ranges)) + 1] = 2
+    return kinds
+
+
+def apart(text: str) -> str:
+    """Blanks for punctuation, and around characters that are words."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    kinds = _kinds()[points]
+    if not kinds.any():
+        return text
+    points, alone = np.where(kinds == 1, 32, points), kinds == 2
+    if alone.any():
+        ends = np.cumsum(np.where(alone, 3, 1))
+        spread = np.full(int(ends[-1]), 32)
+        spread[ends - 1 - alone] = points
+        points = spread
+    return points.astype("<u4").tobytes().decode("utf-32-le", "replace")
 
 
 def words_of(text: str) -> list[bytes]:
     text = text.lower()
     if not text.isascii():
-        text = _SPLIT.sub(lambda m: f" {m[1]} " if m[1] else " ", text)
+        text = apart(text)
     return text.encode("utf-8", "replace").translate(_SPACE).split()
 
 

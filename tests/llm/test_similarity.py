@@ -316,3 +316,16 @@ def test_components_of_hubs(spark, monkeypatch):
     links = [(1000 + h, h * 50 + i) for h in range(6) for i in range(50)] + [(1001, 1003), (7, 2000), (2000, 2001)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == roots({n for e in links for n in e}, links)
+
+
+def test_words_against_a_plain_pattern():
+    import unicodedata
+
+    signs = "".join(re.escape(chr(i)) for i in range(128, 0x20000) if unicodedata.category(chr(i))[0] in "PZ")
+    split = re.compile(f"([{decontaminate._UNSPACED}])|[{signs}]")
+    rng = random.Random(9)
+    points = [*range(32, 0x250), *range(0xE00, 0xF00), *range(0x2000, 0x2070), *range(0x3000, 0x3100), *range(0x4E00, 0x4E80), 0x1F600, 0x20001, 0xD7FF, 0xFFFD]
+    for _ in range(800):
+        t = "".join(chr(rng.choice(points)) for _ in range(rng.randint(0, 30)))
+        plain = split.sub(lambda m: f" {m[1]} " if m[1] else " ", t.lower())
+        assert decontaminate.words_of(t) == plain.encode("utf-8", "replace").translate(decontaminate._SPACE).split(), t
