@@ -166,10 +166,15 @@ def test_piece_models_count_and_write(spark, tmp_path):
     assert sorted((str(r.doc_id), r.n_tokens - 1) for r in token_files.read_token_files(spark, f"file://{tmp_path}/pieces").collect()) == want
 
 
-def test_words_met_again_stay_known(monkeypatch):
+def test_a_full_table_begins_anew(monkeypatch):
     own = cached_library(BYTE_BPE)
-    for name, value in (("most", 3), ("known", {}), ("old", {})):
-        monkeypatch.setattr(own, name, value)
-    for text in [*(prose(i, 12) for i in range(30)), "the same words the same words"]:
+    own.clear()
+    monkeypatch.setattr(own, "most", 30)
+    for text in [*(prose(i, 12) for i in range(30)), "the same words the same words", "x" * 600_000 + " y", "\n".join(prose(5, 90).split()), prose(7, 150_000)]:
         assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == ids_of(text)
-        assert len(own.known) + len(own.old) < 40
+    own.clear()
+
+
+def test_many_words_and_texts_at_once():
+    texts = [prose(i, 400).replace(" the ", "\n") + f" w{i} w{i}a{i * i}" for i in range(300)] + strings(300, 30, 3)
+    assert [np.frombuffer(x, "<u4").tolist() for x in cached_library(BYTE_BPE).ids(texts)] == [ids_of(t) for t in texts]
