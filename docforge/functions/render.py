@@ -132,3 +132,22 @@ def plain_text(items: Column) -> Column:
     """Text of array<struct<item_type, text, rows>>: rows of tables joined by bars, empty cells left out."""
     rows = lambda i: F.array_join(F.transform(i["rows"], lambda r: F.array_join(F.filter(r, lambda c: F.trim(c) != ""), " | ")), "\n")
     return F.array_join(F.transform(items, lambda i: F.when(i["item_type"] == "table", rows(i)).otherwise(i["text"])), "\n")
+
+
+ITEM = "struct<item_type:string,font_size:double,runs:array<struct<text:string,bold:boolean,italic:boolean>>,rows:array<array<string>>>"
+
+
+def items_to_json(items: Column) -> Column:
+    """Content items as JSON; a table has rows, a line font size and runs."""
+    return F.to_json(items)
+
+
+def items_from_json(text: Column) -> Column:
+    """array of items out of JSON: body and 11 points where it doesn't say; an old line with text and no runs is one run."""
+    old = "array<struct<item_type:string,font_size:double,text:string,bold:boolean,italic:boolean,runs:array<struct<text:string,bold:boolean,italic:boolean>>,rows:array<array<string>>>>"
+    run = lambda t, b, i: F.struct(F.coalesce(t, F.lit("")).alias("text"), F.coalesce(b, F.lit(False)).alias("bold"), F.coalesce(i, F.lit(False)).alias("italic"))
+    own = lambda i: F.transform(F.coalesce(i["runs"], F.array().cast("array<struct<text:string,bold:boolean,italic:boolean>>")), lambda r: run(r["text"], r["bold"], r["italic"]))
+    runs = lambda i: F.when((F.size(own(i)) == 0) & (F.coalesce(i["text"], F.lit("")) != ""), F.array(run(i["text"], i["bold"], i["italic"]))).otherwise(own(i))
+    line = lambda i: F.struct(F.coalesce(i["item_type"], F.lit("body")).alias("item_type"), F.coalesce(i["font_size"], F.lit(11.0)).alias("font_size"), runs(i).alias("runs"), F.lit(None).cast("array<array<string>>").alias("rows"))
+    table = lambda i: F.struct(F.lit("table").alias("item_type"), F.lit(None).cast("double").alias("font_size"), F.lit(None).cast("array<struct<text:string,bold:boolean,italic:boolean>>").alias("runs"), i["rows"].alias("rows"))
+    return F.transform(F.from_json(text, old), lambda i: F.when(i["item_type"] == "table", table(i)).otherwise(line(i)))

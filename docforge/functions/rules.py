@@ -1,11 +1,15 @@
 """Rules are data: pattern tables and the compiler that turns a table into a few alternations.
 
 A line is scanned once per table and not once per rule. Patterns keep to what both Java's and RE2's syntax read alike.
-Names of people, brands and single books are not part of the tables; pass such terms as ``custom``.
+What Spark scans is made quick without changing what matches: literal terms are looked for as strings, and patterns that
+begin at a word's edge share that edge and a look at the next letter, so that most places of a line fail at once.
+Names of people, brands and titles of single books are not part of the tables; pass such terms as ``custom``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +33,7 @@ STARTS = [
     r"Just one more part", r"That wraps up", r"On to the next", r"Final polishing", r"Ready to export", r"This completes the", r"We'?re all set",
     r"That'?s everything for", r"Coming up next", r"Generating Word file", r"Creating PDF", r"Compiling document", r"Formatting complete",
     r"File ready for download", r"Document generated", r"Export complete", r"Here'?s your (file|document|PDF|Word)", r"The (file|document|PDF) is ready", r"Download ready",
+    r"I kept it succinct", r"I chose a comprehensive", r"Now, I'll start compiling the Word version", r"therapy alignment - making nutrition science instantly usable",
 ]
 
 # Whole lines that are chat or page furniture.
@@ -39,6 +44,9 @@ WHOLE = [
     r"That'?s? great[!.]*", r"Love it[!.]*", r"Spot on[!.]*", r"Let'?s do it[!.]*", r"That works[!.]*", r"Looks good[!.]*", r"I like (this|that|it)[!.]*",
     r"You got it[!.]*", r"Exactly[!.]*", r"Right[!.]*", r"OK[!.]*", r"Okay[!.]*", r"Fine[!.]*", r"Go for it[!.]*", r"Make it happen[!.]*",
     r"That'?s? perfect[!.]*", r"Nice[!.]*", r"Cool[!.]*", r"Got it[!.]*", r"Understood[!.]*", r"My approach:?", r"Structure overview:?", r"Next up:?", r"Up next:?",
+    r"Elegant section dividers", r"The 'Summary & Quick Recall Sheet' at the end", r"Word\):", r"or shorter like:", r"Liver & Renal Sections", r"Summary \+ Quick-Recall Sheet",
+    r"Now, everything is ready for final Word formatting\.?", r"everyday dietitians\.", r"complete on its own\??", r"and practitioner-friendly nutrition modules ever written!?",
+    r"Integration", r"and structure intact\.", r"digital release\.", r'"Knowledge becomes power only when applied with purpose\."', r'"Case\s+\d+\s*-.*"\??', r'cucumber slices"\)\.',
 ]
 
 # Strings that mark a line anywhere in it, in lower case.
@@ -50,6 +58,17 @@ CONTAINS = [
     "do you prefer the document layout", "here's the plan for the next output", "would you like this section titled", "everything is ready for final word formatting",
     "copy it directly into word", "color-accented boxes", "indexed headers", "here's what happens next", "dedication page", "i'll merge all confirmed content",
     "final professional sign-off", "reader message", "table of contents", "full sections", "appendices", "acknowledgments",
+    "here's how the final ending block", "i'll generate both .docx and .pdf", "this chapter is where clinical accuracy meets patient practicality",
+    "benchmark for practical clinical nutrition handbooks", "would you like me to create that file version", "i'll now build this into the full file structure",
+    "just confirm these 3 details", "sound good, buddy", "if yes, i'll proceed with the full formatted", "before i start writing, please confirm one small thing",
+    "now i'll start building it step-by-step", "hard copy set", "signature manual", "same professional-educational, clinic-ready format",
+    "this title gives it a clinical touch", "the first one emphasizes scientific depth", "the second one looks cleaner for clinic use",
+    "upcoming cardio-endocrine disorders module", "most premium and practitioner-friendly nutrition modules ever written", "ready-to-print, ready-to-publish version",
+    "just confirm one tiny detail for the footer line", "the first looks more professional for publication", "it's complete, polished, and publication-ready",
+    "final ending block + preview", "professionally formatted word layout", "professional, motivating, and reader-engaging",
+    "this upcoming module explores the interlinked pathways", "summary & quick recall sheet", "endocrine health, connecting:",
+    "it's the most essential and applied module", "dietitian and nutritionist - the diabetes mellitus", "you'll learn not only how to plan diets",
+    "the skill that sets top clinical dietitians apart",
 ]
 
 # Chat anywhere in a line.
@@ -64,6 +83,12 @@ SEARCH = [
     r"\bonce you (confirm|approve|reply|respond)\b", r"\bjust (confirm|tell me|let me know)\b", r"\bbefore i (proceed|continue|start|begin|generate|create)\b",
     r"\bready for (the next|your|final|publishing|export)\b", r"\bon to (the next|module|section|chapter|part)\b",
     r"\bthat (wraps|covers|concludes|completes|finishes) (up )?(this|the|our)\b",
+    r"\bi read the manual\b", r"\bfrom my end i want\b", r"\bas of now i work\b", r"\bsoon gonna leave\b", r"\bin that mention what is for what\b",
+    r"\bthat'?s exactly the mindset\b", r"\byou'?re thinking like a\b", r"\blet'?s design this upgrade\b", r"\bgreat choice[!.]?\s*starting with\b",
+    r"\bnext,\s*would you like me to create\b", r"\bwould you like me to create section\b", r"\bthis next section will be your secret\b",
+    r"\bif you want,?\s*i'?ll now make you\b", r"\byess please[!.]?\b", r"\b-\s*let'?s roll[!.]?\b", r"\b-\s*great choice[!.]?\b", r"\bit'?ll make you unbeatable\b",
+    r"\byour clients will never need a second opinion\b", r"\bonce we create this,? you'?ll have\b", r"\bword\s*\+\s*pdf version\b",
+    r"\bconfirm these\s*\d*\s*final details\b", r"\bplanned structure inside the file\b", r"\bfront page setup\b.*edition\b", r"\bthis will be your professional toolbook\b",
 ]
 
 # Single words that are a whole answer, and forms of lines.
@@ -83,6 +108,50 @@ H3 = r"^\s*(?:\d{1,2}\.\d{1,2}\.?\s+[A-Z]|[a-z]\)\s+[A-Z])"
 FENCE = r"^\s*```"
 CHAPTER = r"(?i)^\s*(?:(?:CHAPTER|SECTION|MODULE|UNIT)\s+\d+|PART\s+(?:[IVXLCDM]+|\d+)\b)"
 APPENDIX = r"(?im)^(?:APPENDIX\s*[A-Z]?[.:]?\s*.*|(?:BIBLIOGRAPHY|REFERENCES|INDEX|GLOSSARY|NOTES)[.:]?\s*)$"
+# Chat in finished books, by the three generations of the book cleaner. The first looks at the beginning of a
+# line, the others anywhere in a fragment; the third also drops whole fragments, and sentences of a book's first part.
+BOOK_STARTS = [
+    r"If you want", r"Would you like", r"I'll now", r"I will now", r"Let's build", r"Once you reply", r"Next module", r"Superb", r"I'll generate", r"I can create",
+    r"I can prepare", r"Confirm these", r"Just confirm", r"Do you want", r"Should I include",
+]
+BOOK_SEARCH = [
+    r"\bIf you want,? I'll\b", r"\bWould you like me to\b", r"\bWould you like this\b", r"\bI'll now make\b", r"\bI'll now draft\b", r"\bI'll prepare\b",
+    r"\bI'll generate\b", r"\bI'll create the Word file\b", r"\bLet's build\b", r"\bOnce you reply\b", r"\bNext module(?: options| choices)?\b",
+    r"\bNext up, would you like\b", r"\bSuperb\b", r"\bAwesome - I'll take it from here\b", r"\bI can create\b", r"\bI can prepare\b", r"\bConfirm these\b",
+    r"\bJust confirm\b", r"\bDo you want to include\b", r"\bShould I include\b", r"\bBefore I create the Word file\b", r"\bBefore I finalize\b",
+    r"\bBefore we proceed\b", r"\bReady for the next\b", r"\bStart Disorder\s+\d+\b", r"\bSay:?\s*Start Disorder\s+\d+\b", r"\bHere's what I'll do\b", r"\bNext Step\b",
+]
+BOOK_SEARCH_MORE = [
+    r"\byess please!?\b", r"\bbuddy!?\b", r"\bA BIG YESS!?\b", r"\bWould you like\b", r"\bIf you want\b", r"\bI'll now\b", r"\bI will now\b", r"\bI'll prepare\b",
+    r"\bI'll generate\b", r"\bI'll create\b.*Word file", r"\bLet's build\b", r"\bOnce you reply\b", r"\bOnce you pick\b", r"\bWhich do you prefer\b",
+    r"\bHere'?s what we'll do step-by-step\b", r"\bconfirm this structure before I create\b", r"\bIf this final structure is confirmed\b", r"\bThat seals it beautifully\b",
+    r"\bSubstitution Charts next\?", r"\bHow to Use These Templates\b", r"\bfull examples\) next\?", r"\bFast Choice Builder\) next\?", r"\bTables next\?",
+    r"\bCase Study .* next\?", r"\bReady for the next\b", r"\bStart Disorder\b", r"\bSure buddy\b", r"\bProceed to Disorder\s+\d+\b", r"\bJust say\s+[\"']?Proceed[\"']?\b",
+    r"\bSay\s+[\"']?Proceed[\"']?\s+when ready\b", r"\bContinuing seamlessly\b", r"\bReady when you are\b", r"\bWe now continue\b", r"\bWe now move into\b",
+    r"\bThis module includes\b", r"\bsame premium quality\b", r"\bWord export feature\b", r"\bfinalize this\b", r"\bfull manual\b.*Word", r"\bbuild the full Word version\b",
+    r"\bit'?ll look like\b", r"\bonce i create\b", r"\bonce we create\b", r"\bi'?ll immediately generate\b", r"\bthis section will appear\b",
+    r"\bbelow is the continuation\b", r"\bfinalized structure\b", r"\bplanned structure inside the file\b", r"\bfinal structure\b", r"\bi read the manual\b",
+    r"\bfrom my end i want\b", r"\byes and finally\b", r"\bthat'?s exactly the mindset\b", r"\blet'?s design this upgrade\b", r"\bthis will be your professional toolbook\b",
+    r"\bpersonal clinic-ready\b", r"\bso your Word file\b", r"\bfor title i like\b", r"\bwhat clinic name\b", r"\bword file\b", r"\bgenerate the word\b", r"\bexport\b",
+    r"\bcompile\b", r"\blayout selection\b", r"\bformatting choice\b", r"\btitle page\b", r"\bfront page\b", r"\bcover page\b", r"\bemail placeholder\b",
+    r"\bphone placeholder\b", r"\bclinic branding\b", r"\btagline\b", r"\blayout preference\b", r"\bsection\s+\d+\s+will contain\b", r"\blayout selection option\b",
+    r"\bhere'?s the plan\b", r"\bhere'?s the start of your next chapter draft\b", r"\bthis is the section that makes your counseling lightning-fast\b",
+    r"\bthis section will make you\b", r"\bclinical nutrition matrix\b.*one-glance reference\b", r"\beducational highlight layout\b", r"\bprofessional minimal\b",
+    r"\blayout choice\b", r"\bclinic name\b", r"\bprofessional name/title\b", r"\bformat plan\b", r"\bplacement order\b", r"\bYes gpt we can proceed\b",
+    r"\bfor my satisfaction\b", r"\bYou're absolutely right to pause and cross-check\b", r"\bLet me give you a clear, calm, one-screen confirmation\b",
+    r"\bSO, TO YOUR QUESTION\b", r"\bANSWER: YES - PLEASE SEND IT\b", r"\bJust list what each tab roughly contains\b", r"\bOnce you send that\b",
+    r"\bWhenever you're ready- Send the tab list\b", r"\bI'm aligned with you\b", r"\bChalo gpt\b", r"\bOkay i understand it now\b",
+    r"\bExactly - you've understood it 100% correctly\b", r"\bYou don't need to remember\b", r"\bI'll mentally index everything\b", r"\bFuture content will auto-align\b",
+    r"\bCompilation becomes clean Word file generation becomes\b", r"\bDisorder\s+\d+\s+COMPLETE\b", r"\bNEXT\b",
+]
+BOOK_EXACT = ["page?", "3.", "next"]
+BOOK_FIRST_PART = [
+    r"\badd another section\b", r"\bwe can structure\b", r"\blet'?s design\b", r"\bonce we finalize\b", r"\bfollowing your design\b", r"\bi will generate\b",
+    r"\bi will create\b", r"\bi will prepare\b", r"\bbefore i generate\b", r"\bwould you like\b", r"\bonce you confirm\b", r"\blayout option\b", r"\bformat choice\b",
+    r"\bcover page\b", r"\bfront page\b", r"\btitle page\b", r"\bemail placeholder\b", r"\bphone placeholder\b", r"\bclinic branding\b", r"\bemail\s*:\s*\S+@\S+",
+    r"\bph\.?no\s*[:;]\s*\+?\d+", r"\bphone\s*[:;]\s*\+?\d+", r"\bclinical nutrition practice accelerator\b", r"\bmanual structure\b", r"\bplanned structure\b",
+    r"\bsection\s+\w+\s+will contain\b", r"\bi read the manual\b", r"\bfrom my end\b", r"\blet'?s design this upgrade\b",
+]
 APPENDIX_HEADS = ["GLOSSARY", "HOUSEHOLD MEASURES", "CONVERSION CHART", "KCAL EQUIVALENCE", "REFERENCE INDEX"]
 
 # Exam papers and keys.
@@ -116,18 +185,32 @@ def contains_pattern(terms: list[str]) -> str:
     return "(?:" + "|".join("".join(f"\\{c}" if c in r".+*?()[]{}|^$\/" else c for c in t) for t in terms) + ")"
 
 
-def rule_of(line: Column, custom: list[str] | None = None) -> Column:
-    """Name of the first rule that drops a line; null for lines that stay. A blank line stays."""
-    low = F.lower(F.trim(line))
+def search_pattern(patterns: list[str]) -> str:
+    """either(), for Spark: patterns that begin at a word's edge share it and a look at the letters they can begin with."""
+    edged = [p.removeprefix(r"\b") for p in patterns if p.startswith(r"\b")]
+    firsts = {a[0] for p in edged for a in (p[1 : p.index(")")].split("|") if p.startswith("(") else [p])}
+    others = [p for p in patterns if not p.startswith(r"\b")]
+    return "(?i)(?:" + "|".join([rf"\b(?=[{''.join(sorted(firsts, reverse=True))}])(?:{'|'.join(edged)})"] * bool(edged) + others) + ")"
+
+
+def holds_any(text: Column, terms: list[str]) -> Column:
+    """Whether a text holds one of the terms."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms])
+
+
+def rule_of(line: Column, custom: list[str] | None = None, low: Column | None = None) -> Column:
+    """Name of the first rule that drops a line; null for lines that stay. A blank line stays. low: the trimmed line in
+    lower case, where it is a column already (terms are looked for in it one by one)."""
+    low = F.lower(F.trim(line)) if low is None else low
     out = F.when(F.trim(line) == "", None)
     for name, test in (
         ("start", line.rlike(starts_pattern())),
         ("whole", line.rlike(whole_pattern())),
-        ("contains", low.rlike(contains_pattern([*CONTAINS, *(c.lower() for c in custom or [])]))),
+        ("contains", holds_any(low, [*CONTAINS, *(c.lower() for c in custom or [])])),
         ("exact", low.isin(EXACT)),
         ("pipe_row", line.rlike(PIPE_ROW)),
         ("lone_number", line.rlike(LONE_NUMBER)),
-        ("search", line.rlike(either(SEARCH))),
+        ("search", line.rlike(search_pattern(SEARCH))),
     ):
         out = out.when(test, name)
     return out
@@ -151,6 +234,11 @@ def should_drop(line: Column, custom: list[str] | None = None) -> Column:
     return rule_of(line, custom).isNotNull()
 
 
+def drops_element(line: Column, custom: list[str] | None = None) -> Column:
+    """should_drop of an array's element: its lower case is made once."""
+    return F.exists(F.array(F.lower(F.trim(line))), lambda low: rule_of(line, custom, low).isNotNull())
+
+
 def is_heading(line: Column) -> Column:
     return (F.length(line) <= 140) & (line.rlike(HEADINGS[0]) | line.rlike(HEADINGS[1]) | line.rlike(HEADINGS[2]))
 

@@ -26,9 +26,14 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+#: EMAIL, for Spark: tried once a run of characters, at its beginning or behind the last match, not at every character.
+EMAIL_SCAN = rf"(?:(?<![A-Za-z0-9._%+\-])|\G){EMAIL.replace(']+@', ']++@')}"
+PHONE_SCAN = LABELLED_PHONE.replace("(?i)(?:", "(?i)(?=[pmc])(?:", 1)
+
+
 def redact(text: Column) -> Column:
     """E-mail addresses, labelled phone numbers and bare ten-digit numbers go."""
-    for pattern in (EMAIL, LABELLED_PHONE, TEN_DIGITS):
+    for pattern in (EMAIL_SCAN, PHONE_SCAN, TEN_DIGITS):
         text = F.regexp_replace(text, pattern, "")
     return text
 
@@ -41,7 +46,7 @@ def normalize_line(line: Column) -> Column:
     """Plain quotes, dashes and spaces, digits for keycaps, no emoji, one kind of bullet, no personal data, single blanks."""
     out = F.translate(line, "".join(FOLDED) + GONE, "".join(FOLDED.values()))
     out = F.regexp_replace(F.regexp_replace(out, r"([1-9])\x{20E3}", "$1."), r"\x{1F51F}", "10.")
-    out = F.regexp_replace(F.regexp_replace(out, EMOJI, ""), BULLETS, "-")
+    out = F.regexp_replace(F.regexp_replace(out, EMOJI, ""), r"(?=[^\x00-\x7F])" + BULLETS, "-")
     return squeeze(redact(out))
 
 
@@ -69,18 +74,24 @@ def sql_normalize_line(e: str) -> str:
     return sql_strip(rf"regexp_replace({sql_redact(e)}, '[ \t]{{2,}}', ' ', 'g')")
 
 
-FUSIONS = [("([a-z])([A-Z])", "1 2"), (r"([0-9])([A-Za-z])", "1 2"), (r"([a-z])([0-9])", "1 2")]
+# Where words that were printed together are parted.
+FUSIONS = [r"([a-z])([A-Z])", r"([0-9])([A-Za-z])", r"([a-z])([0-9])"]
 
 
-def split_fused(text: Column) -> Column:
-    """Blanks where case, digits and letters meet, and behind commas; no word is exempt."""
-    for pattern, _ in FUSIONS:
+def part_fused(text: Column) -> Column:
+    """Blanks where case, digits and letters meet; no word is exempt."""
+    for pattern in FUSIONS:
         text = F.regexp_replace(text, pattern, "$1 $2")
-    return F.regexp_replace(text, ",([A-Za-z])", ", $1")
+    return text
+
+
+def split_fused(text: Column) -> Column:
+    """The same, and blanks behind commas."""
+    return F.regexp_replace(part_fused(text), ",([A-Za-z])", ", $1")
 
 
 def sql_split_fused(e: str) -> str:
-    for pattern, _ in FUSIONS:
+    for pattern in FUSIONS:
         e = rf"regexp_replace({e}, '{pattern}', '\1 \2', 'g')"
     return rf"regexp_replace({e}, ',([A-Za-z])', ', \1', 'g')"
 
@@ -91,10 +102,6 @@ def normalize_text(text: Column) -> Column:
     return F.array_join(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), "\n")
 
 
-def hindi_share(text: Column) -> Column:
-    return script_share(text, HINDI)
-
-
 def script_share(text: Column, ranges: str) -> Column:
     """Share of letters that lie in the ranges; null without letters. Marks of the ranges count as letters."""
     every = F.length(F.regexp_replace(text, rf"[^\p{{L}}{ranges}]", ""))

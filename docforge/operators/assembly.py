@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docforge.functions import render, rules
-from docforge.operators.sequence import latch, letter, number
+from docforge.operators.sequence import latch, letter, number, numbered
 from docforge.sources.sinks import ordered_text
 
 
@@ -31,13 +31,13 @@ def structured(chunks: DataFrame) -> DataFrame:
     """
     done = split_appendix(chunks.where(F.col("status") == "COMPLETED"))
     kind = F.when(F.col("is_appendix"), "appendix").otherwise("chapter")
-    rows = number(done.withColumn("section_type", kind), ["doc_id", "section_type"], ["chunk_index"], "n")
+    rows = numbered(done.withColumn("section_type", kind), ["doc_id", "section_type"], ["chunk_index"], "n").withColumn("n", F.col("n").cast("int"))
     found = F.coalesce(render.heading_title(F.col("text")), F.concat(F.lit("Chapter "), F.col("n").cast("string")))
     title = F.when(F.col("is_appendix"), F.concat(F.lit("Appendix "), letter(F.col("n")))).otherwise(found)
     rows = rows.select("doc_id", F.when(F.col("is_appendix"), 3).otherwise(2).alias("rank"), "n", "section_type", title.alias("title"), render.upper_headings(F.col("text")).alias("text"))
     docs = done.select("doc_id").distinct()
     fixed = lambda rank, kind: docs.select("doc_id", F.lit(rank).alias("rank"), F.lit(1).alias("n"), F.lit(kind).alias("section_type"), F.initcap(F.lit(kind.replace("_", " "))).alias("title"), render.front_matter(F.lit(kind), F.lit(kind)).alias("text"))
-    return number(fixed(1, "front_matter").unionByName(rows).unionByName(fixed(4, "back_matter")), ["doc_id"], ["rank", "n"], "section_order").select("doc_id", "section_order", "section_type", "title", "text")
+    return numbered(fixed(1, "front_matter").unionByName(rows).unionByName(fixed(4, "back_matter")), ["doc_id"], ["rank", "n"], "section_order").select("doc_id", "section_order", "section_type", "title", "text")
 
 
 def publication(chunks: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def body_size(spans: DataFrame, sample_pages: int = 20) -> DataFrame:
     last = spans.groupBy("doc_id").agg(F.max("page_num").alias("last"))
     step = F.greatest(F.floor(F.col("last") / sample_pages), F.lit(1))
     taken = spans.join(last, "doc_id").where(((F.col("page_num") - 1) % step == 0) & (F.length(F.trim("text")) > 3) & (F.col("size") > 0))
-    return taken.groupBy("doc_id").agg(upper_median(F.col("size")).alias("median"))
+    return taken.groupBy("doc_id").agg(upper_median("size").alias("median"))
 
 
 def boundaries(spans: DataFrame, least: float = 0.6) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docforge.functions.text import grams, jaccard, paragraph_key
+from docforge.operators.columns import fresh
 
 WINDOW, SIMILARITY, SHORTEST = 120, 0.60, 8
 
@@ -16,12 +18,13 @@ WINDOW, SIMILARITY, SHORTEST = 120, 0.60, 8
 def keep_first(rows: DataFrame, key: list[str | Column], order: list[str], always: Column | None = None) -> DataFrame:
     """The first row of each key, and all rows that are exempt. An exempt row gets a key of its own before the shuffle,
     so that blank lines, the most frequent key of all, are no hot group."""
+    n = fresh(rows, "_n")
     if always is None:
-        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+        return rows.withColumn(n, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(n) == 1).drop(n)
     spread = [F.when(always, F.xxhash64(*order)), always]
     names = [F.when(~always, k if isinstance(k, Column) else F.col(k)) for k in key]
-    marked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*names, *spread).orderBy(*order)))
-    return marked.where((F.col("_n") == 1) | always).drop("_n")
+    marked = rows.withColumn(n, F.row_number().over(Window.partitionBy(*names, *spread).orderBy(*order)))
+    return marked.where((F.col(n) == 1) | always).drop(n)
 
 
 def exact_paragraphs(paragraphs: DataFrame, by: list[str], order: list[str], text: str = "line") -> DataFrame:
@@ -36,8 +39,9 @@ def translations(groups: DataFrame, by: list[str], q_num: str = "q_num", images:
     w = Window.partitionBy(*by, q_num).orderBy(order)
     has = F.col(images) > 0
     seen = F.coalesce(F.max(has).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    marked = groups.withColumn("_seen", seen)
-    return marked.where(has & ~F.col("_seen")).drop("_seen"), marked.where("_seen").drop("_seen")
+    mark = fresh(groups, "_seen")
+    marked = groups.withColumn(mark, seen)
+    return marked.where(has & ~F.col(mark)).drop(mark), marked.where(mark).drop(mark)
 
 
 def topmost(images: DataFrame, by: list[str]) -> DataFrame:
@@ -47,45 +51,40 @@ def topmost(images: DataFrame, by: list[str]) -> DataFrame:
 
 def last_wins(rows: DataFrame, key: list[str], order: list[str], value: str) -> tuple[DataFrame, DataFrame]:
     """(the last value of each key, log of (key, prev, new) for each overwriting)."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    last = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*[F.desc(o) for o in order]))).where("_n = 1").drop("_n")
+    w, n = Window.partitionBy(*key).orderBy(*order), fresh(rows, "_n")
+    last = rows.withColumn(n, F.row_number().over(Window.partitionBy(*key).orderBy(*[F.desc(o) for o in order]))).where(F.col(n) == 1).drop(n)
     log = rows.select(*key, *order, F.lag(value).over(w).alias("prev"), F.col(value).alias("new"), F.row_number().over(w).alias("_n")).where("_n > 1").drop("_n")
     return last, log
 
 
-def repeated_headers(rows: DataFrame, by: list[str], page: str, order: str, key: str, known: Column) -> DataFrame:
-    """Rows but those that repeat a header: a known header is seen at once, the first row of a table from the next page on."""
-    w = Window.partitionBy(*by, key).orderBy(page, order)
-    known_before = F.coalesce(F.max(known).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    first_page = F.min(F.when(F.col("is_table_start"), F.col(page))).over(Window.partitionBy(*by, key))
-    return rows.withColumn("_k", known_before).withColumn("_p", first_page).where(~F.col("_k") & ~F.coalesce(F.col(page) > F.col("_p"), F.lit(False))).drop("_k", "_p")
+def greedy_flags(texts: list[str | None], window: int = WINDOW, similarity: float = SIMILARITY) -> list[bool]:
+    """Which paragraphs of an ordered list stay: not those like one of the last kept ones.
 
-
-def greedy_flags(texts: list[str], window: int = WINDOW, similarity: float = SIMILARITY) -> list[bool]:
-    """Which paragraphs of an ordered list stay: not those like one of the last kept ones."""
-    seen: set[str] = set()
-    recent: list[set[str]] = []
+    Kept paragraphs are numbered, and each gram lists the numbers it occurs in, newest last: what a paragraph shares with
+    those of the window is counted through its own grams, and no two sets are compared.
+    """
+    holders: dict[str, list[int]] = {}
+    sizes: list[int] = []
+    known: set[str] = set()
     flags = []
     for text in texts:
         key = "".join(c for c in (text or "").lower() if "a" <= c <= "z" or "0" <= c <= "9")
         if len(key) < SHORTEST:
             flags.append(True)
             continue
-        if key in seen:
-            flags.append(False)
-            continue
         own = {key[i : i + 4] for i in range(len(key) - 3)}
-        like = False
-        for other in recent:
-            if min(len(own), len(other)) >= similarity * max(len(own), len(other)):
-                both = len(own & other)
-                if both >= similarity * (len(own) + len(other) - both):
-                    like = True
-                    break
-        if not like:
-            seen.add(key)
-            recent = [*recent[-window + 1 :], own]
-        flags.append(not like)
+        oldest = max(0, len(sizes) - window)
+        shared = Counter(k for g in own for k in reversed(holders.get(g, ())) if k >= oldest)
+        stays = key not in known and not any(n >= similarity * (len(own) + sizes[k] - n) for k, n in shared.items())
+        if stays:
+            known.add(key)
+            for g in own:
+                held = holders.setdefault(g, [])
+                if held and held[0] < oldest:
+                    held[:] = [k for k in held if k >= oldest]
+                held.append(len(sizes))
+            sizes.append(len(own))
+        flags.append(stays)
     return flags
 
 
@@ -110,34 +109,48 @@ def across_chunks(chunks: DataFrame, doc: str = "doc_id", chunk: str = "chunk_in
     return kept.groupBy(doc, F.col("z.xs.c").alias(chunk)).agg(joined.alias(text))
 
 
-def near_pairs(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY, bands: int = 40, per_band: int = 4, most: int = 64) -> DataFrame:
+def near_pairs(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY, bands: int = 40, per_band: int = 4, part: int = 512) -> DataFrame:
     """(a, b, similarity) of different paragraph keys: MinHash bands, the length bound, then the exact Jaccard of 4-grams.
 
     The scalable mode: a pair at 0.60 is missed by all bands four times in a thousand. Equal keys are one row, their
-    least id; bands that more than ``most`` keys share are joined through finer keys (two bands at a time), so no group
-    emits all its pairs.
+    least id. A band's bucket of many keys is dealt in parts of about ``part`` rows, and each part joined to the whole
+    bucket: every pair is still met, and no task holds more than a part against one bucket. Pairs that are alike are
+    all returned, so a group of n like but different texts has up to n * (n - 1) / 2 rows; ``near_groups`` has n.
     """
     keys = rows.select(F.col(key_id).alias("id"), paragraph_key(F.col(text)).alias("k")).where(F.length("k") >= SHORTEST)
     keys = keys.groupBy("k").agg(F.min("id").alias("id")).withColumn("g", grams(F.col("k")))
     least = lambda seed: F.array_min(F.transform("g", lambda x: F.xxhash64(x, F.lit(seed))))
-    hashed = keys.select("id", F.size("g").alias("n"), *[F.xxhash64(*[least(b * per_band + i) for i in range(per_band)]).alias(f"h{b}") for b in range(bands)])
-    single = hashed.select("id", "n", F.posexplode(F.array(*[f"h{b}" for b in range(bands)])).alias("band", "h"))
-    sizes = single.groupBy("band", "h").agg(F.count("*").alias("met")).where("met > 1")
-    few = single.join(sizes.where(F.col("met") <= most), ["band", "h"])
-    crowded = single.join(sizes.where(F.col("met") > most).select("band", "h"), ["band", "h"], "left_semi").select("id", "n", "band", "h")
-    finer = crowded.join(hashed.select("id", F.array(*[f"h{b}" for b in range(bands)]).alias("hs")), "id").select("id", "n", (F.col("band") + bands).alias("band"), F.explode(F.transform("hs", lambda x: F.xxhash64(F.col("h"), x))).alias("h"))
-    filed = few.select("id", "n", "band", "h").unionByName(finer)
-    a, b = filed.alias("a"), filed.alias("b")
+    hashes = F.array(*[F.xxhash64(F.lit(b), *[least(b * per_band + i) for i in range(per_band)]) for b in range(bands)])
+    filed = keys.select("id", F.size("g").alias("n"), F.explode(hashes).alias("h"))
+    sizes = filed.groupBy("h").agg(F.count("*").alias("met")).where("met > 1").select("h", F.ceil(F.col("met") / part).cast("int").alias("parts"))
+    met = filed.join(sizes, "h")
+    a = met.select("id", "n", "h", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).alias("a")
+    b = met.select("id", "n", "h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).alias("b")
     near_size = F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & near_size).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")) & near_size).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     own = keys.select("id", "g")
-    both = met.join(own.withColumnsRenamed({"id": "a", "g": "ga"}), "a").join(own.withColumnsRenamed({"id": "b", "g": "gb"}), "b")
+    both = pairs.join(own.withColumnsRenamed({"id": "a", "g": "ga"}), "a").join(own.withColumnsRenamed({"id": "b", "g": "gb"}), "b")
     return both.select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("similarity")).where(F.col("similarity") >= similarity)
 
 
+def near_groups(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, representative, n_like): every row with the least id of its paragraph key, and how many other keys that one is
+    like; short keys are like none."""
+    keyed = rows.select(F.col(key_id).alias("id"), paragraph_key(F.col(text)).alias("k"))
+    heads = keyed.where(F.length("k") >= SHORTEST).groupBy("k").agg(F.min("id").alias("representative"))
+    pairs = near_pairs(rows, key_id, text, similarity)
+    likes = pairs.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("n_like"))
+    named = keyed.join(heads, "k", "left").select("id", F.coalesce("representative", "id").alias("representative"))
+    return named.join(likes, "representative", "left").select("id", "representative", F.coalesce("n_like", F.lit(0).cast("bigint")).alias("n_like"))
+
+
 def blocks_before_rendering(blocks: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
-    """Headings once whatever their case, other texts once by key; blank ones go."""
-    rows = blocks.where(F.trim("content") != "")
-    heading = F.col("tag").isin("H1", "H2", "H3")
-    key = F.when(heading, F.concat(F.lit("h:"), F.lower(F.trim("content")))).otherwise(F.concat(F.lit("b:"), paragraph_key(F.col("content"))))
-    return keep_first(rows, [*by, key], [order], ~heading & (F.length(paragraph_key(F.col("content"))) < SHORTEST))
+    """Blocks of a document as they are drawn: blank ones go, headings come once whatever their case, other texts once, and
+    not if they are like one of the last kept ones (greedy_flags; a document's texts are one row for that)."""
+    rows = blocks.where(F.trim(F.coalesce("content", F.lit(""))) != "")
+    heading = F.upper("tag").isin("H1", "H2", "H3", "HEADING")
+    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.when(~heading, F.col("content")).alias("t")))).alias("xs"))
+    flags = listed.withColumn("f", greedy_paragraphs(F.transform("xs", lambda x: x["t"]))).select(*by, F.explode(F.arrays_zip("xs", "f")).alias("z"))
+    kept = rows.join(flags.where("z.f").select(*by, F.col("z.xs.o").alias(order)), [*by, order], "left_semi")
+    key = F.when(heading, F.concat(F.lit("h:"), F.lower(F.trim("content")))).otherwise(F.concat(F.lit("b:"), F.trim("content")))
+    return keep_first(kept, [*by, F.md5(key)], [order])

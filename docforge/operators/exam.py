@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docforge.functions import answers as A
 from docforge.functions import rules
-from docforge.functions.text import is_mostly, strip, strip_script
+from docforge.functions.text import strip, strip_script
+from docforge.operators.columns import fresh
 from docforge.operators.dedup import keep_first
 from docforge.operators.sequence import sessionise
 
@@ -106,8 +107,9 @@ def detect_format(pages: DataFrame) -> DataFrame:
 
 
 def with_answers(questions: DataFrame, answers: DataFrame, q_id: str = "q_id") -> DataFrame:
-    """Questions, with their answers where there are any; an empty id matches none."""
-    own = answers.select(F.col("question_id").alias(q_id), "answer")
+    """Questions, with their answers where there are any; an empty id matches none. Answers have one row an id
+    (keys.entries_of makes them so), else questions would repeat; where they don't, any one of an id's is taken."""
+    own = answers.groupBy(F.col("question_id").alias(q_id)).agg(F.any_value("answer").alias("answer"))
     usable = F.when(F.col(f"q.{q_id}") != "", F.col(f"q.{q_id}"))
     return questions.alias("q").join(own.alias("a"), usable == F.col(f"a.{q_id}"), "left").select("q.*", "a.answer", F.col("a.answer").isNotNull().alias("found"))
 
@@ -131,17 +133,12 @@ def best_subject(questions: DataFrame, answers: DataFrame, key: str = "q_id", su
 def resolve_answers(questions: DataFrame) -> DataFrame:
     """answer_text and found of questions with columns raw, kind and options."""
     done = A.resolve(F.col("raw"), F.col("kind"), F.col("options"))
-    return questions.withColumn("_r", done).select(*questions.columns, F.col("_r.text").alias("answer_text"), F.col("_r.found").alias("found"))
+    made = fresh(questions, "_made")
+    return questions.withColumn(made, done).select(*questions.columns, F.col(f"{made}.text").alias("answer_text"), F.col(f"{made}.found").alias("found"))
 
 
 def drop_twin_images(images: DataFrame, doc: str = "doc_id") -> DataFrame:
     """The uppermost image of each question."""
-    return keep_first(images.withColumn("_y", F.bround("y0", 1)), [doc, "q_num"], ["page_idx", "_y", "seq"]).drop("_y")
+    y = fresh(images, "_y")
+    return keep_first(images.withColumn(y, F.bround("y0", 1)), [doc, "q_num"], ["page_idx", y, "seq"]).drop(y)
 
-
-def drop_translated_lines(text: Column) -> Column:
-    return strip_script(text)
-
-
-def is_translated(text: Column) -> Column:
-    return is_mostly(text)

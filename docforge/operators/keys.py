@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docforge.functions import answers as A
 from docforge.functions import rules
 from docforge.functions.text import strip
+from docforge.operators.dedup import last_wins
 from docforge.operators.sequence import carry_forward, in_turn
 
 # Headers of subjects, by how surely they are one, and forms of ids.
@@ -147,9 +148,35 @@ def parse(pages: DataFrame) -> DataFrame:
     return both.select("doc_id", "page_num", "entry_no", "subject", "question_id", F.coalesce("answer.raw", "raw").alias("raw"), F.coalesce("answer.kind", F.lit("unrecognised")).alias("kind"), F.coalesce("answer.options", F.array().cast("array<int>")).alias("options"))
 
 
+#: Kinds of answers that nothing was made of: none behind an id, or one of no known form.
+UNREAD = ["unrecognised", "unknown"]
+
+
 def warnings(entries: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """(subject name, entries, unrecognised, duplicates, warning)."""
-    counts = entries.groupBy("subject").agg(F.count("*").alias("entries"), F.count_if(F.col("kind") == "unrecognised").alias("unrecognised"))
+    """(subject, entries, unrecognised, duplicates, warning)."""
+    counts = entries.groupBy("subject").agg(F.count("*").alias("entries"), F.count_if(F.col("kind").isin(UNREAD)).alias("unrecognised"))
     doubled = duplicates.groupBy("subject").agg(F.count("*").alias("duplicates"))
     out = counts.join(doubled, "subject", "left").withColumn("duplicates", F.coalesce("duplicates", F.lit(0)))
     return out.withColumn("warning", F.when((F.col("unrecognised") > 0) | (F.col("duplicates") > 0), F.format_string("%s unrecognised, %s duplicated of %s", F.col("unrecognised").cast("string"), F.col("duplicates").cast("string"), F.col("entries").cast("string"))))
+
+
+def entries_of(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, log) of what parse gives: of each subject's repeated ids the last, and each overwriting. Ids without an
+    answer are no entries."""
+    named = parsed.withColumn("code", F.coalesce("subject.code", F.lit(""))).withColumn("code", F.when(F.col("code") == "", F.col("subject.name")).otherwise(F.col("code")))
+    return last_wins(named.where(F.col("kind") != "unrecognised"), ["doc_id", "code", "question_id"], ["page_num", "entry_no"], "raw")
+
+
+def key_report(parsed: DataFrame) -> DataFrame:
+    """(doc_id, code, name, entries, unrecognised, duplicates, warnings) of each subject of a key."""
+    entries, log = entries_of(parsed)
+    code = F.when(F.coalesce("subject.code", F.lit("")) == "", F.col("subject.name")).otherwise(F.col("subject.code"))
+    every = parsed.groupBy("doc_id", code.alias("code")).agg(F.min("subject.name").alias("name"), F.count_if(F.col("kind").isin(UNREAD)).alias("unrecognised"))
+    out = every.join(entries.groupBy("doc_id", "code").agg(F.count("*").alias("entries")), ["doc_id", "code"], "left").join(log.groupBy("doc_id", "code").agg(F.count("*").alias("duplicates")), ["doc_id", "code"], "left")
+    zero = F.lit(0).cast("bigint")
+    out = out.select("doc_id", "code", "name", F.coalesce("entries", zero).alias("entries"), "unrecognised", F.coalesce("duplicates", zero).alias("duplicates"))
+    told = [
+        F.when(F.col("unrecognised") > 0, F.format_string("Subject %s (%s): %s unrecognised answer token(s)", "code", "name", F.col("unrecognised").cast("string"))),
+        F.when(F.col("duplicates") > 0, F.format_string("Subject %s: %s duplicate question id(s) overwritten", "code", F.col("duplicates").cast("string"))),
+    ]
+    return out.withColumn("warnings", F.array_compact(F.array(*told)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docforge.functions.render import item_type
+from docforge.operators.columns import fresh
 
 
 def overlaps(a: str, b: str) -> Column:
@@ -23,10 +24,10 @@ def outside_tables(blocks: DataFrame, tables: DataFrame, keys: list[str]) -> Dat
     return b.join(t, on, "left_anti")
 
 
-def upper_median(value: Column, default: float = 12.0) -> Column:
-    """Aggregate: the value at place n // 2 of the sorted list."""
-    values = F.array_sort(F.collect_list(value))
-    return F.coalesce(F.get(values, F.floor(F.size(values) / 2).cast("int")).cast("double"), F.lit(default))
+def upper_median(value: str, default: float = 12.0) -> Column:
+    """Aggregate: the value at place n // 2 of the sorted list. Spark keeps one count for each different value: the first
+    value that over half of the rows don't exceed is that one, of an even number of rows too."""
+    return F.coalesce(F.expr(f"percentile_disc(0.5000000000001D) WITHIN GROUP (ORDER BY {value})").cast("double"), F.lit(default))
 
 
 def average_median(value: Column, default: float = 11.0) -> Column:
@@ -49,22 +50,38 @@ def page_items(lines: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def annotate(blocks: DataFrame, lines: DataFrame) -> DataFrame:
-    """Each block with the runs of the line it contains that has most emphasised runs; the first of equal ones."""
-    emphasis = F.size(F.filter("l.runs", lambda r: r["bold"] | r["italic"]))
-    met = blocks.alias("b").join(lines.alias("l"), (F.col("b.doc_id") == F.col("l.doc_id")) & F.contains(F.col("b.content"), F.col("l.text")) & (F.col("l.text") != ""))
-    best = met.groupBy("b.doc_id", "b.seq").agg(F.max_by("l.runs", F.struct(emphasis, -F.col("l.line_no"))).alias("runs"))
+    """Each block of text (headings and tables have none) with the runs of the line it contains that has most runs, if any
+    of them is emphasised; the first of equal ones.
+
+    A block that contains a line contains its inner words whole, so lines of three words or more meet the blocks of their
+    document that have their longest inner word; shorter lines are compared with every block of their document.
+    """
+    text, key = F.trim(F.coalesce("text", F.lit(""))), "_word"
+    emphasised = F.exists("runs", lambda r: r["bold"] | r["italic"])
+    parts = F.split(F.col("_text"), r"\s+")
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    own = lines.where(emphasised).select("doc_id", "line_no", "runs", text.alias("_text")).where("_text <> ''").withColumn(key, longest)
+    body = blocks.where(~F.upper(F.coalesce("tag", F.lit("")) if "tag" in blocks.columns else F.lit("")).isin("H1", "H2", "H3", "TABLE")).select("doc_id", "seq", "content")
+    words = body.select("doc_id", "seq", "content", F.explode(F.array_distinct(F.split("content", r"\s+"))).alias(key))
+    holds = F.contains("content", "_text")
+    met = words.join(own.where(F.col(key).isNotNull()), ["doc_id", key]).where(holds).select("doc_id", "seq", "line_no", "runs")
+    short = body.join(own.where(F.col(key).isNull()), "doc_id").where(holds).select("doc_id", "seq", "line_no", "runs")
+    best = met.unionByName(short).groupBy("doc_id", "seq").agg(F.max_by("runs", F.struct(F.size("runs"), -F.col("line_no"))).alias("runs"))
     return blocks.join(best, ["doc_id", "seq"], "left")
 
 
 def match_tables(rewritten: DataFrame, originals: DataFrame, by: list[str]) -> DataFrame:
-    """The original table that shares most cells with each rewritten one: equal text first, then the most cells, then the first."""
+    """The original table of the same batch that each rewritten one is of: equal text first, then the most cells in common,
+    then the first. One without cells is taken only where there is no other; without any original there is none (null)."""
     shared = F.size(F.array_intersect("r.cells", "o.cells"))
-    met = rewritten.alias("r").join(originals.alias("o"), [F.col(f"r.{k}") == F.col(f"o.{k}") for k in by])
-    best = F.max_by(F.col("o.table_no"), F.struct(F.col("r.text") == F.col("o.text"), shared, -F.col("o.table_no")))
-    return met.groupBy(*[f"r.{k}" for k in by], "r.table_no").agg(best.alias("original_no"))
+    met = rewritten.alias("r").join(originals.alias("o"), [F.col(f"r.{k}") == F.col(f"o.{k}") for k in by], "left")
+    best = F.max_by(F.col("o.table_no"), F.struct(F.col("r.text").eqNullSafe(F.col("o.text")), F.size("o.cells") > 0, shared, -F.col("o.table_no")))
+    return met.groupBy(*[F.col(f"r.{k}").alias(k) for k in by], F.col("r.table_no").alias("table_no")).agg(best.alias("original_no"))
 
 
 def pair_by_text(a: DataFrame, b: DataFrame, text: str, order_a: str, order_b: str) -> DataFrame:
     """The n-th row of a text with the n-th of the other side: each is used once."""
-    rank = lambda df, o: df.withColumn("_rn", F.row_number().over(Window.partitionBy(text).orderBy(o)))
-    return rank(a, order_a).join(rank(b, order_b), [text, "_rn"], "left").drop("_rn")
+    n = fresh(a, "_rn")
+    rank = lambda df, o: df.withColumn(n, F.row_number().over(Window.partitionBy(text).orderBy(o)))
+    return rank(a, order_a).join(rank(b, order_b), [text, n], "left").drop(n)

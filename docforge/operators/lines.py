@@ -9,21 +9,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docforge.functions import rules
-from docforge.functions.text import normalize_line, sentences, split_fused, strip
-from docforge.operators.sequence import join_continuations, lines_of
+from docforge.functions.text import fragments, normalize_line, part_fused, redact, sentences, split_fused, strip
+from docforge.operators.columns import fresh
+from docforge.operators.dedup import keep_first
+from docforge.operators.sequence import join_continuations
+from docforge.sources.sinks import ordered_text
 
 
 def clean_lines(lines: DataFrame, line: str = "line", custom: list[str] | None = None) -> DataFrame:
-    """clean (normalised, fused words split) and kept of every line; blank lines aren't kept."""
-    out = lines.withColumn("norm", normalize_line(F.col(line)))
-    return out.withColumn("rule", rules.rule_of(F.col("norm"), custom)).withColumn("kept", F.col("rule").isNull() & (F.col("norm") != "")).withColumn("clean", split_fused(F.col("norm"))).drop("norm")
+    """rule, kept and clean (normalised; fused words of kept lines split) of every line; blank lines aren't kept."""
+    norm, low = fresh(lines, "_norm"), fresh(lines, "_low")
+    out = lines.withColumn(norm, normalize_line(F.col(line))).withColumn(low, F.lower(F.trim(norm)))
+    out = out.withColumn("rule", rules.rule_of(F.col(norm), custom, F.col(low)))
+    return out.withColumn("kept", F.col("rule").isNull() & (F.col(norm) != "")).withColumn("clean", F.when(F.col("kept"), split_fused(F.col(norm))).otherwise(F.col(norm))).drop(norm, low)
 
 
 def clean_pages(pages: DataFrame, text: str = "text", custom: list[str] | None = None) -> DataFrame:
     """pages with their text cleaned: blank-separated blocks that are column tables are rebuilt, other lines are cleaned,
     and every kept line is a paragraph. Array functions only: rows never meet."""
     blocks = F.filter(F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), r"\n\s*\n"), lambda b: F.trim(b) != "")
-    lines = lambda b: F.filter(F.transform(F.split(b, "\n"), normalize_line), lambda x: (x != "") & ~rules.should_drop(x, custom))
+    lines = lambda b: F.filter(F.transform(F.split(b, "\n"), normalize_line), lambda x: (x != "") & ~rules.drops_element(x, custom))
     rebuilt = F.transform(blocks, lambda b: F.struct(b.alias("b"), column_table_sql(b).alias("t")))
     kept = F.flatten(F.transform(rebuilt, lambda x: F.when(x["t"].isNotNull(), F.array(x["t"])).otherwise(F.transform(lines(x["b"]), split_fused))))
     return pages.withColumn(text, F.array_join(kept, "\n\n"))
@@ -83,11 +88,77 @@ def column_tables(block: Column, unique_header: bool = True) -> Column:
     return run(block)
 
 
-def clean_pages_with_structure(pages: DataFrame, text: str = "text") -> DataFrame:
-    """The other page cleaner: continuations are joined, and blocks of few words that are no headings go."""
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), normalize_line), lambda x: (x == "") | ~rules.should_drop(x))
-    paragraphs = F.filter(join_continuations(F.transform(lines, split_fused)), lambda p: (p != "") & rules.keeps_block(p) & ~p.rlike(rules.CASE_HEADER))
-    return pages.withColumn(text, F.array_join(paragraphs, "\n"))
+def header_key(line: Column) -> Column:
+    """A line as table headers are told apart: lower case, no bars, single blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\|", ""), r"\s+", " "))
+
+
+def clean_pages_with_structure(pages: DataFrame, doc: str = "doc_id", page: str = "page_num", text: str = "text") -> DataFrame:
+    """(doc, page, text): the page cleaner that keeps line structure.
+
+    Blank-separated blocks that are column tables are rebuilt (rows like the first go); lines are normalised and judged;
+    a known table header is kept once a document, and no line that reads like the first row of a rebuilt table is kept on
+    its later pages; continuations are joined; then blocks of few words, case headers and headings a page has had go,
+    and blocks that have become column tables are rebuilt. Lines of a page meet again in one row, pages of a document never do.
+    """
+    blocks = F.filter(F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), r"\n(?:[ \t]*\n)+"), lambda b: F.trim(b) != "")
+    rows = pages.select(doc, page, F.posexplode_outer(blocks).alias("block_no", "block"))
+    rows = rows.withColumn("made", column_tables(F.col("block")))
+    first = header_key(F.regexp_extract("block", r"^\s*([^\n]*)", 1))
+    lined = rows.select(doc, page, "block_no", F.posexplode_outer(F.split(F.coalesce("made", "block"), "\n")).alias("line_no", "raw"), F.when(F.col("made").isNotNull(), first).alias("start"))
+    lined = lined.withColumn("norm", normalize_line(F.col("raw"))).withColumn("low", F.lower(F.trim("norm")))
+    kept = lined.where(F.col("raw").isNull() | (F.col("norm") == "") | rules.rule_of(F.col("norm"), None, F.col("low")).isNull())
+    kept = kept.withColumn("line", split_fused(F.col("norm"))).withColumn("key", header_key(F.col("line")))
+    kept = kept.withColumn("known", F.coalesce(rules.is_table_header(F.col("line")), F.lit(False))).withColumn("at", F.col("block_no") * F.lit(1 << 20) + F.col("line_no"))
+    starts = rows.where("made IS NOT NULL").select(doc, F.col(page).alias("first_page"), first.alias("key")).groupBy(doc, "key").agg(F.min("first_page").alias("first_page"))
+    kept = drop_repeated_headers(kept, starts, doc, page, "at", "key", F.col("known"))
+    of_page = F.transform(F.array_sort(F.collect_list(F.struct("block_no", "line_no", F.coalesce("line", F.lit("")).alias("line")))), lambda x: x)
+    listed = kept.groupBy(doc, page).agg(of_page.alias("xs"))
+    # a blank line between blocks, as on the page
+    spaced = F.flatten(F.transform(F.sequence(F.lit(0), F.size("xs") - 1), lambda i: F.when((i > 0) & (F.get("xs", i)["block_no"] != F.get("xs", i - 1)["block_no"]), F.array(F.lit(""), F.get("xs", i)["line"])).otherwise(F.array(F.get("xs", i)["line"]))))
+    joined = F.regexp_replace(F.array_join(join_continuations(spaced), "\n"), r"\n{3,}", "\n\n")
+    paragraphs = listed.select(doc, page, F.posexplode_outer(F.split(strip(joined), "\n\n")).alias("n", "p"))
+    one_line = strip(F.regexp_replace("p", r"\s*\n\s*", " "))
+    paragraphs = paragraphs.withColumn("flat", one_line).withColumn("heading", rules.is_heading(F.col("flat")))
+    heading_key = F.when(F.col("heading") & (F.length("flat") < 120), F.lower(F.regexp_replace("flat", r"\s+", " ")))
+    paragraphs = keep_first(paragraphs.withColumn("heading_key", heading_key), [doc, page, "heading_key"], [doc, page, "n"], F.col("heading_key").isNull())
+    fine = (F.col("flat") != "") & ~F.col("flat").rlike(rules.CASE_HEADER) & rules.keeps_block(F.col("flat"))
+    rebuilt = F.coalesce(column_tables(F.col("p")), F.col("p"))
+    done = paragraphs.where(fine).select(doc, page, "n", rebuilt.alias("p")).groupBy(doc, page).agg(ordered_text(F.col("n"), F.col("p"), "\n\n").alias("t"))
+    return pages.drop(text).join(done, [doc, page], "left").withColumn(text, F.coalesce("t", F.lit(""))).drop("t")
+
+
+def drop_repeated_headers(rows: DataFrame, starts: DataFrame, doc: str, page: str, order: str, key: str, known: Column) -> DataFrame:
+    """Rows but those that repeat a header: a known header is seen at once, the first row of a table (starts: doc, key,
+    first_page) from the next page on."""
+    mark = fresh(rows, "_header")
+    heads = rows.withColumn(mark, known)
+    seen = keep_first(heads.where(F.col(mark)), [doc, key], [page, order]).select(doc, key, F.struct(page, order).alias("_first"))
+    joined = heads.join(seen, [doc, key], "left").join(starts, [doc, key], "left")
+    late = F.coalesce(F.struct(F.col(page), F.col(order)) > F.col("_first"), F.lit(False)) | F.coalesce(F.col(page) > F.col("first_page"), F.lit(False))
+    return joined.where(~late | (F.col(key) == "")).drop(mark, "_first", "first_page")
+
+
+def drop_artifacts(docs: DataFrame, generation: int, text: str = "text", first_part: Column | None = None) -> DataFrame:
+    """Texts of finished books without chat, by the rules of one of three generations.
+
+    1: lines that begin like chat go. 2: fragments (text.fragments) that hold some go. 3: the same by more rules, without
+    personal data, with fused words parted; where first_part is true, its sentences are judged by a list of their own.
+    """
+    if generation == 1:
+        kept = F.filter(F.transform(F.split(F.col(text), "\n"), strip), lambda x: (x != "") & ~x.rlike(r"(?i)^(?:" + "|".join(rules.BOOK_STARTS) + ")"))
+        return docs.withColumn(text, F.array_join(kept, "\n"))
+    squeezed = lambda x: strip(F.regexp_replace(F.translate(x, "\u00a0", " "), r"\s+", " "))
+    if generation == 2:
+        kept = F.filter(F.transform(fragments(F.col(text)), squeezed), lambda x: (x != "") & ~x.rlike(rules.search_pattern(rules.BOOK_SEARCH)))
+        return docs.withColumn(text, F.array_join(kept, "\n"))
+    normal = lambda x: squeezed(redact(F.regexp_replace(F.regexp_replace(x, r"([1-9])\x{20E3}", "$1."), r"\x{1F51F}", "10.")))
+    bad = lambda x: F.lower(x).isin(rules.BOOK_EXACT) | x.rlike(r"^\d{1,2}\.\s*$") | x.rlike(rules.PIPE_ROW) | x.rlike(rules.search_pattern(rules.BOOK_SEARCH_MORE)) | x.rlike(rules.search_pattern(rules.SEARCH))
+    kept = F.filter(F.transform(fragments(F.col(text)), normal), lambda x: (x != "") & ~bad(x))
+    if first_part is not None:
+        told = lambda x: F.array_join(F.filter(sentences(x), lambda s: (strip(s) != "") & ~s.rlike(rules.search_pattern(rules.BOOK_FIRST_PART))), " ")
+        kept = F.when(F.coalesce(first_part, F.lit(False)), F.filter(F.transform(kept, told), lambda x: x != "")).otherwise(kept)
+    return docs.withColumn(text, F.array_join(F.transform(kept, lambda x: part_fused(x)), "\n"))
 
 
 def drop_chain(docs: DataFrame, stages: list[dict[str, str | None]], text: str = "text") -> DataFrame:
@@ -109,6 +180,3 @@ ORPHAN_NUMBER = r"^\d+[.)]?$"
 def drop_structure_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~x.rlike(STRUCTURE) & ~F.trim(x).rlike(ORPHAN_NUMBER)), "\n"))
 
-
-def document_lines(docs: DataFrame) -> DataFrame:
-    return lines_of(docs)

@@ -12,8 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docforge.functions.render import keeps_facts, keeps_table, table_rows
 from docforge.functions.text import tokens_estimate, words
-from docforge.operators.sequence import pack
+from docforge.operators.layout import match_tables
+from docforge.operators.sequence import neighbours, number, pack
+from docforge.sources.sinks import ordered_text
+from docforge.sources.tables import opening_pages
 
 MOST_TOKENS, MOST_WORDS, MOST_BLOCKS, ATTEMPTS = 6000, 3000, 12, 6
 BLOCK_TYPES = ["H1", "H2", "H3", "BODY", "LIST", "TABLE"]
@@ -53,12 +57,33 @@ class Pool:
         raise error or RuntimeError("no provider")
 
 
+class RotatingPool:
+    """Accounts of one provider: a rate limit moves on to the next account and uses up no attempt, however often; any
+    other failure does, and stays with the account."""
+
+    def __init__(self, accounts: list[Callable[[str], str]], attempts: int = 5, sleep: Callable[[float], None] = time.sleep):
+        self.accounts, self.attempts, self.sleep, self.now = accounts, attempts, sleep, 0
+
+    def call(self, prompt: str) -> str:
+        failed = 0
+        while True:
+            try:
+                return self.accounts[self.now](prompt)
+            except RateLimited:
+                self.now = (self.now + 1) % len(self.accounts)
+                self.sleep(2.0)
+            except Exception:
+                failed += 1
+                if failed >= self.attempts:
+                    raise
+                self.sleep(1.0)
+
+
 def batches(blocks: DataFrame, by: list[str], order: str = "seq", text: str = "text") -> DataFrame:
     """bin of each block, by tokens and words; rows of one table share a run and are one item."""
     n = words(F.col(text))
-    sized = blocks.withColumn("_tokens", tokens_estimate(n)).withColumn("_words", n)
-    items = sized.groupBy(*by, "run").agg(F.min(order).alias("_first"), F.sum("_tokens").alias("tokens"), F.sum("_words").alias("words"))
-    return sized.drop("_tokens", "_words").join(items.join(pack(items, by, "_first", "tokens", MOST_TOKENS, ("words", MOST_WORDS)), [*by, "_first"]).select(*by, "run", "bin"), [*by, "run"])
+    items = blocks.groupBy(*by, "run").agg(F.min(order).alias("_first"), F.sum(tokens_estimate(n)).alias("tokens"), F.sum(n).alias("words"))
+    return blocks.join(items.join(pack(items, by, "_first", "tokens", MOST_TOKENS, ("words", MOST_WORDS)), [*by, "_first"]).select(*by, "run", "bin"), [*by, "run"])
 
 
 def label_and_rewrite(rows: DataFrame, key: str, text: str, model: Callable[[str], str]) -> DataFrame:
@@ -95,6 +120,53 @@ def labelled(raw: Column) -> Column:
     return F.aggregate(F.split(raw, "\n"), F.array().cast(f"array<{block}>"), step)
 
 
+def label_paragraphs(paragraphs: DataFrame, model: Callable[[str], str], by: list[str], order: str = "seq", text: str = "text") -> DataFrame:
+    """(by, seq, block_type, needs_rewrite, text, fallback): the first pass. Paragraphs go to the model in batches; its
+    blocks come back in order, and tables that lost a cell are the original again. A batch whose call fails is its
+    paragraphs as they are, as body."""
+    binned = batches(paragraphs.withColumn("run", F.col(order)), by, order, text)
+    prompt = ordered_text(F.col(order), F.col(text), "\n\n")
+    sent = binned.groupBy(*by, "bin").agg(prompt.alias("prompt"), F.min(order).alias("first")).withColumn("batch", F.to_json(F.struct(*by, "bin")))
+    answers = sent.join(label_and_rewrite(sent, "batch", "prompt", model), "batch")
+    blocks = answers.where("error IS NULL").select(*by, "bin", F.posexplode(labelled(F.col("answer"))).alias("k", "b")).select(*by, "bin", "k", "b.*")
+    cells = lambda t: F.array_distinct(F.filter(F.flatten(table_rows(t)), lambda c: F.length(c) >= 2))
+    tables = blocks.where("block_type = 'TABLE'").select(*by, "bin", F.col("k").alias("table_no"), "text", cells(F.col("text")).alias("cells"))
+    originals = binned.where(F.contains(text, F.lit("|"))).select(*by, "bin", F.col(order).alias("table_no"), F.col(text).alias("text"), cells(F.col(text)).alias("cells"))
+    named = match_tables(tables, originals, [*by, "bin"]).join(originals.select(*by, "bin", F.col("table_no").alias("original_no"), F.col("text").alias("original_text")), [*by, "bin", "original_no"])
+    told = blocks.join(named.select(*by, "bin", F.col("table_no").alias("k"), "original_text"), [*by, "bin", "k"], "left")
+    lost = F.coalesce((F.col("block_type") == "TABLE") & ~keeps_table(F.col("original_text"), F.col("text")), F.lit(False))
+    fine = told.select(*by, "bin", "k", "block_type", (F.col("needs_rewrite") & ~lost).alias("needs_rewrite"), F.when(lost, F.col("original_text")).otherwise(F.col("text")).alias("text"), lost.alias("fallback"))
+    failed = binned.join(answers.where("error IS NOT NULL").select(*by, "bin"), [*by, "bin"], "left_semi")
+    plain = failed.select(*by, "bin", F.col(order).alias("k"), F.lit("BODY").alias("block_type"), F.lit(False).alias("needs_rewrite"), F.col(text).alias("text"), F.lit(True).alias("fallback"))
+    both = fine.unionByName(plain)
+    return number(both, by, ["bin", "k"], "seq").drop("bin", "k")
+
+
+def rewrite_flagged(blocks: DataFrame, model: Callable[[str], str], by: list[str], order: str = "seq") -> DataFrame:
+    """blocks with rewritten and fallback: the second pass. Flagged blocks that are no tables go to the model with their
+    neighbours; what loses a fact, or fails, stays as it was."""
+    around = neighbours(blocks, by, order, "text", F.col("block_type").isin("H1", "H2", "H3"))
+    flagged = around.where(F.col("needs_rewrite") & (F.col("block_type") != "TABLE"))
+    context = F.substring(F.concat_ws(" ", F.nullif(F.col("before"), F.lit("")), F.nullif(F.col("after"), F.lit(""))), 1, 1000)
+    asked = flagged.select(F.to_json(F.struct(*by, order)).alias("block"), *by, order, F.to_json(F.struct(F.when(context == "", "(none)").otherwise(context).alias("context"), "text")).alias("prompt"), F.col("text").alias("original_text"))
+    answered = asked.join(label_and_rewrite(asked, "block", "prompt", model), "block").withColumn("new", F.trim("answer"))
+    good = F.coalesce(keeps_facts(F.col("original_text"), F.col("new")), F.lit(False))
+    done = answered.select(*by, order, F.when(good, F.col("new")).alias("new"), good.alias("rewritten"))
+    told = blocks.join(done, [*by, order], "left")
+    fallback = F.col("fallback") | F.coalesce(~F.col("rewritten"), F.lit(False))
+    return told.withColumn("fallback", fallback).withColumn("rewritten", F.coalesce("rewritten", F.lit(False))).withColumn("text", F.coalesce("new", "text")).drop("new")
+
+
+def transform(paragraphs: DataFrame, label: Callable[[str], str], rewrite: Callable[[str], str], by: list[str], order: str = "seq", text: str = "text") -> DataFrame:
+    """Both passes."""
+    return rewrite_flagged(label_paragraphs(paragraphs, label, by, order, text), rewrite, by)
+
+
+def contents_prompt(pages: DataFrame, first: int = 30) -> DataFrame:
+    """(doc_id, prompt): what a model is asked for a table of contents by: the opening pages and the form of the answer."""
+    return opening_pages(pages, first).select("doc_id", F.concat(F.lit('List the chapters of this book as JSON: [{"page": 1, "title": "..."}]\n\n'), "text").alias("prompt"))
+
+
 def salvage_json(raw: Column, schema: str) -> Column:
     """The answer as JSON, else what stands between its first [ and last ]."""
     return F.coalesce(F.from_json(raw, schema), F.from_json(F.regexp_extract(raw, r"(?s)\[.*\]", 0), schema))

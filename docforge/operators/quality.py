@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docforge.operators.columns import fresh
+
 EMAIL_FORM = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
 
@@ -41,7 +43,8 @@ def verify_rewrites(blocks: DataFrame, old: str = "original_text", new: str = "t
 
     fine = F.when(F.col("block_type") == "TABLE", keeps_table(F.col(old), F.col(new))).otherwise(keeps_facts(F.col(old), F.col(new)))
     fine = F.coalesce(fine, F.lit(False))
-    return blocks.withColumn("_ok", fine).withColumn("fallback", ~F.col("_ok")).withColumn(new, F.when(F.col("_ok"), F.col(new)).otherwise(F.col(old))).drop("_ok")
+    ok = fresh(blocks, "_ok")
+    return blocks.withColumn(ok, fine).withColumn("fallback", ~F.col(ok)).withColumn(new, F.when(F.col(ok), F.col(new)).otherwise(F.col(old))).drop(ok)
 
 
 def transform_stats(blocks: DataFrame, per_batch: int = 12) -> DataFrame:

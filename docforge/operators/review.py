@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docforge.operators.columns import fresh
+from docforge.operators.dedup import keep_first
+from docforge.operators.sequence import numbered
+
 
 def latest(rows: DataFrame, by: list[str], *newest: str) -> DataFrame:
     """The newest row of each group; the last column named settles ties."""
-    w = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in newest])
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return keep_first(rows, by, [F.desc(c) for c in newest])
 
 
 def current_version(versions: DataFrame, section: str = "section_id", version: str = "version", edited: str = "is_edited") -> DataFrame:
     """The largest version among edited ones, else the largest."""
-    w = Window.partitionBy(section).orderBy(F.desc(edited), F.desc(version))
-    return versions.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return keep_first(versions, [section], [F.desc(edited), F.desc(version)])
 
 
 def next_version(versions: DataFrame, section: str = "section_id") -> DataFrame:
@@ -47,9 +49,12 @@ def status_is(status: Column, wanted: str | None) -> Column:
 
 def in_order_of(rows: DataFrame, wanted: DataFrame, key: str, pos: str, then: str, by: list[str] | None = None) -> DataFrame:
     """position: asked-for rows in that order, the others behind in their own; unknown keys are ignored. by: what one
-    list is about, such as a document; without it all rows are one list."""
+    list is about, such as a document; without it all rows are one list, numbered over many partitions."""
     joined = rows.join(wanted, key, "left")
-    return joined.withColumn("position", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col(pos).isNull(), pos, then, key)))
+    if by:
+        return joined.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(pos).isNull(), pos, then, key)))
+    last = fresh(joined, "_last")
+    return numbered(joined.withColumn(last, F.col(pos).isNull()), [], [last, pos, then, key], "position").drop(last)
 
 
 def only_in_order_of(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -58,7 +63,8 @@ def only_in_order_of(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 def reorder(sections: DataFrame, wanted: DataFrame, key: str = "section_id") -> DataFrame:
     """section_order of the named sections becomes their place, from 1."""
-    return sections.join(wanted.select(key, F.col("pos").alias("_pos")), key, "left").withColumn("section_order", F.coalesce(F.col("_pos") + 1, F.col("section_order"))).drop("_pos")
+    at = fresh(sections, "_pos")
+    return sections.join(wanted.select(key, F.col("pos").alias(at)), key, "left").withColumn("section_order", F.coalesce(F.col(at) + 1, F.col("section_order"))).drop(at)
 
 
 def with_children(parents: DataFrame, children: DataFrame, key: str, order: str, name: str) -> DataFrame:
@@ -96,12 +102,13 @@ def review_state(actions: DataFrame, by: list[str], order: list[str], action: st
     w = Window.partitionBy(*by).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    marks = actions.withColumn("_lock", F.last(F.when(F.col(action).isin("lock", "unlock"), F.col(action)), True).over(before))
-    live = marks.where((F.coalesce("_lock", F.lit("unlock")) != "lock") | (F.col(action) == "unlock"))
+    lock = fresh(actions, "_lock")
+    marks = actions.withColumn(lock, F.last(F.when(F.col(action).isin("lock", "unlock"), F.col(action)), True).over(before))
+    live = marks.where((F.coalesce(lock, F.lit("unlock")) != "lock") | (F.col(action) == "unlock"))
     status = F.when(F.col(action) == "approve", "APPROVED").when(F.col(action) == "lock", "LOCKED").when(F.col(action).isin("flag", "unlock", "edit"), "REVIEWED")
     flagged = F.when(F.col(action) == "flag", True).when(F.col(action) == "approve", False)
     folded = live.withColumn("status", F.last(status, True).over(upto)).withColumn("flagged", F.coalesce(F.last(flagged, True).over(upto), F.lit(False)))
-    return folded.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(o) for o in order]))).where("_n = 1").select(*by, F.coalesce("status", F.lit("PENDING")).alias("status"), "flagged")
+    return keep_first(folded, by, [F.desc(o) for o in order]).select(*by, F.coalesce("status", F.lit("PENDING")).alias("status"), "flagged")
 
 
 def health(documents: DataFrame, chunks: DataFrame, ready: list[str]) -> DataFrame:
@@ -111,5 +118,21 @@ def health(documents: DataFrame, chunks: DataFrame, ready: list[str]) -> DataFra
     return d.crossJoin(F.broadcast(c))
 
 
-def output_files(pages: Column, per_file: Column) -> Column:
-    return F.ceil(pages / per_file).cast("int")
+def output_files(pages: Column, per_file: Column, chapters: Column | None = None) -> Column:
+    """Files that a document will give: by pages, or where there are chapters by how many of mean length fit in one."""
+    by_pages = F.ceil(pages / per_file).cast("int")
+    if chapters is None:
+        return by_pages
+    fit = F.greatest(F.lit(1), F.floor(per_file / (pages / F.nullif(chapters, F.lit(0)))))
+    return F.coalesce(F.ceil(chapters / fit).cast("int"), by_pages)
+
+
+def dashboard(documents: DataFrame) -> DataFrame:
+    """One row: queued, processing, ready and all documents."""
+    n = lambda *names: F.count_if(F.col("status").isin(*names))
+    return documents.agg(n("UPLOADED", "QUEUED").alias("queued"), n("PROCESSING").alias("processing"), n("READY", "MERGE_READY").alias("ready"), F.count("*").alias("total"))
+
+
+def page_window(pages: Column, at: Column, reach: int = 2) -> Column:
+    """Whether a page is one of those that a preview links from the page it shows."""
+    return pages.between(at - reach, at + reach)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docforge.functions import rules
+from docforge.operators.columns import fresh
 
 
 def rows_upto(by: list[str], *order: str):
@@ -48,8 +50,9 @@ def merge_runs(rows: DataFrame, by: list[str], order: str, key: str, text: str,
 
 def outside_fences(lines: DataFrame, by: list[str], order: str, line: str = "line") -> DataFrame:
     """in_code by the parity of the fences so far; the fences themselves go."""
-    fence = F.col(line).rlike(rules.FENCE)
-    return lines.withColumn("_f", fence).withColumn("fences", F.sum(F.col("_f").cast("int")).over(rows_upto(by, order))).where("NOT _f").withColumn("in_code", F.col("fences") % 2 == 1).drop("_f")
+    f = fresh(lines, "_fence")
+    marked = lines.withColumn(f, F.col(line).rlike(rules.FENCE))
+    return marked.withColumn("fences", F.sum(F.col(f).cast("int")).over(rows_upto(by, order))).where(~F.col(f)).withColumn("in_code", F.col("fences") % 2 == 1).drop(f)
 
 
 def tag_blocks(lines: DataFrame, by: list[str], order: str = "line_no", line: str = "line") -> DataFrame:
@@ -75,6 +78,26 @@ def number(rows: DataFrame, by: list[str], order: list[str], name: str = "n", wh
     return rows.withColumn(name, F.when(when, F.sum(when.cast("int")).over(rows_upto(by, *order))))
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """1..n within each group, whatever its size: row_number for groups that may hold most rows of the table.
+
+    Rows are dealt by ranges of (by, order), so that a large group lies in many partitions, and numbered in each; a group
+    that goes over several takes what the partitions before it hold. Those offsets are broadcast: a range's edge lies in
+    one group, so they are twice as many as partitions at most.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pid, before = fresh(rows, "_range"), fresh(rows, "_before")
+    keys = [*by, *order]
+    dealt = rows.repartitionByRange(n, *keys).withColumn(pid, F.spark_partition_id())
+    counts = dealt.groupBy(*by, pid).agg(F.count("*").alias("_rows"))
+    w = Window.partitionBy(*by).orderBy(pid)
+    offsets = counts.withColumn(before, F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1))).where(F.col(before).isNotNull())
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*by, pid]]
+    joined = dealt.alias("r").join(F.broadcast(offsets.drop("_rows")).alias("o"), reduce(lambda a, b: a & b, same), "left").select("r.*", F.coalesce(F.col(f"o.{before}"), F.lit(0)).alias(before))
+    return joined.withColumn(name, (F.row_number().over(Window.partitionBy(pid, *by).orderBy(*order)) + F.col(before)).cast("bigint")).drop(pid, before)
+
+
 def letter(n: Column) -> Column:
     """A for 1, B for 2 and so on."""
     return F.chr(n + 64)
@@ -157,8 +180,9 @@ def spaced(rows: DataFrame, by: list[str], order: str, least: int) -> DataFrame:
 
         return step
 
-    places = rows.select(*by, order).distinct().withColumn("_at", F.col(order))
-    return rows.join(in_turn(places, by, order, ["_at"], start, "_kept", "boolean").where("_kept").select(*by, order), [*by, order], "left_semi")
+    at, kept = fresh(rows, "_at"), fresh(rows, "_kept")
+    places = rows.select(*by, order).distinct().withColumn(at, F.col(order))
+    return rows.join(in_turn(places, by, order, [at], start, kept, "boolean").where(kept).select(*by, order), [*by, order], "left_semi")
 
 
 def join_continuations(lines: Column, most: int = 400) -> Column:

@@ -9,7 +9,7 @@ from docforge.functions import text as T
 from docforge.operators import assembly, dedup, models, sequence
 from docforge.operators import lines as L
 from docforge.plans.registry import ENRICHED_SQL, LINES_SQL, enriched, lines, query
-from docforge.sources.tables import table
+from docforge.sources.tables import spread, table
 
 q = rules.sql_quote
 
@@ -31,11 +31,11 @@ def q01(spark, sf_dir):
     "q02_pii_redaction_audit",
     f"""SELECT doc_id, CAST(len(regexp_extract_all(text, {q(T.EMAIL)})) AS BIGINT) AS n_emails, CAST(length(text) AS BIGINT) AS chars,
         CAST(length({T.sql_redact("text")}) AS BIGINT) AS redacted_chars, md5({T.sql_redact("text")}) AS redacted_md5
-        FROM documents WHERE regexp_matches(text, '@|[0-9]')""",
+        FROM documents WHERE text IS NOT NULL""",
 )
 def q02(spark, sf_dir):
-    """Documents that hold an @ or a digit, before and after redaction."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").rlike("@|[0-9]"))
+    """Documents before and after redaction."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where("text IS NOT NULL")
     safe = T.redact(F.col("text"))
     return docs.select("doc_id", F.regexp_count("text", F.lit(T.EMAIL)).cast("bigint").alias("n_emails"), F.length("text").cast("bigint").alias("chars"), F.length(safe).cast("bigint").alias("redacted_chars"), F.md5(safe).alias("redacted_md5"))
 
@@ -71,7 +71,7 @@ def q04(spark, sf_dir):
 )
 def q05(spark, sf_dir):
     """A stage of the drop chain: lone numbers go as lines, sentences that begin with an article go."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where("text IS NOT NULL")
     out = L.drop_chain(docs, [{"line": rules.LONE_NUMBER, "sentence": r"(?i)^(the|der|la) "}])
     return out.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("text_md5"))
 
@@ -152,7 +152,7 @@ def q10(spark, sf_dir):
 @query("q11_near_dup_greedy")
 def q11(spark, sf_dir):
     """Paragraphs of each document that stay in the order-bound mode (tested against a plain Python fold)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where("text IS NOT NULL")
     flags = docs.select("doc_id", dedup.greedy_paragraphs(F.split("text", "\n")).alias("kept"))
     return flags.select("doc_id", F.size("kept").cast("bigint").alias("paragraphs"), F.size(F.filter("kept", lambda k: k)).cast("bigint").alias("kept"))
 
@@ -168,10 +168,10 @@ ACCENTED = "àâäçéèêëîïñóôöùûüßáíúÀÂÄÇÉÈÊËÎÏÑÓÔ
 )
 def q12(spark, sf_dir):
     """Lines of over a tenth of accented letters go."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL")
-    mostly = lambda x: T.is_mostly(x, ACCENTED, 0.1)
-    parts = docs.select("doc_id", F.split("text", "\n").alias("xs"))
-    return parts.select("doc_id", F.size(F.filter("xs", mostly)).cast("bigint").alias("dropped"), F.md5(F.array_join(F.filter("xs", lambda x: ~mostly(x)), "\n")).alias("text_md5"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where("text IS NOT NULL")
+    flagged = docs.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), T.is_mostly(x, ACCENTED, 0.1).alias("mostly"))).alias("xs"))
+    kept = flagged.select("doc_id", F.size("xs").alias("n"), F.transform(F.filter("xs", lambda x: ~x["mostly"]), lambda x: x["line"]).alias("left"))
+    return kept.select("doc_id", (F.col("n") - F.size("left")).cast("bigint").alias("dropped"), F.md5(F.array_join("left", "\n")).alias("text_md5"))
 
 
 @query(
@@ -241,7 +241,7 @@ def q43(spark, sf_dir):
 @query("q44_line_join_fold")
 def q44(spark, sf_dir):
     """Paragraphs after continuation lines are joined (tested against a plain Python fold)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where("text IS NOT NULL")
     cut_up = F.split(F.regexp_replace("text", r", ", "\n"), "\n")
     joined = docs.select("doc_id", sequence.join_continuations(cut_up).alias("xs"))
     return joined.select("doc_id", F.size("xs").cast("bigint").alias("paragraphs"), F.md5(F.array_join("xs", "\n")).alias("text_md5"))

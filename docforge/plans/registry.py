@@ -33,9 +33,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     from docforge.operators.sequence import lines_of
-    from docforge.sources.tables import table
+    from docforge.sources.tables import spread, table
 
-    return lines_of(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).withColumn("line_no", F.col("line_no").cast("bigint"))
+    return lines_of(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:

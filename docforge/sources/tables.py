@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files are fewer: work that costs much a row begins behind a scan of few tasks. A table of
+    many files stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def page_range(pages: DataFrame, start: int | None = None, end: int | None = None, page: str = "page_num", text: str = "text") -> DataFrame:
     """Pages start..end (1-based, clamped to what there is) whose text is not blank."""
     low = max(1, start or 1)
@@ -108,8 +118,75 @@ def parse_files(spark: SparkSession, path: str, parser: Callable[[bytes], list[s
     return files.select("path", "content").mapInArrow(run, "path string, page_num int, text string, error string")
 
 
-def document_info(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.max("page_num").alias("last_page"))
+def document_info(pages: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """page_count and last_page; with metadata (doc_id, title, author, subject) those too, empty where there are none."""
+    counts = pages.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.max("page_num").alias("last_page"))
+    if metadata is None:
+        return counts
+    named = counts.join(metadata.select("doc_id", "title", "author", "subject"), "doc_id", "left")
+    return named.select("doc_id", "page_count", "last_page", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "author", "subject")])
+
+
+def rich_reader(rich: Callable[[bytes], list[str]], plain: Callable[[bytes], list[str]]) -> Callable[[bytes], list[str]]:
+    """A parser for parse_files: each page's rich text, or its plain one where that is blank or the rich reader fails."""
+
+    def read(content: bytes) -> list[str]:
+        pages = plain(content)
+        try:
+            found = rich(content)
+        except Exception:
+            return pages
+        return [found[k] if k < len(found) and found[k].strip() else page for k, page in enumerate(pages)]
+
+    return read
+
+
+def is_upload(name: Column) -> Column:
+    """Names of files that are taken: PDFs, whatever the case of their ending."""
+    return F.lower(name).endswith(".pdf")
+
+
+def docx_blocks(content: bytes) -> Iterator[tuple[str, str, list[list[str]]]]:
+    """(kind, text, rows) of the body of a DOCX file: paragraphs and tables in order."""
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
+    forms = {f"{w}t": lambda e: e.text or "", f"{w}tab": lambda e: "\t", f"{w}br": lambda e: "\n"}
+    text = lambda p: "".join(forms[e.tag](e) for e in p.iter() if e.tag in forms)
+    for child in [] if body is None else body:
+        if child.tag == f"{w}p":
+            yield "paragraph", text(child), []
+        elif child.tag == f"{w}tbl":
+            rows = [["\n".join(text(p) for p in cell.iter(f"{w}p")) for cell in row.findall(f"{w}tc")] for row in child.findall(f"{w}tr")]
+            yield "table", "", rows
+
+
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block_no, kind, text, rows, error) of DOCX files: paragraphs and tables as they stand in the body. A file that
+    can't be read is a row with the error. Files come whole to a worker, one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "block_no", "kind", "text", "rows", "error"]
+        types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.list_(pa.string())), pa.string()]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                name = batch.column(0)[k].as_py()
+                try:
+                    made = [(name, n, *b, None) for n, b in enumerate(docx_blocks(batch.column(1)[k].as_py()))]
+                except Exception as e:
+                    made = [(name, None, None, None, None, str(e))]
+                yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(types)], names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInArrow(run, "path string, block_no int, kind string, text string, rows array<array<string>>, error string")
+
+
+def tagged_or_body(pages: DataFrame, tagged: str = "tagged", text: str = "text") -> DataFrame:
+    """(doc_id, page_num, seq, tag, content): what a tagger gave for each page, or the page's text as one body block where it
+    failed (null)."""
+    block = "array<struct<tag:string,content:string>>"
+    whole = F.array(F.struct(F.lit("body").alias("tag"), F.col(text).alias("content"))).cast(block)
+    return pages.select("doc_id", "page_num", F.posexplode(F.coalesce(F.col(tagged).cast(block), whole)).alias("seq", "b")).select("doc_id", "page_num", "seq", "b.tag", "b.content")
 
 
 def opening_pages(pages: DataFrame, first: int = 30, glue: str = "\n\n") -> DataFrame:
