@@ -67,7 +67,8 @@ def continues_table(pages: DataFrame) -> DataFrame:
 
 def safe_cuts(pages: DataFrame, cuts: DataFrame, starts: DataFrame) -> DataFrame:
     """(doc_id, cut, safe): the first page from a cut on that continues no table, but not beyond the next chapter's start."""
-    w = Window.partitionBy("doc_id").orderBy("page_num").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the last page on: a frame that runs to the end would be read anew for every row
+    w = Window.partitionBy("doc_id").orderBy(F.desc("page_num")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = continues_table(pages).join(starts.select("doc_id", F.col("page").alias("page_num"), F.lit(True).alias("chapter")), ["doc_id", "page_num"], "left")
     marked = marked.withColumn("next_free", F.min(F.when(~F.col("continues") | F.coalesce("chapter", F.lit(False)), F.col("page_num"))).over(w))
     return cuts.join(marked.select("doc_id", F.col("page_num").alias("cut"), "next_free"), ["doc_id", "cut"], "left").select("doc_id", "cut", F.coalesce("next_free", "cut").alias("safe"))

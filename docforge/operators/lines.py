@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,25 +34,43 @@ def clean_pages(pages: DataFrame, text: str = "text", custom: list[str] | None =
     return pages.withColumn(text, F.array_join(kept, "\n\n"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once: a plain expression is evaluated wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def column_table_sql(block: Column, rows: int = 3, gap: int = 4) -> Column:
     """The block with bars between columns that all its lines leave blank for gap characters, or null. JVM functions only.
 
-    The profile of a block is one string, a character for each column: x where some line has one. It is built by
-    overlaying line by line; cuts are the middles of the blank stretches between.
+    A line is a number of as many bits as it has characters, sixty to a number, set where it isn't blank; the bits of all
+    lines or-ed are the block's profile. Cuts are the middles of the blank stretches in it.
     """
-    lines = F.filter(F.split(block, "\n"), lambda x: F.trim(x) != "")
-    mask = lambda x: F.regexp_replace(x, "[^ ]", "x")
-    merge = lambda a, b: F.translate(F.array_join(F.zip_with(F.split(a, ""), F.split(b, ""), lambda p, q: F.when((p == "x") | (q == "x"), "x").otherwise(" ")), ""), "", "")
-    profile = F.rtrim(F.aggregate(F.transform(lines, mask), F.lit(""), merge))
-    # gaps lie between inked columns; leading blanks count as a gap too
-    inks = F.regexp_extract_all(profile, F.lit(r"( *x+)"), F.lit(1))
-    ends = F.aggregate(inks, F.array(F.lit(0)), lambda out, p: F.concat(out, F.array(F.get(out, F.size(out) - 1) + F.length(p))))
-    blanks = F.transform(inks, lambda p: F.length(p) - F.length(F.ltrim(p)))
-    cuts = F.filter(F.zip_with(F.slice(ends, F.lit(1), F.size(inks)), blanks, lambda e, n: F.when(n >= gap, e + F.floor(n / 2).cast("int"))), lambda c: c.isNotNull())
-    bounds = F.concat(F.array(F.lit(0)), cuts)
-    cell = lambda line, i: F.trim(F.substring(line, F.get(bounds, i) + 1, F.coalesce(F.get(bounds, i + 1), F.length(line) + F.get(bounds, i)) - F.get(bounds, i)))
-    table = F.array_join(F.transform(lines, lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: cell(x, i)), " | ")), "\n")
-    return F.when((F.size(lines) >= rows) & (F.size(cuts) >= 1), table)
+    at_a_time = 60
+
+    def profile_of(lines: Column) -> Column:
+        bits = F.transform(lines, lambda x: F.translate(F.regexp_replace(x, "[^ ]", "1"), " ", "0"))
+        parts = F.floor((F.array_max(F.transform(lines, lambda x: F.length(x))) - 1) / at_a_time).cast("int")
+        piece = lambda x, i: F.conv(F.rpad(F.substring(x, i * at_a_time + 1, F.lit(at_a_time)), at_a_time, "0"), 2, 10).cast("bigint")
+        merged = lambda xs, i: F.lpad(F.bin(F.aggregate(xs, F.lit(0).cast("bigint"), lambda n, x: n.bitwiseOR(piece(x, i)))), at_a_time, "0")
+        joined = _let(bits, lambda xs: F.array_join(F.transform(F.sequence(F.lit(0), parts), lambda i: merged(xs, i)), ""))
+        return F.rtrim(F.translate(joined, "01", " x"))
+
+    def cuts_of(inks: Column) -> Column:
+        # gaps lie between inked columns; leading blanks count as a gap too
+        ends = F.aggregate(inks, F.array(F.lit(0)), lambda out, p: F.concat(out, F.array(F.get(out, F.size(out) - 1) + F.length(p))))
+        blanks = F.transform(inks, lambda p: F.length(p) - F.length(F.ltrim(p)))
+        return F.filter(F.zip_with(F.slice(ends, F.lit(1), F.size(inks)), blanks, lambda e, n: F.when(n >= gap, e + F.floor(n / 2).cast("int"))), lambda c: c.isNotNull())
+
+    def table_of(lines: Column, bounds: Column) -> Column:
+        cell = lambda line, i: F.trim(F.substring(line, F.get(bounds, i) + 1, F.coalesce(F.get(bounds, i + 1), F.length(line) + F.get(bounds, i)) - F.get(bounds, i)))
+        return F.array_join(F.transform(lines, lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.size(bounds) - 1), lambda i: cell(x, i)), " | ")), "\n")
+
+    def rebuilt(lines: Column) -> Column:
+        inks = F.regexp_extract_all(profile_of(lines), F.lit(r"( *x+)"), F.lit(1))
+        bounds = F.concat(F.array(F.lit(0)), _let(inks, cuts_of))
+        return F.when(F.size(lines) >= rows, _let(bounds, lambda b: F.when(F.size(b) >= 2, table_of(lines, b))))
+
+    return _let(F.filter(F.split(block, "\n"), lambda x: F.trim(x) != ""), rebuilt)
 
 
 def column_table(lines: list[str], rows: int = 3, gap: int = 4, unique_header: bool = False) -> str | None:

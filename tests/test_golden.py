@@ -330,3 +330,215 @@ def test_turns_of_null_and_large_keys(spark):
     got = {(r.g, r.o): r.bin for r in sequence.pack(spark.createDataFrame(rows, "g bigint, o bigint, s int"), ["g"], "o", "s", 10).collect()}
     assert got == {(None, 1): 0, (None, 2): 0, (2**60 + 1, 1): 0, (2**60 + 1, 2): 1, (2**60, 1): 0}
     assert sequence.pack(spark.createDataFrame([], "g bigint, o bigint, s int"), ["g"], "o", "s", 10).count() == 0
+
+
+def test_column_tables_in_the_jvm_and_in_python(spark):
+    """Random blocks, some wider than one number of bits."""
+    import random
+
+    rng = random.Random(1)
+    blocks = []
+    for _ in range(300):
+        widths = [rng.randint(1, 70) for _ in range(rng.randint(1, 4))]
+        row = lambda: "".join(("ab" * 40)[: rng.randint(0, w)].ljust(w + rng.choice([0, 3, 4, 5])) for w in widths)  # noqa: E731, B023
+        blocks.append("\n".join((" " * rng.choice([0, 4]) + row()).rstrip() or "x" for _ in range(rng.randint(1, 5))))
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blocks)], "i int, b string")
+    got = {r.i: r.t for r in df.select("i", lines.column_table_sql(F.col("b")).alias("t")).collect()}
+    assert got == {i: lines.column_table([x for x in b.split("\n") if x.strip()]) for i, b in enumerate(blocks)}
+    assert sum(t is not None for t in got.values()) > 50
+
+
+def plain_greedy(texts, window=120):
+    """The rule itself: every paragraph against each of the last kept ones."""
+    kept, flags = [], []
+    for t in texts:
+        key = "".join(c for c in (t or "").lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+        if len(key) < 8:
+            flags.append(True)
+            continue
+        own = {key[i : i + 4] for i in range(len(key) - 3)}
+        like = any(len(own & g) / len(own | g) >= 0.6 for _, g in kept[-window:]) or any(k == key for k, _ in kept)
+        flags.append(not like)
+        if not like:
+            kept.append((key, own))
+    return flags
+
+
+@pytest.mark.parametrize("window", [1, 3, 120])
+def test_greedy_fold_against_its_rule(window):
+    import random
+
+    rng = random.Random(window)
+    words = ["protein", "energy", "fluid", "salt", "rice", "lentil", "renal", "diet", "x1", "é"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(600)]
+    assert dedup.greedy_flags(texts, window) == plain_greedy(texts, window)
+
+
+def test_near_pairs_of_a_crowded_band(spark):
+    """Many texts that are all alike: every pair is found, in parts of a bucket, as by comparing all."""
+    import itertools
+
+    rows = [(i, f"the same long sentence about protein and energy and fluid, number {i:03}") for i in range(60)] + [(100 + i, f"quite other words {i * 7919} here {i}") for i in range(20)]
+    grams = {i: {k[j : j + 4] for j in range(len(k) - 3)} for i, t in rows for k in ["".join(c for c in t.lower() if c.isalnum())]}
+    want = {(a, b) for a, b in itertools.combinations(sorted(grams), 2) if len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.6}
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    assert {(r.a, r.b) for r in dedup.near_pairs(df, "id", "t", part=8).collect()} == want
+    likes = {r.id: (r.representative, r.n_like) for r in dedup.near_groups(df.union(df.where("id = 0").selectExpr("500L", "t")), "id", "t").collect()}
+    assert likes[500] == likes[0] and likes[0][1] == sum(0 in p for p in want)
+
+
+def test_kinds_of_unread_answers_are_counted(spark):
+    """An answer of no known form, an id without one, and a repeated id, end to end."""
+    text = "Subject: (703) LIFE SCIENCES\n703001  zzz\n703002  2\n703003\n703002  3\n703004  Drop"
+    parsed = keys.parse(spark.createDataFrame([(1, 1, text)], "doc_id int, page_num int, text string"))
+    r = keys.key_report(parsed).first()
+    assert (r.code, r.entries, r.unrecognised, r.duplicates) == ("703", 3, 2, 1)
+    assert r.warnings == ["Subject 703 (LIFE SCIENCES): 2 unrecognised answer token(s)", "Subject 703: 1 duplicate question id(s) overwritten"]
+    _, log = keys.entries_of(parsed)
+    assert [(x.question_id, x.prev, x.new) for x in log.collect()] == [("703002", "2", "3")]
+    w = keys.warnings(parsed.withColumn("subject", F.col("subject.name")), log.withColumn("subject", F.lit("LIFE SCIENCES"))).first()
+    assert (w.unrecognised, w.duplicates) == (2, 1)
+
+
+def test_answers_of_repeated_ids_repeat_no_question(spark):
+    qs = spark.createDataFrame([("1",), ("2",), ("",)], "q_id string")
+    answers = spark.createDataFrame([("1", "a"), ("1", "a"), ("3", "c")], "question_id string, answer string")
+    assert sorted((r.q_id, r.found) for r in exam.with_answers(qs, answers).collect()) == [("", False), ("1", True), ("2", False)]
+
+
+def test_structured_page_cleaner(spark):
+    """Headers once a document, continuations joined, headings once a page, short blocks gone, both table passes."""
+    rows = [
+        (1, 1, f"CHAPTER 1: Basics\n\nCHAPTER 1: Basics\n\nThe patient should\neat more protein.\n\nshort one\n\n{TABLE}\n\nCondition / Key Nutrition Focus / Supportive Nutrients"),
+        (1, 2, "Food         Energy\nand more words follow here\n\nCondition / Key Nutrition Focus / Supportive Nutrients\n\nPerfect!"),
+        (2, 1, "Food         Energy of another book is kept"),
+        (2, 2, ""),
+    ]
+    got = {(r.doc_id, r.page_num): r.text for r in lines.clean_pages_with_structure(spark.createDataFrame(rows, "doc_id int, page_num int, text string")).collect()}
+    assert got == {
+        (1, 1): "CHAPTER 1: Basics\n\nThe patient should eat more protein.\n\nFood | Energy\nRice | 130\nLentils | 116\n\nCondition / Key Nutrition Focus / Supportive Nutrients",
+        (1, 2): "and more words follow here",
+        (2, 1): "Food Energy of another book is kept",
+        (2, 2): "",
+    }
+
+
+def test_generations_of_book_filters(spark):
+    text = "If you want more.\nKeep this line. Next Step is here. The end of it.\n12.\nBreakfast rice 5mg\nemail: me@x.org now. We can structure it. Good advice stays."
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert lines.drop_artifacts(df, 1).first().text == text.split("\n", 1)[1]
+    assert lines.drop_artifacts(df, 2).first().text == "If you want more.\nKeep this line.\nThe end of it.\n12.\nBreakfast rice 5mg\nemail: me@x.org now.\nWe can structure it.\nGood advice stays."
+    assert lines.drop_artifacts(df, 3, first_part=F.lit(True)).first().text == "Keep this line.\nThe end of it.\nBreakfast rice 5 mg\nemail: now.\nGood advice stays."
+
+
+def test_blocks_before_rendering(spark):
+    rows = [(1, i, tag, t) for i, (tag, t) in enumerate([("H1", "Intro"), ("body", "Protein needs rise during illness."), ("H2", "intro "), ("body", "Protein needs rise during an illness!"), ("body", ""), ("body", "ok"), ("body", "ok"), ("H1", "Other"), ("body", "Fluid needs fall during recovery.")])]
+    got = dedup.blocks_before_rendering(spark.createDataFrame(rows, "doc_id int, seq int, tag string, content string"), ["doc_id"]).orderBy("seq").collect()
+    assert [r.seq for r in got] == [0, 1, 5, 7, 8]
+
+
+def test_two_passes_and_their_fallbacks(spark):
+    rows = [("d", i, t) for i, t in enumerate(["Intro here", "| a | bb |\n| cc | dd |", "Give 5 mg daily", "Use Aspirin"])] + [("bad", 0, "left as it is"), ("bad", 1, "this too")]
+    df = spark.createDataFrame(rows, "doc string, seq int, text string")
+
+    def label(prompt):
+        if "left" in prompt:
+            raise ValueError("no")
+        return "[H1] Intro here\n[TABLE|NR] | a | bb |\n[BODY|NR] Give 5 mg daily\n[BODY|NR] Use Aspirin"
+
+    def rewrite(prompt):
+        return "Give 5 mg each day" if "5 mg daily" in __import__("json").loads(prompt)["text"] else "Use it"
+
+    got = models.transform(df, label, rewrite, ["doc"]).orderBy("doc", "seq").collect()
+    assert [(r.doc, r.block_type, r.text, r.rewritten, r.fallback) for r in got] == [
+        ("bad", "BODY", "left as it is", False, True), ("bad", "BODY", "this too", False, True),
+        ("d", "H1", "Intro here", False, False), ("d", "TABLE", "| a | bb |\n| cc | dd |", False, True), ("d", "BODY", "Give 5 mg each day", True, False), ("d", "BODY", "Use Aspirin", False, True),
+    ]
+
+
+def test_rate_limits_use_up_no_attempt():
+    calls, slept = [], []
+
+    def limited(prompt):
+        calls.append("a")
+        raise models.RateLimited
+
+    state = {"n": 0}
+
+    def shaky(prompt):
+        calls.append("b")
+        state["n"] += 1
+        if state["n"] < 3:
+            raise ValueError("down")
+        return prompt.upper()
+
+    pool = models.RotatingPool([limited] * 9 + [shaky], attempts=3, sleep=slept.append)
+    assert pool.call("x") == "X" and calls == ["a"] * 9 + ["b"] * 3 and slept == [2.0] * 9 + [1.0] * 2
+    with pytest.raises(ValueError):
+        models.RotatingPool([lambda p: (_ for _ in ()).throw(ValueError("no"))], attempts=2, sleep=slept.append).call("x")
+
+
+def test_docx_bodies_and_archives(spark, tmp_path):
+    import io
+    import zipfile
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>One</w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p/><w:sectPr/></w:body></w:document>'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", body)
+    (tmp_path / "b.docx").write_bytes(b"nothing")
+    got = sorted((r.path[-6:], r.block_no, r.kind, r.text, r.rows, r.error is None) for r in tables.read_docx(spark, str(tmp_path)).collect())
+    assert got == [("a.docx", 0, "paragraph", "One\ttwo", [], True), ("a.docx", 1, "table", "", [["a", "b"]], True), ("a.docx", 2, "paragraph", "", [], True), ("b.docx", None, None, None, None, False)]
+    files = spark.createDataFrame([("z", "a.txt", "one", 1), ("z", "a.txt", "two", 2), ("y", "a.txt", "x", 1)], "archive string, name string, content string, order int")
+    made = {r.archive: zipfile.ZipFile(io.BytesIO(r.content)) for r in sinks.archives(files).collect()}
+    assert {n: z.read(n) for n in made["z"].namelist() for z in [made["z"]]} == {"a.txt": b"one", "a_1.txt": b"two"} and made["y"].namelist() == ["a.txt"]
+
+
+def test_readers_fall_back_to_plain_text():
+    plain = lambda b: ["p1", "p2"]
+    assert tables.rich_reader(lambda b: ["r1", " "], plain)(b"") == ["r1", "p2"]
+    assert tables.rich_reader(lambda b: 1 / 0, plain)(b"") == ["p1", "p2"]
+
+
+def test_items_as_json(spark):
+    old = '[{"item_type": "table", "rows": [["a", "b"]]}, {"item_type": "heading-1", "font_size": 14, "runs": [{"text": "T", "bold": true}]}, {"text": "old", "italic": true}, {}]'
+    once = one(spark, render.items_to_json(render.items_from_json(F.col("s"))), s=old)
+    items = one(spark, render.items_from_json(F.col("s")), s=once)
+    assert [(i.item_type, i.font_size, i.rows, [tuple(r) for r in i.runs or []]) for i in items] == [("table", None, [["a", "b"]], []), ("heading-1", 14.0, None, [("T", True, False)]), ("body", 11.0, None, [("old", False, True)]), ("body", 11.0, None, [])]
+
+
+def test_large_groups_are_numbered_over_ranges(spark):
+    df = spark.range(5000).select((F.col("id") % 7 == 0).alias("g"), (F.col("id") * 7919 % 5003).alias("o"), F.lit("x").alias("_range"))
+    got = sorted((r.g, r.n, r.o) for r in sequence.numbered(df, ["g"], ["o"]).collect())
+    want = []
+    for g in (False, True):
+        want += [(g, n + 1, o) for n, o in enumerate(sorted(r.o for r in df.where(F.col("g") == g).collect()))]
+    assert got == sorted(want)
+
+
+def test_clashing_columns(spark):
+    """Columns that operators add for a while may be there already."""
+    df = spark.createDataFrame([(1, 1, "a", "b", "c", 5), (1, 2, "a", "b", "c", 6)], "id int, seq int, _n string, _N_ string, _kept string, v int")
+    assert dedup.keep_first(df, ["id"], ["seq"]).first()._n == "a"
+    assert dedup.last_wins(df, ["id"], ["seq"], "v")[0].first().v == 6
+    assert review.latest(df, ["id"], "seq").first()["_N_"] == "b"
+    assert [r._kept for r in sequence.spaced(df, ["id"], "seq", 5).collect()] == ["c"]
+    docs = spark.createDataFrame([(1, "READY", "w")], "document_id int, status string, _asked string")
+    assert lifecycle.archive(docs, docs).first()._asked == "w"
+    text = spark.createDataFrame([("Perfect!", "n", "l")], "line string, _norm string, _low string")
+    assert tuple(lines.clean_lines(text).select("_norm", "_low", "kept").first()) == ("n", "l", False)
+
+
+def test_emphasis_of_blocks(spark):
+    run = "array<struct<text:string,bold:boolean,italic:boolean>>"
+    r = lambda *ts: [(t, k == 0, False) for k, t in enumerate(ts)]
+    ls = spark.createDataFrame([(1, 1, "take more protein daily", r("take more protein daily")), (1, 2, "more protein daily", r("more ", "protein ", "daily")), (1, 3, "fluid", [("fluid", False, False)]), (1, 4, "salt", r("salt"))], f"doc_id int, line_no int, text string, runs {run}")
+    bs = spark.createDataFrame([(1, 1, "body", "patients take more protein daily"), (1, 2, "body", "fluid only"), (1, 3, "H1", "salt"), (1, 4, "body", "less salt")], "doc_id int, seq int, tag string, content string")
+    assert {x.seq: x.runs and len(x.runs) for x in layout.annotate(bs, ls).collect()} == {1: 3, 2: None, 3: None, 4: 1}
+
+
+def test_matching_tables_falls_back_to_the_first(spark):
+    o = spark.createDataFrame([(1, 1, "t1", ["a", "b"]), (1, 2, "t2", ["c"]), (2, 1, "u", [])], "batch int, table_no int, text string, cells array<string>")
+    r = spark.createDataFrame([(1, 1, "x", ["c", "d"]), (1, 2, "t1", ["c"]), (1, 3, "y", ["zz"]), (2, 1, "v", ["a"]), (3, 1, "w", [])], "batch int, table_no int, text string, cells array<string>")
+    got = {(x.batch, x.table_no): x.original_no for x in layout.match_tables(r, o, ["batch"]).collect()}
+    assert got == {(1, 1): 2, (1, 2): 1, (1, 3): 1, (2, 1): 1, (3, 1): None}
