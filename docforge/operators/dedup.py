@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docforge.functions.text import grams, jaccard, paragraph_key
+from docforge.functions.text import paragraph_key
 from docforge.operators.columns import fresh
 
 WINDOW, SIMILARITY, SHORTEST = 120, 0.60, 8
@@ -109,8 +110,52 @@ def across_chunks(chunks: DataFrame, doc: str = "doc_id", chunk: str = "chunk_in
     return kept.groupBy(doc, F.col("z.xs.c").alias(chunk)).agg(joined.alias(text))
 
 
+def _grams_of(key: str) -> np.ndarray:
+    """Distinct 4-grams of a paragraph key, which is ASCII: four bytes are one number."""
+    raw = np.frombuffer(key.encode(), np.uint8)
+    return np.unique(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 4)).view("<u4")[:, 0])
+
+
+def band_hashes(key: Column, bands: int, per_band: int) -> Column:
+    """array<bigint>: of each band the hash of per_band minima over a paragraph key's grams (four characters at least)."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rng = np.random.default_rng(17)
+        by, plus = (rng.integers(0, 1 << 63, bands * per_band, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+        band = np.repeat(np.arange(1, bands + 1, dtype=np.uint64), per_band).reshape(bands, per_band)
+
+        def one(k: str) -> np.ndarray:
+            least = np.full(bands * per_band, np.iinfo(np.uint64).max)
+            grams = _grams_of(k).astype(np.uint64)
+            for at in range(0, len(grams), 4096):
+                h = grams[at : at + 4096, None] * by + plus
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                np.minimum(least, (h ^ (h >> np.uint64(32))).min(0), out=least)
+            mixed = ((least.reshape(bands, per_band) ^ band) * by.reshape(bands, per_band)).sum(1, dtype=np.uint64)
+            return (mixed ^ (mixed >> np.uint64(31))).view(np.int64)
+
+        for batch in batches:
+            yield batch.map(one)
+
+    return run(key)
+
+
+def key_jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the grams of two paragraph keys."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for xs, ys in batches:
+            sets = [(_grams_of(x), _grams_of(y)) for x, y in zip(xs, ys)]
+            both = [len(np.intersect1d(g, h, True)) for g, h in sets]
+            yield pd.Series([n / (len(g) + len(h) - n) for n, (g, h) in zip(both, sets)], dtype="float64")
+
+    return run.asNondeterministic()(a, b)  # else a filter on its result runs it once more
+
+
 def near_pairs(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY, bands: int = 40, per_band: int = 4, part: int = 512) -> DataFrame:
-    """(a, b, similarity) of different paragraph keys: MinHash bands, the length bound, then the exact Jaccard of 4-grams.
+    """(a, b, similarity) of different paragraph keys: MinHash bands, then the exact Jaccard of 4-grams.
 
     The scalable mode: a pair at 0.60 is missed by all bands four times in a thousand. Equal keys are one row, their
     least id. A band's bucket of many keys is dealt in parts of about ``part`` rows, and each part joined to the whole
@@ -118,19 +163,15 @@ def near_pairs(rows: DataFrame, key_id: str, text: str, similarity: float = SIMI
     all returned, so a group of n like but different texts has up to n * (n - 1) / 2 rows; ``near_groups`` has n.
     """
     keys = rows.select(F.col(key_id).alias("id"), paragraph_key(F.col(text)).alias("k")).where(F.length("k") >= SHORTEST)
-    keys = keys.groupBy("k").agg(F.min("id").alias("id")).withColumn("g", grams(F.col("k")))
-    least = lambda seed: F.array_min(F.transform("g", lambda x: F.xxhash64(x, F.lit(seed))))
-    hashes = F.array(*[F.xxhash64(F.lit(b), *[least(b * per_band + i) for i in range(per_band)]) for b in range(bands)])
-    filed = keys.select("id", F.size("g").alias("n"), F.explode(hashes).alias("h"))
+    keys = keys.groupBy("k").agg(F.min("id").alias("id"))
+    filed = keys.select("id", F.explode(band_hashes(F.col("k"), bands, per_band)).alias("h"))
     sizes = filed.groupBy("h").agg(F.count("*").alias("met")).where("met > 1").select("h", F.ceil(F.col("met") / part).cast("int").alias("parts"))
     met = filed.join(sizes, "h")
-    a = met.select("id", "n", "h", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).alias("a")
-    b = met.select("id", "n", "h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).alias("b")
-    near_size = F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n")
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")) & near_size).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    own = keys.select("id", "g")
-    both = pairs.join(own.withColumnsRenamed({"id": "a", "g": "ga"}), "a").join(own.withColumnsRenamed({"id": "b", "g": "gb"}), "b")
-    return both.select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("similarity")).where(F.col("similarity") >= similarity)
+    a = met.select("id", "h", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).alias("a")
+    b = met.select("id", "h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).alias("b")
+    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    both = pairs.join(keys.withColumnsRenamed({"id": "a", "k": "ka"}), "a").join(keys.withColumnsRenamed({"id": "b", "k": "kb"}), "b")
+    return both.select("a", "b", key_jaccard(F.col("ka"), F.col("kb")).alias("similarity")).where(F.col("similarity") >= similarity)
 
 
 def near_groups(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY) -> DataFrame:

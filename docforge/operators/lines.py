@@ -24,6 +24,14 @@ def clean_lines(lines: DataFrame, line: str = "line", custom: list[str] | None =
     return out.withColumn("kept", F.col("rule").isNull() & (F.col(norm) != "")).withColumn("clean", F.when(F.col("kept"), split_fused(F.col(norm))).otherwise(F.col(norm))).drop(norm, low)
 
 
+def settled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with these columns evaluated once: a filter on them stays above, else it would be pushed below and their
+    expressions repeated in it wherever they stand."""
+    held = fresh(df, "_held")
+    others = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*others, F.explode(F.array(F.struct(*columns))).alias(held)).select(*others, *[F.col(f"{held}.{c}") for c in columns])
+
+
 def clean_pages(pages: DataFrame, text: str = "text", custom: list[str] | None = None) -> DataFrame:
     """pages with their text cleaned: blank-separated blocks that are column tables are rebuilt, other lines are cleaned,
     and every kept line is a paragraph. Array functions only: rows never meet."""
@@ -125,7 +133,8 @@ def clean_pages_with_structure(pages: DataFrame, doc: str = "doc_id", page: str
     first = header_key(F.regexp_extract("block", r"^\s*([^\n]*)", 1))
     lined = rows.select(doc, page, "block_no", F.posexplode_outer(F.split(F.coalesce("made", "block"), "\n")).alias("line_no", "raw"), F.when(F.col("made").isNotNull(), first).alias("start"))
     lined = lined.withColumn("norm", normalize_line(F.col("raw"))).withColumn("low", F.lower(F.trim("norm")))
-    kept = lined.where(F.col("raw").isNull() | (F.col("norm") == "") | rules.rule_of(F.col("norm"), None, F.col("low")).isNull())
+    judged = settled(lined.withColumn("rule", rules.rule_of(F.col("norm"), None, F.col("low"))), ["norm", "rule"])
+    kept = judged.where(F.col("raw").isNull() | (F.col("norm") == "") | F.col("rule").isNull())
     kept = kept.withColumn("line", split_fused(F.col("norm"))).withColumn("key", header_key(F.col("line")))
     kept = kept.withColumn("known", F.coalesce(rules.is_table_header(F.col("line")), F.lit(False))).withColumn("at", F.col("block_no") * F.lit(1 << 20) + F.col("line_no"))
     starts = rows.where("made IS NOT NULL").select(doc, F.col(page).alias("first_page"), first.alias("key")).groupBy(doc, "key").agg(F.min("first_page").alias("first_page"))

@@ -124,7 +124,7 @@ def output_files(pages: Column, per_file: Column, chapters: Column | None = None
     if chapters is None:
         return by_pages
     fit = F.greatest(F.lit(1), F.floor(per_file / (pages / F.nullif(chapters, F.lit(0)))))
-    return F.coalesce(F.ceil(chapters / fit).cast("int"), by_pages)
+    return F.when(chapters > 0, F.ceil(chapters / fit).cast("int")).otherwise(by_pages)
 
 
 def dashboard(documents: DataFrame) -> DataFrame:

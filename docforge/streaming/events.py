@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.operators.lines import clean_lines
+from docforge.operators.lines import clean_lines, settled
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -24,4 +24,4 @@ def distinct_events(events: DataFrame, key: list[str], ts: str = "ts", late: str
 
 def cleaned_lines(lines: DataFrame) -> DataFrame:
     """The line cleaner keeps no state, so it runs on a stream as it is."""
-    return clean_lines(lines).where("kept")
+    return settled(clean_lines(lines), ["rule", "kept", "clean"]).where("kept")
