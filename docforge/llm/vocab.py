@@ -25,8 +25,8 @@ import regex
 from docforge.llm.common import resident
 
 BYTE_BPE = "byte_bpe_50k.json"
-#: Words that a worker remembers (some 80 bytes each); when so many are, it begins anew.
-REMEMBERED = 1_500_000
+#: Words that a worker remembers (some 70 bytes each); when so many are, it begins anew.
+REMEMBERED = 1_000_000
 #: Characters of a text that are split into words at a time, and bytes that are hashed at a time.
 FRAGMENT, HASHED = 1 << 17, 1 << 19
 #: Longer words (in bytes) are encoded each time.
@@ -255,8 +255,8 @@ class WordTable:
             others = [k for k in range(len(words)) if k not in made]
             made.update(zip(others, self.word_ids([words[k] for k in others])))
             numbers = self._add([made[k] for k in range(len(words))])
-            if 3 * self.count > len(self.at):
-                self._resize(1 << (4 * self.count).bit_length())
+            if 2 * self.count > len(self.at):
+                self._resize(1 << (2 * self.count).bit_length())
             self._insert(h[own], g[own], numbers)
             at[missing[same]] = numbers[back[same]]
             long[missing[~same]] = True
