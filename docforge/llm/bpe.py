@@ -34,7 +34,7 @@ from docforge.llm.vocab import BYTE_BPE, WordTable, byte_letters, forced_pairs,
 
 #: Fixed value: the split pattern of byte-level BPE files that say use_regex.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-REMEMBERED_PARTS = 50_000
+REMEMBERED_PARTS, REMEMBERED_WORDS = 50_000, 400_000
 SCAN = 48  # longer fragments are merged with a heap
 
 
@@ -64,7 +64,7 @@ class ForcedBoundaryBPE:
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.parts: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.cache = WordTable(lambda texts: list(map(self.encode_plain, texts)), lambda words: list(map(self.encode_plain, words)), self.by_words)
+        self.cache = WordTable(lambda texts: list(map(self.encode_plain, texts)), lambda words: list(map(self.encode_plain, words)), self.by_words, REMEMBERED_WORDS)
 
     def merge(self, fragment: bytes) -> bytes:
         """Ids of a fragment that has no certain cut."""
