@@ -180,10 +180,12 @@ class MultiIndex:
         if len(prints) <= DIRECT:
             return
         near, n = flips(self.WIDTH, self.FILED), len(prints)
-        for k in range(PRINTS):
+        self.columns = [np.ascontiguousarray(prints[:, k]) for k in range(PRINTS)]
+        self.probes = flips(self.WIDTH, RADIUS // BLOCKS - self.FILED)
+        for own in self.columns:
             self.lists.append([])
             for b in range(BLOCKS):
-                keys = (self.block(prints[:, k], b)[:, None] ^ near).reshape(-1)
+                keys = (self.block(own, b)[:, None] ^ near).reshape(-1)
                 order = np.argsort(keys, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=1 << self.WIDTH))])
                 self.lists[-1].append((ends, np.repeat(np.arange(n, dtype=np.int32), len(near))[order]))
@@ -202,13 +204,17 @@ class MultiIndex:
                 found.append((w + at) * n + j)
                 continue
             for k, lists in enumerate(self.lists):
+                wanted, own = np.ascontiguousarray(some[:, k]), self.columns[k]
                 for b, (ends, items) in enumerate(lists):
-                    probes = self.block(some[:, k], b)[:, None] ^ flips(self.WIDTH, RADIUS // BLOCKS - self.FILED)
-                    first, counts = ends[probes].reshape(-1), (ends[probes + 1] - ends[probes]).reshape(-1)
-                    w = np.repeat(np.repeat(np.arange(len(some)), probes.shape[1]), counts)
-                    j = items[np.arange(len(w)) + np.repeat(first - np.cumsum(counts) + counts, counts)]
-                    good = np.bitwise_count(some[w, k] ^ self.prints[j, k]) <= RADIUS
-                    found.append(np.unique((w[good] + at) * n + j[good]))
+                    keys = self.block(wanted, b)[:, None] ^ self.probes
+                    first = ends[keys]
+                    counts = ends[keys + 1] - first
+                    each = counts.sum(1)
+                    first, counts = first.reshape(-1), counts.reshape(-1)
+                    j = items[np.arange(int(each.sum())) + np.repeat(first - np.cumsum(counts) + counts, counts)]
+                    good = np.flatnonzero(np.bitwise_count(np.repeat(wanted, each) ^ own[j]) <= RADIUS)
+                    w = np.searchsorted(np.cumsum(each), good, side="right")
+                    found.append((w + at) * n + j[good])
         return divmod(np.unique(np.concatenate(found)), max(1, n))
 
 
