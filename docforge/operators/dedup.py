@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from docforge.functions.text import paragraph_key
 from docforge.operators.columns import fresh
+from docforge.operators.lineage import cut
 
 WINDOW, SIMILARITY, SHORTEST = 120, 0.60, 8
+#: Buckets whose sizes are broadcast, at most.
+HOT = 4096
 
 
 def keep_first(rows: DataFrame, key: list[str | Column], order: list[str], always: Column | None = None) -> DataFrame:
@@ -154,35 +157,50 @@ def key_jaccard(a: Column, b: Column) -> Column:
     return run.asNondeterministic()(a, b)  # else a filter on its result runs it once more
 
 
+def _keys(rows: DataFrame, key_id: str, text: str, bands: int, per_band: int) -> DataFrame:
+    """(k, id, hs): the different paragraph keys, their least ids and bands; made once."""
+    keys = rows.select(F.col(key_id).alias("id"), paragraph_key(F.col(text)).alias("k")).where(F.length("k") >= SHORTEST)
+    return cut(keys.groupBy("k").agg(F.min("id").alias("id")).withColumn("hs", band_hashes(F.col("k"), bands, per_band)))
+
+
+def _pairs(keys: DataFrame, similarity: float, bands: int, part: int) -> DataFrame:
+    filed = keys.select("id", F.explode("hs").alias("h"))
+    sizes = cut(filed.groupBy("h").agg(F.count("*").alias("met")).where("met > 1"))
+    large = F.broadcast(sizes.where(F.col("met") > max(part, keys.count() * bands // HOT)))
+    rare = filed.join(large.select("h"), "h", "left_anti").join(sizes, "h")
+    met = cut(filed.join(large, "h").unionByName(rare).select("id", "h", F.ceil(F.col("met") / part).cast("int").alias("parts")))
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = met.select("id", "h", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("id", "h", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    here = (F.col("a.h") == F.col("b.h")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high"))
+    once = (F.col("a.own") != F.col("b.own")) | (F.col("a.low") == F.col("a.high"))
+    pairs = a.join(b, here & once & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    texts = keys.select("id", "k")
+    both = pairs.join(texts.withColumnsRenamed({"id": "a", "k": "ka"}), "a").join(texts.withColumnsRenamed({"id": "b", "k": "kb"}), "b")
+    return both.select("a", "b", key_jaccard(F.col("ka"), F.col("kb")).alias("similarity")).where(F.col("similarity") >= similarity)
+
+
 def near_pairs(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY, bands: int = 40, per_band: int = 4, part: int = 512) -> DataFrame:
     """(a, b, similarity) of different paragraph keys: MinHash bands, then the exact Jaccard of 4-grams.
 
     The scalable mode: a pair at 0.60 is missed by all bands four times in a thousand. Equal keys are one row, their
-    least id. A band's bucket of many keys is dealt in parts of about ``part`` rows, and each part joined to the whole
-    bucket: every pair is still met, and no task holds more than a part against one bucket. Pairs that are alike are
-    all returned, so a group of n like but different texts has up to n * (n - 1) / 2 rows; ``near_groups`` has n.
+    least id. A band's bucket of many keys is dealt in parts of about ``part`` rows, and two parts at a time are compared:
+    every pair is still met, just once, and no group has more than about 2 * part rows. Buckets that hold over 1/HOT of
+    all rows learn their size by a broadcast of HOT rows at most. Pairs that are alike are all returned, so a group of n
+    like but different texts has up to n * (n - 1) / 2 rows; ``near_groups`` has n.
     """
-    keys = rows.select(F.col(key_id).alias("id"), paragraph_key(F.col(text)).alias("k")).where(F.length("k") >= SHORTEST)
-    keys = keys.groupBy("k").agg(F.min("id").alias("id"))
-    filed = keys.select("id", F.explode(band_hashes(F.col("k"), bands, per_band)).alias("h"))
-    sizes = filed.groupBy("h").agg(F.count("*").alias("met")).where("met > 1").select("h", F.ceil(F.col("met") / part).cast("int").alias("parts"))
-    met = filed.join(sizes, "h")
-    a = met.select("id", "h", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).alias("a")
-    b = met.select("id", "h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).alias("b")
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    both = pairs.join(keys.withColumnsRenamed({"id": "a", "k": "ka"}), "a").join(keys.withColumnsRenamed({"id": "b", "k": "kb"}), "b")
-    return both.select("a", "b", key_jaccard(F.col("ka"), F.col("kb")).alias("similarity")).where(F.col("similarity") >= similarity)
+    return _pairs(_keys(rows, key_id, text, bands, per_band), similarity, bands, part)
 
 
-def near_groups(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
+def near_groups(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY, bands: int = 40, per_band: int = 4, part: int = 512) -> DataFrame:
     """(id, representative, n_like): every row with the least id of its paragraph key, and how many other keys that one is
-    like; short keys are like none."""
-    keyed = rows.select(F.col(key_id).alias("id"), paragraph_key(F.col(text)).alias("k"))
-    heads = keyed.where(F.length("k") >= SHORTEST).groupBy("k").agg(F.min("id").alias("representative"))
-    pairs = near_pairs(rows, key_id, text, similarity)
-    likes = pairs.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("n_like"))
-    named = keyed.join(heads, "k", "left").select("id", F.coalesce("representative", "id").alias("representative"))
-    return named.join(likes, "representative", "left").select("id", "representative", F.coalesce("n_like", F.lit(0).cast("bigint")).alias("n_like"))
+    like; short keys are like none. Rows meet their key's figures in one join, whose large keys Spark can split."""
+    keys = _keys(rows, key_id, text, bands, per_band)
+    likes = _pairs(keys, similarity, bands, part).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_like"))
+    heads = keys.select("k", "id").join(likes, "id", "left").select("k", F.col("id").alias("representative"), "n_like")
+    keyed = rows.select(F.col(key_id).alias("id"), paragraph_key(F.col(text)).alias("k")).join(heads, "k", "left")
+    return keyed.select("id", F.coalesce("representative", "id").alias("representative"), F.coalesce("n_like", F.lit(0).cast("bigint")).alias("n_like"))
 
 
 def blocks_before_rendering(blocks: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
