@@ -10,6 +10,7 @@ from docforge.functions import rules
 from docforge.functions.text import strip, strip_script
 from docforge.operators.columns import fresh
 from docforge.operators.dedup import keep_first
+from docforge.operators.scan import Running, scan
 from docforge.operators.sequence import sessionise
 
 # How question and option tags are printed.
@@ -48,9 +49,8 @@ def group_objective_questions(blocks: DataFrame, doc: str = "doc_id") -> DataFra
     head = text & F.col("text").rlike(OBJECTIVE)
     form = F.when(head | (text & rules.is_page_chrome(F.col("text"))), "skip").when(~text, "image").when(F.col("text").rlike(SERIAL_AND_ID), "both").when(F.col("text").rlike(ID_AND_MARKS) | F.col("text").rlike(ID_ONLY), "id").when(F.col("text").rlike(SERIAL_ONLY), "serial").otherwise("other")
     rows = rows.withColumn("form", form)
-    w = Window.partitionBy(doc, "group_no").orderBy("seq")
-    ended = F.coalesce(F.max(F.col("form").isin("other", "id", "both")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    rows = rows.withColumn("ended", ended)
+    # rows of a section without "Objective Question" between are one group, of any size
+    rows = scan(rows, [doc, "group_no"], ["seq"], {"ended": Running(F.col("form").isin("other", "id", "both"), "max", before=True)}).withColumn("ended", F.coalesce("ended", F.lit(False)))
     number = F.when(~F.col("ended"), F.when(F.col("form") == "both", F.regexp_extract("text", SERIAL_AND_ID, 2)).when(F.col("form") == "id", F.regexp_extract("text", r"^(\d{5,7})", 1)))
     images = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "image", F.struct("seq", "xref")))), lambda x: x["xref"])
     groups = rows.groupBy(doc, "group_no").agg(F.coalesce(F.max(number), F.lit("")).alias("q_id"), images.alias("images")).where(F.size("images") > 0)
@@ -87,9 +87,8 @@ def options_of(text: Column) -> Column:
 def paper_format(blocks: DataFrame, doc: str = "doc_id", enough: int = 3) -> DataFrame:
     """(doc, format) by the block where one of the two kinds of header was seen often enough, or the last: objective if
     its marker leads there, else standard."""
-    w = Window.partitionBy(doc).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = lambda p: F.sum(F.coalesce(F.col("text").rlike(p), F.lit(False)).cast("int")).over(w)
-    counted = blocks.where("kind = 'text'").select(doc, "seq", n(QUESTION_HEADER).alias("standard"), n(OBJECTIVE).alias("objective"))
+    n = lambda p: Running(F.coalesce(F.col("text").rlike(p), F.lit(False)).cast("int"))
+    counted = scan(blocks.where("kind = 'text'").select(doc, "seq", "text"), [doc], ["seq"], {"standard": n(QUESTION_HEADER), "objective": n(OBJECTIVE)})
     reached = (F.col("standard") >= enough) | (F.col("objective") >= enough)
     at = F.struct(F.when(reached, 0).otherwise(1), F.when(reached, F.col("seq")).otherwise(-F.col("seq")))
     return counted.groupBy(doc).agg(F.min_by(F.col("objective") > F.col("standard"), at).alias("o")).select(doc, F.when(F.col("o"), "objective").otherwise("standard").alias("format"))

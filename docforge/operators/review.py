@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docforge.operators.columns import fresh
 from docforge.operators.dedup import keep_first
+from docforge.operators.scan import Running, scan
 from docforge.operators.sequence import numbered
 
 
@@ -98,17 +99,17 @@ def review_state(actions: DataFrame, by: list[str], order: list[str], action: st
 
     A locked section takes nothing but unlock, so what counts is the last action that had an effect: everything between
     a lock and the next unlock has none. An edit of an approved section sets it back to reviewed.
+
+    The lock that holds at each action is scanned over parts of large sections' logs; the rest are aggregates, which are
+    made before the shuffle. So one section may hold most actions.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     lock = fresh(actions, "_lock")
-    marks = actions.withColumn(lock, F.last(F.when(F.col(action).isin("lock", "unlock"), F.col(action)), True).over(before))
-    live = marks.where((F.coalesce(lock, F.lit("unlock")) != "lock") | (F.col(action) == "unlock"))
-    status = F.when(F.col(action) == "approve", "APPROVED").when(F.col(action) == "lock", "LOCKED").when(F.col(action).isin("flag", "unlock", "edit"), "REVIEWED")
-    flagged = F.when(F.col(action) == "flag", True).when(F.col(action) == "approve", False)
-    folded = live.withColumn("status", F.last(status, True).over(upto)).withColumn("flagged", F.coalesce(F.last(flagged, True).over(upto), F.lit(False)))
-    return keep_first(folded, by, [F.desc(o) for o in order]).select(*by, F.coalesce("status", F.lit("PENDING")).alias("status"), "flagged")
+    marks = scan(actions, by, order, {lock: Running(F.when(F.col(action).isin("lock", "unlock"), F.col(action)), "last", before=True)})
+    live = (F.coalesce(lock, F.lit("unlock")) != "lock") | (F.col(action) == "unlock")
+    status = F.when(live, F.when(F.col(action) == "approve", "APPROVED").when(F.col(action) == "lock", "LOCKED").when(F.col(action).isin("flag", "unlock", "edit"), "REVIEWED"))
+    flagged = F.when(live, F.when(F.col(action) == "flag", True).when(F.col(action) == "approve", False))
+    newest = lambda v: F.max_by(v, F.when(v.isNotNull(), F.struct(*order)))
+    return marks.groupBy(*by).agg(F.coalesce(newest(status), F.lit("PENDING")).alias("status"), F.coalesce(newest(flagged), F.lit(False)).alias("flagged"))
 
 
 def health(documents: DataFrame, chunks: DataFrame, ready: list[str]) -> DataFrame:

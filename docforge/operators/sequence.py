@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +11,8 @@ from pyspark.sql.types import StructType
 
 from docforge.functions import rules
 from docforge.operators.columns import fresh
+from docforge.operators.lineage import cut
+from docforge.operators.scan import LEAST, Reach, Running, chain, large_groups, scan, split_large
 
 
 def rows_upto(by: list[str], *order: str):
@@ -26,33 +27,39 @@ def lines_of(docs: DataFrame, text: str = "text", pattern: str = "\n") -> DataFr
 
 def sessionise(rows: DataFrame, by: list[str], order: list[str], header: Column, group: str = "group_no") -> DataFrame:
     """group_no: how many headers have come; 0 before the first."""
-    return rows.withColumn(group, F.sum(F.coalesce(header.cast("int"), F.lit(0))).over(rows_upto(by, *order)))
+    return scan(rows, by, order, {group: Running(F.coalesce(header.cast("int"), F.lit(0)))})
 
 
 def carry_forward(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """The last value that was not null."""
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(rows_upto(by, *order)))
+    return scan(rows, by, order, {name: Running(value, "last")})
+
+
+def changes(rows: DataFrame, by: list[str], order: list[str], key: list[str], name: str) -> DataFrame:
+    """name: whether a row is its group's first or differs from the one before in one of the key's columns."""
+    held = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)])
+    return scan(rows, by, order, {name: Running(held, "last", before=True)}).withColumn(name, ~F.col(name).eqNullSafe(held))
 
 
 def islands(rows: DataFrame, by: list[str], order: str, key: str, name: str = "run") -> DataFrame:
     """run: number of the stretch of equal keys that a row is in."""
-    before = F.lag(key).over(Window.partitionBy(*by).orderBy(order))
-    return sessionise(rows, by, [order], ~F.col(key).eqNullSafe(before) | F.lag(F.lit(1)).over(Window.partitionBy(*by).orderBy(order)).isNull(), name)
+    new = fresh(rows, "_new")
+    return sessionise(changes(rows, by, [order], [key], new), by, [order], F.col(new), name).drop(new)
 
 
 def merge_runs(rows: DataFrame, by: list[str], order: str, key: str, text: str, merged: list[str], glue: str = " ") -> DataFrame:
     """(by, run, tag, content, n): stretches of merged tags become one row each; other rows stay alone."""
-    before = F.lag(key).over(Window.partitionBy(*by).orderBy(order))
-    new = ~(F.col(key).isin(merged) & F.col(key).eqNullSafe(before)) if merged else F.lit(True)
+    new = fresh(rows, "_new")
+    marked = changes(rows, by, [order], [key], new).withColumn(new, F.col(new) | ~F.coalesce(F.col(key).isin(merged), F.lit(False))) if merged else rows.withColumn(new, F.lit(True))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), glue)
-    return sessionise(rows, by, [order], new, "run").groupBy(*by, "run").agg(F.first(key).alias("tag"), joined.alias("content"), F.count("*").alias("n"))
+    return sessionise(marked, by, [order], F.col(new), "run").groupBy(*by, "run").agg(F.first(key).alias("tag"), joined.alias("content"), F.count("*").alias("n"))
 
 
 def outside_fences(lines: DataFrame, by: list[str], order: str, line: str = "line") -> DataFrame:
     """in_code by the parity of the fences so far; the fences themselves go."""
     f = fresh(lines, "_fence")
     marked = lines.withColumn(f, F.col(line).rlike(rules.FENCE))
-    return marked.withColumn("fences", F.sum(F.col(f).cast("int")).over(rows_upto(by, order))).where(~F.col(f)).withColumn("in_code", F.col("fences") % 2 == 1).drop(f)
+    return scan(marked, by, [order], {"fences": Running(F.col(f).cast("int"))}).where(~F.col(f)).withColumn("in_code", F.col("fences") % 2 == 1).drop(f)
 
 
 def tag_blocks(lines: DataFrame, by: list[str], order: str = "line_no", line: str = "line") -> DataFrame:
@@ -60,42 +67,29 @@ def tag_blocks(lines: DataFrame, by: list[str], order: str = "line_no", line: st
     marked = outside_fences(lines, by, order, line).withColumn("tag", F.when(F.col("in_code"), "code").when(F.trim(line) == "", "blank").otherwise(rules.tag_of(F.col(line))))
     marked = marked.withColumn("text", F.when(F.col("in_code"), F.rtrim(line)).otherwise(F.trim(line)))
     # code blocks of different fences, and tables with a blank line between, are different runs
-    before = Window.partitionBy(*by).orderBy(order)
-    new = ~(F.col("tag").isin("table", "code") & F.col("tag").eqNullSafe(F.lag("tag").over(before)) & F.col("fences").eqNullSafe(F.lag("fences").over(before)))
+    new = fresh(marked, "_new")
+    marked = changes(marked, by, [order], ["tag", "fences"], new).withColumn(new, F.col(new) | ~F.coalesce(F.col("tag").isin("table", "code"), F.lit(False)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "text"))), lambda x: x["text"]), "\n")
-    return sessionise(marked, by, [order], new, "run").where("tag <> 'blank'").groupBy(*by, "run").agg(F.first("tag").alias("tag"), joined.alias("content"), F.count("*").alias("n"))
+    return sessionise(marked, by, [order], F.col(new), "run").where("tag <> 'blank'").groupBy(*by, "run").agg(F.first("tag").alias("tag"), joined.alias("content"), F.count("*").alias("n"))
 
 
 def latch(rows: DataFrame, by: list[str], order: list[str], hit: Column, name: str = "latched") -> DataFrame:
     """True from the first hit on. by: parts on their own, or a document for a latch across its parts."""
-    return rows.withColumn(name, F.coalesce(F.max(hit).over(rows_upto(by, *order)), F.lit(False)))
+    return scan(rows, by, order, {name: Running(hit, "max")}).withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def number(rows: DataFrame, by: list[str], order: list[str], name: str = "n", when: Column | None = None) -> DataFrame:
-    """1..n, or the running count of the rows that count."""
+    """1..n, or the running count of the rows that count (null for the others)."""
     if when is None:
-        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return rows.withColumn(name, F.when(when, F.sum(when.cast("int")).over(rows_upto(by, *order))))
+        return scan(rows, by, order, {name: Running(F.lit(1))}).withColumn(name, F.col(name).cast("int"))
+    counts = fresh(rows, "_counts")
+    marked = scan(rows.withColumn(counts, when), by, order, {name: Running(F.col(counts).cast("int"))})
+    return marked.withColumn(name, F.when(F.col(counts), F.col(name))).drop(counts)
 
 
 def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "n") -> DataFrame:
-    """1..n within each group, whatever its size: row_number for groups that may hold most rows of the table.
-
-    Rows are dealt by ranges of (by, order), so that a large group lies in many partitions, and numbered in each; a group
-    that goes over several takes what the partitions before it hold. Those offsets are broadcast: a range's edge lies in
-    one group, so they are twice as many as partitions at most.
-    """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pid, before = fresh(rows, "_range"), fresh(rows, "_before")
-    keys = [*by, *order]
-    dealt = rows.repartitionByRange(n, *keys).withColumn(pid, F.spark_partition_id())
-    counts = dealt.groupBy(*by, pid).agg(F.count("*").alias("_rows"))
-    w = Window.partitionBy(*by).orderBy(pid)
-    offsets = counts.withColumn(before, F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1))).where(F.col(before).isNotNull())
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*by, pid]]
-    joined = dealt.alias("r").join(F.broadcast(offsets.drop("_rows")).alias("o"), reduce(lambda a, b: a & b, same), "left").select("r.*", F.coalesce(F.col(f"o.{before}"), F.lit(0)).alias(before))
-    return joined.withColumn(name, (F.row_number().over(Window.partitionBy(pid, *by).orderBy(*order)) + F.col(before)).cast("bigint")).drop(pid, before)
+    """1..n within each group, whatever its size, as a bigint. Rows equal in all of order get their numbers in any order."""
+    return scan(rows, by, order, {name: Running(F.lit(1).cast("bigint"))})
 
 
 def letter(n: Column) -> Column:
@@ -110,8 +104,7 @@ def chunks_by_range(pages: Column, start: Column, size: int) -> Column:
 
 def chunks_of_kept(pages: DataFrame, size: int, by: list[str] | None = None, page: str = "page_num") -> DataFrame:
     """Chunks of so many kept pages."""
-    dense = F.row_number().over(Window.partitionBy(*(by or ["doc_id"])).orderBy(page))
-    return pages.withColumn("chunk_index", (F.floor((dense - 1) / size) + 1).cast("int"))
+    return numbered(pages, by or ["doc_id"], [page], "chunk_index").withColumn("chunk_index", (F.floor((F.col("chunk_index") - 1) / size) + 1).cast("int"))
 
 
 def in_turn(rows: DataFrame, by: list[str], order: str, values: list[str], start: Callable[[], object], result: str, kind: str) -> DataFrame:
@@ -138,9 +131,14 @@ def in_turn(rows: DataFrame, by: list[str], order: str, values: list[str], start
     return narrow.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, schema)
 
 
-def pack(items: DataFrame, by: list[str], order: str, size: str, most: float, most_other: tuple[str, float] | None = None) -> DataFrame:
-    """(by, order, bin): consecutive items go together until the next would overflow; a larger item has a bin of its own."""
-    limits = (most, most_other[1]) if most_other else (most,)
+def pack(items: DataFrame, by: list[str], order: str, size: str, most: float, most_other: tuple[str, float] | None = None, least: int = LEAST) -> DataFrame:
+    """(by, order, bin): consecutive items go together until the next would overflow; a larger item has a bin of its own.
+
+    Sizes are whole or decimal numbers, not below 0, for groups that are cut into parts (scan.chain): the place where a bin
+    overflows is then found by sums up to each item. Small groups are folded in one pass each.
+    """
+    sizes = [(size, most), *([most_other] if most_other else [])]
+    limits = tuple(m for _, m in sizes)
 
     def start():
         now, used = 0, None
@@ -154,7 +152,20 @@ def pack(items: DataFrame, by: list[str], order: str, size: str, most: float, mo
 
         return step
 
-    return in_turn(items, by, order, [size, *([most_other[0]] if most_other else [])], start, "bin", "int")
+    def folded(rows: DataFrame) -> DataFrame:
+        return in_turn(rows, by, order, [s for s, _ in sizes], start, "bin", "int")
+
+    narrow = items.select(*by, order, *[s for s, _ in sizes])
+    large = large_groups(narrow, by, least)
+    if large is None:
+        return folded(narrow)
+    few, many, g = split_large(narrow, by, large)
+    many = cut(many.drop(g))
+    sums = {f"_sum{k}": Running(F.col(s)) for k, (s, _) in enumerate(sizes)}
+    reaches = [Reach(F.col(f"_sum{k}"), F.col(f"_sum{k}") - F.col(s) + m) for k, (s, m) in enumerate(sizes)]
+    starts = chain(many, by, order, sums, reaches).withColumn("_start", F.lit(1))
+    marked = many.join(starts, [*by, order], "left")
+    return folded(few).unionByName(scan(marked, by, [order], {"bin": Running(F.coalesce("_start", F.lit(0)))}, least).select(*by, order, (F.col("bin") - 1).cast("int").alias("bin")))
 
 
 def neighbours(rows: DataFrame, by: list[str], order: str, text: str, is_heading: Column, reach: int = 2, most: int = 1000) -> DataFrame:
@@ -165,15 +176,16 @@ def neighbours(rows: DataFrame, by: list[str], order: str, text: str, is_heading
     return rows.withColumn("before", around(-reach, -1)).withColumn("after", around(1, reach))
 
 
-def spaced(rows: DataFrame, by: list[str], order: str, least: int) -> DataFrame:
-    """Rows that come so far behind the last kept one; the first is kept."""
+def spaced(rows: DataFrame, by: list[str], order: str, apart: int, least: int = LEAST) -> DataFrame:
+    """Rows that come so far behind the last kept one; the first is kept. order is a number. Large groups are cut into parts
+    (scan.chain), small ones are folded."""
 
     def start():
         last = None
 
         def step(at):
             nonlocal last
-            if last is None or at - last >= least:
+            if last is None or at - last >= apart:
                 last = at
                 return True
             return False
@@ -181,8 +193,17 @@ def spaced(rows: DataFrame, by: list[str], order: str, least: int) -> DataFrame:
         return step
 
     at, kept = fresh(rows, "_at"), fresh(rows, "_kept")
-    places = rows.select(*by, order).distinct().withColumn(at, F.col(order))
-    return rows.join(in_turn(places, by, order, [at], start, kept, "boolean").where(kept).select(*by, order), [*by, order], "left_semi")
+
+    def folded(places: DataFrame) -> DataFrame:
+        return in_turn(places.withColumn(at, F.col(order)), by, order, [at], start, kept, "boolean").where(kept).select(*by, order)
+
+    places = rows.select(*by, order).distinct()
+    large = large_groups(places, by, least)
+    if large is None:
+        return rows.join(folded(places), [*by, order], "left_semi")
+    few, many, g = split_large(places, by, large)
+    starts = folded(few).unionByName(chain(many.drop(g), by, order, {}, [Reach(F.col(order), F.col(order) + apart, at=True)]))
+    return rows.join(starts, [*by, order], "left_semi")
 
 
 def join_continuations(lines: Column, most: int = 400) -> Column:
