@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docforge.llm import bpe, chat_format, decontaminate, language_id, pii, simhash_dedup, token_counts, token_files, url_filter, vector_dedup
+from docforge.llm import bpe, centroids, chat_format, decontaminate, language_id, pii, simhash_dedup, token_counts, token_files, url_filter, vector_dedup
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_language_id": language_id.query,
     "op10_pii": pii.query,
+    "op11_centroids": centroids.query,
 }
 
 SQL = {
     "op2_chat_format": chat_format.SQL,
     "op6_vector_dedup": vector_dedup.SQL,
     "op8_url_filter": url_filter.SQL,
+    "op11_centroids": centroids.SQL,
 }
