@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docforge.llm import bpe, centroids, chat_format, decontaminate, language_id, pii, prefix_trie, simhash_dedup, token_counts, token_files, url_filter, vector_dedup
+from docforge.llm import bpe, centroids, chat_format, decontaminate, language_id, pii, prefix_trie, rule_quality, simhash_dedup, token_counts, token_files, url_filter, vector_dedup
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.query,
     "op10_pii": pii.query,
     "op11_centroids": centroids.query,
+    "op12_rule_quality": rule_quality.query,
     "op13_prefix_trie": prefix_trie.query,
 }
 
