@@ -112,18 +112,23 @@ def preview_kind(line: Column) -> Column:
     return F.when(s.rlike(r"^=+\s*PAGE"), "marker").when((F.length(s) < 90) & s.rlike(rules.H1), "heading").when((F.length(s) < 90) & s.rlike(rules.H2), "subheading").when((F.length(s) < 80) & (F.upper(s) == s) & s.rlike("[A-Z]"), "kicker").otherwise("paragraph")
 
 
-def section_kind(line: Column, nxt: Column, prev: Column) -> Column:
-    """Render rule of a section's line: page marks go, a line between fences is a heading, N.N gives the level."""
-    s, fence = F.trim(line), r"^=+$"
-    dots = F.size(F.split(F.regexp_extract(s, r"^(\d+(?:\.\d+)*)\s", 1), r"\."))
+# Page marks of a section's text, rules below headings, and headings by their words.
+PAGE_MARK, H1_RULE, H2_RULE = r"^=====\s*PAGE\s+\d+\s*=====", r"^={3,}$", r"^-{3,}$"
+WORD_HEADING, NUMBERED_HEADING = r"(?i)^(?:CHAPTER\s+\d+|(?:PART|SECTION)\s+[IVXLCDM\d]+)", r"^\d+\.\d+(\.\d+)?\s+\S"
+
+
+def line_kind(line: Column) -> Column:
+    """How a section's line is drawn that no rule below makes a heading: chapters, parts and sections are H1, numbered ones
+    as deep as the line has dots. assembly.section_lines looks at the lines around, too."""
+    s = F.trim(line)
+    dots = F.length(s) - F.length(F.replace(s, F.lit("."), F.lit("")))
     return (
-        F.when(s.rlike(r"^=+\s*PAGE\s+\d+"), "skip")
-        .when(s.rlike(fence), "fence")
-        .when(F.coalesce(F.trim(nxt).rlike(fence) & F.trim(prev).rlike(fence), F.lit(False)), "H1")
+        F.when(s.rlike(PAGE_MARK), "skip")
+        .when(s.rlike(H1_RULE) | s.rlike(H2_RULE), "fence")
         .when(rules.is_pipe_row(s), "table")
-        .when(s.rlike(r"^\d+(?:\.\d+)+\s"), F.concat(F.lit("H"), F.least(dots, F.lit(3)).cast("string")))
-        .when(s.rlike(rules.LIST_ITEM), "list")
         .when(s == "", "blank")
+        .when(s.rlike(WORD_HEADING), "H1")
+        .when(s.rlike(NUMBERED_HEADING), F.concat(F.lit("H"), F.least(dots + 1, F.lit(3)).cast("string")))
         .otherwise("body")
     )
 

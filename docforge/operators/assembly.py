@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docforge.functions import render, rules
+from docforge.operators.columns import fresh
+from docforge.operators.scan import Running, same, scan
 from docforge.operators.sequence import latch, letter, number, numbered
 from docforge.sources.sinks import ordered_text
 
@@ -58,6 +60,27 @@ def split_at_appendix(lines: DataFrame, by: list[str], order: list[str], line: s
     return latch(lines, by, order, rules.begins_appendix(F.col(line), anywhere), "in_appendix")
 
 
+def section_lines(lines: DataFrame, by: list[str], order: str, line: str = "line") -> DataFrame:
+    """kind of each line of a section: a line is H1 if the next one is a rule of =, H2 if it is one of -, and that rule is
+    used up (kind fence). Where rules follow each other, what is left of them heads and underlines in turn, as in a reading
+    from above; a blank line above a rule uses it up and draws nothing (skip), a page mark doesn't. Other rules are fences."""
+    s = F.trim(F.coalesce(F.col(line), F.lit("")))
+    n, rule, last, nxt, odd = (fresh(lines, c) for c in ("_n", "_rule", "_last", "_next", "_odd"))
+    marked = lines.withColumn(rule, F.when(s.rlike(render.H1_RULE), "H1").when(s.rlike(render.H2_RULE), "H2"))
+    marked = numbered(marked, by, [order], n)
+    text = F.when(F.col(rule).isNull(), F.struct(F.col(n).alias("n"), (~s.rlike(render.PAGE_MARK)).cast("bigint").alias("uses")))
+    # rules between a line and the last text, less the one that this text used up: every second one is used up again
+    marked = scan(marked, by, [order], {last: Running(text, "last")})
+    behind = F.col(n) - F.coalesce(F.col(f"{last}.n"), F.lit(0)) - 1 - F.coalesce(F.col(f"{last}.uses"), F.lit(0))
+    marked = marked.withColumn(odd, F.col(rule).isNotNull() & (F.pmod(behind, F.lit(2)) == 1))
+    # the next line's rule, as a row of the line before it: numbers make both rows' keys equal
+    below = marked.where(F.col(rule).isNotNull()).select(*by, (F.col(n) - 1).alias(n), F.col(rule).alias(nxt))
+    told = marked.alias("r").join(below.alias("b"), same("r", "b", [*by, n]), "left").select("r.*", nxt)
+    heads = F.col(nxt).isNotNull() & ~F.col(odd) & ~s.rlike(render.PAGE_MARK)
+    kind = F.when(F.col(odd), "fence").when(heads, F.when(s == "", "skip").otherwise(F.col(nxt))).otherwise(render.line_kind(s))
+    return told.withColumn("kind", kind).drop(n, rule, last, nxt, odd)
+
+
 def profile_update(profiles: DataFrame, changes: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Settings with those changed that a change names; defaults where there was no profile."""
     both = profiles.alias("p").join(changes.alias("c"), "document_id", "full")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docforge.functions import answers as A
 from docforge.functions import render, rules
 from docforge.functions import text as T
-from docforge.operators import chapters, dedup, exam, keys, layout, lifecycle, models, quality, review, sequence
+from docforge.operators import assembly, chapters, dedup, exam, keys, layout, lifecycle, models, quality, review, sequence
 from docforge.operators import lines as L
 from docforge.plans.registry import LINES_SQL, lines, query
 from docforge.sources import sinks
@@ -364,19 +364,25 @@ def q76(spark, sf_dir):
     return quality.transform_stats(done).select("blocks", "n_h1", "n_body", "n_list", "flagged", "rewritten", "fallbacks", F.col("rewrite_batches").cast("bigint").alias("rewrite_batches"))
 
 
+#: Lines of documents, some of them rules and headings, in stretches of all lengths. Read by both engines.
+RULED = """CASE WHEN (doc_id + line_no) % 11 IN (1, 5, 6) THEN '====' WHEN (doc_id + line_no * 3) % 13 IN (2, 3) THEN ' ---' WHEN (doc_id + line_no) % 17 = 4 THEN '===== PAGE 3 ====='
+ WHEN (doc_id + line_no) % 19 = 7 THEN '' WHEN line_no % 23 = 9 THEN '1.2 ' || line WHEN line_no % 29 = 8 THEN 'Section II ' || line WHEN line_no % 7 = 5 THEN 'a | ' || line ELSE line END"""
+
+
 @query(
     "q77_section_lines",
-    f"""WITH {LINES_SQL}, k AS (SELECT doc_id, line_no % 9 AS k FROM lines),
-    n AS (SELECT doc_id, k, CASE k WHEN 0 THEN 'fence' WHEN 1 THEN 'H1' WHEN 2 THEN 'fence' WHEN 3 THEN 'H2' WHEN 4 THEN 'H3' WHEN 5 THEN 'table' WHEN 6 THEN 'list' WHEN 7 THEN 'skip' ELSE 'body' END AS kind FROM k),
-    c AS (SELECT doc_id, CAST(max(line_no) AS BIGINT) AS last FROM lines GROUP BY 1)
-    SELECT kind, CAST(count(*) - CASE WHEN kind = 'H1' THEN (SELECT count(*) FROM c WHERE last % 9 = 1) ELSE 0 END + CASE WHEN kind = 'body' THEN (SELECT count(*) FROM c WHERE last % 9 = 1) ELSE 0 END AS BIGINT) AS n FROM n GROUP BY kind""",
+    rf"""WITH RECURSIVE {LINES_SQL}, t AS (SELECT doc_id, line_no AS i, trim({RULED}) AS s FROM lines), l AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY i) AS below FROM t),
+    k AS (SELECT doc_id, i, s, regexp_matches(s, '^=====\s*PAGE\s+\d+\s*=====') AS page, CASE WHEN regexp_full_match(below, '={{3,}}') THEN 'H1' WHEN regexp_full_match(below, '-{{3,}}') THEN 'H2' END AS head FROM l),
+    w AS (SELECT * FROM k WHERE i = 0 UNION ALL SELECT k.* FROM w JOIN k ON k.doc_id = w.doc_id AND k.i = w.i + CASE WHEN w.head IS NOT NULL AND NOT w.page THEN 2 ELSE 1 END),
+    d AS (SELECT doc_id, s, CASE WHEN page THEN 'skip' WHEN head IS NOT NULL THEN CASE WHEN s = '' THEN 'skip' ELSE head END WHEN regexp_full_match(s, '={{3,}}|-{{3,}}') THEN 'fence' WHEN contains(s, '|') THEN 'table'
+      WHEN s = '' THEN 'blank' WHEN regexp_matches(s, '^(?i)(chapter\s+\d+|(part|section)\s+[ivxlcdm\d]+)') THEN 'H1' WHEN regexp_matches(s, '^\d+\.\d+(\.\d+)?\s+\S') THEN 'H' || least(len(s) - len(replace(s, '.', '')) + 1, 3) ELSE 'body' END AS kind FROM w)
+    SELECT doc_id, kind, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM d WHERE kind NOT IN ('skip', 'fence') GROUP BY 1, 2""",
 )
 def q77(spark, sf_dir):
-    """Lines of sections by how they are drawn; a line between two fences is a heading."""
-    forms = ["====", "Some title", "====", "1.2 Scope", "1.2.3 Depth", "a | b", "- item", "=== PAGE 3 ===", "plain words"]
-    rows = lines(spark, sf_dir).select("doc_id", "line_no", F.element_at(F.array(*map(F.lit, forms)), (F.col("line_no") % 9 + 1).cast("int")).alias("line"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    return rows.select(render.section_kind(F.col("line"), F.lead("line").over(w), F.lag("line").over(w)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    """Lines of documents by how they are drawn, with rules below some."""
+    rows = lines(spark, sf_dir).select("doc_id", "line_no", F.expr(RULED).alias("line"))
+    drawn = assembly.section_lines(rows, ["doc_id"], "line_no").where(~F.col("kind").isin("skip", "fence"))
+    return drawn.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length(F.trim("line"))).cast("bigint").alias("chars"))
 
 
 @query(
