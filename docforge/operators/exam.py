@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from docforge.functions import answers as A
 from docforge.functions import rules
-from docforge.functions.text import strip, strip_script
+from docforge.functions.text import normalize_text, strip, strip_script
+from docforge.operators import lineage
 from docforge.operators.columns import fresh
 from docforge.operators.dedup import keep_first
 from docforge.operators.scan import Running, scan
-from docforge.operators.sequence import sessionise
+from docforge.operators.sequence import numbered, sessionise
 
 # How question and option tags are printed.
 QUESTION_HEADER = r"(?i)Question\s+Number\s*:\s*(\d+)"
@@ -57,28 +58,77 @@ def group_objective_questions(blocks: DataFrame, doc: str = "doc_id") -> DataFra
     return groups.withColumn("q_num", F.row_number().over(Window.partitionBy(doc).orderBy("group_no")))
 
 
-def split_questions(texts: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, q_num, q_id, stem, option_text): a question's stem ends at its tag and begins where the last option before it
-    ended; its options run to the last option tag before the next question tag."""
-    pieces = F.split(F.col(text), r"(?<=\])(?=[^\]]*)")
-    rows = texts.select(doc, F.posexplode(pieces).alias("n", "piece"))
-    is_q, is_o = F.col("piece").rlike(QUESTION_TAG), F.col("piece").rlike(OPTION_TAG)
-    rows = rows.where(is_q | is_o)
-    rows = sessionise(rows, [doc], ["n"], is_q, "q")
-    stem = F.max(F.when(is_q, strip(F.regexp_replace(F.regexp_replace("piece", QUESTION_TAG, ""), DESCRIPTION_TAG, ""))))
-    options = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(is_o, F.struct("n", "piece")))), lambda x: x["piece"]), "")
-    made = rows.where("q > 0").groupBy(doc, "q").agg(F.max(F.when(is_q, F.regexp_extract("piece", QUESTION_TAG, 1))).alias("q_id"), stem.alias("stem"), options.alias("option_text"))
-    return made.where((F.col("stem") != "") | (F.col("option_text") != "")).withColumnRenamed("q", "q_num")
+def split_questions(spans: DataFrame, doc: str = "doc_id", text: str = "text", seq: str = "seq", kind: str = "kind", xref: str = "xref") -> DataFrame:
+    """(doc, q_num, q_id, stem, option_text, images): the questions of papers printed as text.
+
+    spans: text and image blocks in order (kind and xref of a column-less table: all text; without ``seq`` each row is a
+    document). A stem begins behind the last option tag before it, or behind the last question tag where no option was
+    seen yet, and ends at its own tag; options run to the last option tag before the next question tag, or to that tag
+    where a question has none. Images belong to the question in whose stem or options they stand. Page furniture,
+    descriptions and lines of another script go; brackets that are no tag are text. Questions with nothing left go, and the
+    rest are numbered anew. A tag stands within one block.
+
+    A document's blocks are never joined to one text: tags cut each block, what is behind a tag is a piece, and how many
+    question and option tags came before (scans over parts of a document) say to which stem and options a piece belongs.
+    """
+    rows = spans.select(
+        F.col(doc).alias("d"), (F.col(seq) if seq in spans.columns else F.lit(0)).cast("bigint").alias("seq"),
+        (F.col(kind) == "image" if kind in spans.columns else F.lit(False)).alias("image"), F.col(text).alias("text"), (F.col(xref) if xref in spans.columns else F.lit(None)).cast("bigint").alias("xref"),
+    )
+    lines = F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: ~rules.is_page_chrome(strip(x), printed=True))
+    texts = rows.where("NOT image AND text IS NOT NULL").withColumn("text", F.array_join(lines, "\n")).where(strip(F.col("text")) != "")
+    any_tag = r"(?i)\[(?:Question|Option)\s*ID\s*=\s*\d+\]"
+    cut = texts.select("d", "seq", F.posexplode(F.split("text", f"(?={any_tag})")).alias("k", "piece")).where("k = 0 OR piece <> ''")
+    tag = F.regexp_extract("piece", f"^({any_tag})", 1)
+    behind = F.concat(F.when((F.col("k") == 0) & (tag == ""), "\n").otherwise(""), F.expr("substring(piece, length(tag) + 1)"))
+    form = F.when(F.col("tag") == "", "text").when(F.col("tag").rlike(QUESTION_TAG), "question").otherwise("option")
+    pieces = cut.withColumn("tag", tag).select("d", "seq", "k", form.alias("form"), F.concat(F.when((F.col("k") == 0) & (tag != ""), "\n").otherwise(""), "tag").alias("tag"), behind.alias("body"), F.lit(None).cast("bigint").alias("xref"))
+    images = rows.where("image").select("d", "seq", F.lit(0).alias("k"), F.lit("image").alias("form"), F.lit("").alias("tag"), F.lit("").alias("body"), "xref")
+    is_q, is_o = F.col("form") == "question", F.col("form") == "option"
+    # read several times below: cut once
+    events = lineage.cut(scan(pieces.unionByName(images), ["d"], ["seq", "k"], {"q": Running(is_q.cast("bigint")), "o": Running(is_o.cast("bigint"))}))
+
+    # options: a question's pieces up to its last option tag
+    told = scan(events, ["d"], ["seq", "k"], {"first": Running(F.when(is_q, F.col("o")), "last")})
+    held = told.where("q > 0").groupBy("d", "q").agg(F.max("o").alias("m"), F.min("first").alias("f"), F.max(F.when(F.col("form") != "image", F.struct("seq", "k"))).alias("end"))
+    mine = told.join(held, ["d", "q"]).withColumn("none", F.col("m") == F.col("f"))
+    # of a question without options, images behind all its text are none of its
+    inside = F.when(F.col("none"), (F.col("form") != "image") | (F.struct("seq", "k") < F.col("end"))).otherwise((F.col("o") < F.col("m")) | is_o)
+    own = F.when(is_q, F.col("body")).when(is_o & (F.col("o") == F.col("m")), F.col("tag")).otherwise(F.concat("tag", "body"))
+    ordered = lambda *cs: F.array_sort(F.collect_list(F.struct("seq", "k", *cs)))
+    options = mine.where(inside).groupBy("d", "q").agg(ordered(own.alias("t"), "xref").alias("xs"))
+    options = options.select("d", "q", F.array_join(F.transform("xs", lambda x: x["t"]), "").alias("after"), F.filter(F.transform("xs", lambda x: x["xref"]), lambda x: x.isNotNull()).alias("below"))
+
+    # stems: all before the first question tag; else the pieces behind the last option tag, for each question tag before the
+    # next one; else, before all options, those behind a question tag
+    told = lambda df, o, part, form="form", tag="tag", body="body": df.select("d", "seq", "k", "q", "xref", o.cast("bigint").alias("o"), part.cast("bigint").alias("part"), F.col(form).alias("form") if form == "form" else F.lit(form).alias("form"), F.col(tag).alias("tag") if tag == "tag" else F.lit(tag).alias("tag"), F.col(body).alias("body") if body == "body" else F.lit(body).alias("body"))
+    none, first = F.col("o") == 0, F.col("q") == 1
+    heads = told(events.where("q = 0"), F.lit(-1), F.lit(0)).unionByName(told(events.where(is_q & first), F.lit(-1), F.lit(0), body=""))
+    heads = heads.unionByName(told(events.where(none & ~is_q & (F.col("q") > 0)), F.col("o"), F.col("q"))).unionByName(told(events.where(none & is_q), F.col("o"), F.col("q"), form="text", tag=""))
+    heads = heads.unionByName(told(events.where(none & is_q & ~first), F.col("o"), F.col("q") - 1, body=""))
+    heads = heads.unionByName(told(events.where(~none & ~(is_q & first)), F.col("o"), F.lit(-1))).unionByName(told(events.where(~none & is_q & first), F.col("o"), F.lit(-1), form="text"))
+    asked = heads.where(is_q).select("d", "o", "part").distinct()
+    said = F.when(is_o & (F.col("o") >= 0), F.col("body")).otherwise(F.concat("tag", "body"))
+    groups = heads.join(asked, ["d", "o", "part"], "left_semi").groupBy("d", "o", "part").agg(ordered(said.alias("t"), "xref", F.when(is_q, F.col("q")).alias("q"), "tag").alias("xs"))
+    each = groups.select("d", "xs", F.posexplode("xs").alias("at", "x")).where("x.q IS NOT NULL")
+    before = F.slice("xs", F.lit(1), F.col("at"))
+    stems = each.select("d", F.col("x.q").alias("q"), F.regexp_extract("x.tag", QUESTION_TAG, 1).alias("q_id"), F.array_join(F.transform(before, lambda x: x["t"]), "").alias("stem"), F.filter(F.transform(before, lambda x: x["xref"]), lambda x: x.isNotNull()).alias("above"))
+
+    clean = lambda c: F.regexp_replace(c, DESCRIPTION_TAG, "")
+    stem = strip(normalize_text(strip(strip_script(strip(F.regexp_replace(clean(F.col("stem")), OPTION_TAG, ""))))))
+    both = stems.join(options, ["d", "q"], "left").select("d", "q", "q_id", stem.alias("stem"), clean(F.coalesce("after", F.lit(""))).alias("option_text"), F.concat("above", F.coalesce("below", F.array().cast("array<bigint>"))).alias("images"))
+    some = both.where((F.col("stem") != "") | (F.size(options_of(F.col("option_text"))) > 0) | (F.size("images") > 0))
+    return numbered(some, ["d"], ["q"], "q_num").select(F.col("d").alias(doc), "q_num", "q_id", "stem", "option_text", "images")
 
 
 def options_of(text: Column) -> Column:
     """array<struct<number, text, option_id>>: cut before "n." at the beginning of a line."""
-    parts = F.filter(F.split(text, r"(?m)(?=^\s*[1-9]\s*\.\s)"), lambda p: p.rlike(r"^\s*[1-9]\s*\."))
+    parts = F.filter(F.split(text, r"(?m)(?=^\s*[1-9]\s*\.)"), lambda p: p.rlike(r"^\s*[1-9]\s*\."))
     return F.transform(
         parts,
         lambda p: F.struct(
             F.regexp_extract(p, r"^\s*([1-9])", 1).cast("int").alias("number"),
-            strip(strip_script(F.regexp_replace(F.regexp_replace(p, r"^\s*[1-9]\s*\.\s*", ""), OPTION_TAG, ""))).alias("text"),
+            strip(normalize_text(F.regexp_replace(strip_script(strip(F.regexp_replace(F.regexp_replace(p, r"^\s*[1-9]\s*\.\s*", ""), OPTION_TAG, ""))), r"\n{2,}", "\n"))).alias("text"),
             F.nullif(F.regexp_extract(p, OPTION_TAG, 1), F.lit("")).alias("option_id"),
         ),
     )

@@ -158,16 +158,30 @@ def q63(spark, sf_dir):
 
 @query(
     "q64_printed_questions",
-    """SELECT p_partkey // 5 AS doc_id, row_number() OVER (PARTITION BY p_partkey // 5 ORDER BY p_partkey) AS q_num, CAST(1000000 + p_partkey AS VARCHAR) AS q_id, 'Which ' || p_name || '?' AS stem,
-       CAST(2 AS BIGINT) AS options, p_brand AS first_option, CAST(p_partkey AS VARCHAR) || '2' AS second_id FROM part""",
+    """WITH p AS (SELECT *, p_partkey // 5 AS d FROM part)
+    SELECT d AS doc_id, row_number() OVER w AS q_num, CAST(1000000 + p_partkey AS VARCHAR) AS q_id, 'Which of [' || p_name || '] or [B] holds?' AS stem, CAST(2 AS BIGINT) AS options,
+       CASE WHEN p_partkey % 3 = 0 THEN 'see [ref 2] ' || p_brand ELSE p_brand END AS first_option, CAST(p_partkey AS VARCHAR) || '2' AS second_id,
+       coalesce(CASE WHEN lag(p_partkey) OVER w % 5 = 2 THEN CAST(10 * (lag(p_partkey) OVER w) + 5 AS VARCHAR) || ',' END, '')
+         || CASE WHEN p_partkey % 2 = 0 THEN CAST(10 * p_partkey + 1 AS VARCHAR) || ',' ELSE '' END || CASE WHEN p_partkey % 4 = 1 THEN CAST(10 * p_partkey + 3 AS VARCHAR) || ',' ELSE '' END AS images FROM p WINDOW w AS (PARTITION BY d ORDER BY p_partkey)""",
 )
 def q64(spark, sf_dir):
-    """Questions, stems and options out of texts of five parts each."""
+    """Questions, stems, options and images out of the blocks of papers of five parts each. Stems have brackets and a line of
+    another script; images stand before stems, among options and behind the last option, where they are the next question's."""
     k = F.col("p_partkey")
-    one = F.concat(F.lit("Which "), "p_name", F.lit("? [Question ID = "), (1000000 + k).cast("string"), F.lit("][Question Description = x]\n1. "), "p_brand", F.lit(" [Option ID = "), k.cast("string"), F.lit("1]\n2. b [Option ID = "), k.cast("string"), F.lit("2]"))
-    texts = table(spark, sf_dir, "part").select(F.floor(k / 5).alias("doc_id"), k.alias("k"), one.alias("t")).groupBy("doc_id").agg(sinks.ordered_text(F.col("k"), F.col("t"), "\n").alias("text"))
-    made = exam.split_questions(texts).withColumn("o", exam.options_of(F.col("option_text")))
-    return made.select("doc_id", F.col("q_num").cast("bigint").alias("q_num"), "q_id", "stem", F.size("o").cast("bigint").alias("options"), F.col("o")[0]["text"].alias("first_option"), F.col("o")[1]["option_id"].alias("second_id"))
+    block = lambda n, shown, text: F.when(shown, F.struct((10 * k + n).alias("seq"), F.lit("text" if text is not None else "image").alias("kind"), (F.lit(None) if text is None else text).cast("string").alias("text"), (10 * k + n).alias("xref")))
+    tagged = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    name = k.cast("string")
+    blocks = [
+        block(1, k % 2 == 0, None),
+        block(2, F.lit(True), tagged("Which of [", F.col("p_name"), "] or [B] holds?\nकौन सा सही है\n[Question ID = ", (1000000 + k).cast("string"), "][Question Description = x]\nPage 3")),
+        block(3, k % 4 == 1, None),
+        block(4, F.lit(True), tagged("1. ", F.when(k % 3 == 0, "see [ref 2] ").otherwise(""), F.col("p_brand"), " [Option ID = ", name, "1]\n2. b\nसही [Option ID = ", name, "2]")),
+        block(5, k % 5 == 2, None),
+    ]
+    spans = table(spark, sf_dir, "part").select(F.floor(k / 5).alias("doc_id"), F.inline(F.filter(F.array(*blocks), lambda b: b.isNotNull())))
+    made = exam.split_questions(spans).withColumn("o", exam.options_of(F.col("option_text")))
+    pictures = F.array_join(F.transform("images", lambda x: F.concat(x.cast("string"), F.lit(","))), "")
+    return made.select("doc_id", "q_num", "q_id", "stem", F.size("o").cast("bigint").alias("options"), F.col("o")[0]["text"].alias("first_option"), F.col("o")[1]["option_id"].alias("second_id"), pictures.alias("images"))
 
 
 @query(
