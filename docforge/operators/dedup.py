@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docforge.functions.text import paragraph_key
 from docforge.operators.columns import fresh
 from docforge.operators.lineage import cut
+from docforge.operators.sequence import in_turn
 
 WINDOW, SIMILARITY, SHORTEST = 120, 0.60, 8
 #: Buckets whose sizes are broadcast, at most.
@@ -61,35 +65,48 @@ def last_wins(rows: DataFrame, key: list[str], order: list[str], value: str) ->
     return last, log
 
 
-def greedy_flags(texts: list[str | None], window: int = WINDOW, similarity: float = SIMILARITY) -> list[bool]:
-    """Which paragraphs of an ordered list stay: not those like one of the last kept ones.
+def greedy_step(window: int = WINDOW, similarity: float = SIMILARITY) -> Callable[[str | None], bool]:
+    """A function that is told paragraphs in order and says whether each stays: not one like one of the last kept ones.
 
     Kept paragraphs are numbered, and each gram lists the numbers it occurs in, newest last: what a paragraph shares with
-    those of the window is counted through its own grams, and no two sets are compared.
+    those of the window is counted through its own grams, and no two sets are compared. Held are the sizes and grams of
+    the window, and eight bytes for each paragraph that was kept (for equal ones, which no window bounds).
     """
     holders: dict[str, list[int]] = {}
-    sizes: list[int] = []
-    known: set[str] = set()
-    flags = []
-    for text in texts:
+    sizes: dict[int, int] = {}
+    known: set[int] = set()
+    kept = 0
+
+    def stays(text: str | None) -> bool:
+        nonlocal kept
         key = "".join(c for c in (text or "").lower() if "a" <= c <= "z" or "0" <= c <= "9")
         if len(key) < SHORTEST:
-            flags.append(True)
-            continue
+            return True
         own = {key[i : i + 4] for i in range(len(key) - 3)}
-        oldest = max(0, len(sizes) - window)
-        shared = Counter(k for g in own for k in reversed(holders.get(g, ())) if k >= oldest)
-        stays = key not in known and not any(n >= similarity * (len(own) + sizes[k] - n) for k, n in shared.items())
-        if stays:
-            known.add(key)
-            for g in own:
-                held = holders.setdefault(g, [])
-                if held and held[0] < oldest:
-                    held[:] = [k for k in held if k >= oldest]
-                held.append(len(sizes))
-            sizes.append(len(own))
-        flags.append(stays)
-    return flags
+        digest = int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little")
+        shared = Counter(k for g in own for k in reversed(holders.get(g, ())) if k in sizes)
+        if digest in known or any(n >= similarity * (len(own) + sizes[k] - n) for k, n in shared.items()):
+            return False
+        known.add(digest)
+        for g in own:
+            held = holders.setdefault(g, [])
+            if held and held[0] not in sizes:
+                held[:] = [k for k in held if k in sizes]
+            held.append(kept)
+        sizes[kept] = len(own)
+        sizes.pop(kept - window, None)
+        kept += 1
+        if kept % (64 * window) == 0:  # grams that no kept paragraph of the window has
+            for g in [g for g, held in holders.items() if held[-1] not in sizes]:
+                del holders[g]
+        return True
+
+    return stays
+
+
+def greedy_flags(texts: list[str | None], window: int = WINDOW, similarity: float = SIMILARITY) -> list[bool]:
+    """Which paragraphs of an ordered list stay."""
+    return [*map(greedy_step(window, similarity), texts)]
 
 
 def greedy_paragraphs(paragraphs: Column, window: int = WINDOW, similarity: float = SIMILARITY) -> Column:
@@ -105,12 +122,13 @@ def greedy_paragraphs(paragraphs: Column, window: int = WINDOW, similarity: floa
 
 
 def across_chunks(chunks: DataFrame, doc: str = "doc_id", chunk: str = "chunk_index", text: str = "text", mark: str = "\n\n") -> DataFrame:
-    """Chunks without paragraphs like one that an earlier chunk of the document kept. A document is the unit."""
-    parts = chunks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(chunk).alias("c"), F.split(text, mark).alias("ps")))).alias("cs"))
-    flat = parts.select(doc, F.flatten(F.transform("cs", lambda x: F.transform(x["ps"], lambda p: F.struct(x["c"].alias("c"), p.alias("p"))))).alias("xs"))
-    kept = flat.withColumn("f", greedy_paragraphs(F.transform("xs", lambda x: x["p"]))).select(doc, F.posexplode(F.arrays_zip("xs", "f")).alias("n", "z")).where("z.f")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("z.xs.p").alias("p")))), lambda x: x["p"]), mark)
-    return kept.groupBy(doc, F.col("z.xs.c").alias(chunk)).agg(joined.alias(text))
+    """Chunks without paragraphs like one that an earlier chunk of the document kept. Paragraphs are sorted and streamed
+    (sequence.in_turn), so a document of any length takes the memory of the window."""
+    rows = chunks.select(F.col(doc).alias("d"), F.posexplode(F.split(text, mark)).alias("n", "p"), F.col(chunk).alias("c")).select("d", F.struct("c", "n").alias("o"), "p")
+    kept = in_turn(rows, ["d"], "o", ["p"], greedy_step, "stays", "boolean").where("stays")
+    paragraphs = rows.join(kept.select("d", "o"), ["d", "o"])
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o.n", "p"))), lambda x: x["p"]), mark)
+    return paragraphs.groupBy(F.col("d").alias(doc), F.col("o.c").alias(chunk)).agg(joined.alias(text))
 
 
 def _grams_of(key: str) -> np.ndarray:
@@ -144,72 +162,116 @@ def band_hashes(key: Column, bands: int, per_band: int) -> Column:
     return run(key)
 
 
-def key_jaccard(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the grams of two paragraph keys."""
-
-    @F.pandas_udf("double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for xs, ys in batches:
-            sets = [(_grams_of(x), _grams_of(y)) for x, y in zip(xs, ys)]
-            both = [len(np.intersect1d(g, h, True)) for g, h in sets]
-            yield pd.Series([n / (len(g) + len(h) - n) for n, (g, h) in zip(both, sets)], dtype="float64")
-
-    return run.asNondeterministic()(a, b)  # else a filter on its result runs it once more
-
-
 def _keys(rows: DataFrame, key_id: str, text: str, bands: int, per_band: int) -> DataFrame:
     """(k, id, hs): the different paragraph keys, their least ids and bands; made once."""
     keys = rows.select(F.col(key_id).alias("id"), paragraph_key(F.col(text)).alias("k")).where(F.length("k") >= SHORTEST)
     return cut(keys.groupBy("k").agg(F.min("id").alias("id")).withColumn("hs", band_hashes(F.col("k"), bands, per_band)))
 
 
-def _pairs(keys: DataFrame, similarity: float, bands: int, part: int) -> DataFrame:
-    filed = keys.select("id", F.explode("hs").alias("h"))
+def _blocks(keys: DataFrame, bands: int, part: int) -> DataFrame:
+    """(g, side, t, h, id, before, k): the members of each band's buckets, dealt so that any two of a bucket meet in just
+    one block g of about 2 * part rows. side tells two parts of a bucket apart and is 2 where a part meets itself; before:
+    the buckets of the bands before t. Buckets of one key go before any text is moved."""
+    filed = keys.select("id", F.posexplode("hs").alias("t", "h"))
     sizes = cut(filed.groupBy("h").agg(F.count("*").alias("met")).where("met > 1"))
     large = F.broadcast(sizes.where(F.col("met") > max(part, keys.count() * bands // HOT)))
     rare = filed.join(large.select("h"), "h", "left_anti").join(sizes, "h")
-    met = cut(filed.join(large, "h").unionByName(rare).select("id", "h", F.ceil(F.col("met") / part).cast("int").alias("parts")))
+    met = filed.join(large, "h").unionByName(rare).select("id", "t", "h", F.ceil(F.col("met") / part).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    dealt = met.select("id", "h", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("id", "h", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    a, b = dealt.alias("a"), dealt.alias("b")
-    here = (F.col("a.h") == F.col("b.h")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high"))
-    once = (F.col("a.own") != F.col("b.own")) | (F.col("a.low") == F.col("a.high"))
-    pairs = a.join(b, here & once & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    texts = keys.select("id", "k")
-    both = pairs.join(texts.withColumnsRenamed({"id": "a", "k": "ka"}), "a").join(texts.withColumnsRenamed({"id": "b", "k": "kb"}), "b")
-    return both.select("a", "b", key_jaccard(F.col("ka"), F.col("kb")).alias("similarity")).where(F.col("similarity") >= similarity)
+    dealt = met.select("id", "t", "h", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    laid = dealt.select("id", "t", "h", F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("g"), side.alias("side"))
+    return laid.join(keys, "id").select("g", "side", "t", "h", F.col("id").cast("bigint"), F.slice("hs", F.lit(1), F.col("t")).alias("before"), "k")
+
+
+def _alike(blocks: DataFrame, similarity: float, as_pairs: bool) -> DataFrame:
+    """(a, b, similarity) of what is alike, or (a, b: null, how many a is like) of a block. What is compared never leaves
+    its block: pairs that aren't alike are no rows. Two keys that share several buckets count in the first of them."""
+
+    def compare(rows: list[tuple]) -> Iterator[tuple]:
+        sides, ts, hs = (np.asarray([r[i] for r in rows]) for i in (0, 1, 2))
+        sets = [_grams_of(r[5]) for r in rows]
+        sizes = np.asarray([len(x) for x in sets])
+        counts: Counter = Counter()
+        for t, h in {*zip(ts.tolist(), hs.tolist())}:  # one, unless two blocks share a digest
+            here = (ts == t) & (hs == h)
+            for left, right in ((np.flatnonzero(here & (sides == 0)), np.flatnonzero(here & (sides == 1))), (np.flatnonzero(here & (sides == 2)),) * 2):
+                if not len(left) or not len(right):
+                    continue
+                used = np.union1d(left, right)
+                names, at = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
+                row = np.repeat(np.arange(len(used)), sizes[used])
+                total = np.zeros((len(left), len(right)), np.float32)
+                x, y = np.searchsorted(used, left), np.searchsorted(used, right)
+                for low in range(0, len(names), 8192):
+                    mine = (at >= low) & (at < low + 8192)
+                    held = np.zeros((len(used), min(8192, len(names) - low)), np.float32)
+                    held[row[mine], at[mine] - low] = 1
+                    total += held[x] @ held[y].T
+                union = sizes[left][:, None] + sizes[right][None, :] - total
+                i, j = np.nonzero(total / union >= similarity)
+                for p, q in zip(i.tolist(), j.tolist()):
+                    a, b = rows[left[p]], rows[right[q]]
+                    if (sides[left[p]] == 2 and a[3] >= b[3]) or a[3] == b[3] or any(u == v for u, v in zip(a[4], b[4])):
+                        continue
+                    if as_pairs:
+                        yield min(a[3], b[3]), max(a[3], b[3]), float(total[p, q]) / float(union[p, q])
+                    else:
+                        counts[a[3]] += 1
+                        counts[b[3]] += 1
+        yield from ((k, None, float(n)) for k, n in counts.items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple]:
+            now, held = None, []
+            for batch in batches:
+                for g, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if g != now:
+                        yield from compare(held) if len(held) > 1 else ()
+                        now, held = g, []
+                    held.append(tuple(row))
+            yield from compare(held) if len(held) > 1 else ()
+
+        some = made()
+        while got := list(islice(some, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "x"])
+
+    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint, x double")
 
 
 def near_pairs(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY, bands: int = 40, per_band: int = 4, part: int = 512) -> DataFrame:
-    """(a, b, similarity) of different paragraph keys: MinHash bands, then the exact Jaccard of 4-grams.
+    """(a, b, similarity) of different paragraph keys: MinHash bands, then the exact Jaccard of 4-grams. key_id is a number.
 
     The scalable mode: a pair at 0.60 is missed by all bands four times in a thousand. Equal keys are one row, their
-    least id. A band's bucket of many keys is dealt in parts of about ``part`` rows, and two parts at a time are compared:
-    every pair is still met, just once, and no group has more than about 2 * part rows. Buckets that hold over 1/HOT of
-    all rows learn their size by a broadcast of HOT rows at most. Pairs that are alike are all returned, so a group of n
-    like but different texts has up to n * (n - 1) / 2 rows; ``near_groups`` has n.
+    least id. A band's bucket of many keys is dealt in parts of about ``part`` rows, and two parts at a time are compared
+    in one task: every pair is still met, just once, and no block has more than about 2 * part rows. Buckets that hold over
+    1/HOT of all rows learn their size by a broadcast of HOT rows at most. Pairs that are alike are all returned, so a group
+    of n like but different texts has up to n * (n - 1) / 2 rows; ``near_groups`` has n.
     """
-    return _pairs(_keys(rows, key_id, text, bands, per_band), similarity, bands, part)
+    return _alike(_blocks(_keys(rows, key_id, text, bands, per_band), bands, part), similarity, True).withColumnRenamed("x", "similarity")
 
 
 def near_groups(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY, bands: int = 40, per_band: int = 4, part: int = 512) -> DataFrame:
     """(id, representative, n_like): every row with the least id of its paragraph key, and how many other keys that one is
-    like; short keys are like none. Rows meet their key's figures in one join, whose large keys Spark can split."""
+    like; short keys are like none. Blocks give back counts, so a group of n like keys is n rows of each block at most.
+    Rows meet their key's figures in one join, whose large keys Spark can split; short keys, the commonest, take none."""
     keys = _keys(rows, key_id, text, bands, per_band)
-    likes = _pairs(keys, similarity, bands, part).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_like"))
+    likes = _alike(_blocks(keys, bands, part), similarity, False).groupBy(F.col("a").alias("id")).agg(F.sum("x").cast("bigint").alias("n_like"))
     heads = keys.select("k", "id").join(likes, "id", "left").select("k", F.col("id").alias("representative"), "n_like")
-    keyed = rows.select(F.col(key_id).alias("id"), paragraph_key(F.col(text)).alias("k")).join(heads, "k", "left")
-    return keyed.select("id", F.coalesce("representative", "id").alias("representative"), F.coalesce("n_like", F.lit(0).cast("bigint")).alias("n_like"))
+    keyed = rows.select(F.col(key_id).alias("id"), paragraph_key(F.col(text)).alias("k"))
+    long = F.coalesce(F.length("k") >= SHORTEST, F.lit(False))
+    alone = keyed.where(~long).select("id", F.col("id").alias("representative"), F.lit(0).cast("bigint").alias("n_like"))
+    return keyed.where(long).join(heads, "k").select("id", "representative", F.coalesce("n_like", F.lit(0).cast("bigint")).alias("n_like")).unionByName(alone)
 
 
 def blocks_before_rendering(blocks: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
     """Blocks of a document as they are drawn: blank ones go, headings come once whatever their case, other texts once, and
-    not if they are like one of the last kept ones (greedy_flags; a document's texts are one row for that)."""
+    not if they are like one of the last kept ones (greedy_step over sorted, streamed rows)."""
     rows = blocks.where(F.trim(F.coalesce("content", F.lit(""))) != "")
     heading = F.upper("tag").isin("H1", "H2", "H3", "HEADING")
-    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.when(~heading, F.col("content")).alias("t")))).alias("xs"))
-    flags = listed.withColumn("f", greedy_paragraphs(F.transform("xs", lambda x: x["t"]))).select(*by, F.explode(F.arrays_zip("xs", "f")).alias("z"))
-    kept = rows.join(flags.where("z.f").select(*by, F.col("z.xs.o").alias(order)), [*by, order], "left_semi")
+    asked, kept = fresh(rows, "_asked"), fresh(rows, "_stays")
+    flags = in_turn(rows.withColumn(asked, F.when(~heading, F.col("content"))), by, order, [asked], greedy_step, kept, "boolean").where(kept)
+    kept = rows.join(flags.select(*by, order), [*by, order], "left_semi")
     key = F.when(heading, F.concat(F.lit("h:"), F.lower(F.trim("content")))).otherwise(F.concat(F.lit("b:"), F.trim("content")))
     return keep_first(kept, [*by, F.md5(key)], [order])
