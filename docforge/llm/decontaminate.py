@@ -13,7 +13,7 @@ leak owns no fingerprint. A shingle votes with the root of its weight, so that w
 arccos(sqrt(similarity)) whatever single shingles weigh; at THRESHOLD that is 9.5 bits of 64 on average (deviation 2.8),
 and all PRINTS are over RADIUS in about one of a million leaks there, and in fewer the more alike they are. Fingerprints
 go through a multi-index of the items: one of BLOCKS blocks differs by RADIUS // BLOCKS bits at most, so values near each
-block are probed and nothing within RADIUS is missed (sizes of few items are compared whole, which is quicker). Every
+block are probed and nothing within RADIUS is missed. Every
 item met is then judged exactly, byte by byte, over all its places in the text.
 
 Result per row of documents and item found in it: doc_id, item_id, similarity and start (word) of the best window.
@@ -44,8 +44,8 @@ from docforge.llm.common import cut, fresh, resident
 
 WORDS, THRESHOLD = 5, 0.8
 PRINTS, RADIUS, BLOCKS = 6, 15, 4
-#: Items of one size that are compared whole instead of through the index.
-DIRECT = 512
+#: Bytes that the index may take for flips which windows then needn't probe.
+INDEX_BYTES = 32 << 20
 #: Bytes of items that a worker indexes at a time.
 SLICE_BYTES = 16 << 20
 #: Hits that are looked at a time, and items whose shingles a worker remembers.
@@ -168,26 +168,29 @@ def shingle_sizes(words: list[bytes]) -> np.ndarray:
 
 
 class MultiIndex:
-    """Finds all fingerprints within RADIUS, in one of PRINTS, of items of one size."""
+    """Finds all fingerprints within RADIUS, in one of PRINTS, of items of all sizes.
+
+    Some of the RADIUS // BLOCKS flips of a block are filed with the items and windows probe the others: as many are filed
+    as INDEX_BYTES hold, so that few items cost a window one look a block, and many items little memory. What is found
+    is the same.
+    """
 
     WIDTH = 64 // BLOCKS
-    #: Flips of a block that are filed with the items; windows probe the others.
-    FILED = RADIUS // BLOCKS // 2
 
     def __init__(self, prints: np.ndarray):
-        self.prints = prints
-        self.lists: list[list[tuple[np.ndarray, np.ndarray]]] = []
-        if len(prints) <= DIRECT:
-            return
-        near, n = flips(self.WIDTH, self.FILED), len(prints)
+        self.prints, n = prints, len(prints)
+        spare = RADIUS // BLOCKS
+        self.filed = max(k for k in range(spare + 1) if not k or 4 * n * PRINTS * BLOCKS * len(flips(self.WIDTH, k)) <= INDEX_BYTES)
+        near = flips(self.WIDTH, self.filed)
         self.columns = [np.ascontiguousarray(prints[:, k]) for k in range(PRINTS)]
-        self.probes = flips(self.WIDTH, RADIUS // BLOCKS - self.FILED)
+        self.probes = flips(self.WIDTH, spare - self.filed)
+        self.lists: list[list[tuple[np.ndarray, np.ndarray]]] = []
         for own in self.columns:
             self.lists.append([])
             for b in range(BLOCKS):
                 keys = (self.block(own, b)[:, None] ^ near).reshape(-1)
                 order = np.argsort(keys, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=1 << self.WIDTH))])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=1 << self.WIDTH))]).astype(np.int32)
                 self.lists[-1].append((ends, np.repeat(np.arange(n, dtype=np.int32), len(near))[order]))
 
     def block(self, prints: np.ndarray, b: int) -> np.ndarray:
@@ -196,18 +199,14 @@ class MultiIndex:
     def near(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all pairs."""
         n, found = len(self.prints), [np.empty(0, np.int64)]
-        step = 256 if self.lists else max(1, (1 << 20) // max(1, n * PRINTS))
+        step = max(1, 1024 * 137 // (137 + 8 * len(self.probes)))
         for at in range(0, len(windows), step):
             some = windows[at : at + step]
-            if not self.lists:
-                w, j = np.nonzero((np.bitwise_count(some[:, None, :] ^ self.prints[None, :, :]) <= RADIUS).any(2))
-                found.append((w + at) * n + j)
-                continue
             for k, lists in enumerate(self.lists):
                 wanted, own = np.ascontiguousarray(some[:, k]), self.columns[k]
                 for b, (ends, items) in enumerate(lists):
                     keys = self.block(wanted, b)[:, None] ^ self.probes
-                    first = ends[keys]
+                    first = ends[keys].astype(np.int64)
                     counts = ends[keys + 1] - first
                     each = counts.sum(1)
                     first, counts = first.reshape(-1), counts.reshape(-1)
@@ -246,17 +245,13 @@ class Benchmark:
         self.sizes, self.of_size = np.unique(self.size, return_inverse=True)
         self.lightest = np.full(len(self.sizes), np.iinfo(np.int64).max)
         np.minimum.at(self.lightest, self.of_size, self.weight)
-        self.indexes: dict[int, tuple[np.ndarray, MultiIndex]] = {}
+        self.index = MultiIndex(self.prints)
         self.counted: dict[int, tuple[np.ndarray, Counter]] = {}
 
     def near(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all fingerprints within RADIUS, of items of that size."""
-        if size not in self.indexes:
-            own = np.flatnonzero(self.size == size)
-            self.indexes[size] = own, MultiIndex(self.prints[own])
-        own, index = self.indexes[size]
-        w, k = index.near(prints)
-        return w, own[k]
+        w, j = self.index.near(prints)
+        return w[self.size[j] == size], j[self.size[j] == size]
 
     def candidates(self, at: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> set[int]:
         """Items whose fingerprint lies near that of an item-sized window that ends at a hit. at: places of the hits."""
@@ -275,8 +270,10 @@ class Benchmark:
             sums = np.zeros((int(ends[-1]) + 2 - base, 64 * PRINTS), np.int64)
             np.cumsum(votes(hashes[base : ends[-1] + 1], weights[base : ends[-1] + 1]), axis=0, out=sums[1:])
             prints = np.concatenate([fingerprints(sums[b[x : x + STEP] + 1 - base] - sums[a[x : x + STEP] - base]) for x in range(0, len(a), STEP)])
-            for k in np.unique(d).tolist():
-                out.update(self.near(prints[np.unique(back[d == k])], int(self.sizes[k]))[1].tolist())
+            # one look for windows of all sizes; of what is near, items of a window's own sizes stay
+            w, j = self.index.near(prints)
+            asked = np.unique(back * len(self.sizes) + d)
+            out.update(j[np.isin(w * len(self.sizes) + self.of_size[j], asked)].tolist())
         return out
 
     def shingles_of(self, j: int) -> tuple[np.ndarray, Counter]:
@@ -383,7 +380,8 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         found = cut(df.select(F.col(text).alias("text"), leaks_of(shared, kind, text).alias("p")).where(F.size("p.item_id") > 0).select(F.sha2("text", 256).alias(name)).distinct())
         shared.destroy()
         leaky = found if leaky is None else leaky.unionByName(found)
-    return df.withColumn(name, F.sha2(F.col(text), 256)).join(leaky.distinct(), name, "left_anti").drop(name)
+    # written, so that both sides of the join are plain shuffles: Spark then splits a text that many rows share
+    return df.withColumn(name, F.sha2(F.col(text), 256)).join(cut(leaky.distinct()), name, "left_anti").drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -278,7 +278,8 @@ def with_trusted(df: DataFrame, text: str, most: int = TRUSTED_BYTES) -> tuple[D
     reveals = F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))  # others have nothing behind a cue, and stay where they are
     some = df.where(reveals).withColumn(key, F.sha2(text, 256))
     met = some.select(key, text).mapInArrow(run, "key string, cue string").distinct().join(known, "cue")
-    each = met.groupBy(F.col("key").alias(key)).agg(F.flatten(F.collect_list(F.array("cue", "kind"))).alias(own))
+    # written, so that both sides of the join are plain shuffles: Spark then splits a text that many rows share
+    each = cut(met.groupBy(F.col("key").alias(key)).agg(F.flatten(F.collect_list(F.array("cue", "kind"))).alias(own)))
     out = some.join(each, key, "left").drop(key)
     return out.unionByName(df.where(~reveals).withColumn(own, F.lit(None).cast("array<string>"))), own, {}
 

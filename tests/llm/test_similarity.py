@@ -232,10 +232,10 @@ def test_items_of_unspaced_scripts_and_other_punctuation(item):
     assert own.leaks(around) == []
 
 
-@pytest.mark.parametrize("direct", [0, decontaminate.DIRECT])
-def test_multi_index_finds_all_within_radius(monkeypatch, direct):
+@pytest.mark.parametrize("filed", [0, 1 << 16, decontaminate.INDEX_BYTES])
+def test_multi_index_finds_all_within_radius(monkeypatch, filed):
     """Flips of RADIUS bits in any one of the fingerprints, by the index and by comparing whole fingerprints."""
-    monkeypatch.setattr(decontaminate, "DIRECT", direct)
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", filed)
     own = decontaminate.Benchmark([(i, prose(i, 20)) for i in range(50)])
     size = int(own.size[0])
     rng = random.Random(2)
