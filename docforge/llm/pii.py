@@ -257,11 +257,6 @@ def trust(edges: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, min_ti
     return kept.groupBy("cue").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
 
 
-def learn(df: DataFrame, text: str = "text") -> dict[str, str]:
-    """The trusted cues and their kinds, collected."""
-    return {r.cue: r.kind for r in trust(graph(df, text)).collect()}
-
-
 def with_trusted(df: DataFrame, text: str, most: int = TRUSTED_BYTES) -> tuple[DataFrame, str | None, dict[str, str]]:
     """(df, column, trusted): all trusted cues, or else df with a column of those that each text has (cue and kind in turn)."""
     known = cut(trust(graph(df, text)).select("cue", "kind"))
