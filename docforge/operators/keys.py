@@ -11,6 +11,7 @@ from docforge.functions import answers as A
 from docforge.functions import rules
 from docforge.functions.text import strip
 from docforge.operators.dedup import last_wins
+from docforge.operators.lineage import cut
 from docforge.operators.sequence import carry_forward, in_turn
 
 # Headers of subjects, by how surely they are one, and forms of ids.
@@ -134,18 +135,18 @@ def sniff(pages: DataFrame) -> DataFrame:
 def parse(pages: DataFrame) -> DataFrame:
     """(doc_id, subject, question_id, raw, kind, options) of all keys, each by the parser its form asks for: printed lines,
     short ids behind a header without a code, or long ids in running tokens."""
-    forms = pages.join(sniff(pages), "doc_id", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    own = with_subjects(forms).withColumn("short", F.coalesce("subject.short", F.lit(False))).drop("subject")
-    listed, other = forms.where("listed"), own.where("NOT listed")
-    short_pages = other.join(other.where("short").select("doc_id").distinct(), "doc_id", "left_semi")
-    long_pages = other.join(other.where("short").select("doc_id").distinct(), "doc_id", "left_anti")
+    forms = with_subjects(pages.join(sniff(pages), "doc_id", "left").withColumn("listed", F.coalesce("listed", F.lit(False))))
+    short = F.max(F.coalesce("subject.short", F.lit(False))).over(Window.partitionBy("doc_id"))
+    # read by three parsers, and what they give is read again by reports: both are written once
+    forms = cut(forms.withColumn("short", short))
+    chosen = lambda c: forms.where(c).drop("subject", "short", "listed")
     parts = [
-        pair_long_ids(long_pages),
-        pair_short_ids(short_pages).withColumn("answer", A.classify_short(F.col("raw"))),
-        pair_lines(listed).withColumn("answer", A.classify_listed(F.col("raw"))),
+        pair_long_ids(chosen("NOT listed AND NOT short")),
+        pair_short_ids(chosen("NOT listed AND short")).withColumn("answer", A.classify_short(F.col("raw"))),
+        pair_lines(chosen("listed")).withColumn("answer", A.classify_listed(F.col("raw"))),
     ]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return both.select("doc_id", "page_num", "entry_no", "subject", "question_id", F.coalesce("answer.raw", "raw").alias("raw"), F.coalesce("answer.kind", F.lit("unrecognised")).alias("kind"), F.coalesce("answer.options", F.array().cast("array<int>")).alias("options"))
+    return cut(both.select("doc_id", "page_num", "entry_no", "subject", "question_id", F.coalesce("answer.raw", "raw").alias("raw"), F.coalesce("answer.kind", F.lit("unrecognised")).alias("kind"), F.coalesce("answer.options", F.array().cast("array<int>")).alias("options")))
 
 
 #: Kinds of answers that nothing was made of: none behind an id, or one of no known form.

@@ -158,12 +158,13 @@ def clean_pages_with_structure(pages: DataFrame, doc: str = "doc_id", page: str
 def drop_repeated_headers(rows: DataFrame, starts: DataFrame, doc: str, page: str, order: str, key: str, known: Column) -> DataFrame:
     """Rows but those that repeat a header: a known header is seen at once, the first row of a table (starts: doc, key,
     first_page) from the next page on."""
-    mark = fresh(rows, "_header")
-    heads = rows.withColumn(mark, known)
-    seen = keep_first(heads.where(F.col(mark)), [doc, key], [page, order]).select(doc, key, F.struct(page, order).alias("_first"))
-    joined = heads.join(seen, [doc, key], "left").join(starts, [doc, key], "left")
+    mark, met = fresh(rows, "_header"), fresh(rows, "_met")
+    # blank lines, the commonest of all, meet no header: each gets a key that none has, so that they are no hot group
+    heads = rows.withColumn(mark, known).withColumn(met, F.when(F.col(key) == "", F.concat(F.lit("\n"), F.xxhash64(page, order).cast("string"))).otherwise(F.col(key)))
+    seen = keep_first(heads.where(F.col(mark)), [doc, key], [page, order]).select(doc, F.col(key).alias(met), F.struct(page, order).alias("_first"))
+    joined = heads.join(seen, [doc, met], "left").join(starts.withColumnRenamed(key, met), [doc, met], "left")
     late = F.coalesce(F.struct(F.col(page), F.col(order)) > F.col("_first"), F.lit(False)) | F.coalesce(F.col(page) > F.col("first_page"), F.lit(False))
-    return joined.where(~late | (F.col(key) == "")).drop(mark, "_first", "first_page")
+    return joined.where(~late | (F.col(key) == "")).drop(mark, met, "_first", "first_page")
 
 
 def drop_artifacts(docs: DataFrame, generation: int, text: str = "text", first_part: Column | None = None) -> DataFrame:
