@@ -102,6 +102,12 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
+def append_batch(events: DataFrame, path: str, batch: int | str) -> None:
+    """Adds a batch of events to a log, once however often it is tried: a batch has a folder of its own, which it replaces.
+    Readers see it as the column ``batch``."""
+    events.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
 def artifact_rows(paths: DataFrame, kind: str) -> DataFrame:
     """Registry rows of written files: a DataFrame read with _metadata."""
     return paths.select(F.lit(kind).alias("artifact_type"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).distinct()
