@@ -11,7 +11,8 @@ from docforge.functions import render, rules
 from docforge.functions import text as T
 from docforge.operators import assembly, chapters, dedup, exam, keys, layout, lifecycle, models, quality, review, sequence
 from docforge.operators import lines as L
-from docforge.plans.registry import LINES_SQL, lines, query
+from docforge.plans import relational, sql_functions
+from docforge.plans.registry import LINES_SQL, SQL, lines, query
 from docforge.sources import sinks
 from docforge.sources import tables as S
 from docforge.sources.tables import table
@@ -57,14 +58,15 @@ FORM_SQL = "CASE " + " ".join(f"WHEN line_no % 29 = {i} THEN '{t}'" for i, t in
 
 @query(
     "q60_line_predicates",
-    f"""WITH {LINES_SQL}, n AS (SELECT lang, line_no % 29 AS k FROM lines WHERE line_no % 29 < 13)
+    f"""WITH {LINES_SQL}, n AS (SELECT lang, line_no % 29 AS k, CASE WHEN line_no % 29 > 12 THEN line ELSE '' END AS own FROM lines)
     SELECT lang, count(*) FILTER (k = 0) AS section_headers, count(*) FILTER (k = 1) AS cover, count(*) FILTER (k IN (2, 3)) AS chrome, count(*) FILTER (k IN (3, 11)) AS printed_chrome,
-           count(*) FILTER (k = 4) AS key_noise, count(*) FILTER (k = 5) AS metadata, count(*) FILTER (k IN (4, 6)) AS caps, count(*) FILTER (k = 7) AS table_headers, count(*) FILTER (k = 8) AS pipe_rows,
-           count(*) FILTER (k = 12) AS appendix, count(*) FILTER (k IN (9, 12)) AS begins_appendix, count(*) FILTER (k IN (3, 10)) AS rich_drops, count(*) FILTER (k IN (2, 7)) AS with_slashes FROM n GROUP BY lang""",
+           count(*) FILTER (k = 4 OR regexp_matches(upper(own), 'NATIONAL TESTING AGENCY|QUESTION ID|CORRECT OPTION NO\\.|CORRECT ANSWER|EXAM DATE|EXAM SHIFT|FINAL ANSWER KEY|CSIR-UGC|PAGE:|OF [456]') AND NOT starts_with(own, 'Page')) AS key_noise, count(*) FILTER (k = 5) AS metadata, count(*) FILTER (k IN (4, 6) OR regexp_full_match(own, '[A-Z][A-Z0-9 ,&/()-]{{5,79}}')) AS caps,
+           count(*) FILTER (k = 7) AS table_headers, count(*) FILTER (k = 8 OR contains(own, '|')) AS pipe_rows, count(*) FILTER (k = 12) AS appendix, count(*) FILTER (k IN (9, 12)) AS begins_appendix,
+           count(*) FILTER (k IN (3, 10)) AS rich_drops, count(*) FILTER (k IN (2, 7) OR contains(own, '/ ') OR contains(own, '//')) AS with_slashes FROM n GROUP BY lang""",
 )
 def q60(spark, sf_dir):
-    """Lines of papers and books by what they are, in equal turns."""
-    rows = lines(spark, sf_dir).select("lang", (F.col("line_no") % 29).alias("k"), F.expr(FORM_SQL).alias("line")).where("k < 13")
+    """Lines of papers and books by what they are: of 29 lines 13 have a form in turn, the others are the documents' own."""
+    rows = lines(spark, sf_dir).select("lang", F.expr(FORM_SQL).alias("line"))
     x = F.col("line")
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     return rows.groupBy("lang").agg(
@@ -538,25 +540,57 @@ def q85(spark, sf_dir):
     return told.select("document_id", "open_sections", "allowed", F.coalesce("next_version", F.lit(1)).cast("bigint").alias("next_version"), F.coalesce("approved", F.lit(0).cast("bigint")).alias("approved"))
 
 
+#: Phrases that lines go on behind.
+TAILED = [
+    'Sure, here is the plan', 'I kept it succinct for you', 'Which layout do you prefer, then', "We're all set now",
+    "Now, I'll start compiling the Word version", 'this is a hard copy set of it', 'your ready-to-print, ready-to-publish version', 'see the table of contents',
+    'a professionally formatted word layout', 'done',
+]
+
+
 @query(
     "q86_rules_by_name",
-    """SELECT phrase, rule, (SELECT count(*) FROM nation) AS n FROM (VALUES
+    rf"""WITH {LINES_SQL}, t AS (SELECT *, row_number() OVER () - 1 AS k FROM (VALUES
     ('Sure, here is the plan', 'start'), ('I kept it succinct for you', 'start'), ('Which layout do you prefer, then', 'start'), ('We are all set', 'kept'), ('We''re all set now', 'start'), ('Now, I''ll start compiling the Word version', 'start'),
     ('[SOURCE PAGE 12]', 'whole'), ('Page 3 of 9', 'whole'), ('Yesss!!', 'whole'), ('Elegant section dividers', 'whole'), ('Integration', 'whole'), ('Integration of care', 'kept'), ('and structure intact.', 'whole'), ('"Case 4 - anaemia"?', 'whole'),
     ('this is a hard copy set of it', 'contains'), ('your ready-to-print, ready-to-publish version', 'contains'), ('see the table of contents', 'contains'), ('a professionally formatted word layout', 'contains'), ('done', 'start'), ('| a | b |', 'pipe_row'), ('12.', 'lone_number'),
     ('now confirm these 3 final details', 'search'), ('a word + pdf version of it', 'search'), ('the planned structure inside the file', 'search'), ('so let''s design this upgrade', 'search'), ('that''s exactly the mindset', 'search'),
-    ('what do you think?', 'search'), ('well, let me know if it fits', 'search'), ('this chapter was finally there', 'search'), ('fantastic!', 'search'), ('The renal diet limits potassium.', 'kept'), ('foundation of care', 'kept'), ('energy needs rise', 'kept')) AS t(phrase, rule)""",
+    ('what do you think?', 'search'), ('well, let me know if it fits', 'search'), ('this chapter was finally there', 'search'), ('fantastic!', 'search'), ('The renal diet limits potassium.', 'kept'), ('foundation of care', 'kept'), ('energy needs rise', 'kept')) AS t(phrase, rule)),
+    n AS (SELECT lang, (doc_id + line_no) % 33 AS k, length(line) AS c FROM lines)
+    SELECT n.lang, t.phrase, t.rule, count(*) AS n, CAST(sum(CASE WHEN t.rule IN ('start', 'contains') THEN length(t.phrase) + 1 + c ELSE length(t.phrase) END) AS BIGINT) AS chars FROM n JOIN t ON t.k = n.k GROUP BY ALL""",
 )
 def q86(spark, sf_dir):
-    """The rule that each of some phrases falls under."""
+    """The rule that the lines of all documents fall under when they begin with some phrases; phrases that must be a whole
+    line, or are looked for with their surroundings, stand in the line's place."""
     phrases = [
         "Sure, here is the plan", "I kept it succinct for you", "Which layout do you prefer, then", "We are all set", "We're all set now", "Now, I'll start compiling the Word version", "[SOURCE PAGE 12]", "Page 3 of 9", "Yesss!!",
         "Elegant section dividers", "Integration", "Integration of care", "and structure intact.", '"Case 4 - anaemia"?', "this is a hard copy set of it", "your ready-to-print, ready-to-publish version", "see the table of contents",
         "a professionally formatted word layout", "done", "| a | b |", "12.", "now confirm these 3 final details", "a word + pdf version of it", "the planned structure inside the file", "so let's design this upgrade",
         "that's exactly the mindset", "what do you think?", "well, let me know if it fits", "this chapter was finally there", "fantastic!", "The renal diet limits potassium.", "foundation of care", "energy needs rise",
     ]
-    rows = table(spark, sf_dir, "nation").select(F.explode(F.array(*map(F.lit, phrases))).alias("phrase"))
-    return rows.select("phrase", F.coalesce(rules.rule_of(F.col("phrase")), F.lit("kept")).alias("rule")).groupBy("phrase", "rule").agg(F.count("*").alias("n"))
+    k = ((F.col("doc_id") + F.col("line_no")) % len(phrases) + 1).cast("int")
+    rows = lines(spark, sf_dir).select("lang", "line", F.element_at(F.array(*map(F.lit, phrases)), k).alias("phrase"))
+    tailed = [x for x in phrases if x in TAILED]
+    rows = rows.withColumn("said", F.when(F.col("phrase").isin(tailed), F.concat_ws(" ", "phrase", "line")).otherwise(F.col("phrase")))
+    judged = L.settled(rows.withColumn("rule", F.coalesce(rules.rule_of(F.col("said")), F.lit("kept"))), ["rule"])
+    return judged.groupBy("lang", "phrase", "rule").agg(F.count("*").alias("n"), F.sum(F.length("said")).cast("bigint").alias("chars"))
+
+
+@query("q89_rendered_documents")
+def q89(spark, sf_dir):
+    """Lines of all documents as tagged blocks, as they are drawn: the order-bound fold over whole documents (tested against
+    a plain fold)."""
+    rows = lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("seq"), rules.tag_of(F.col("line")).alias("tag"), F.col("line").alias("content"))
+    return dedup.blocks_before_rendering(rows, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum("seq").cast("bigint").alias("places"), F.count_if(F.col("tag").startswith("H")).alias("headings"))
+
+
+@query("q90_sql_objective_questions", SQL["q52_objective_questions"])
+def q90(spark, sf_dir):
+    """q52 in SQL: a table function over each document's blocks, in their order."""
+    sql_functions.register(spark)
+    blocks = relational.objective_blocks(spark, sf_dir)
+    return spark.sql("""SELECT doc_id, q_id, CAST(size(images) AS BIGINT) AS images, CAST(q_num AS BIGINT) AS q_num
+                        FROM objective_questions(TABLE(SELECT doc_id, seq, kind, text, xref FROM {blocks}) PARTITION BY doc_id ORDER BY seq)""", blocks=blocks)
 
 
 @query("q87_near_dup_lines")

@@ -383,6 +383,15 @@ def q51(spark, sf_dir):
     return read.select(F.col("doc_id").alias("source"), F.col("j.chunk_index").cast("bigint").alias("chunk_index"), F.size("j.pages").cast("bigint").alias("pages"), F.array_min(nums).alias("first_page"), F.array_max(nums).alias("last_page"))
 
 
+def objective_blocks(spark, sf_dir):
+    """Blocks of objective papers: a marker, page chrome, number with id, then images, for each order."""
+    o = table(spark, sf_dir, "orders")
+    block = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(1).alias("xref"))
+    qid = F.concat(F.lit("7"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"))
+    stream_of = F.concat(F.array(block("text", F.lit("Objective Question")), block("text", F.lit("Page 3 of 9")), block("text", F.concat(F.lit("12 "), qid))), F.array_repeat(block("image", F.lit("")), (F.col("o_orderkey") % 3 + 1).cast("int")))
+    return o.select(F.col("o_custkey").alias("doc_id"), "o_orderkey", F.posexplode(stream_of).alias("k", "b")).select("doc_id", (F.col("o_orderkey") * 10 + F.col("k")).alias("seq"), "b.kind", "b.text", "b.xref")
+
+
 @query(
     "q52_objective_questions",
     """SELECT o_custkey AS doc_id, '7' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS q_id, 1 + CAST(o_orderkey % 3 AS BIGINT) AS images,
@@ -391,11 +400,7 @@ def q51(spark, sf_dir):
 def q52(spark, sf_dir):
     """Objective questions out of a block stream: a marker, page chrome, number with id, then images. Ids have seven digits:
     the last six of the order's key, whatever its size; blocks go by the whole key."""
-    o = table(spark, sf_dir, "orders")
-    block = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(1).alias("xref"))
-    qid = F.concat(F.lit("7"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"))
-    stream_of = F.concat(F.array(block("text", F.lit("Objective Question")), block("text", F.lit("Page 3 of 9")), block("text", F.concat(F.lit("12 "), qid))), F.array_repeat(block("image", F.lit("")), (F.col("o_orderkey") % 3 + 1).cast("int")))
-    rows = o.select(F.col("o_custkey").alias("doc_id"), "o_orderkey", F.posexplode(stream_of).alias("k", "b")).select("doc_id", (F.col("o_orderkey") * 10 + F.col("k")).alias("seq"), "b.kind", "b.text", "b.xref")
+    rows = objective_blocks(spark, sf_dir)
     return exam.group_objective_questions(rows).select("doc_id", "q_id", F.size("images").cast("bigint").alias("images"), F.col("q_num").cast("bigint").alias("q_num"))
 
 
