@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -21,3 +22,9 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors of {sc.master} share")
         sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='docforge-')}")
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder's path beside the checkpoints, for files that are written to be read again."""
+    cut(spark.range(0))  # settles the folder, or says that it is missing
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docforge.functions import answers as A
 from docforge.functions import render, rules
 from docforge.functions import text as T
-from docforge.operators import assembly, chapters, dedup, exam, keys, layout, lifecycle, models, quality, review, sequence
+from docforge.operators import assembly, chapters, dedup, exam, keys, layout, lifecycle, lineage, models, quality, review, sequence
 from docforge.operators import lines as L
 from docforge.plans import relational, sql_functions
 from docforge.plans.registry import LINES_SQL, SQL, lines, query
@@ -607,3 +607,47 @@ def q88(spark, sf_dir):
     pages = S.spread(table(spark, sf_dir, "documents").select(F.col("lang").alias("doc_id"), F.col("doc_id").alias("page_num"), "text")).where("text IS NOT NULL")
     cleaned = L.clean_pages_with_structure(pages)
     return cleaned.select("doc_id", "page_num", F.length("text").cast("bigint").alias("chars"))
+
+
+@query(
+    "q91_pages_written_and_read",
+    """WITH p AS (SELECT conv_id // 50 AS doc_id, row_number() OVER (PARTITION BY conv_id // 50 ORDER BY conv_id, turn) AS page_num, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations),
+    l AS (SELECT doc_id, max(page_num) AS last_page FROM p GROUP BY 1)
+    SELECT CAST(page_num AS INT) AS page_num, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars, (SELECT count(*) FROM l) AS files, (SELECT CAST(sum(last_page) AS BIGINT) FROM l) AS all_pages FROM p GROUP BY 1""",
+)
+def q91(spark, sf_dir):
+    """Fifty conversations to a document, a page to a turn: texts with page marks are cut into pages, written as a JSON file
+    for each document, and read back; with what the folder holds."""
+    doc = F.floor(F.col("conv_id") / 50).alias("doc_id")
+    turns = sequence.numbered(table(spark, sf_dir, "conversations").select(doc, "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")), ["doc_id"], ["conv_id", "turn"], "page_num")
+    marked = turns.groupBy("doc_id").agg(sinks.ordered_text(F.col("page_num"), F.concat(F.lit("===== PAGE "), F.col("page_num").cast("string"), F.lit(" =====\n"), "text"), "\n").alias("text"))
+    pages = F.to_json(F.struct(S.split_page_marks(F.col("text")).alias("pages")))
+    path = lineage.scratch(spark, "pages")
+    marked.select("doc_id", pages.alias("value")).repartition("doc_id").write.partitionBy("doc_id").text(path)
+    read = S.read_pages(spark, f"{path}/*")
+    info = S.document_info(turns).agg(F.sum("last_page").cast("bigint").alias("all_pages"))
+    held = S.storage_bytes(spark, path).select("files")
+    counted = read.groupBy("page_num").agg(F.count("*").alias("pages"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+    return counted.crossJoin(F.broadcast(held)).crossJoin(F.broadcast(info))
+
+
+@query(
+    "q92_planned_anew",
+    """WITH r AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0), kept AS (SELECT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM r))
+    SELECT o_orderstatus AS status, count(*) AS documents, (SELECT count(*) FROM kept) AS chunks, count(*) FILTER (o_orderkey % 5 = 0) AS stopped,
+       (SELECT CAST(sum(o_orderkey % 1000) AS BIGINT) FROM orders) AS bytes, (SELECT string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) FROM
+         (SELECT * FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) LIMIT 5)) AS newest FROM orders GROUP BY 1""",
+)
+def q92(spark, sf_dir):
+    """Orders as documents and their lines as chunks: those that are planned anew lose their chunks, work that a crash left
+    is failed, and a library lists its newest records."""
+    orders, again = table(spark, sf_dir, "orders"), table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("document_id"))
+    chunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), "l_linenumber")
+    docs = orders.select(F.col("o_orderkey").alias("document_id"), "o_orderstatus", "o_orderdate")
+    after = lifecycle.reset({"documents": docs, "chunks": chunks}, again)
+    work = lifecycle.crash_cleanup(after["documents"].withColumn("status", F.when(F.col("document_id") % 5 == 0, "RUNNING").otherwise("COMPLETED")))
+    counted = work.groupBy(F.col("o_orderstatus").alias("s")).agg(F.count("*").alias("documents"), F.count_if(F.col("status") == "FAILED").alias("stopped"))
+    records = docs.select(F.col("o_orderdate").alias("created_at"), F.col("document_id").cast("string").alias("output_filename"), (F.col("document_id") % 1000).alias("bytes"))
+    listed = sinks.library_listing(records).select(F.col("bytes").cast("bigint"), F.array_join("examples", ",").alias("newest"))
+    left = after["chunks"].agg(F.count("*").alias("chunks"))
+    return counted.withColumnRenamed("s", "status").crossJoin(F.broadcast(left)).crossJoin(F.broadcast(listed))

@@ -60,7 +60,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages from JSON that holds a list of pages or {"pages": [...]}."""
     raw = spark.read.text(path, wholetext=True)
     page = "array<struct<page_num:int,text:string>>"
-    listed = F.coalesce(F.from_json("value", page), F.from_json(F.get_json_object("value", "$.pages"), page))
+    # an object read as an array is an array of it: the form is told by the first character
+    listed = F.when(F.col("value").rlike(r"^\s*\{"), F.from_json(F.get_json_object("value", "$.pages"), page)).otherwise(F.from_json("value", page))
     return raw.select(F.inline(listed))
 
 
