@@ -118,11 +118,16 @@ def in_parts(rows: DataFrame, key: list[str], total: int | None = None) -> tuple
     return rows.crossJoin(F.broadcast(edges)).withColumn(part, part_of(F.col(e), F.struct(*key), n)).drop(e), part
 
 
-def scan(rows: DataFrame, by: list[str], order: list[str], running: dict[str, Running], least: int = LEAST) -> DataFrame:
-    """rows with the running values of their group. A column of one of the names is replaced."""
+#: Scans look for large groups themselves, unless they are told.
+ASK = object()
+
+
+def scan(rows: DataFrame, by: list[str], order: list[str], running: dict[str, Running], least: int = LEAST, large: Large | None | object = ASK) -> DataFrame:
+    """rows with the running values of their group. A column of one of the names is replaced. large: what large_groups has
+    said of these rows or of a table that they were made of, for operators that scan several times."""
     window = Window.partitionBy(*by).orderBy(*order)
     plain = lambda df: df.withColumns({name: r.over(window) for name, r in running.items()})
-    large = large_groups(rows, by, least)
+    large = large_groups(rows, by, least) if large is ASK else large
     if large is None:
         return plain(rows)
     few, many, g = split_large(rows, by, large)

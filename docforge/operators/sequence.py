@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from docforge.functions import rules
 from docforge.operators.columns import fresh
 from docforge.operators.lineage import cut
-from docforge.operators.scan import LEAST, Reach, Running, chain, large_groups, scan, split_large
+from docforge.operators.scan import ASK, LEAST, Large, Reach, Running, chain, large_groups, scan, split_large
 
 
 def rows_upto(by: list[str], *order: str):
@@ -25,9 +25,9 @@ def lines_of(docs: DataFrame, text: str = "text", pattern: str = "\n") -> DataFr
     return docs.where(F.col(text).isNotNull()).select(*keep, F.posexplode(F.split(text, pattern)).alias("line_no", "line"))
 
 
-def sessionise(rows: DataFrame, by: list[str], order: list[str], header: Column, group: str = "group_no") -> DataFrame:
+def sessionise(rows: DataFrame, by: list[str], order: list[str], header: Column, group: str = "group_no", large: Large | None | object = ASK) -> DataFrame:
     """group_no: how many headers have come; 0 before the first."""
-    return scan(rows, by, order, {group: Running(F.coalesce(header.cast("int"), F.lit(0)))})
+    return scan(rows, by, order, {group: Running(F.coalesce(header.cast("int"), F.lit(0)))}, large=large)
 
 
 def carry_forward(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
@@ -35,42 +35,43 @@ def carry_forward(rows: DataFrame, by: list[str], order: list[str], value: Colum
     return scan(rows, by, order, {name: Running(value, "last")})
 
 
-def changes(rows: DataFrame, by: list[str], order: list[str], key: list[str], name: str) -> DataFrame:
+def changes(rows: DataFrame, by: list[str], order: list[str], key: list[str], name: str, large: Large | None | object = ASK) -> DataFrame:
     """name: whether a row is its group's first or differs from the one before in one of the key's columns."""
     held = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)])
-    return scan(rows, by, order, {name: Running(held, "last", before=True)}).withColumn(name, ~F.col(name).eqNullSafe(held))
+    return scan(rows, by, order, {name: Running(held, "last", before=True)}, large=large).withColumn(name, ~F.col(name).eqNullSafe(held))
 
 
 def islands(rows: DataFrame, by: list[str], order: str, key: str, name: str = "run") -> DataFrame:
     """run: number of the stretch of equal keys that a row is in."""
-    new = fresh(rows, "_new")
-    return sessionise(changes(rows, by, [order], [key], new), by, [order], F.col(new), name).drop(new)
+    new, large = fresh(rows, "_new"), large_groups(rows, by)
+    return sessionise(changes(rows, by, [order], [key], new, large), by, [order], F.col(new), name, large).drop(new)
 
 
 def merge_runs(rows: DataFrame, by: list[str], order: str, key: str, text: str, merged: list[str], glue: str = " ") -> DataFrame:
     """(by, run, tag, content, n): stretches of merged tags become one row each; other rows stay alone."""
-    new = fresh(rows, "_new")
-    marked = changes(rows, by, [order], [key], new).withColumn(new, F.col(new) | ~F.coalesce(F.col(key).isin(merged), F.lit(False))) if merged else rows.withColumn(new, F.lit(True))
+    new, large = fresh(rows, "_new"), large_groups(rows, by)
+    marked = changes(rows, by, [order], [key], new, large).withColumn(new, F.col(new) | ~F.coalesce(F.col(key).isin(merged), F.lit(False))) if merged else rows.withColumn(new, F.lit(True))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), glue)
-    return sessionise(marked, by, [order], F.col(new), "run").groupBy(*by, "run").agg(F.first(key).alias("tag"), joined.alias("content"), F.count("*").alias("n"))
+    return sessionise(marked, by, [order], F.col(new), "run", large).groupBy(*by, "run").agg(F.first(key).alias("tag"), joined.alias("content"), F.count("*").alias("n"))
 
 
-def outside_fences(lines: DataFrame, by: list[str], order: str, line: str = "line") -> DataFrame:
+def outside_fences(lines: DataFrame, by: list[str], order: str, line: str = "line", large: Large | None | object = ASK) -> DataFrame:
     """in_code by the parity of the fences so far; the fences themselves go."""
     f = fresh(lines, "_fence")
     marked = lines.withColumn(f, F.col(line).rlike(rules.FENCE))
-    return scan(marked, by, [order], {"fences": Running(F.col(f).cast("int"))}).where(~F.col(f)).withColumn("in_code", F.col("fences") % 2 == 1).drop(f)
+    return scan(marked, by, [order], {"fences": Running(F.col(f).cast("int"))}, large=large).where(~F.col(f)).withColumn("in_code", F.col("fences") % 2 == 1).drop(f)
 
 
 def tag_blocks(lines: DataFrame, by: list[str], order: str = "line_no", line: str = "line") -> DataFrame:
     """(by, run, tag, content, n): code between fences and table rows in a row are one block; blank lines end a table and go."""
-    marked = outside_fences(lines, by, order, line).withColumn("tag", F.when(F.col("in_code"), "code").when(F.trim(line) == "", "blank").otherwise(rules.tag_of(F.col(line))))
+    large = large_groups(lines, by)
+    marked = outside_fences(lines, by, order, line, large).withColumn("tag", F.when(F.col("in_code"), "code").when(F.trim(line) == "", "blank").otherwise(rules.tag_of(F.col(line))))
     marked = marked.withColumn("text", F.when(F.col("in_code"), F.rtrim(line)).otherwise(F.trim(line)))
     # code blocks of different fences, and tables with a blank line between, are different runs
     new = fresh(marked, "_new")
-    marked = changes(marked, by, [order], ["tag", "fences"], new).withColumn(new, F.col(new) | ~F.coalesce(F.col("tag").isin("table", "code"), F.lit(False)))
+    marked = changes(marked, by, [order], ["tag", "fences"], new, large).withColumn(new, F.col(new) | ~F.coalesce(F.col("tag").isin("table", "code"), F.lit(False)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "text"))), lambda x: x["text"]), "\n")
-    return sessionise(marked, by, [order], F.col(new), "run").where("tag <> 'blank'").groupBy(*by, "run").agg(F.first("tag").alias("tag"), joined.alias("content"), F.count("*").alias("n"))
+    return sessionise(marked, by, [order], F.col(new), "run", large).where("tag <> 'blank'").groupBy(*by, "run").agg(F.first("tag").alias("tag"), joined.alias("content"), F.count("*").alias("n"))
 
 
 def latch(rows: DataFrame, by: list[str], order: list[str], hit: Column, name: str = "latched") -> DataFrame:
