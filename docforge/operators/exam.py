@@ -170,13 +170,15 @@ def matched_missing_extra(questions: DataFrame, answers: DataFrame, key: str) ->
 def best_subject(questions: DataFrame, answers: DataFrame, key: str = "q_id", subject: str = "subject", order: str = "subject_order") -> DataFrame:
     """(subject, order, overlap, best): how many of the ids each subject answers; the first of the largest, if not 0, is best.
 
-    Subjects are few next to answers; only their counts meet in the last window.
+    The best one is an aggregate of a row, which is broadcast: no task sees all subjects. Subjects of one order go by name.
     """
     ids = questions.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").select(key).distinct()
     hits = answers.join(ids, key, "left_semi").groupBy(subject).agg(F.count_distinct(key).alias("overlap"))
     every = answers.groupBy(subject).agg(F.min(order).alias(order))
     counted = every.join(hits, subject, "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
-    return counted.withColumn("best", (F.row_number().over(Window.orderBy(F.desc("overlap"), order)) == 1) & (F.col("overlap") > 0))
+    top = fresh(counted, "_top")
+    first = counted.agg(F.min(F.struct(-F.col("overlap"), order, subject)).alias(top))
+    return counted.crossJoin(F.broadcast(first)).withColumn("best", F.struct(-F.col("overlap"), order, subject).eqNullSafe(F.col(top)) & (F.col("overlap") > 0)).drop(top)
 
 
 def resolve_answers(questions: DataFrame) -> DataFrame:
