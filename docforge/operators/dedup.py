@@ -21,6 +21,8 @@ from docforge.operators.sequence import in_turn
 WINDOW, SIMILARITY, SHORTEST = 120, 0.60, 8
 #: Buckets whose sizes are broadcast, at most.
 HOT = 4096
+#: Different 4-grams of digits and small letters.
+CODES = 36**4
 
 
 def keep_first(rows: DataFrame, key: list[str | Column], order: list[str], always: Column | None = None) -> DataFrame:
@@ -168,22 +170,49 @@ def _keys(rows: DataFrame, key_id: str, text: str, bands: int, per_band: int) ->
     return cut(keys.groupBy("k").agg(F.min("id").alias("id")).withColumn("hs", band_hashes(F.col("k"), bands, per_band)))
 
 
-def _blocks(keys: DataFrame, bands: int, part: int) -> DataFrame:
-    """(g, side, t, h, id, before, k): the members of each band's buckets, dealt so that any two of a bucket meet in just
-    one block g of about 2 * part rows. side tells two parts of a bucket apart and is 2 where a part meets itself; before:
-    the buckets of the bands before t. Buckets of one key go before any text is moved."""
-    filed = keys.select("id", F.posexplode("hs").alias("t", "h"))
+def _deal(filed: DataFrame, total: int, part: int) -> DataFrame:
+    """(g, side, and the columns of filed) for rows filed under h: any two rows of an h meet in just one block g of about
+    2 * part rows. side tells two parts of an h apart and is 2 where a part meets itself. An h of one row goes."""
+    kept = [F.col(c) for c in filed.columns]
     sizes = cut(filed.groupBy("h").agg(F.count("*").alias("met")).where("met > 1"))
-    large = F.broadcast(sizes.where(F.col("met") > max(part, keys.count() * bands // HOT)))
+    large = F.broadcast(sizes.where(F.col("met") > max(part, total // HOT)))
     rare = filed.join(large.select("h"), "h", "left_anti").join(sizes, "h")
-    met = filed.join(large, "h").unionByName(rare).select("id", "t", "h", F.ceil(F.col("met") / part).cast("int").alias("parts"))
+    met = filed.join(large, "h").unionByName(rare).select(*kept, F.ceil(F.col("met") / part).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    dealt = met.select("id", "t", "h", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = met.select(*kept, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    laid = dealt.select("id", "t", "h", F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("g"), side.alias("side"))
+    return dealt.select(*kept, F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("g"), side.alias("side"))
+
+
+def _blocks(keys: DataFrame, bands: int, part: int) -> DataFrame:
+    """(g, side, t, h, id, before, k): the members of each band's buckets in blocks (see _deal); before: the buckets of the
+    bands before t. Buckets of one key go before any text is moved."""
+    laid = _deal(keys.select("id", F.posexplode("hs").alias("t", "h")), keys.count() * bands, part)
     return laid.join(keys, "id").select("g", "side", "t", "h", F.col("id").cast("bigint"), F.slice("hs", F.lit(1), F.col("t")).alias("before"), "k")
 
 
+def _compared(blocks: DataFrame, compare: Callable[[list[tuple]], Iterator[tuple]]) -> DataFrame:
+    """(a, b, x): what compare says of the rows of each block g, without their g. A task holds one block at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple]:
+            now, held = None, []
+            for batch in batches:
+                for g, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if g != now:
+                        yield from compare(held) if len(held) > 1 else ()
+                        now, held = g, []
+                    held.append(tuple(row))
+            yield from compare(held) if len(held) > 1 else ()
+
+        some = made()
+        while got := list(islice(some, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "x"])
+
+    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint, x double")
+
+
 def _alike(blocks: DataFrame, similarity: float, as_pairs: bool) -> DataFrame:
     """(a, b, similarity) of what is alike, or (a, b: null, how many a is like) of a block. What is compared never leaves
     its block: pairs that aren't alike are no rows. Two keys that share several buckets count in the first of them."""
@@ -221,23 +250,134 @@ def _alike(blocks: DataFrame, similarity: float, as_pairs: bool) -> DataFrame:
                         counts[b[3]] += 1
         yield from ((k, None, float(n)) for k, n in counts.items())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made() -> Iterator[tuple]:
-            now, held = None, []
-            for batch in batches:
-                for g, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                    if g != now:
-                        yield from compare(held) if len(held) > 1 else ()
-                        now, held = g, []
-                    held.append(tuple(row))
-            yield from compare(held) if len(held) > 1 else ()
-
-        some = made()
-        while got := list(islice(some, 4096)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "x"])
-
-    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint, x double")
+    return _compared(blocks, compare)
+
+
+def _codes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of the distinct 4-grams of paragraph keys, by row: four of 36 digits and letters are a number below CODES."""
+    raw = np.frombuffer("".join(keys).encode(), np.uint8).astype(np.int64)
+    digit = np.where(raw < ord("a"), raw - ord("0"), raw - ord("a") + 10)
+    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    inside = row[:-3] == row[3:]
+    code = ((digit[:-3] * 36 + digit[1:-2]) * 36 + digit[2:-1]) * 36 + digit[3:]
+    both = np.unique(row[:-3][inside] * CODES + code[inside])
+    return both // CODES, both % CODES
+
+
+def _runs(batches: Iterator[pa.RecordBatch], letters: int = 1 << 18) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(ids, keys) of batches, about so many letters at a time."""
+    for batch in batches:
+        ids, ks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        ends = np.cumsum([len(k) for k in ks]) // letters
+        for at in np.split(np.arange(len(ks)), np.flatnonzero(np.diff(ends)) + 1) if ks else ():
+            yield ids[at], [ks[i] for i in at.tolist()]
+
+
+def gram_ranks(keys: DataFrame) -> np.ndarray:
+    """The place of each 4-gram in the order of how many paragraph keys k hold it, rarest first. There are CODES = 36 ** 4
+    grams whatever the table: tasks give back a count a gram, and 7 MB of places is what workers get."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CODES, np.int64)
+        for _, ks in _runs(batches):
+            code, n = np.unique(_codes(ks)[1], return_counts=True)
+            total[code] += n
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held], pa.int64())], ["c", "n"])
+
+    met = keys.select("id", "k").mapInArrow(count, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    code, n = (met.column(c).to_numpy() for c in ("c", "n"))
+    ranks = np.zeros(CODES, np.int32)
+    ranks[code[np.lexsort((code, n))]] = np.arange(len(code), dtype=np.int32)
+    return ranks
+
+
+def _exactly_alike(rows: DataFrame, key_id: str, text: str, similarity: float, part: int, as_pairs: bool) -> tuple[DataFrame, DataFrame]:
+    """(keys, what _alike gives) by prefixes. The grams of a key are put in order, rarest first. Keys of n and m grams that
+    are alike share ceil(similarity * n) grams or more, so one of the first n - ceil(similarity * n) + 1 of each: keys are
+    filed under those, and meet in the blocks of each. In a block two keys count only if its gram is the first they share,
+    and are compared only if their sizes, and what is left of them behind that gram, can still make them alike."""
+    spark = rows.sparkSession
+    made = rows.select(F.col(key_id).cast("bigint").alias("id"), paragraph_key(F.col(text)).alias("k")).where(F.length("k") >= SHORTEST)
+    keys = cut(made.groupBy("k").agg(F.min("id").alias("id")))
+    ranks = spark.sparkContext.broadcast(gram_ranks(keys))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, ks in _runs(batches):
+            row, code = _codes(ks)
+            rank = ranks.value[code]
+            order = np.lexsort((rank, row))
+            row, rank, n = row[order], rank[order], np.bincount(row, minlength=len(ks))
+            first = np.arange(len(row)) - (np.cumsum(n) - n)[row] <= (n - np.ceil(similarity * n - 1e-9))[row]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row[first]], pa.int64()), pa.array(rank[first], pa.int32())], ["id", "h"])
+
+    def compare(held: list[tuple]) -> Iterator[tuple]:
+        grams = np.asarray([r[1] for r in held])
+        for h in np.unique(grams).tolist():  # one, unless two blocks share a digest
+            here = [held[i] for i in np.flatnonzero(grams == h)]
+            side, ids = np.asarray([r[0] for r in here]), np.asarray([r[2] for r in here])
+            row, code = _codes([r[3] for r in here])
+            size, early = np.bincount(row, minlength=len(here)), ranks.value[code] < h
+            rest = size - np.bincount(row[early], minlength=len(here))
+            for left, right in ((np.flatnonzero(side == 0), np.flatnonzero(side == 1)), (np.flatnonzero(side == 2),) * 2):
+                if not len(left) or not len(right):
+                    continue
+                least = (size[left][:, None] + size[right][None, :]) * (similarity / (1 + similarity)) - 1e-6
+                may = np.minimum(rest[left][:, None], rest[right][None, :]) >= least
+                if left is right:
+                    may = np.triu(may, 1)
+                may &= ids[left][:, None] != ids[right][None, :]
+                if not may.any():
+                    continue
+                left, right, may = left[may.any(1)], right[may.any(0)], may[may.any(1)][:, may.any(0)]
+                shared, before = _shared(left, right, row, code, early, len(here))
+                i, j = np.nonzero(may & (before == 0) & (shared / (size[left][:, None] + size[right][None, :] - shared) >= similarity))
+                a, b, both = ids[left[i]], ids[right[j]], shared[i, j].astype(float)
+                if as_pairs:
+                    yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), (both / (size[left[i]] + size[right[j]] - both)).tolist())
+                else:
+                    one, n = np.unique(np.concatenate([a, b]), return_counts=True)
+                    yield from zip(one.tolist(), [None] * len(one), n.astype(float).tolist())
+
+    filed = keys.select("id", "k").mapInArrow(prefixes, "id bigint, h int")
+    filed = cut(filed)
+    laid = _deal(filed, filed.count(), part)
+    return keys, _compared(laid.join(keys, "id").select("g", "side", "h", "id", "k"), compare)
+
+
+def _shared(left: np.ndarray, right: np.ndarray, row: np.ndarray, code: np.ndarray, early: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many grams each of left has in common with each of right, and how many of these are early; by products of 0 and
+    1 over grams that two rows have, some thousand at a time."""
+    both, before = np.zeros((len(left), len(right)), np.float32), np.zeros((len(left), len(right)), np.float32)
+    used = np.zeros(rows, bool)
+    used[left] = used[right] = True
+    row, code, early = row[used[row]], code[used[row]], early[used[row]]
+    names, at, n = np.unique(code, return_inverse=True, return_counts=True)
+    for total, some in ((both, (n > 1)[at]), (before, (n > 1)[at] & early)):
+        place = np.full(len(names), -1)
+        mine = np.unique(at[some])
+        place[mine] = np.arange(len(mine))
+        for low in range(0, len(mine), 4096):
+            now = some & (place[at] >= low) & (place[at] < low + 4096)
+            held = np.zeros((rows, min(4096, len(mine) - low)), np.float32)
+            held[row[now], place[at[now]] - low] = 1
+            total += held[left] @ held[right].T
+    return both, before
+
+
+def exact_pairs(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY, part: int = 1024) -> DataFrame:
+    """(a, b, similarity) of different paragraph keys that are alike, all of them: an exact join of sets by prefix, size and
+    place filters. key_id is a whole number; null texts and short keys are like nothing.
+
+    A key is filed under some 40 of 100 grams at similarity 0.60, and there are 36 ** 4 grams at most, so blocks grow with
+    the table: this is for tables of some million keys, ``near_pairs`` for larger ones."""
+    return _exactly_alike(rows, key_id, text, similarity, part, True)[1].withColumnRenamed("x", "similarity")
+
+
+def exact_groups(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY, part: int = 1024) -> DataFrame:
+    """As ``near_groups``, with exact counts (see ``exact_pairs``): blocks give back counts, never pairs."""
+    keys, alike = _exactly_alike(rows, key_id, text, similarity, part, False)
+    return _rows_of(rows, keys, alike, key_id, text)
 
 
 def near_pairs(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY, bands: int = 40, per_band: int = 4, part: int = 512) -> DataFrame:
@@ -257,7 +397,12 @@ def near_groups(rows: DataFrame, key_id: str, text: str, similarity: float = SIM
     like; short keys are like none. Blocks give back counts, so a group of n like keys is n rows of each block at most.
     Rows meet their key's figures in one join, whose large keys Spark can split; short keys, the commonest, take none."""
     keys = _keys(rows, key_id, text, bands, per_band)
-    likes = _alike(_blocks(keys, bands, part), similarity, False).groupBy(F.col("a").alias("id")).agg(F.sum("x").cast("bigint").alias("n_like"))
+    return _rows_of(rows, keys, _alike(_blocks(keys, bands, part), similarity, False), key_id, text)
+
+
+def _rows_of(rows: DataFrame, keys: DataFrame, alike: DataFrame, key_id: str, text: str) -> DataFrame:
+    """(id, representative, n_like) of rows, from what blocks counted of their keys."""
+    likes = alike.groupBy(F.col("a").alias("id")).agg(F.sum("x").cast("bigint").alias("n_like"))
     heads = keys.select("k", "id").join(likes, "id", "left").select("k", F.col("id").alias("representative"), "n_like")
     keyed = rows.select(F.col(key_id).alias("id"), paragraph_key(F.col(text)).alias("k"))
     long = F.coalesce(F.length("k") >= SHORTEST, F.lit(False))
