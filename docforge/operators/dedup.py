@@ -253,14 +253,20 @@ def _alike(blocks: DataFrame, similarity: float, as_pairs: bool) -> DataFrame:
     return _compared(blocks, compare)
 
 
-def _codes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, code) of the distinct 4-grams of paragraph keys, by row: four of 36 digits and letters are a number below CODES."""
-    raw = np.frombuffer("".join(keys).encode(), np.uint8).astype(np.int64)
+def _raw_codes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of the 4-grams of paragraph keys: four of 36 digits and letters are a number below CODES."""
+    raw = np.frombuffer("".join(keys).encode(), np.uint8).astype(np.int32)
     digit = np.where(raw < ord("a"), raw - ord("0"), raw - ord("a") + 10)
     row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     inside = row[:-3] == row[3:]
     code = ((digit[:-3] * 36 + digit[1:-2]) * 36 + digit[2:-1]) * 36 + digit[3:]
-    both = np.unique(row[:-3][inside] * CODES + code[inside])
+    return row[:-3][inside], code[inside]
+
+
+def _codes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of the distinct 4-grams of paragraph keys, by row."""
+    row, code = _raw_codes(keys)
+    both = np.unique(row * CODES + code)
     return both // CODES, both % CODES
 
 
@@ -296,7 +302,8 @@ def _exactly_alike(rows: DataFrame, key_id: str, text: str, similarity: float, p
     """(keys, what _alike gives) by prefixes. The grams of a key are put in order, rarest first. Keys of n and m grams that
     are alike share ceil(similarity * n) grams or more, so one of the first n - ceil(similarity * n) + 1 of each: keys are
     filed under those, and meet in the blocks of each. In a block two keys count only if its gram is the first they share,
-    and are compared only if their sizes, and what is left of them behind that gram, can still make them alike."""
+    and are compared only if their sizes, what is left of them from that gram on, and a bitmap of their grams allow them
+    to be alike."""
     spark = rows.sparkSession
     made = rows.select(F.col(key_id).cast("bigint").alias("id"), paragraph_key(F.col(text)).alias("k")).where(F.length("k") >= SHORTEST)
     keys = cut(made.groupBy("k").agg(F.min("id").alias("id")))
@@ -308,17 +315,17 @@ def _exactly_alike(rows: DataFrame, key_id: str, text: str, similarity: float, p
             rank = ranks.value[code]
             order = np.lexsort((rank, row))
             row, rank, n = row[order], rank[order], np.bincount(row, minlength=len(ks))
-            first = np.arange(len(row)) - (np.cumsum(n) - n)[row] <= (n - np.ceil(similarity * n - 1e-9))[row]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row[first]], pa.int64()), pa.array(rank[first], pa.int32())], ["id", "h"])
+            rest = n[row] - np.arange(len(row)) + (np.cumsum(n) - n)[row]
+            first = rest >= np.ceil(similarity * n - 1e-9)[row]
+            columns = (ids[row[first]], pa.int64()), (rank[first], pa.int32()), (n[row[first]], pa.int32()), (rest[first], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], ["id", "h", "n", "rest"])
 
     def compare(held: list[tuple]) -> Iterator[tuple]:
         grams = np.asarray([r[1] for r in held])
         for h in np.unique(grams).tolist():  # one, unless two blocks share a digest
             here = [held[i] for i in np.flatnonzero(grams == h)]
             side, ids = np.asarray([r[0] for r in here]), np.asarray([r[2] for r in here])
-            row, code = _codes([r[3] for r in here])
-            size, early = np.bincount(row, minlength=len(here)), ranks.value[code] < h
-            rest = size - np.bincount(row[early], minlength=len(here))
+            size, rest = (np.asarray([r[i] for r in here]) for i in (3, 4))
             for left, right in ((np.flatnonzero(side == 0), np.flatnonzero(side == 1)), (np.flatnonzero(side == 2),) * 2):
                 if not len(left) or not len(right):
                     continue
@@ -329,8 +336,13 @@ def _exactly_alike(rows: DataFrame, key_id: str, text: str, similarity: float, p
                 may &= ids[left][:, None] != ids[right][None, :]
                 if not may.any():
                     continue
-                left, right, may = left[may.any(1)], right[may.any(0)], may[may.any(1)][:, may.any(0)]
-                shared, before = _shared(left, right, row, code, early, len(here))
+                left, right, may, least = _narrowed(left, right, may, least)
+                keys = [r[5] for r in here]
+                may &= _at_most(left, right, keys, size) >= least
+                if not may.any():
+                    continue
+                left, right, may, least = _narrowed(left, right, may, least)
+                shared, before = _shared(left, right, keys, ranks.value, h)
                 i, j = np.nonzero(may & (before == 0) & (shared / (size[left][:, None] + size[right][None, :] - shared) >= similarity))
                 a, b, both = ids[left[i]], ids[right[j]], shared[i, j].astype(float)
                 if as_pairs:
@@ -339,29 +351,49 @@ def _exactly_alike(rows: DataFrame, key_id: str, text: str, similarity: float, p
                     one, n = np.unique(np.concatenate([a, b]), return_counts=True)
                     yield from zip(one.tolist(), [None] * len(one), n.astype(float).tolist())
 
-    filed = keys.select("id", "k").mapInArrow(prefixes, "id bigint, h int")
+    filed = keys.select("id", "k").mapInArrow(prefixes, "id bigint, h int, n int, rest int")
     filed = cut(filed)
     laid = _deal(filed, filed.count(), part)
-    return keys, _compared(laid.join(keys, "id").select("g", "side", "h", "id", "k"), compare)
+    return keys, _compared(laid.join(keys, "id").select("g", "side", "h", "id", "n", "rest", "k"), compare)
+
+
+def _narrowed(left: np.ndarray, right: np.ndarray, may: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Without rows and columns that may be alike to nothing."""
+    one, other = may.any(1), may.any(0)
+    return left[one], right[other], may[one][:, other], least[one][:, other]
+
+
+def _places(left: np.ndarray, right: np.ndarray, keys: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The keys of left and right, and where they are among these."""
+    used = np.union1d(left, right)
+    return [keys[i] for i in used.tolist()], np.searchsorted(used, left), np.searchsorted(used, right)
+
+
+def _at_most(left: np.ndarray, right: np.ndarray, keys: list[str], size: np.ndarray, bits: int = 1024) -> np.ndarray:
+    """An upper bound of what each of left has in common with each of right: bits that only one of two has stand for as many
+    grams that only it has."""
+    some, x, y = _places(left, right, keys)
+    row, code = _raw_codes(some)
+    held = np.zeros((len(some), bits), np.float32)
+    held[row, (code.astype(np.uint32) * np.uint32(2654435769)) >> np.uint32(32 - bits.bit_length() + 1)] = 1
+    n = held.sum(1)
+    return held[x] @ held[y].T + np.minimum((size[left] - n[x])[:, None], (size[right] - n[y])[None, :])
 
 
-def _shared(left: np.ndarray, right: np.ndarray, row: np.ndarray, code: np.ndarray, early: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many grams each of left has in common with each of right, and how many of these are early; by products of 0 and
-    1 over grams that two rows have, some thousand at a time."""
+def _shared(left: np.ndarray, right: np.ndarray, keys: list[str], ranks: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many grams each of left has in common with each of right, and how many of these are rarer than h; by products of
+    0 and 1 over grams that two rows have, some thousand at a time."""
+    some, x, y = _places(left, right, keys)
+    row, code = _codes(some)
     both, before = np.zeros((len(left), len(right)), np.float32), np.zeros((len(left), len(right)), np.float32)
-    used = np.zeros(rows, bool)
-    used[left] = used[right] = True
-    row, code, early = row[used[row]], code[used[row]], early[used[row]]
     names, at, n = np.unique(code, return_inverse=True, return_counts=True)
-    for total, some in ((both, (n > 1)[at]), (before, (n > 1)[at] & early)):
-        place = np.full(len(names), -1)
-        mine = np.unique(at[some])
-        place[mine] = np.arange(len(mine))
-        for low in range(0, len(mine), 4096):
-            now = some & (place[at] >= low) & (place[at] < low + 4096)
-            held = np.zeros((rows, min(4096, len(mine) - low)), np.float32)
+    for total, wanted in ((both, n > 1), (before, (n > 1) & (ranks[names] < h))):
+        place = np.cumsum(wanted) - 1
+        for low in range(0, int(wanted.sum()), 4096):
+            now = (wanted & (place >= low) & (place < low + 4096))[at]
+            held = np.zeros((len(some), 4096), np.float32)
             held[row[now], place[at[now]] - low] = 1
-            total += held[left] @ held[right].T
+            total += held[x] @ held[y].T
     return both, before
 
 

@@ -9,6 +9,10 @@ from docforge.functions.render import item_type
 from docforge.operators.columns import fresh
 
 
+#: Letters of a short line by which it finds its blocks.
+HEAD = 4
+
+
 def overlaps(a: str, b: str) -> Column:
     """Open rectangles that share a point."""
     return (F.col(f"{a}.x0") < F.col(f"{b}.x1")) & (F.col(f"{b}.x0") < F.col(f"{a}.x1")) & (F.col(f"{a}.y0") < F.col(f"{b}.y1")) & (F.col(f"{b}.y0") < F.col(f"{a}.y1"))
@@ -49,12 +53,24 @@ def page_items(lines: DataFrame, tables: DataFrame) -> DataFrame:
     return both.withColumn("item_no", F.row_number().over(Window.partitionBy("doc_id", "page_num").orderBy("y0", "block_no", "line_no")))
 
 
+def _joined(letters: Column, start: Column, n: Column) -> Column:
+    return F.array_join(F.slice(letters, start, n), "")
+
+
+def _heads(letters: Column) -> Column:
+    """Every run of one to HEAD letters of a text, given as its letters."""
+    at = F.sequence(F.lit(1), F.greatest(F.size(letters), F.lit(1)))
+    return F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(HEAD)), lambda n: _joined(letters, i, n))))
+
+
 def annotate(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     """Each block of text (headings and tables have none) with the runs of the line it contains that has most runs, if any
     of them is emphasised; the first of equal ones.
 
     A block that contains a line contains its inner words whole, so lines of three words or more meet the blocks of their
-    document that have their longest inner word; shorter lines are compared with every block of their document.
+    document that have their longest inner word. Shorter lines meet those that have their first four letters (all of a
+    line of fewer), which are looked up among the blocks' runs of one to four letters: work grows with the text. Only
+    documents with such lines are cut so.
     """
     text, key = F.trim(F.coalesce("text", F.lit(""))), "_word"
     emphasised = F.exists("runs", lambda r: r["bold"] | r["italic"])
@@ -66,7 +82,10 @@ def annotate(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     words = body.select("doc_id", "seq", "content", F.explode(F.array_distinct(F.split("content", r"\s+"))).alias(key))
     holds = F.contains("content", "_text")
     met = words.join(own.where(F.col(key).isNotNull()), ["doc_id", key]).where(holds).select("doc_id", "seq", "line_no", "runs")
-    short = body.join(own.where(F.col(key).isNull()), "doc_id").where(holds).select("doc_id", "seq", "line_no", "runs")
+    few = own.where(F.col(key).isNull()).withColumn(key, _joined(F.split("_text", ""), F.lit(1), F.lit(HEAD)))
+    cut = body.join(few.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("_letters", F.split("content", ""))
+    heads = cut.select("doc_id", "seq", "content", F.explode(F.array_distinct(_heads(F.col("_letters")))).alias(key))
+    short = heads.join(few, ["doc_id", key]).where(holds).select("doc_id", "seq", "line_no", "runs")
     best = met.unionByName(short).groupBy("doc_id", "seq").agg(F.max_by("runs", F.struct(F.size("runs"), -F.col("line_no"))).alias("runs"))
     return blocks.join(best, ["doc_id", "seq"], "left")
 
