@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docforge.functions import rules
+from docforge.functions.stages import STAGES, Stage, finished
 from docforge.functions.text import fragments, normalize_line, part_fused, redact, sentences, split_fused, strip
 from docforge.operators.columns import fresh
 from docforge.operators.dedup import keep_first
@@ -208,3 +209,11 @@ ORPHAN_NUMBER = r"^\d+[.)]?$"
 def drop_structure_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~x.rlike(STRUCTURE) & ~F.trim(x).rlike(ORPHAN_NUMBER)), "\n"))
 
+
+
+def finish_book(paragraphs: DataFrame, text: str = "text", stages: tuple[Stage, ...] = STAGES, custom: tuple[str, ...] = ()) -> DataFrame:
+    """Paragraphs that stay after all stages, in what is left of them. Each stage sees what the one before left; a paragraph
+    that is null or that a stage drops goes. No shuffle; every stage is settled before the next reads it."""
+    for stage in stages:
+        paragraphs = settled(paragraphs.withColumn(text, finished(F.col(text), stage, custom)), [text]).where(F.col(text).isNotNull())
+    return paragraphs

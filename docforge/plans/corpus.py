@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docforge.functions import render, rules
+from docforge.functions import render, rules, stages
 from docforge.functions import text as T
 from docforge.operators import assembly, dedup, models, sequence
 from docforge.operators import lines as L
@@ -76,6 +76,24 @@ def q05(spark, sf_dir):
     return out.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("text_md5"))
 
 
+#: Lines of documents with talk about making a book between them.
+TALKED = """CASE line_no % 9 WHEN 1 THEN 'Ready for next step: ' || line WHEN 2 THEN line || ' This is awesome. ' || line WHEN 3 THEN line || ' See here''s how it goes! Salt stays.'
+ WHEN 4 THEN 'Laminate it ' || line WHEN 5 THEN line || ' A  premium edition of it! Rice stays.' WHEN 6 THEN 'Professional toolkit ' || line WHEN 7 THEN '***'
+ WHEN 8 THEN line || ' Do you want more? Keep this.' ELSE line END"""
+
+
+@query(
+    "q93_finished_books",
+    f"WITH {LINES_SQL}, s0 AS (SELECT doc_id, line_no, {TALKED} AS text FROM lines), "
+    + ", ".join(f"s{i + 1} AS (SELECT doc_id, line_no, text FROM (SELECT doc_id, line_no, {stages.sql_finished('text', stage)} AS text FROM s{i}) WHERE text IS NOT NULL)" for i, stage in enumerate(stages.STAGES))
+    + " SELECT doc_id, line_no, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5 FROM s5",
+)
+def q93(spark, sf_dir):
+    """Every line of all documents as a paragraph, through the five stages by which a book is finished."""
+    said = lines(spark, sf_dir).select("doc_id", "line_no", F.expr(TALKED).alias("text"))
+    return L.finish_book(said).select("doc_id", "line_no", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("text_md5"))
+
+
 @query("q06_line_type_tagging", f"WITH {ENRICHED_SQL} SELECT lang, {rules.sql_tag_of('line')} AS tag, count(*) AS n FROM enriched WHERE trim(line) <> '' GROUP BY 1, 2")
 def q06(spark, sf_dir):
     """Tags of lines, by language."""
