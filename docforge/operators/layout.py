@@ -57,10 +57,9 @@ def _joined(letters: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(letters, start, n), "")
 
 
-def _heads(letters: Column) -> Column:
-    """Every run of one to HEAD letters of a text, given as its letters."""
-    at = F.sequence(F.lit(1), F.greatest(F.size(letters), F.lit(1)))
-    return F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(HEAD)), lambda n: _joined(letters, i, n))))
+def _heads(letters: Column, lengths: Column) -> Column:
+    """Every run of so many letters of a text, given as its letters."""
+    return F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(letters) - n + 1, F.lit(1))), lambda i: _joined(letters, i, n))))
 
 
 def annotate(blocks: DataFrame, lines: DataFrame) -> DataFrame:
@@ -69,8 +68,8 @@ def annotate(blocks: DataFrame, lines: DataFrame) -> DataFrame:
 
     A block that contains a line contains its inner words whole, so lines of three words or more meet the blocks of their
     document that have their longest inner word. Shorter lines meet those that have their first four letters (all of a
-    line of fewer), which are looked up among the blocks' runs of one to four letters: work grows with the text. Only
-    documents with such lines are cut so.
+    line of fewer), which are looked up among the blocks' runs of as many letters: work grows with the text. Only documents
+    with such lines are cut so.
     """
     text, key = F.trim(F.coalesce("text", F.lit(""))), "_word"
     emphasised = F.exists("runs", lambda r: r["bold"] | r["italic"])
@@ -83,8 +82,9 @@ def annotate(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     holds = F.contains("content", "_text")
     met = words.join(own.where(F.col(key).isNotNull()), ["doc_id", key]).where(holds).select("doc_id", "seq", "line_no", "runs")
     few = own.where(F.col(key).isNull()).withColumn(key, _joined(F.split("_text", ""), F.lit(1), F.lit(HEAD)))
-    cut = body.join(few.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("_letters", F.split("content", ""))
-    heads = cut.select("doc_id", "seq", "content", F.explode(F.array_distinct(_heads(F.col("_letters")))).alias(key))
+    lengths = few.groupBy("doc_id").agg(F.collect_set(F.length(key)).alias("_lengths"))
+    cut = body.join(lengths, "doc_id").withColumn("_letters", F.split("content", ""))
+    heads = cut.select("doc_id", "seq", "content", F.explode(F.array_distinct(_heads(F.col("_letters"), F.col("_lengths")))).alias(key))
     short = heads.join(few, ["doc_id", key]).where(holds).select("doc_id", "seq", "line_no", "runs")
     best = met.unionByName(short).groupBy("doc_id", "seq").agg(F.max_by("runs", F.struct(F.size("runs"), -F.col("line_no"))).alias("runs"))
     return blocks.join(best, ["doc_id", "seq"], "left")
