@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docforge.functions.render import heading_confidence
+from docforge.operators.columns import fresh
 from docforge.operators.layout import upper_median
 from docforge.operators.sequence import pack
 
 PREAMBLE = "Preamble"
+#: Page numbers of a cell, as a power of two.
+CELL = 8
 
 
 def body_size(spans: DataFrame, sample_pages: int = 20) -> DataFrame:
@@ -52,9 +55,16 @@ def pack_chapters(chapters: DataFrame, most: int) -> DataFrame:
 
 
 def chunk_of_page(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Each page with its chunk: chunks are spread over their pages first, so that the join is on equal keys."""
-    spread = chunks.select("doc_id", "chunk_index", F.explode(F.sequence("page_start", "page_end")).alias("page_num")).groupBy("doc_id", "page_num").agg(F.min("chunk_index").alias("chunk_index"))
-    return pages.join(spread, ["doc_id", "page_num"], "left")
+    """Each page with the first chunk that holds its number. Chunks are laid over cells of 2 ** CELL page numbers, so the join
+    is on equal keys and there is a row a cell, not a page number: long gaps between pages cost little. Sides that grow with
+    the input are sorted and merged, never broadcast: runs of numbers are few bytes in a shuffle and many on the driver."""
+    cell, held, p = fresh(pages, "_cell"), fresh(pages, "_held"), F.col("page_num").cast("bigint")
+    of = lambda c: F.shiftright(F.col(c).cast("bigint"), CELL)
+    laid = chunks.where("page_start <= page_end").select("doc_id", F.explode(F.sequence(of("page_start"), of("page_end"))).alias(cell), F.struct("chunk_index", "page_start", "page_end").alias("c"))
+    there = laid.groupBy("doc_id", cell).agg(F.collect_list("c").alias(held))
+    met = pages.withColumn(cell, of("page_num")).join(there.hint("merge"), ["doc_id", cell], "left")
+    mine = F.filter(held, lambda c: (c["page_start"] <= p) & (p <= c["page_end"]))
+    return met.withColumn("chunk_index", F.array_min(F.transform(mine, lambda c: c["chunk_index"]))).drop(cell, held)
 
 
 def continues_table(pages: DataFrame) -> DataFrame:
