@@ -78,23 +78,24 @@ def annotate(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     own = lines.where(emphasised).select("doc_id", "line_no", "runs", text.alias("_text")).where("_text <> ''").withColumn(key, longest)
     body = blocks.where(~F.upper(F.coalesce("tag", F.lit("")) if "tag" in blocks.columns else F.lit("")).isin("H1", "H2", "H3", "TABLE")).select("doc_id", "seq", "content")
-    words = body.select("doc_id", "seq", "content", F.explode(F.array_distinct(F.split("content", r"\s+"))).alias(key))
-    holds = F.contains("content", "_text")
-    met = words.join(own.where(F.col(key).isNotNull()), ["doc_id", key]).where(holds).select("doc_id", "seq", "line_no", "runs")
+    words = body.select("doc_id", "seq", F.explode(F.array_distinct(F.split("content", r"\s+"))).alias(key))
     few = own.where(F.col(key).isNull()).withColumn(key, _joined(F.split("_text", ""), F.lit(1), F.lit(HEAD)))
     lengths = few.groupBy("doc_id").agg(F.collect_set(F.length(key)).alias("_lengths"))
-    cut = body.join(lengths, "doc_id").withColumn("_letters", F.split("content", ""))
-    heads = cut.select("doc_id", "seq", "content", F.explode(F.array_distinct(_heads(F.col("_letters"), F.col("_lengths")))).alias(key))
-    short = heads.join(few, ["doc_id", key]).where(holds).select("doc_id", "seq", "line_no", "runs")
-    best = met.unionByName(short).groupBy("doc_id", "seq").agg(F.max_by("runs", F.struct(F.size("runs"), -F.col("line_no"))).alias("runs"))
-    return blocks.join(best, ["doc_id", "seq"], "left")
+    cut = body.join(lengths.hint("merge"), "doc_id").withColumn("_letters", F.split("content", ""))
+    heads = cut.select("doc_id", "seq", F.explode(F.array_distinct(_heads(F.col("_letters"), F.col("_lengths")))).alias(key))
+    # merged, never broadcast: what blocks and lines hold alike is few bytes in a file and many on the driver
+    told = lambda keys, some: keys.join(some.hint("merge"), ["doc_id", key]).select("doc_id", "seq", "line_no", "runs", "_text")
+    met = told(words, own.where(F.col(key).isNotNull())).unionByName(told(heads, few))
+    held = met.join(body.hint("merge"), ["doc_id", "seq"]).where(F.contains("content", "_text"))
+    best = held.groupBy("doc_id", "seq").agg(F.max_by("runs", F.struct(F.size("runs"), -F.col("line_no"))).alias("runs"))
+    return blocks.join(best.hint("merge"), ["doc_id", "seq"], "left")
 
 
 def match_tables(rewritten: DataFrame, originals: DataFrame, by: list[str]) -> DataFrame:
     """The original table of the same batch that each rewritten one is of: equal text first, then the most cells in common,
     then the first. One without cells is taken only where there is no other; without any original there is none (null)."""
     shared = F.size(F.array_intersect("r.cells", "o.cells"))
-    met = rewritten.alias("r").join(originals.alias("o"), [F.col(f"r.{k}") == F.col(f"o.{k}") for k in by], "left")
+    met = rewritten.alias("r").join(originals.alias("o").hint("merge"), [F.col(f"r.{k}") == F.col(f"o.{k}") for k in by], "left")
     best = F.max_by(F.col("o.table_no"), F.struct(F.col("r.text").eqNullSafe(F.col("o.text")), F.size("o.cells") > 0, shared, -F.col("o.table_no")))
     return met.groupBy(*[F.col(f"r.{k}").alias(k) for k in by], F.col("r.table_no").alias("table_no")).agg(best.alias("original_no"))
 

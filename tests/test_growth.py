@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docforge.operators import chapters
+from docforge.operators import chapters, layout
 
 
 def test_chunks_of_pages_far_apart(spark):
@@ -13,3 +13,14 @@ def test_chunks_of_pages_far_apart(spark):
     assert got == sorted([(1, 5, 2), (1, 10**15, 3), (1, -3, 1), (2, 7, 1), (2, 300, None), (3, 1, None), (1, 0, None)], key=str)
     plan = chapters.chunk_of_page(pages, chunks)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_lines_and_tables_are_not_broadcast(spark):
+    """A million rows that are alike are small in a file, so a plan would broadcast them, and large on the driver."""
+    n = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(1).alias("seq"), F.lit("body").alias("tag"), F.concat(F.lit("please take "), F.col("id").cast("string"), F.lit(" daily")).alias("content"))
+    run = lambda t: F.array(F.struct(F.lit(t).alias("text"), F.lit(True).alias("bold"), F.lit(False).alias("italic")))
+    said = n.select("doc_id", F.lit(1).alias("line_no"), F.lit("daily").alias("text"), run("daily").alias("runs")).unionByName(n.select("doc_id", F.lit(2).alias("line_no"), F.substring("content", 8, 100).alias("text"), run("take").alias("runs")))
+    tables = n.select("doc_id", F.lit(1).alias("table_no"), "content", F.lit("a").alias("text"), F.array("content").alias("cells")).drop("content")
+    for made in (layout.annotate(n, said), layout.match_tables(tables, tables, ["doc_id"])):
+        assert made.count() == 1000
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
