@@ -85,15 +85,17 @@ def safe_cuts(pages: DataFrame, cuts: DataFrame, starts: DataFrame) -> DataFrame
 
 
 def from_contents(entries: DataFrame, total: Column, least: int = 5, most: int = 300) -> DataFrame:
-    """Chapters of a table of contents: at least so many pages apart, long ones in even parts."""
+    """(doc_id, title, start_page, end_page, parts): chapters of a table of contents, at least so many pages apart, long ones in
+    so many even parts, a row each."""
     from docforge.operators.sequence import spaced
 
     kept = spaced(entries, ["doc_id"], "start_page", least)
     w = Window.partitionBy("doc_id").orderBy("start_page")
     ends = kept.withColumn("end_page", F.coalesce(F.lead("start_page").over(w) - 1, total)).withColumn("pages", F.col("end_page") - F.col("start_page") + 1)
-    parts = F.ceil(F.col("pages") / most).cast("int")
-    each = F.ceil(F.col("pages") / parts).cast("int")
-    return ends.select("doc_id", "title", F.explode(F.sequence(F.lit(0), parts - 1)).alias("k"), each.alias("each"), "start_page", "end_page").select("doc_id", "title", (F.col("start_page") + F.col("k") * F.col("each")).alias("start_page"), F.least(F.col("start_page") + (F.col("k") + 1) * F.col("each") - 1, F.col("end_page")).alias("end_page"))
+    # an entry behind the last page is one part of no pages; how many parts its pages come to is not above 0 there
+    parts = ends.withColumn("parts", F.ceil(F.col("pages") / most).cast("int")).withColumn("each", F.coalesce(F.ceil(F.try_divide("pages", "parts")).cast("int"), F.lit(0)))
+    each = parts.select("doc_id", "title", "parts", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts"), F.lit(1)) - 1)).alias("k"), "each", "start_page", "end_page")
+    return each.select("doc_id", "title", (F.col("start_page") + F.col("k") * F.col("each")).alias("start_page"), F.least(F.col("start_page") + (F.col("k") + 1) * F.col("each") - 1, F.col("end_page")).alias("end_page"), "parts")
 
 
 def equal_chapters(pages: DataFrame, share: int = 50, least: int = 5) -> DataFrame:

@@ -24,3 +24,11 @@ def test_lines_and_tables_are_not_broadcast(spark):
     for made in (layout.annotate(n, said), layout.match_tables(tables, tables, ["doc_id"])):
         assert made.count() == 1000
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contents_behind_the_last_page(spark):
+    """Entries behind the last page counted parts backwards, or divided by none."""
+    entries = spark.createDataFrame([(1, 10, "a"), (1, 1010, "b"), (2, 500, "c"), (3, 5000, "d"), (4, 1001, "e")], "doc_id int, start_page int, title string")
+    got = sorted((r.doc_id, r.title, r.start_page, r.end_page, r.parts) for r in chapters.from_contents(entries, F.lit(1000)).collect())
+    assert [g for g in got if g[1] == "a"] == [(1, "a", 10, 259, 4), (1, "a", 260, 509, 4), (1, "a", 510, 759, 4), (1, "a", 760, 1009, 4)]
+    assert [g for g in got if g[1] != "a"] == [(1, "b", 1010, 1000, 0), (2, "c", 500, 750, 2), (2, "c", 751, 1000, 2), (3, "d", 5000, 1000, -13), (4, "e", 1001, 1000, 0)]
