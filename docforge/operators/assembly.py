@@ -26,25 +26,34 @@ def raw_merge(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("status") == "COMPLETED").groupBy("doc_id").agg(ordered_text(F.col("chunk_index"), F.col("text"), "\n\n").alias("text"))
 
 
-def structured(chunks: DataFrame) -> DataFrame:
-    """(doc_id, section_order, section_type, title, text): front matter, body chunks as chapters, appendices, back matter.
+def numbered_sections(chunks: DataFrame) -> DataFrame:
+    """(doc_id, section_order, section_type, n, title, text): front matter, body chunks as chapters, appendices, back matter.
 
-    Chapters and appendices are numbered in chunk order among their own kind.
+    n: chapters and appendices are numbered in chunk order among their own kind. One scan gives both numbers, chapters first:
+    a chapter's place is its number, an appendix's less the chapters before it. The fixed sections' places are a count.
     """
+    at, chapters = fresh(chunks, "_at"), fresh(chunks, "_chapters")
     done = split_appendix(chunks.where(F.col("status") == "COMPLETED"))
-    kind = F.when(F.col("is_appendix"), "appendix").otherwise("chapter")
-    rows = numbered(done.withColumn("section_type", kind), ["doc_id", "section_type"], ["chunk_index"], "n").withColumn("n", F.col("n").cast("int"))
+    appendix = F.coalesce(F.col("is_appendix"), F.lit(False))
+    rows = done.withColumn("section_type", F.when(appendix, "appendix").otherwise("chapter")).withColumn("rank", appendix)
+    rows = scan(rows, ["doc_id"], ["rank", "chunk_index"], {at: Running(F.lit(1).cast("bigint")), chapters: Running((~F.col("rank")).cast("bigint"))})
+    rows = rows.withColumn("n", F.when(F.col("rank"), F.col(at) - F.col(chapters)).otherwise(F.col(at)).cast("int"))
     found = F.coalesce(render.heading_title(F.col("text")), F.concat(F.lit("Chapter "), F.col("n").cast("string")))
-    title = F.when(F.col("is_appendix"), F.concat(F.lit("Appendix "), letter(F.col("n")))).otherwise(found)
-    rows = rows.select("doc_id", F.when(F.col("is_appendix"), 3).otherwise(2).alias("rank"), "n", "section_type", title.alias("title"), render.upper_headings(F.col("text")).alias("text"))
-    docs = done.select("doc_id").distinct()
-    fixed = lambda rank, kind: docs.select("doc_id", F.lit(rank).alias("rank"), F.lit(1).alias("n"), F.lit(kind).alias("section_type"), F.initcap(F.lit(kind.replace("_", " "))).alias("title"), render.front_matter(F.lit(kind), F.lit(kind)).alias("text"))
-    return numbered(fixed(1, "front_matter").unionByName(rows).unionByName(fixed(4, "back_matter")), ["doc_id"], ["rank", "n"], "section_order").select("doc_id", "section_order", "section_type", "title", "text")
+    title = F.when(F.col("rank"), F.concat(F.lit("Appendix "), letter(F.col("n")))).otherwise(found)
+    rows = rows.select("doc_id", (F.col(at) + 1).alias("section_order"), "section_type", "n", title.alias("title"), render.upper_headings(F.col("text")).alias("text"))
+    docs = chunks.where(F.col("status") == "COMPLETED").groupBy("doc_id").agg(F.count("*").alias(at))
+    fixed = lambda at, kind: docs.select("doc_id", at.cast("bigint").alias("section_order"), F.lit(kind).alias("section_type"), F.lit(1).alias("n"), F.initcap(F.lit(kind.replace("_", " "))).alias("title"), render.front_matter(F.lit(kind), F.lit(kind)).alias("text"))
+    return fixed(F.lit(1), "front_matter").unionByName(rows).unionByName(fixed(F.col(at) + 2, "back_matter"))
+
+
+def structured(chunks: DataFrame) -> DataFrame:
+    """(doc_id, section_order, section_type, title, text): the numbered sections."""
+    return numbered_sections(chunks).drop("n")
 
 
 def publication(chunks: DataFrame) -> DataFrame:
     """The structured sections, chapters behind a banner with their number."""
-    rows = number(structured(chunks), ["doc_id"], ["section_order"], "chapter_no", F.col("section_type") == "chapter")
+    rows = numbered_sections(chunks).withColumn("chapter_no", F.when(F.col("section_type") == "chapter", F.col("n").cast("bigint"))).drop("n")
     return rows.withColumn("text", F.when(F.col("section_type") == "chapter", F.concat(render.chapter_banner(F.col("chapter_no"), F.col("title")), F.col("text"))).otherwise(F.col("text")))
 
 

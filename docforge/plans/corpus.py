@@ -279,8 +279,7 @@ def q46(spark, sf_dir):
     """Sections of a book for each source, with documents as chunks."""
     text = F.expr("CASE WHEN doc_id % 11 = 3 THEN 'Appendix ' || text WHEN doc_id % 5 = 0 THEN 'Chapter ' || CAST(doc_id % 9 + 1 AS STRING) || '\n' || text ELSE text END")
     chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_index"), text.alias("text"), F.when(F.col("doc_id") % 4 != 1, "COMPLETED").otherwise("PENDING").alias("status"))
-    rows = sequence.number(assembly.structured(chunks), ["doc_id", "section_type"], ["section_order"], "n")
-    return rows.select("doc_id", "section_type", F.col("n").cast("bigint").alias("n"), F.col("section_order").cast("bigint").alias("section_order"))
+    return assembly.numbered_sections(chunks).select("doc_id", "section_type", F.col("n").cast("bigint").alias("n"), F.col("section_order").cast("bigint").alias("section_order"))
 
 
 @query(

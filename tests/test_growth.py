@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docforge.operators import chapters, layout
+from docforge.operators import assembly, chapters, layout, scan
 from docforge.plans import catalogue
 
 
@@ -41,3 +41,23 @@ def test_a_sentence_that_begins_like_chat_is_no_form(spark, tmp_path):
     spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalogue.QUERIES["q60_line_predicates"](spark, str(tmp_path)).first()
     assert (got.rich_drops, got.pipe_rows, got.caps) == (2, 1, 2)
+
+
+def test_sections_of_a_large_book(spark):
+    """Chapters first, appendices behind them, each in chunk order, in a book that is cut into parts."""
+    chunks = spark.range(18_000).select(F.lit(1).alias("doc_id"), F.col("id").alias("chunk_index"), F.when(F.col("id") % 5 == 2, "Appendix x").when(F.col("id") % 7 == 1, F.lit(None)).otherwise("body").alias("text"), F.when(F.col("id") % 3 == 0, "PENDING").otherwise("COMPLETED").alias("status"))
+    made = assembly.structured(chunks)
+    got = [(r.section_order, r.section_type) for r in made.select("section_order", "section_type").orderBy("section_order").collect()]
+    appendices = sum(i % 3 != 0 and i % 5 == 2 for i in range(18_000))
+    kinds = ["front_matter", *["chapter"] * (12_000 - appendices), *["appendix"] * appendices, "back_matter"]
+    assert got == [*zip(range(1, 12_003), kinds)]
+    small = chunks.where("chunk_index < 30")
+    assert [r.title for r in assembly.structured(small).where("section_type = 'appendix'").orderBy("section_order").collect()] == ["Appendix A", "Appendix B", "Appendix C", "Appendix D"]
+
+
+def test_sections_need_one_look_for_large_groups(spark, monkeypatch):
+    """Three scans, each made anew by those behind it, broadcast a table each several times once a group was large."""
+    looks, real = [], scan.large_groups
+    monkeypatch.setattr(scan, "large_groups", lambda *a, **k: looks.append(1) or real(*a, **k))
+    chunks = spark.createDataFrame([(1, 1, "a", "COMPLETED"), (1, 2, "Appendix b", "COMPLETED")], "doc_id int, chunk_index int, text string, status string")
+    assert assembly.publication(chunks).count() == 4 and len(looks) == 1
