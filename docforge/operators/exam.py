@@ -45,16 +45,18 @@ def group_objective_questions(blocks: DataFrame, doc: str = "doc_id") -> DataFra
 
     Page chrome between is skipped. Only the texts before the first that is something else are looked at.
     """
+    # texts are judged before rows are shuffled and sorted, which then hold no text
     text = F.col("kind") == "text"
-    rows = sessionise(blocks, [doc], ["seq"], text & F.col("text").rlike(OBJECTIVE)).where("group_no > 0")
     head = text & F.col("text").rlike(OBJECTIVE)
-    form = F.when(head | (text & rules.is_page_chrome(F.col("text"))), "skip").when(~text, "image").when(F.col("text").rlike(SERIAL_AND_ID), "both").when(F.col("text").rlike(ID_AND_MARKS) | F.col("text").rlike(ID_ONLY), "id").when(F.col("text").rlike(SERIAL_ONLY), "serial").otherwise("other")
-    rows = rows.withColumn("form", form)
-    # rows of a section without "Objective Question" between are one group, of any size
-    rows = scan(rows, [doc, "group_no"], ["seq"], {"ended": Running(F.col("form").isin("other", "id", "both"), "max", before=True)}).withColumn("ended", F.coalesce("ended", F.lit(False)))
-    number = F.when(~F.col("ended"), F.when(F.col("form") == "both", F.regexp_extract("text", SERIAL_AND_ID, 2)).when(F.col("form") == "id", F.regexp_extract("text", r"^(\d{5,7})", 1)))
-    images = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "image", F.struct("seq", "xref")))), lambda x: x["xref"])
-    groups = rows.groupBy(doc, "group_no").agg(F.coalesce(F.max(number), F.lit("")).alias("q_id"), images.alias("images")).where(F.size("images") > 0)
+    form = F.when(head, "head").when(text & rules.is_page_chrome(F.col("text")), "skip").when(~text, "image").when(F.col("text").rlike(SERIAL_AND_ID), "both").when(F.col("text").rlike(ID_AND_MARKS) | F.col("text").rlike(ID_ONLY), "id").when(F.col("text").rlike(SERIAL_ONLY), "serial").otherwise("other")
+    ident = F.when(F.col("form") == "both", F.regexp_extract("text", SERIAL_AND_ID, 2)).when(F.col("form") == "id", F.regexp_extract("text", r"^(\d{5,7})", 1))
+    ends = F.col("form").isin("other", "id", "both")
+    judged = blocks.withColumn("form", form).select(doc, "seq", (F.col("form") == "head").alias("head"), F.when(ends, F.struct(ident.alias("id"))).alias("ends"), (F.col("kind") == "image").alias("image"), "xref")
+    rows = sessionise(judged, [doc], ["seq"], F.col("head")).where("group_no > 0")
+    # the first text that is more than chrome or a serial number says the id, or that there is none
+    number = F.min_by(F.col("ends.id"), F.when(F.col("ends").isNotNull(), F.col("seq")))
+    images = F.transform(F.array_sort(F.collect_list(F.when(F.col("image"), F.struct("seq", "xref")))), lambda x: x["xref"])
+    groups = rows.groupBy(doc, "group_no").agg(F.coalesce(number, F.lit("")).alias("q_id"), images.alias("images")).where(F.size("images") > 0)
     return groups.withColumn("q_num", F.row_number().over(Window.partitionBy(doc).orderBy("group_no")))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docforge.operators import assembly, chapters, layout, scan
+from docforge.operators import assembly, chapters, dedup, exam, layout, scan
 from docforge.plans import catalogue
 
 
@@ -61,3 +61,13 @@ def test_sections_need_one_look_for_large_groups(spark, monkeypatch):
     monkeypatch.setattr(scan, "large_groups", lambda *a, **k: looks.append(1) or real(*a, **k))
     chunks = spark.createDataFrame([(1, 1, "a", "COMPLETED"), (1, 2, "Appendix b", "COMPLETED")], "doc_id int, chunk_index int, text string, status string")
     assert assembly.publication(chunks).count() == 4 and len(looks) == 1
+
+
+def test_objective_questions_are_scanned_once(spark, monkeypatch):
+    """Rows were scanned by document and again by question, with their texts. An id is that of the first telling text."""
+    looks, real = [], scan.large_groups
+    monkeypatch.setattr(scan, "large_groups", lambda *a, **k: looks.append(1) or real(*a, **k))
+    blocks = [("text", "Objective Question"), ("text", "Page 3 of 9"), ("text", "12"), ("text", "1234567"), ("text", "7654321"), ("image", None), ("text", "Objective Question"), ("text", "words"), ("text", "7654321"), ("image", None), ("image", None)]
+    rows = spark.createDataFrame([(1, k, *b, 10 * k) for k, b in enumerate(blocks)], "doc_id int, seq int, kind string, text string, xref int")
+    got = [(r.q_num, r.q_id, list(r.images)) for r in exam.group_objective_questions(rows).orderBy("q_num").collect()]
+    assert got == [(1, "1234567", [50]), (2, "", [90, 100])] and len(looks) == 1
