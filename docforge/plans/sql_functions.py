@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ class ObjectiveQuestions:
     HEAD, CHROME, BOTH, MARKED, ALONE, SERIAL = (re.compile(p) for p in (exam.OBJECTIVE, rules.PAGE_CHROME, exam.SERIAL_AND_ID, exam.ID_AND_MARKS, exam.ID_ONLY, exam.SERIAL_ONLY))
 
     def __init__(self) -> None:
-        self.doc, self.n, self.is_open = None, 0, False
+        self.doc, self.n, self.is_open, self.at = None, 0, False, None
 
     def finished(self) -> Iterator[tuple]:
         if self.is_open and self.images:
@@ -43,16 +44,19 @@ class ObjectiveQuestions:
             yield self.doc, self.n, self.ident, self.images
 
     def eval(self, row) -> Iterator[tuple]:
-        self.doc, text = row["doc_id"], row["text"] or ""
-        if row["kind"] == "text" and self.HEAD.search(text):
+        if self.at is None:  # a look for a name in every row costs more than all else
+            self.at = itemgetter(*map(list(row.__fields__).index, ("doc_id", "kind", "text", "xref")))
+        self.doc, kind, text, xref = self.at(row)
+        text = text or ""
+        if kind == "text" and self.HEAD.search(text):
             yield from self.finished()
             self.is_open, self.ended, self.ident, self.images = True, False, "", []
         elif not self.is_open:
             return
-        elif row["kind"] == "image":
-            if row["xref"] is not None:
-                self.images.append(row["xref"])
-        elif row["kind"] == "text" and not self.ended and not self.CHROME.search(text):
+        elif kind == "image":
+            if xref is not None:
+                self.images.append(xref)
+        elif kind == "text" and not self.ended and not self.CHROME.search(text):
             both, ident = self.BOTH.search(text), self.MARKED.search(text) or self.ALONE.search(text)
             if both or ident:
                 self.ident = both.group(2) if both else ident.group(1)

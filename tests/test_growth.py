@@ -1,9 +1,10 @@
 """Steps whose work or memory once grew faster than their input, or whose rows differed from SQL on larger tables."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from docforge.operators import assembly, chapters, dedup, exam, layout, scan
-from docforge.plans import catalogue
+from docforge.plans import catalogue, sql_functions
 
 
 def test_chunks_of_pages_far_apart(spark):
@@ -71,3 +72,18 @@ def test_objective_questions_are_scanned_once(spark, monkeypatch):
     rows = spark.createDataFrame([(1, k, *b, 10 * k) for k, b in enumerate(blocks)], "doc_id int, seq int, kind string, text string, xref int")
     got = [(r.q_num, r.q_id, list(r.images)) for r in exam.group_objective_questions(rows).orderBy("q_num").collect()]
     assert got == [(1, "1234567", [50]), (2, "", [90, 100])] and len(looks) == 1
+
+
+def test_rows_of_a_table_function_are_read_by_place():
+    """Looking for a column's name in every row was much of a block's time."""
+
+    class Places(Row):
+        def __getitem__(self, at):
+            assert not isinstance(at, str)
+            return super().__getitem__(at)
+
+    made = sql_functions.ObjectiveQuestions()
+    row = Places(doc_id=1, seq=1, kind="text", text=None, xref=None)
+    blocks = [("text", "Objective Question", None), ("text", "12 1234567", None), ("image", "", 7)]
+    rows = [Places(doc_id=1, seq=k, kind=a, text=b, xref=c) for k, (a, b, c) in enumerate(blocks)]
+    assert [x for r in [row, *rows] for x in made.eval(r)] == [] and [*made.terminate()] == [(1, 1, "1234567", [7])]
