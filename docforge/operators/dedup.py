@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from docforge.operators.lineage import cut
 from docforge.operators.sequence import in_turn
 
 WINDOW, SIMILARITY, SHORTEST = 120, 0.60, 8
+#: What a paragraph key leaves out of a lower-case text.
+OTHER = re.compile(r"[^a-z0-9]+")
 #: Buckets whose sizes are broadcast, at most.
 HOT = 4096
 #: Different 4-grams of digits and small letters.
@@ -81,13 +84,15 @@ def greedy_step(window: int = WINDOW, similarity: float = SIMILARITY) -> Callabl
 
     def stays(text: str | None) -> bool:
         nonlocal kept
-        key = "".join(c for c in (text or "").lower() if "a" <= c <= "z" or "0" <= c <= "9")
+        key = OTHER.sub("", (text or "").lower())
         if len(key) < SHORTEST:
             return True
-        own = {key[i : i + 4] for i in range(len(key) - 3)}
         digest = int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little")
-        shared = Counter(k for g in own for k in reversed(holders.get(g, ())) if k in sizes)
-        if digest in known or any(n >= similarity * (len(own) + sizes[k] - n) for k, n in shared.items()):
+        if digest in known:
+            return False
+        own = {key[i : i + 4] for i in range(len(key) - 3)}
+        shared = Counter(chain.from_iterable(map(holders.get, own, repeat(()))))
+        if any(k in sizes and n >= similarity * (len(own) + sizes[k] - n) for k, n in shared.items()):
             return False
         known.add(digest)
         for g in own:

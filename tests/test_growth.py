@@ -87,3 +87,12 @@ def test_rows_of_a_table_function_are_read_by_place():
     blocks = [("text", "Objective Question", None), ("text", "12 1234567", None), ("image", "", 7)]
     rows = [Places(doc_id=1, seq=k, kind=a, text=b, xref=c) for k, (a, b, c) in enumerate(blocks)]
     assert [x for r in [row, *rows] for x in made.eval(r)] == [] and [*made.terminate()] == [(1, 1, "1234567", [7])]
+
+
+def test_equal_paragraphs_are_told_by_their_digest(monkeypatch):
+    """Every paragraph was cut into grams, and all that each shares was counted, before its equal was looked for."""
+    counted, real = [], dedup.Counter
+    monkeypatch.setattr(dedup, "Counter", lambda *a: counted.append(1) or real(*a))
+    step = dedup.greedy_step()
+    assert [step(t) for t in ("One paragraph of some words.", "one PARAGRAPH, of some words", "Another that is unlike it", None)] == [True, False, True, True]
+    assert len(counted) == 2
