@@ -145,9 +145,10 @@ def _grams_of(key: str) -> np.ndarray:
 
 
 def band_hashes(key: Column, bands: int, per_band: int) -> Column:
-    """array<bigint>: of each band the hash of per_band minima over a paragraph key's grams (four characters at least)."""
+    """array<int>: of each band the hash of per_band minima over a paragraph key's grams (four characters at least). Thirty-two
+    bits: every block carries them beside each text, and keys that only share a hash are compared as any others."""
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rng = np.random.default_rng(17)
         by, plus = (rng.integers(0, 1 << 63, bands * per_band, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -161,7 +162,7 @@ def band_hashes(key: Column, bands: int, per_band: int) -> Column:
                 h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 np.minimum(least, (h ^ (h >> np.uint64(32))).min(0), out=least)
             mixed = ((least.reshape(bands, per_band) ^ band) * by.reshape(bands, per_band)).sum(1, dtype=np.uint64)
-            return (mixed ^ (mixed >> np.uint64(31))).view(np.int64)
+            return (mixed ^ (mixed >> np.uint64(31))).astype(np.uint32).view(np.int32)
 
         for batch in batches:
             yield batch.map(one)

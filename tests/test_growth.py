@@ -96,3 +96,10 @@ def test_equal_paragraphs_are_told_by_their_digest(monkeypatch):
     step = dedup.greedy_step()
     assert [step(t) for t in ("One paragraph of some words.", "one PARAGRAPH, of some words", "Another that is unlike it", None)] == [True, False, True, True]
     assert len(counted) == 2
+
+
+def test_bands_are_half_as_wide(spark):
+    """Blocks carry a text's bands beside it, once a band: they were 64 bits each."""
+    rows = spark.createDataFrame([(1, "one paragraph of some words"), (2, "one paragraph of some words more")], "id long, t string")
+    assert dict(dedup._keys(rows, "id", "t", 40, 4).dtypes)["hs"] == "array<int>"
+    assert [(r.a, r.b) for r in dedup.near_pairs(rows, "id", "t").collect()] == [(1, 2)]
