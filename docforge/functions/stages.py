@@ -6,13 +6,21 @@ of single books are left out; pass them as ``custom``.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}]"
-BLANKS = r"[\s\x{A0}]+"
+from docforge.functions.rules import factored
+
+BREAK = r"[\n\r\x0B\f\x1C\x1D\x1E\x85\x{2028}\x{2029}](?:(?<=\r)\n)?"
+NO_BREAK, BLANKS = "\u00a0", " \t\n\x0b\f\r\u00a0"
+#: Blanks that aren't one space already, and breaks that are no blanks.
+UNEVEN = r"[ \t\n\x0B\f\r\x{A0}](?:[ \t\n\x0B\f\r\x{A0}]+|(?<! ))"
+#: What a pattern holds that looks beyond what it matches, words' edges aside.
+EDGED = re.compile(r"\^|\$|\(\?|\\[ABGZz]")
+ODD_BREAK = r"[\x1C-\x1E\x85\x{2028}\x{2029}]"
 STARS = r"\x{2B50}+"
 EMOJI = r"[\x{2B50}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]+"
 
@@ -120,22 +128,38 @@ def either(patterns: tuple[str, ...]) -> str:
 
 
 def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, BLANKS, " "))
+    return F.trim(F.regexp_replace(text, UNEVEN, " "))
 
 
 def finished(text: Column, stage: Stage, custom: tuple[str, ...] = ()) -> Column:
     """A paragraph after a stage: its sentences that stay, a line each; null if all of it goes or it is null. A paragraph of
-    which no sentence stays is empty; a blank one stays empty, or goes in a stage that names odd paragraphs."""
+    which no sentence stays is empty; a blank one stays empty, or goes in a stage that names odd paragraphs.
+
+    A pattern of the paragraph's own table is looked for in its lines and sentences only where they may read unlike the
+    paragraph: where characters are erased, a line between may go, or a break is no blank.
+    """
     whole = squeezed(text)
-    goes = (whole != "") & whole.rlike(either((*stage.paragraphs, *custom)))
+    goes = (whole != "") & whole.rlike(factored((*stage.paragraphs, *custom)))
     if stage.odd:
         goes = goes | (whole == "") | F.trim(text).rlike(stage.odd)
-    lines = F.transform(F.split(F.regexp_replace(text, stage.erased, "") if stage.erased else text, BREAK), lambda x: F.regexp_replace(x, rf"^{BLANKS}|{BLANKS}$", ""))
-    if stage.lines:
-        lines = F.filter(lines, lambda x: (x == "") | ~x.rlike(either(stage.lines)))
-    parts = F.transform(F.split(F.array_join(lines, "\n"), r"(?<=[.!?])\s+"), squeezed)
-    stay = F.filter(parts, lambda x: (x != "") & ~x.rlike(either((*stage.sentences, *custom))))
-    return F.when(~goes, F.array_join(stay, "\n"))
+    seen = {p for p in (*stage.paragraphs, *custom) if not EDGED.search(p)}
+    own = tuple(p for p in stage.lines if p not in seen)
+    unlike = "|".join([ODD_BREAK, *[stage.erased] * bool(stage.erased), *(p.removeprefix("^").removesuffix("$") for p in own)])
+
+    def stay(lines_of: tuple[str, ...], sentences_of: tuple[str, ...]) -> Column:
+        lines = F.transform(F.split(F.regexp_replace(text, stage.erased, "") if stage.erased else text, BREAK), lambda x: F.btrim(x, F.lit(BLANKS)))
+        if lines_of:
+            lines = F.filter(lines, lambda x: (x == "") | ~x.rlike(factored(lines_of)))
+        even = F.regexp_replace(F.array_join(lines, "\n"), UNEVEN.replace(r"\x{A0}", ""), " ")
+        parts = F.transform(F.split(even, "(?= )(?<=[.!?]) "), lambda x: F.when(F.contains(x, F.lit(NO_BREAK)), squeezed(x)).otherwise(F.trim(x)))
+        return F.array_join(F.filter(parts, lambda x: (x != "") & ~x.rlike(factored(sentences_of)) if sentences_of else x != ""), "\n")
+
+    every = (*stage.sentences, *custom)
+    new = tuple(p for p in every if p not in seen)
+    kept = stay(stage.lines, every)
+    if len(new) < len(every):
+        kept = F.when(text.rlike("(?i)" + unlike), kept).otherwise(stay((), new))
+    return F.when(~goes, kept)
 
 
 def sql_finished(text: str, stage: Stage) -> str:

@@ -3,7 +3,8 @@
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from docforge.operators import assembly, chapters, dedup, exam, layout, scan
+from docforge.functions import rules, stages
+from docforge.operators import assembly, chapters, dedup, exam, layout, lines, scan
 from docforge.plans import catalogue, sql_functions
 
 
@@ -103,3 +104,14 @@ def test_bands_are_half_as_wide(spark):
     rows = spark.createDataFrame([(1, "one paragraph of some words"), (2, "one paragraph of some words more")], "id long, t string")
     assert dict(dedup._keys(rows, "id", "t", 40, 4).dtypes)["hs"] == "array<int>"
     assert [(r.a, r.b) for r in dedup.near_pairs(rows, "id", "t").collect()] == [(1, 2)]
+
+
+def test_patterns_share_their_beginnings(spark):
+    patterns = ("now we begin", r"now we move\s+on", r"\bnext\b", r"^lay it out$", r"copy.*paste", "tea|rice", r"let'?s\s+go", r"(?:a|b)c", r"\[PAGE")
+    texts = ["know we begin", "NOW WE MOVE  on", "nextly", "next", "lay it out", "so lay it out", "copy and paste", "rice", "lets go", "let's  go", "bc", "[page 2", "now we go", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    same = df.select(df.t.rlike(rules.factored(patterns)).alias("a"), df.t.rlike(stages.either(patterns)).alias("b")).collect()
+    assert [r.a for r in same] == [r.b for r in same] and 0 < sum(r.a for r in same) < len(texts)
+    # each paragraph of a book is asked for a stage's words once, not for one pattern after the other at every letter
+    plan = lines.finish_book(df.withColumnRenamed("t", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "would you like|if you want" not in plan and "let'?s make|let'?s now" not in plan
