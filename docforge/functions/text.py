@@ -42,8 +42,17 @@ def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"[ \t]{2,}", " "))
 
 
+#: What a line holds that normalize_line may change: characters it knows (and their neighbours), blanks, digits in a row.
+UNEVEN_LINE = r"[\t-\r@\x{A0}\x{2000}-\x{2BFF}\x{FE0F}\x{FFFD}\x{FFFE}\x{1F300}-\x{1FAFF}]|  |^ | $|[0-9][0-9\s\-]{7}"
+
+
 def normalize_line(line: Column) -> Column:
-    """Plain quotes, dashes and spaces, digits for keycaps, no emoji, one kind of bullet, no personal data, single blanks."""
+    """Plain quotes, dashes and spaces, digits for keycaps, no emoji, one kind of bullet, no personal data, single blanks.
+    Most lines hold nothing of that, which one look at them says."""
+    return F.when(line.rlike(UNEVEN_LINE), _normal(line)).otherwise(line)
+
+
+def _normal(line: Column) -> Column:
     out = F.translate(line, "".join(FOLDED) + GONE, "".join(FOLDED.values()))
     out = F.regexp_replace(F.regexp_replace(out, r"([1-9])\x{20E3}", "$1."), r"\x{1F51F}", "10.")
     out = F.regexp_replace(F.regexp_replace(out, EMOJI, ""), r"(?=[^\x00-\x7F])" + BULLETS, "-")
@@ -76,6 +85,7 @@ def sql_normalize_line(e: str) -> str:
 
 # Where words that were printed together are parted.
 FUSIONS = [r"([a-z])([A-Z])", r"([0-9])([A-Za-z])", r"([a-z])([0-9])"]
+FUSED = "[a-z][A-Z0-9]|[0-9,][A-Za-z]"
 
 
 def part_fused(text: Column) -> Column:
@@ -86,8 +96,8 @@ def part_fused(text: Column) -> Column:
 
 
 def split_fused(text: Column) -> Column:
-    """The same, and blanks behind commas."""
-    return F.regexp_replace(part_fused(text), ",([A-Za-z])", ", $1")
+    """The same, and blanks behind commas. Texts without such a place are left as they are after one look."""
+    return F.when(text.rlike(FUSED), F.regexp_replace(part_fused(text), ",([A-Za-z])", ", $1")).otherwise(text)
 
 
 def sql_split_fused(e: str) -> str:

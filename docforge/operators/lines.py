@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docforge.functions import rules
@@ -13,6 +13,7 @@ from docforge.functions.stages import STAGES, Stage, finished
 from docforge.functions.text import fragments, normalize_line, part_fused, redact, sentences, split_fused, strip
 from docforge.operators.columns import fresh
 from docforge.operators.dedup import keep_first
+from docforge.operators.lineage import cut
 from docforge.operators.sequence import join_continuations
 from docforge.sources.sinks import ordered_text
 
@@ -48,7 +49,11 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def column_table_sql(block: Column, rows: int = 3, gap: int = 4) -> Column:
+#: Lines of the least column table, and blanks between its columns.
+ROWS, GAP = 3, 4
+
+
+def column_table_sql(block: Column, rows: int = ROWS, gap: int = GAP) -> Column:
     """The block with bars between columns that all its lines leave blank for gap characters, or null. JVM functions only.
 
     A line is a number of as many bits as it has characters, sixty to a number, set where it isn't blank; the bits of all
@@ -82,7 +87,7 @@ def column_table_sql(block: Column, rows: int = 3, gap: int = 4) -> Column:
     return _let(F.filter(F.split(block, "\n"), lambda x: F.trim(x) != ""), rebuilt)
 
 
-def column_table(lines: list[str], rows: int = 3, gap: int = 4, unique_header: bool = False) -> str | None:
+def column_table(lines: list[str], rows: int = ROWS, gap: int = GAP, unique_header: bool = False) -> str | None:
     """The same of a list of lines in Python; unique_header also drops rows like the first, after which rows must remain."""
     if len(lines) < rows:
         return None
@@ -105,19 +110,21 @@ def column_table(lines: list[str], rows: int = 3, gap: int = 4, unique_header: b
 
 
 def column_tables(block: Column, unique_header: bool = True) -> Column:
-    """column_table of a column of blocks, in Arrow batches: wide blocks cost more as nested array functions."""
+    """column_table of a column of blocks, in Arrow batches: wide blocks cost more as nested array functions. Blocks of too
+    few lines, or without so many blanks in a row as part columns, stay in the JVM."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(lambda b: None if b is None else column_table([x for x in b.split("\n") if x.strip()], unique_header=unique_header))
 
-    return run(block)
+    wide = F.contains(block, F.lit(" " * GAP)) & (F.length(block) - F.length(F.replace(block, F.lit("\n"))) >= ROWS - 1)
+    return run(F.when(wide, block))
 
 
 def header_key(line: Column) -> Column:
     """A line as table headers are told apart: lower case, no bars, single blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\|", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.replace(F.lower(line), F.lit("|")), r"[ \t\n\x0B\f\r](?:\s+|(?<! ))", " "))
 
 
 def clean_pages_with_structure(pages: DataFrame, doc: str = "doc_id", page: str = "page_num", text: str = "text") -> DataFrame:
@@ -129,19 +136,27 @@ def clean_pages_with_structure(pages: DataFrame, doc: str = "doc_id", page: str
     and blocks that have become column tables are rebuilt. Lines of a page meet again in one row, pages of a document never do.
     """
     blocks = F.filter(F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), r"\n(?:[ \t]*\n)+"), lambda b: F.trim(b) != "")
-    rows = pages.select(doc, page, F.posexplode_outer(blocks).alias("block_no", "block"))
+    # dealt by page once, as raw text: all that is grouped by page below lies there already
+    rows = pages.repartition(doc, page).select(doc, page, F.posexplode_outer(blocks).alias("block_no", "block"))
     rows = rows.withColumn("made", column_tables(F.col("block")))
     first = header_key(F.regexp_extract("block", r"^\s*([^\n]*)", 1))
     lined = rows.select(doc, page, "block_no", F.posexplode_outer(F.split(F.coalesce("made", "block"), "\n")).alias("line_no", "raw"), F.when(F.col("made").isNotNull(), first).alias("start"))
     lined = lined.withColumn("norm", normalize_line(F.col("raw"))).withColumn("low", F.lower(F.trim("norm")))
     judged = settled(lined.withColumn("rule", rules.rule_of(F.col("norm"), None, F.col("low"))), ["norm", "rule"])
-    kept = judged.where(F.col("raw").isNull() | (F.col("norm") == "") | F.col("rule").isNull())
-    kept = kept.withColumn("line", split_fused(F.col("norm"))).withColumn("key", header_key(F.col("line")))
-    kept = kept.withColumn("known", F.coalesce(rules.is_table_header(F.col("line")), F.lit(False))).withColumn("at", F.col("block_no") * F.lit(1 << 20) + F.col("line_no"))
-    starts = rows.where("made IS NOT NULL").select(doc, F.col(page).alias("first_page"), first.alias("key")).groupBy(doc, "key").agg(F.min("first_page").alias("first_page"))
-    kept = drop_repeated_headers(kept, starts, doc, page, "at", "key", F.col("known"))
-    of_page = F.transform(F.array_sort(F.collect_list(F.struct("block_no", "line_no", F.coalesce("line", F.lit("")).alias("line")))), lambda x: x)
-    listed = kept.groupBy(doc, page).agg(of_page.alias("xs"))
+    stays = F.col("raw").isNull() | (F.col("norm") == "") | F.col("rule").isNull()
+    of_page = F.collect_list(F.when(stays, F.struct("block_no", "line_no", split_fused(F.col("norm")).alias("line"))))
+    # lines are judged once; headers are looked for in what is left of them, and only keys' digests are shuffled for that
+    listed = cut(judged.groupBy(doc, page).agg(F.array_sort(of_page).alias("xs"), F.collect_set("start").alias("starts")))
+    at = lambda x: x["block_no"] * F.lit(1 << 20) + x["line_no"]
+    lines = listed.select(doc, page, F.explode("xs").alias("x")).select(doc, page, at(F.col("x")).alias("at"), F.col("x.line").alias("line"), header_key(F.col("x.line")).alias("key"))
+    digest = F.when(F.col("key") == "", "").otherwise(F.md5("key")).alias("key")
+    keyed = lines.select(doc, page, "at", digest, F.coalesce(rules.is_table_header(F.col("line")), F.lit(False)).alias("known"))
+    keyed = settled(keyed, ["key", "known"])
+    starts = listed.select(doc, F.col(page).alias("first_page"), F.explode("starts").alias("key")).groupBy(doc, digest).agg(F.min("first_page").alias("first_page"))
+    late = repeated_headers(keyed, starts, doc, page, "at", "key", F.col("known")).groupBy(doc, page).agg(F.collect_list("at").alias("late"))
+    left = F.when(F.col("late").isNull(), F.col("xs")).otherwise(F.filter("xs", lambda x: ~F.array_contains("late", at(x))))
+    left = F.transform(left, lambda x: F.struct(x["block_no"].alias("block_no"), F.coalesce(x["line"], F.lit("")).alias("line")))
+    listed = settled(listed.join(late, [doc, page], "left").select(doc, page, left.alias("xs")), ["xs"]).where(F.size("xs") > 0)
     # a blank line between blocks, as on the page
     spaced = F.flatten(F.transform(F.sequence(F.lit(0), F.size("xs") - 1), lambda i: F.when((i > 0) & (F.get("xs", i)["block_no"] != F.get("xs", i - 1)["block_no"]), F.array(F.lit(""), F.get("xs", i)["line"])).otherwise(F.array(F.get("xs", i)["line"]))))
     joined = F.regexp_replace(F.array_join(join_continuations(spaced), "\n"), r"\n{3,}", "\n\n")
@@ -149,23 +164,37 @@ def clean_pages_with_structure(pages: DataFrame, doc: str = "doc_id", page: str
     one_line = strip(F.regexp_replace("p", r"\s*\n\s*", " "))
     paragraphs = paragraphs.withColumn("flat", one_line).withColumn("heading", rules.is_heading(F.col("flat")))
     heading_key = F.when(F.col("heading") & (F.length("flat") < 120), F.lower(F.regexp_replace("flat", r"\s+", " ")))
-    paragraphs = keep_first(paragraphs.withColumn("heading_key", heading_key), [doc, page, "heading_key"], [doc, page, "n"], F.col("heading_key").isNull())
+    # within a page, which is one row's lines: no key of all pages, and no shuffle
+    again = F.row_number().over(Window.partitionBy(doc, page, "heading_key").orderBy("n"))
+    paragraphs = paragraphs.withColumn("heading_key", heading_key).withColumn("again", again).where("again = 1 OR heading_key IS NULL")
     fine = (F.col("flat") != "") & ~F.col("flat").rlike(rules.CASE_HEADER) & rules.keeps_block(F.col("flat"))
     rebuilt = F.coalesce(column_tables(F.col("p")), F.col("p"))
     done = paragraphs.where(fine).select(doc, page, "n", rebuilt.alias("p")).groupBy(doc, page).agg(ordered_text(F.col("n"), F.col("p"), "\n\n").alias("t"))
     return pages.drop(text).join(done, [doc, page], "left").withColumn(text, F.coalesce("t", F.lit(""))).drop("t")
 
 
-def drop_repeated_headers(rows: DataFrame, starts: DataFrame, doc: str, page: str, order: str, key: str, known: Column) -> DataFrame:
-    """Rows but those that repeat a header: a known header is seen at once, the first row of a table (starts: doc, key,
-    first_page) from the next page on."""
+def met_headers(rows: DataFrame, starts: DataFrame, doc: str, page: str, order: str, key: str, known: Column, how: str) -> tuple[DataFrame, Column]:
+    """(rows with the headers that their keys meet, whether a row repeats one)."""
     mark, met = fresh(rows, "_header"), fresh(rows, "_met")
     # blank lines, the commonest of all, meet no header: each gets a key that none has, so that they are no hot group
     heads = rows.withColumn(mark, known).withColumn(met, F.when(F.col(key) == "", F.concat(F.lit("\n"), F.xxhash64(page, order).cast("string"))).otherwise(F.col(key)))
     seen = keep_first(heads.where(F.col(mark)), [doc, key], [page, order]).select(doc, F.col(key).alias(met), F.struct(page, order).alias("_first"))
-    joined = heads.join(seen, [doc, met], "left").join(starts.withColumnRenamed(key, met), [doc, met], "left")
+    both = seen.join(starts.withColumnRenamed(key, met), [doc, met], "full")
     late = F.coalesce(F.struct(F.col(page), F.col(order)) > F.col("_first"), F.lit(False)) | F.coalesce(F.col(page) > F.col("first_page"), F.lit(False))
-    return joined.where(~late | (F.col(key) == "")).drop(mark, met, "_first", "first_page")
+    return heads.join(both, [doc, met], how).drop(mark, met), late & (F.col(key) != "")
+
+
+def drop_repeated_headers(rows: DataFrame, starts: DataFrame, doc: str, page: str, order: str, key: str, known: Column) -> DataFrame:
+    """Rows but those that repeat a header: a known header is seen at once, the first row of a table (starts: doc, key,
+    first_page) from the next page on."""
+    met, late = met_headers(rows, starts, doc, page, order, key, known, "left")
+    return met.where(~late | (F.col(key) == "")).drop("_first", "first_page")
+
+
+def repeated_headers(rows: DataFrame, starts: DataFrame, doc: str, page: str, order: str, key: str, known: Column) -> DataFrame:
+    """The rows that drop_repeated_headers drops."""
+    met, late = met_headers(rows, starts, doc, page, order, key, known, "inner")
+    return met.where(late).drop("_first", "first_page")
 
 
 def drop_artifacts(docs: DataFrame, generation: int, text: str = "text", first_part: Column | None = None) -> DataFrame:

@@ -213,7 +213,7 @@ def join_continuations(lines: Column, most: int = 400) -> Column:
 
     def joins(before: Column, line: Column) -> Column:
         fits = F.length(before) + 1 + F.length(line) <= most
-        return fits & ~before.rlike(r"[.!?;:]\s*$") & line.rlike(r'^[a-z0-9(\["]') & ~rules.is_heading(before) & ~rules.is_heading(line) & ~line.rlike(rules.LIST_ITEM)
+        return fits & line.rlike(r'^[a-z0-9(\["]') & ~before.rlike(r"[.!?;:]\s*$") & ~rules.is_heading(before) & ~rules.is_heading(line) & ~line.rlike(rules.LIST_ITEM)
 
     def step(out: Column, line: Column) -> Column:
         last = F.get(out, F.size(out) - 1)

@@ -115,3 +115,17 @@ def test_patterns_share_their_beginnings(spark):
     # each paragraph of a book is asked for a stage's words once, not for one pattern after the other at every letter
     plan = lines.finish_book(df.withColumnRenamed("t", "text"))._jdf.queryExecution().optimizedPlan().toString()
     assert "would you like|if you want" not in plan and "let'?s make|let'?s now" not in plan
+
+
+def test_lines_of_pages_are_normalised_once(spark, monkeypatch):
+    seen, plain = spark.sparkContext.accumulator(0), lines.normalize_line
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    monkeypatch.setattr(lines, "normalize_line", lambda c: plain(counted(c)))
+    pages = spark.createDataFrame([("d", i, f"Tea is fine today {i}.\n\nSalt\nRice and more of it.") for i in range(20)], "doc_id string, page_num int, text string")
+    lines.clean_pages_with_structure(pages).write.format("noop").mode("overwrite").save()
+    assert seen.value == 20 * 3
