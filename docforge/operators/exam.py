@@ -11,8 +11,10 @@ from docforge.functions.text import normalize_text, strip, strip_script
 from docforge.operators import lineage
 from docforge.operators.columns import fresh
 from docforge.operators.dedup import keep_first
-from docforge.operators.scan import Running, scan
-from docforge.operators.sequence import numbered, sessionise
+from docforge.operators.lines import settled
+from docforge.operators.scan import Running, large_groups, scan
+from docforge.operators.sequence import sessionise
+from docforge.sources.tables import spread
 
 # How question and option tags are printed.
 QUESTION_HEADER = r"(?i)Question\s+Number\s*:\s*(\d+)"
@@ -72,28 +74,34 @@ def split_questions(spans: DataFrame, doc: str = "doc_id", text: str = "text", s
 
     A document's blocks are never joined to one text: tags cut each block, what is behind a tag is a piece, and how many
     question and option tags came before (scans over parts of a document) say to which stem and options a piece belongs.
+    Blocks are dealt over all cores before they are read, once; pieces are asked for large documents once, for all scans.
     """
+    spans = spread(spans)
     rows = spans.select(
         F.col(doc).alias("d"), (F.col(seq) if seq in spans.columns else F.lit(0)).cast("bigint").alias("seq"),
         (F.col(kind) == "image" if kind in spans.columns else F.lit(False)).alias("image"), F.col(text).alias("text"), (F.col(xref) if xref in spans.columns else F.lit(None)).cast("bigint").alias("xref"),
     )
     lines = F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: ~rules.is_page_chrome(strip(x), printed=True))
-    texts = rows.where("NOT image AND text IS NOT NULL").withColumn("text", F.array_join(lines, "\n")).where(strip(F.col("text")) != "")
+    texts = rows.where("NOT image AND text IS NOT NULL").withColumn("text", F.array_join(lines, "\n"))
+    texts = settled(texts, ["text"]).where(strip(F.col("text")) != "")
     any_tag = r"(?i)\[(?:Question|Option)\s*ID\s*=\s*\d+\]"
-    cut = texts.select("d", "seq", F.posexplode(F.split("text", f"(?={any_tag})")).alias("k", "piece")).where("k = 0 OR piece <> ''")
-    tag = F.regexp_extract("piece", f"^({any_tag})", 1)
-    behind = F.concat(F.when((F.col("k") == 0) & (tag == ""), "\n").otherwise(""), F.expr("substring(piece, length(tag) + 1)"))
-    form = F.when(F.col("tag") == "", "text").when(F.col("tag").rlike(QUESTION_TAG), "question").otherwise("option")
-    pieces = cut.withColumn("tag", tag).select("d", "seq", "k", form.alias("form"), F.concat(F.when((F.col("k") == 0) & (tag != ""), "\n").otherwise(""), "tag").alias("tag"), behind.alias("body"), F.lit(None).cast("bigint").alias("xref"))
+    parted = texts.select("d", "seq", F.posexplode(F.split("text", f"(?={any_tag})")).alias("k", "piece")).where("k = 0 OR piece <> ''").withColumn("tag", F.regexp_extract("piece", f"^({any_tag})", 1))
+    bare, lead = F.col("tag") == "", F.when(F.col("k") == 0, "\n").otherwise("")
+    behind = F.concat(F.when(bare, lead).otherwise(""), F.expr("substring(piece, length(tag) + 1)"))
+    form = F.when(bare, "text").when(F.col("tag").rlike(QUESTION_TAG), "question").otherwise("option")
+    pieces = parted.select("d", "seq", "k", form.alias("form"), F.concat(F.when(bare, "").otherwise(lead), "tag").alias("tag"), behind.alias("body"), F.lit(None).cast("bigint").alias("xref"))
     images = rows.where("image").select("d", "seq", F.lit(0).alias("k"), F.lit("image").alias("form"), F.lit("").alias("tag"), F.lit("").alias("body"), "xref")
     is_q, is_o = F.col("form") == "question", F.col("form") == "option"
-    # read several times below: cut once
-    events = lineage.cut(scan(pieces.unionByName(images), ["d"], ["seq", "k"], {"q": Running(is_q.cast("bigint")), "o": Running(is_o.cast("bigint"))}))
+    pieces = lineage.cut(pieces.unionByName(images))
+    large = large_groups(pieces, ["d"])
+    counted = scan(pieces, ["d"], ["seq", "k"], {"q": Running(is_q.cast("bigint")), "o": Running(is_o.cast("bigint"))}, large=large)
+    # read twice below: cut once
+    events = lineage.cut(scan(counted, ["d"], ["seq", "k"], {"first": Running(F.when(is_q, F.col("o")), "last")}, large=large))
 
     # options: a question's pieces up to its last option tag
-    told = scan(events, ["d"], ["seq", "k"], {"first": Running(F.when(is_q, F.col("o")), "last")})
-    held = told.where("q > 0").groupBy("d", "q").agg(F.max("o").alias("m"), F.min("first").alias("f"), F.max(F.when(F.col("form") != "image", F.struct("seq", "k"))).alias("end"))
-    mine = told.join(held, ["d", "q"]).withColumn("none", F.col("m") == F.col("f"))
+    own_q = Window.partitionBy("d", "q")
+    mine = events.where("q > 0").withColumns({"m": F.max("o").over(own_q), "f": F.min("first").over(own_q), "end": F.max(F.when(F.col("form") != "image", F.struct("seq", "k"))).over(own_q)})
+    mine = mine.withColumn("none", F.col("m") == F.col("f"))
     # of a question without options, images behind all its text are none of its
     inside = F.when(F.col("none"), (F.col("form") != "image") | (F.struct("seq", "k") < F.col("end"))).otherwise((F.col("o") < F.col("m")) | is_o)
     own = F.when(is_q, F.col("body")).when(is_o & (F.col("o") == F.col("m")), F.col("tag")).otherwise(F.concat("tag", "body"))
@@ -103,15 +111,21 @@ def split_questions(spans: DataFrame, doc: str = "doc_id", text: str = "text", s
 
     # stems: all before the first question tag; else the pieces behind the last option tag, for each question tag before the
     # next one; else, before all options, those behind a question tag
-    told = lambda df, o, part, form="form", tag="tag", body="body": df.select("d", "seq", "k", "q", "xref", o.cast("bigint").alias("o"), part.cast("bigint").alias("part"), F.col(form).alias("form") if form == "form" else F.lit(form).alias("form"), F.col(tag).alias("tag") if tag == "tag" else F.lit(tag).alias("tag"), F.col(body).alias("body") if body == "body" else F.lit(body).alias("body"))
-    none, first = F.col("o") == 0, F.col("q") == 1
-    heads = told(events.where("q = 0"), F.lit(-1), F.lit(0)).unionByName(told(events.where(is_q & first), F.lit(-1), F.lit(0), body=""))
-    heads = heads.unionByName(told(events.where(none & ~is_q & (F.col("q") > 0)), F.col("o"), F.col("q"))).unionByName(told(events.where(none & is_q), F.col("o"), F.col("q"), form="text", tag=""))
-    heads = heads.unionByName(told(events.where(none & is_q & ~first), F.col("o"), F.col("q") - 1, body=""))
-    heads = heads.unionByName(told(events.where(~none & ~(is_q & first)), F.col("o"), F.lit(-1))).unionByName(told(events.where(~none & is_q & first), F.col("o"), F.lit(-1), form="text"))
-    asked = heads.where(is_q).select("d", "o", "part").distinct()
+    told = lambda shown, o, part, form=F.col("form"), tag=F.col("tag"), body=F.col("body"): F.when(shown, F.struct(o.cast("bigint").alias("o"), part.cast("bigint").alias("part"), form.alias("form"), tag.alias("tag"), body.alias("body")))
+    none, first, blank = F.col("o") == 0, F.col("q") == 1, F.lit("")
+    copies = F.array(
+        told(F.col("q") == 0, F.lit(-1), F.lit(0)),
+        told(is_q & first, F.lit(-1), F.lit(0), body=blank),
+        told(none & ~is_q & (F.col("q") > 0), F.col("o"), F.col("q")),
+        told(none & is_q, F.col("o"), F.col("q"), form=F.lit("text"), tag=blank),
+        told(none & is_q & ~first, F.col("o"), F.col("q") - 1, body=blank),
+        told(~none & ~(is_q & first), F.col("o"), F.lit(-1)),
+        told(~none & is_q & first, F.col("o"), F.lit(-1), form=F.lit("text")),
+    )
+    heads = events.select("d", "seq", "k", "q", "xref", F.inline(F.filter(copies, lambda c: c.isNotNull())))
+    asked = F.max(is_q).over(Window.partitionBy("d", "o", "part"))
     said = F.when(is_o & (F.col("o") >= 0), F.col("body")).otherwise(F.concat("tag", "body"))
-    groups = heads.join(asked, ["d", "o", "part"], "left_semi").groupBy("d", "o", "part").agg(ordered(said.alias("t"), "xref", F.when(is_q, F.col("q")).alias("q"), "tag").alias("xs"))
+    groups = heads.withColumn("asked", asked).where("asked").groupBy("d", "o", "part").agg(ordered(said.alias("t"), "xref", F.when(is_q, F.col("q")).alias("q"), "tag").alias("xs"))
     each = groups.select("d", "xs", F.posexplode("xs").alias("at", "x")).where("x.q IS NOT NULL")
     before = F.slice("xs", F.lit(1), F.col("at"))
     stems = each.select("d", F.col("x.q").alias("q"), F.regexp_extract("x.tag", QUESTION_TAG, 1).alias("q_id"), F.array_join(F.transform(before, lambda x: x["t"]), "").alias("stem"), F.filter(F.transform(before, lambda x: x["xref"]), lambda x: x.isNotNull()).alias("above"))
@@ -119,8 +133,10 @@ def split_questions(spans: DataFrame, doc: str = "doc_id", text: str = "text", s
     clean = lambda c: F.regexp_replace(c, DESCRIPTION_TAG, "")
     stem = strip(normalize_text(strip(strip_script(strip(F.regexp_replace(clean(F.col("stem")), OPTION_TAG, ""))))))
     both = stems.join(options, ["d", "q"], "left").select("d", "q", "q_id", stem.alias("stem"), clean(F.coalesce("after", F.lit(""))).alias("option_text"), F.concat("above", F.coalesce("below", F.array().cast("array<bigint>"))).alias("images"))
+    both = settled(both, ["stem", "option_text", "images"])
     some = both.where((F.col("stem") != "") | (F.size(options_of(F.col("option_text"))) > 0) | (F.size("images") > 0))
-    return numbered(some, ["d"], ["q"], "q_num").select(F.col("d").alias(doc), "q_num", "q_id", "stem", "option_text", "images")
+    some = some if large is None else lineage.cut(some)
+    return scan(some, ["d"], ["q"], {"q_num": Running(F.lit(1).cast("bigint"))}, large=large).select(F.col("d").alias(doc), "q_num", "q_id", "stem", "option_text", "images")
 
 
 def options_of(text: Column) -> Column:

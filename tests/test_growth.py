@@ -129,3 +129,12 @@ def test_lines_of_pages_are_normalised_once(spark, monkeypatch):
     pages = spark.createDataFrame([("d", i, f"Tea is fine today {i}.\n\nSalt\nRice and more of it.") for i in range(20)], "doc_id string, page_num int, text string")
     lines.clean_pages_with_structure(pages).write.format("noop").mode("overwrite").save()
     assert seen.value == 20 * 3
+
+
+def test_printed_questions_ask_once_for_large_papers(spark, monkeypatch):
+    asked, plain = [], scan.large_groups
+    for module in (scan, exam):
+        monkeypatch.setattr(module, "large_groups", lambda *a, **k: asked.append(1) or plain(*a, **k), raising=False)
+    text = "Which? [Question ID = 7]\n1. a [Option ID = 1]\n2. b [Option ID = 2]"
+    made = exam.split_questions(spark.createDataFrame([(d, 1, "text", text, None) for d in range(30)], "doc_id int, seq int, kind string, text string, xref int"))
+    assert made.count() == 30 and len(asked) == 1
