@@ -12,7 +12,7 @@ from docforge.operators import lineage
 from docforge.operators.columns import fresh
 from docforge.operators.dedup import keep_first
 from docforge.operators.lines import settled
-from docforge.operators.scan import Running, large_groups, scan
+from docforge.operators.scan import Running, large_groups, same, scan
 from docforge.operators.sequence import sessionise
 from docforge.sources.tables import spread
 
@@ -132,7 +132,7 @@ def split_questions(spans: DataFrame, doc: str = "doc_id", text: str = "text", s
 
     clean = lambda c: F.regexp_replace(c, DESCRIPTION_TAG, "")
     stem = strip(normalize_text(strip(strip_script(strip(F.regexp_replace(clean(F.col("stem")), OPTION_TAG, ""))))))
-    both = stems.join(options, ["d", "q"], "left").select("d", "q", "q_id", stem.alias("stem"), clean(F.coalesce("after", F.lit(""))).alias("option_text"), F.concat("above", F.coalesce("below", F.array().cast("array<bigint>"))).alias("images"))
+    both = stems.alias("s").join(options.alias("p"), same("s", "p", ["d", "q"]), "left").select("s.d", "s.q", "q_id", stem.alias("stem"), clean(F.coalesce("after", F.lit(""))).alias("option_text"), F.concat("above", F.coalesce("below", F.array().cast("array<bigint>"))).alias("images"))
     both = settled(both, ["stem", "option_text", "images"])
     some = both.where((F.col("stem") != "") | (F.size(options_of(F.col("option_text"))) > 0) | (F.size("images") > 0))
     some = some if large is None else lineage.cut(some)

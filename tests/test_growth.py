@@ -138,3 +138,6 @@ def test_printed_questions_ask_once_for_large_papers(spark, monkeypatch):
     text = "Which? [Question ID = 7]\n1. a [Option ID = 1]\n2. b [Option ID = 2]"
     made = exam.split_questions(spark.createDataFrame([(d, 1, "text", text, None) for d in range(30)], "doc_id int, seq int, kind string, text string, xref int"))
     assert made.count() == 30 and len(asked) == 1
+    # a question of no named paper has its options as any other
+    row = exam.split_questions(spark.createDataFrame([(None, 1, "text", text, None)], "doc_id int, seq int, kind string, text string, xref int")).first()
+    assert (row.doc_id, row.q_id, row.stem) == (None, "7", "Which?") and "2. b" in row.option_text
