@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import re
 from collections import Counter
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docforge.functions.text import paragraph_key
 from docforge.operators.columns import fresh
-from docforge.operators.lineage import cut
+from docforge.operators.lineage import cut, freed, kept, remove, scratch
 from docforge.operators.sequence import in_turn
 
 WINDOW, SIMILARITY, SHORTEST = 120, 0.60, 8
@@ -26,6 +27,8 @@ OTHER = re.compile(r"[^a-z0-9]+")
 HOT = 4096
 #: Different 4-grams of digits and small letters.
 CODES = 36**4
+#: Keys times bands that one pass looks at, if these are no tenth of all bands.
+AT_ONCE = 2_000_000
 
 
 def keep_first(rows: DataFrame, key: list[str | Column], order: list[str], always: Column | None = None) -> DataFrame:
@@ -144,36 +147,35 @@ def _grams_of(key: str) -> np.ndarray:
     return np.unique(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 4)).view("<u4")[:, 0])
 
 
-def band_hashes(key: Column, bands: int, per_band: int) -> Column:
-    """array<int>: of each band the hash of per_band minima over a paragraph key's grams (four characters at least). Thirty-two
-    bits: every block carries them beside each text, and keys that only share a hash are compared as any others."""
+def _sketched(keys: DataFrame, bands: int, per_band: int) -> DataFrame:
+    """keys (id, k) with hs, of each band the hash of per_band minima over a paragraph key's grams (four characters at least),
+    and sk, two bits of each minimum. Band hashes have thirty-two bits: keys that only share a hash are compared as any others."""
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(17)
         by, plus = (rng.integers(0, 1 << 63, bands * per_band, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
         band = np.repeat(np.arange(1, bands + 1, dtype=np.uint64), per_band).reshape(bands, per_band)
-
-        def one(k: str) -> np.ndarray:
-            least = np.full(bands * per_band, np.iinfo(np.uint64).max)
-            grams = _grams_of(k).astype(np.uint64)
-            for at in range(0, len(grams), 4096):
-                h = grams[at : at + 4096, None] * by + plus
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                np.minimum(least, (h ^ (h >> np.uint64(32))).min(0), out=least)
-            mixed = ((least.reshape(bands, per_band) ^ band) * by.reshape(bands, per_band)).sum(1, dtype=np.uint64)
-            return (mixed ^ (mixed >> np.uint64(31))).astype(np.uint32).view(np.int32)
-
         for batch in batches:
-            yield batch.map(one)
-
-    return run(key)
+            least = np.full((batch.num_rows, bands * per_band), np.iinfo(np.uint64).max)
+            for row, k in zip(least, batch.column(1).to_pylist()):
+                grams = _grams_of(k).astype(np.uint64)
+                for at in range(0, len(grams), 4096):
+                    h = grams[at : at + 4096, None] * by + plus
+                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    np.minimum(row, (h ^ (h >> np.uint64(32))).min(0), out=row)
+            mixed = ((least.reshape(-1, bands, per_band) ^ band) * by.reshape(bands, per_band)).sum(2, dtype=np.uint64)
+            hs = (mixed ^ (mixed >> np.uint64(31))).astype(np.uint32).view(np.int32)
+            sk = np.concatenate([np.packbits((least & np.uint64(bit)) > 0, axis=1) for bit in (1, 2)], axis=1)
+            lists = pa.ListArray.from_arrays(np.arange(len(hs) + 1, dtype=np.int32) * bands, pa.array(hs.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array([*map(bytes, sk)], pa.binary())], ["id", "k", "hs", "sk"])
+
+    return keys.select("id", "k").mapInArrow(run, "id bigint, k string, hs array<int>, sk binary")
 
 
 def _keys(rows: DataFrame, key_id: str, text: str, bands: int, per_band: int) -> DataFrame:
-    """(k, id, hs): the different paragraph keys, their least ids and bands; made once."""
-    keys = rows.select(F.col(key_id).alias("id"), paragraph_key(F.col(text)).alias("k")).where(F.length("k") >= SHORTEST)
-    return cut(keys.groupBy("k").agg(F.min("id").alias("id")).withColumn("hs", band_hashes(F.col("k"), bands, per_band)))
+    """(id, k, hs, sk): the different paragraph keys, their least ids, bands and sketches; made once."""
+    keys = rows.select(F.col(key_id).cast("bigint").alias("id"), paragraph_key(F.col(text)).alias("k")).where(F.length("k") >= SHORTEST)
+    return kept(_sketched(keys.groupBy("k").agg(F.min("id").alias("id")), bands, per_band), "keys")
 
 
 def _deal(filed: DataFrame, total: int, part: int) -> DataFrame:
@@ -184,17 +186,129 @@ def _deal(filed: DataFrame, total: int, part: int) -> DataFrame:
     large = F.broadcast(sizes.where(F.col("met") > max(part, total // HOT)))
     rare = filed.join(large.select("h"), "h", "left_anti").join(sizes, "h")
     met = filed.join(large, "h").unionByName(rare).select(*kept, F.ceil(F.col("met") / part).cast("int").alias("parts"))
+    return _parted(met, kept)
+
+
+def _parted(met: DataFrame, kept: list[Column]) -> DataFrame:
+    """(kept, g, side) for rows filed under h that come in so many parts."""
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     dealt = met.select(*kept, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
     return dealt.select(*kept, F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("g"), side.alias("side"))
 
 
-def _blocks(keys: DataFrame, bands: int, part: int) -> DataFrame:
-    """(g, side, t, h, id, before, k): the members of each band's buckets in blocks (see _deal); before: the buckets of the
-    bands before t. Buckets of one key go before any text is moved."""
-    laid = _deal(keys.select("id", F.posexplode("hs").alias("t", "h")), keys.count() * bands, part)
-    return laid.join(keys, "id").select("g", "side", "t", "h", F.col("id").cast("bigint"), F.slice("hs", F.lit(1), F.col("t")).alias("before"), "k")
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each place's component, with links from a to b added."""
+    while (differ := label[a] != label[b]).any():
+        a, b = a[differ], b[differ]
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while ((up := label[label]) != label).any():
+            label = up
+    return label
+
+
+def _linked(g: np.ndarray, side: np.ndarray, ids: np.ndarray, words: list[np.ndarray], apart: int, tile: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(id, root) of rows sorted by g: rows of a g whose sketches (words, first bits before second bits) differ in so many
+    places at most are linked, and root is the least id that links reach within the g. Rows without links are left out."""
+    half = len(words) // 2
+
+    def near(i, j) -> np.ndarray:
+        return sum(np.bitwise_count((words[w][i] ^ words[w][j]) | (words[w + half][i] ^ words[w + half][j])) for w in range(half)) <= apart
+
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    sizes = np.diff(np.r_[starts, len(g)])
+    ends = np.repeat(starts + sizes, sizes)
+    label, some, gap = np.arange(len(g)), [], 1
+    i = np.flatnonzero(np.repeat(sizes <= 64, sizes))
+    while len(i := i[i + gap < ends[i]]):  # small groups, all at a time: each row with the next, the one after, ...
+        found = i[near(i, i + gap)]
+        some.append((found, found + gap))
+        gap += 1
+    if some:
+        label = _merged(label, *(np.concatenate(x) for x in zip(*some)))
+    for k in np.flatnonzero(sizes > 64).tolist():
+        here = np.arange(starts[k], starts[k] + sizes[k])
+        sides = side[here]
+        for left, right in ((here[sides == 0], here[sides == 1]), (here[sides == 2],) * 2):
+            for p in range(0, len(left), tile):
+                for q in range(p if left is right else 0, len(right), tile):
+                    x, y = left[p : p + tile], right[q : q + tile]
+                    i, j = np.nonzero(near(x[:, None], y[None, :]))
+                    label = _merged(label, x[i], y[j])
+    least = ids.copy()
+    np.minimum.at(least, label, ids)
+    linked = (np.bincount(label, minlength=len(g)) > 1)[label]
+    return ids[linked], least[label[linked]]
+
+
+def _roots(keys: DataFrame, bands: int, per_band: int, similarity: float, part: int) -> DataFrame:
+    """(id, roots): keys that may be alike have a root in common. Two keys that share a band's bucket, and whose sketches say
+    that they may be alike, get the least id of such keys of the bucket as a root; texts stay where they are.
+
+    Sketches of keys at ``similarity`` agree in similarity + (1 - similarity) / 4 of their places on average; they may agree
+    in four standard deviations fewer (two pairs in a hundred thousand agree in fewer still, at 0.60 and 160 places). Some
+    bands at a time are looked at, and leave no shuffle files, so what is on disk at once is a tenth of all buckets."""
+    spark, places = keys.sparkSession, bands * per_band
+    agree = similarity + (1 - similarity) / 4
+    apart = places - int(places * agree - 4 * (places * agree * (1 - agree)) ** 0.5)
+    total = keys.count()
+    passes = -(-bands // max(-(-bands // 10), min(bands, AT_ONCE // max(1, total))))
+    step, most = -(-bands // passes), max(part, total * -(-bands // passes) // HOT)
+    wide = -(-places // 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(g: np.ndarray, side: np.ndarray, ids: np.ndarray, sk: np.ndarray) -> pa.RecordBatch:
+            bits = np.zeros((len(sk), 2, -(-wide // 8) * 8), np.uint8)
+            bits[:, :, :wide] = sk.reshape(-1, 2, wide)
+            words = [np.ascontiguousarray(x) for x in bits.reshape(len(sk), -1).view(np.uint64).T]
+            return pa.RecordBatch.from_arrays([*map(pa.array, _linked(g, side, ids, words, apart))], ["id", "root"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sk = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, 2 * wide)
+            now = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)), sk]
+            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            last = np.searchsorted(now[0], now[0][-1])
+            if last:
+                yield told(*(x[:last] for x in now))
+            held = [x[last:] for x in now]
+        if held is not None:
+            yield told(*held)
+
+    path, n = scratch(spark, "met"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for at in range(0, bands, step):
+        filed = keys.select("id", "sk", F.explode(F.slice("hs", at + 1, step)).alias("h"))
+        large = cut(filed.groupBy("h").agg(F.count("*").alias("met")).where(F.col("met") > most))
+        parts = F.coalesce(F.ceil(F.col("met") / most), F.lit(1)).cast("int")
+        met = filed.join(F.broadcast(large), "h", "left").select("id", "sk", "h", parts.alias("parts"))
+        dealt = _parted(met, [F.col("id"), F.col("sk"), F.col("h")]).select("g", "side", "id", "sk")
+        dealt.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "id bigint, root bigint").write.mode("append").parquet(path)
+    roots = cut(spark.read.schema("id bigint, root bigint").parquet(path).groupBy("id").agg(F.collect_set("root").alias("roots")))
+    remove(spark, path)
+    return roots
+
+
+def _matched(keys: DataFrame, bands: int, per_band: int, similarity: float, part: int, as_pairs: bool) -> DataFrame:
+    """What _alike gives of all keys, computed once (counts summed by key). Texts are moved for keys that may be alike to some
+    other, once a root; roots are taken some at a time, so that about a fifth of all keys' texts are on the way at once."""
+    spark = keys.sparkSession
+    known = kept(_roots(keys, bands, per_band, similarity, 4 * part).join(keys.select("id", "k"), "id"), "known")
+    total = known.agg(F.coalesce(F.sum(F.size("roots")), F.lit(0))).first()[0]
+    passes = max(1, -(-total // max(AT_ONCE // 10, keys.count() // 5)))
+    path = scratch(spark, "alike")
+    atexit.register(remove, spark, path)
+    for at in range(passes):
+        filed = known.select("*", F.explode("roots").alias("h")).where(F.pmod(F.xxhash64("h"), F.lit(passes)) == at)
+        large = cut(filed.groupBy("h").agg(F.count("*").alias("met")).where(F.col("met") > max(part, total // passes // HOT)))
+        parts = F.coalesce(F.ceil(F.col("met") / part), F.lit(1)).cast("int").alias("parts")
+        met = filed.join(F.broadcast(large), "h", "left").select("h", "id", F.filter("roots", lambda x: x < F.col("h")).alias("before"), "k", parts)
+        blocks = _parted(met, [F.col(c) for c in ("h", "id", "before", "k")]).select("g", "side", "h", "id", "before", "k")
+        alike = _alike(blocks, similarity, as_pairs)
+        (alike if as_pairs else alike.groupBy("a").agg(F.sum("x").alias("x"))).write.mode("append").parquet(path)
+    return spark.read.schema("a bigint, b bigint, x double" if as_pairs else "a bigint, x double").parquet(path)
 
 
 def _compared(blocks: DataFrame, compare: Callable[[list[tuple]], Iterator[tuple]]) -> DataFrame:
@@ -221,18 +335,44 @@ def _compared(blocks: DataFrame, compare: Callable[[list[tuple]], Iterator[tuple
 
 def _alike(blocks: DataFrame, similarity: float, as_pairs: bool) -> DataFrame:
     """(a, b, similarity) of what is alike, or (a, b: null, how many a is like) of a block. What is compared never leaves
-    its block: pairs that aren't alike are no rows. Two keys that share several buckets count in the first of them."""
+    its block: pairs that aren't alike are no rows. Two keys that share several roots count in the least of them."""
+
+    def common(x: list[list], y: list[list]) -> np.ndarray:
+        """Which of x have a root in common with which of y."""
+        names = {r: c for c, r in enumerate({r for some in x for r in some} & {r for some in y for r in some})}
+        held = [np.zeros((len(some), len(names)), np.float32) for some in (x, y)]
+        for to, some in zip(held, (x, y)):
+            for i, rs in enumerate(some):
+                to[i, [names[r] for r in rs if r in names]] = 1
+        return held[0] @ held[1].T > 0
+
+    def two(one: tuple, other: tuple) -> Iterator[tuple]:
+        """A block of two rows, as most are."""
+        if one[1] == other[1] and one[2] != other[2] and set(one[3]).isdisjoint(other[3]):
+            x, y = _grams_of(one[4]), _grams_of(other[4])
+            n = len(np.intersect1d(x, y, assume_unique=True))
+            if n / (len(x) + len(y) - n) >= similarity:
+                a, b = sorted((one[2], other[2]))
+                yield from ((a, b, n / (len(x) + len(y) - n)),) if as_pairs else ((a, None, 1.0), (b, None, 1.0))
 
     def compare(rows: list[tuple]) -> Iterator[tuple]:
-        sides, ts, hs = (np.asarray([r[i] for r in rows]) for i in (0, 1, 2))
-        sets = [_grams_of(r[5]) for r in rows]
+        if len(rows) == 2:
+            yield from two(*rows)
+            return
+        sides, hs, ids = (np.asarray([r[i] for r in rows]) for i in (0, 1, 2))
+        sets = [_grams_of(r[4]) for r in rows]
         sizes = np.asarray([len(x) for x in sets])
-        counts: Counter = Counter()
-        for t, h in {*zip(ts.tolist(), hs.tolist())}:  # one, unless two blocks share a digest
-            here = (ts == t) & (hs == h)
+        for h in np.unique(hs).tolist():  # one, unless two blocks share a digest
+            here = hs == h
             for left, right in ((np.flatnonzero(here & (sides == 0)), np.flatnonzero(here & (sides == 1))), (np.flatnonzero(here & (sides == 2)),) * 2):
                 if not len(left) or not len(right):
                     continue
+                whole = left is right
+                if len(left) * len(right) > 4096:  # fewer columns than grams tell most that are unlike
+                    least = (sizes[left][:, None] + sizes[right][None, :]) * (similarity / (1 + similarity)) - 1e-6
+                    left, right, _, _ = _narrowed(left, right, (_at_most(left, right, [r[4] for r in rows], sizes) >= least) & (ids[left][:, None] != ids[right][None, :]), least)
+                    if not len(left) or not len(right):
+                        continue
                 used = np.union1d(left, right)
                 names, at = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
                 row = np.repeat(np.arange(len(used)), sizes[used])
@@ -244,17 +384,17 @@ def _alike(blocks: DataFrame, similarity: float, as_pairs: bool) -> DataFrame:
                     held[row[mine], at[mine] - low] = 1
                     total += held[x] @ held[y].T
                 union = sizes[left][:, None] + sizes[right][None, :] - total
-                i, j = np.nonzero(total / union >= similarity)
-                for p, q in zip(i.tolist(), j.tolist()):
-                    a, b = rows[left[p]], rows[right[q]]
-                    if (sides[left[p]] == 2 and a[3] >= b[3]) or a[3] == b[3] or any(u == v for u, v in zip(a[4], b[4])):
-                        continue
-                    if as_pairs:
-                        yield min(a[3], b[3]), max(a[3], b[3]), float(total[p, q]) / float(union[p, q])
-                    else:
-                        counts[a[3]] += 1
-                        counts[b[3]] += 1
-        yield from ((k, None, float(n)) for k, n in counts.items())
+                like = (total / union >= similarity) & (ids[left][:, None] != ids[right][None, :])
+                if whole:
+                    like &= left[:, None] < right[None, :]
+                like &= ~common([rows[i][3] for i in left], [rows[i][3] for i in right])
+                p, q = np.nonzero(like)
+                a, b = ids[left[p]], ids[right[q]]
+                if as_pairs:
+                    yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), (total[p, q].astype(float) / union[p, q]).tolist())
+                else:
+                    one, n = np.unique(np.concatenate([a, b]), return_counts=True)
+                    yield from zip(one.tolist(), [None] * len(one), n.astype(float).tolist())
 
     return _compared(blocks, compare)
 
@@ -419,33 +559,39 @@ def exact_groups(rows: DataFrame, key_id: str, text: str, similarity: float = SI
 
 
 def near_pairs(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY, bands: int = 40, per_band: int = 4, part: int = 512) -> DataFrame:
-    """(a, b, similarity) of different paragraph keys: MinHash bands, then the exact Jaccard of 4-grams. key_id is a number.
+    """(a, b, similarity) of different paragraph keys: MinHash bands, then the exact Jaccard of 4-grams. key_id is a whole number.
 
     The scalable mode: a pair at 0.60 is missed by all bands four times in a thousand. Equal keys are one row, their
-    least id. A band's bucket of many keys is dealt in parts of about ``part`` rows, and two parts at a time are compared
-    in one task: every pair is still met, just once, and no block has more than about 2 * part rows. Buckets that hold over
-    1/HOT of all rows learn their size by a broadcast of HOT rows at most. Pairs that are alike are all returned, so a group
+    least id. Keys that share a bucket meet by their sketches first (see _roots), and only those that may be alike meet with
+    their texts. A bucket or root of many keys is dealt in parts, and two parts at a time are compared in one task: every
+    pair is still met, and no block has more than about 2 * part rows (8 * part of sketches). Buckets that hold over 1/HOT
+    of all rows learn their size by a broadcast of HOT rows at most. Pairs that are alike are all returned, so a group
     of n like but different texts has up to n * (n - 1) / 2 rows; ``near_groups`` has n.
     """
-    return _alike(_blocks(_keys(rows, key_id, text, bands, per_band), bands, part), similarity, True).withColumnRenamed("x", "similarity")
+    with freed(rows.sparkSession):
+        alike = _matched(_keys(rows, key_id, text, bands, per_band), bands, per_band, similarity, part, True)
+    return alike.withColumnRenamed("x", "similarity")
 
 
 def near_groups(rows: DataFrame, key_id: str, text: str, similarity: float = SIMILARITY, bands: int = 40, per_band: int = 4, part: int = 512) -> DataFrame:
     """(id, representative, n_like): every row with the least id of its paragraph key, and how many other keys that one is
     like; short keys are like none. Blocks give back counts, so a group of n like keys is n rows of each block at most.
     Rows meet their key's figures in one join, whose large keys Spark can split; short keys, the commonest, take none."""
-    keys = _keys(rows, key_id, text, bands, per_band)
-    return _rows_of(rows, keys, _alike(_blocks(keys, bands, part), similarity, False), key_id, text)
+    with freed(rows.sparkSession):
+        keys = _keys(rows, key_id, text, bands, per_band)
+        alike = _matched(keys, bands, per_band, similarity, part, False)
+    return _rows_of(rows, keys, alike, key_id, text)
 
 
 def _rows_of(rows: DataFrame, keys: DataFrame, alike: DataFrame, key_id: str, text: str) -> DataFrame:
-    """(id, representative, n_like) of rows, from what blocks counted of their keys."""
+    """(id, representative, n_like) of rows, from what blocks counted of their keys; rows and keys meet by a digest."""
+    digest = F.unhex(F.md5("k")).alias("d")
     likes = alike.groupBy(F.col("a").alias("id")).agg(F.sum("x").cast("bigint").alias("n_like"))
-    heads = keys.select("k", "id").join(likes, "id", "left").select("k", F.col("id").alias("representative"), "n_like")
+    heads = keys.select(digest, "id").join(likes, "id", "left").select("d", F.col("id").alias("representative"), "n_like")
     keyed = rows.select(F.col(key_id).alias("id"), paragraph_key(F.col(text)).alias("k"))
     long = F.coalesce(F.length("k") >= SHORTEST, F.lit(False))
     alone = keyed.where(~long).select("id", F.col("id").alias("representative"), F.lit(0).cast("bigint").alias("n_like"))
-    return keyed.where(long).join(heads, "k").select("id", "representative", F.coalesce("n_like", F.lit(0).cast("bigint")).alias("n_like")).unionByName(alone)
+    return keyed.where(long).select("id", digest).join(heads, "d").select("id", "representative", F.coalesce("n_like", F.lit(0).cast("bigint")).alias("n_like")).unionByName(alone)
 
 
 def blocks_before_rendering(blocks: DataFrame, by: list[str], order: str = "seq") -> DataFrame:

@@ -1,10 +1,14 @@
 """Steps whose work or memory once grew faster than their input, or whose rows differed from SQL on larger tables."""
 
+import random
+import time
+
+import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from docforge.functions import rules, stages
-from docforge.operators import assembly, chapters, dedup, exam, layout, lines, scan
+from docforge.operators import assembly, chapters, dedup, exam, layout, lineage, lines, scan
 from docforge.plans import catalogue, sql_functions
 
 
@@ -106,6 +110,56 @@ def test_bands_are_half_as_wide(spark):
     assert [(r.a, r.b) for r in dedup.near_pairs(rows, "id", "t").collect()] == [(1, 2)]
 
 
+def test_texts_are_moved_for_keys_that_may_be_alike(spark, monkeypatch):
+    """Texts were moved once for each band whose bucket has two keys, and shuffle files stayed until a collection."""
+    moved, real = [], dedup._compared
+    monkeypatch.setattr(dedup, "_compared", lambda blocks, compare: moved.append(blocks.count()) or real(blocks, compare))
+    rng = random.Random(3)
+    parts = ["".join(rng.choice("abcdeiorstnu") for _ in range(rng.randint(2, 4))) for _ in range(45)]
+    some = ["".join(rng.choice(parts) for _ in range(40)) for _ in range(120)]
+    rows = spark.createDataFrame([*enumerate(some), *((1000 + i, some[i] + "xyz") for i in range(0, 120, 2))], "id long, t string")
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: str(held.getAllBlocks()).count("shuffle_")
+    before, setting = files(), spark.conf.get(lineage.FREE, None)
+    groups = dedup.near_groups(rows, "id", "t")
+    for _ in range(100):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(lineage.FREE, None) == setting
+    buckets = dedup._keys(rows, "id", "t", 40, 4).select(F.explode("hs").alias("h")).groupBy("h").count().where("count > 1").agg(F.sum("count")).first()[0]
+    assert moved == [120] and buckets > 10 * 120
+    assert {r.id: r.n_like for r in groups.collect()} == {i: int(i % 2 == 0) for i in [*range(120), *range(1000, 1120, 2)]}
+
+
+def test_pairs_of_several_roots_and_passes_count_once(spark, monkeypatch):
+    """Bands and roots some at a time, and in parts, give what all at once gives."""
+    monkeypatch.setattr(dedup, "AT_ONCE", 1)
+    some = [(i, f"the same long sentence about protein and energy and fluid, number {i:03}") for i in range(40)] + [(100 + i, "protein and energy " * (i % 3 + 1) + f"or other words {i * 7919}") for i in range(30)]
+    sets = {i: {*dedup._grams_of("".join(c for c in t.lower() if c.isalnum())).tolist()} for i, t in some}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) >= 0.6 * len(x | y)}
+    got = [((r.a, r.b), r.similarity) for r in dedup.near_pairs(spark.createDataFrame(some, "id long, t string"), "id", "t", part=8).collect()]
+    assert len(got) == len(dict(got)) and {p: x for p, x in want.items() if x > 0.75}.items() <= dict(got).items() <= want.items()
+
+
+def test_sketches_meet_in_small_and_large_groups():
+    """Groups of any size, whole or as two parts, give the least ids that links reach within them."""
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 3, 64, 65, 300, 700]
+    g, side = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.full(n, 2) for n in sizes[:-1]] + [rng.integers(0, 2, 700)])
+    words = [rng.integers(0, 1 << 63, 60, dtype=np.uint64)[rng.integers(0, 60, len(g))] for _ in range(2)]
+    words = [words[0], words[0] ^ np.uint64(7)]
+    ids = rng.permutation(len(g)).astype(np.int64)
+    got = {*zip(*(x.tolist() for x in dedup._linked(g, side, ids, words, 0, tile=32)))}
+    want = set()
+    for n in range(len(sizes)):
+        for w in np.unique(words[0][g == n]):
+            same = (g == n) & (words[0] == w)
+            if same.sum() > 1 and (2 in side[same] or len(set(side[same].tolist())) == 2):
+                want |= {(i, ids[same].min()) for i in ids[same].tolist()}
+    assert got == want
+
+
 def test_patterns_share_their_beginnings(spark):
     patterns = ("now we begin", r"now we move\s+on", r"\bnext\b", r"^lay it out$", r"copy.*paste", "tea|rice", r"let'?s\s+go", r"(?:a|b)c", r"\[PAGE")
     texts = ["know we begin", "NOW WE MOVE  on", "nextly", "next", "lay it out", "so lay it out", "copy and paste", "rice", "lets go", "let's  go", "bc", "[page 2", "now we go", ""]
